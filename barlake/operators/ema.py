@@ -12,6 +12,9 @@ per row). B is chosen with B*|ln b| near 300, so b^-k stays far from overflow
 and the contribution of blocks older than the previous one is below b^B =
 e^-300 relative: the result is exact in double precision, linear time, no
 join and no extra exchange (the blocks refine the ticker partitioning).
+
+Several EMAs over the same rows are computed side by side in the same
+projections (three selects in all), which keeps the plan shallow.
 """
 
 from __future__ import annotations
@@ -30,29 +33,46 @@ def block_size(beta: float) -> int:
     return max(1, int(_DECAY_PER_BLOCK / -math.log(beta)))
 
 
+def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
+             key: str = "ticker", order: str = "date", index: str | None = None) -> DataFrame:
+    """Append one column per ``(out, src, span)``: EMA(span, adjust=False) of src.
+
+    ``index`` names an existing 0-based per-key position column; without it a
+    ``row_number`` is added (and dropped again).
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    keep = list(df.columns)
+    i = index or "_ema_i"
+    if index is None:
+        df = df.withColumn(i, F.row_number().over(w) - 1)
+    stage1, stage2, stage3 = {}, {}, {}
+    for out, src, span in specs:
+        x = F.col(src) if isinstance(src, str) else src
+        alpha = 2.0 / (span + 1.0)
+        beta = 1.0 - alpha
+        if beta <= 0.0:
+            stage3[out] = x
+            continue
+        B = block_size(beta)
+        b, k, loc = f"_{out}_b", f"_{out}_k", f"_{out}_loc"
+        stage1[b] = F.floor(F.col(i) / B)
+        stage1[k] = F.col(i) % B
+        stage1[f"_{out}_x"] = F.when(F.col(i) == 0, x).otherwise(F.lit(alpha) * x)
+        in_block = Window.partitionBy(key, b).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        stage2[loc] = F.pow(F.lit(beta), F.col(k)) * F.sum(
+            F.col(f"_{out}_x") * F.pow(F.lit(beta), -F.col(k))).over(in_block)
+        end_val = F.when(F.col(k) == B - 1, F.col(loc))
+        carry = F.coalesce(
+            F.last(end_val, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0.0))
+        stage3[out] = F.col(loc) + F.pow(F.lit(beta), F.col(k) + 1) * carry
+    if stage1:
+        df = df.withColumns(stage1).withColumns(stage2)
+    df = df.withColumns(stage3)
+    return df.select(*keep, *[out for out, _, _ in specs])
+
+
 def add_ema(df: DataFrame, out: str, src: str | Column, span: int,
             key: str = "ticker", order: str = "date") -> DataFrame:
-    """Append ``out`` = EMA(span, adjust=False) of ``src`` per ``key`` ordered by ``order``."""
-    x = F.col(src) if isinstance(src, str) else src
-    alpha = 2.0 / (span + 1.0)
-    beta = 1.0 - alpha
-    w = Window.partitionBy(key).orderBy(order)
-    if beta <= 0.0:
-        return df.withColumn(out, x)
-    B = block_size(beta)
-    i, b, k = f"_{out}_i", f"_{out}_b", f"_{out}_k"
-    staged = df.withColumn(i, F.row_number().over(w) - 1).withColumns({
-        b: F.floor(F.col(i) / B), k: F.col(i) % B,
-    })
-    xp = F.when(F.col(i) == 0, x).otherwise(F.lit(alpha) * x)
-    in_block = Window.partitionBy(key, b).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = F.pow(F.lit(beta), F.col(k)) * F.sum(xp * F.pow(F.lit(beta), -F.col(k))).over(in_block)
-    staged = staged.withColumn(f"_{out}_local", local)
-    end_val = F.when(F.col(k) == B - 1, F.col(f"_{out}_local"))
-    carry = F.coalesce(
-        F.last(end_val, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0.0),
-    )
-    y = F.col(f"_{out}_local") + F.pow(F.lit(beta), F.col(k) + 1) * carry
-    return staged.withColumn(out, y).drop(i, b, k, f"_{out}_local")
+    return add_emas(df, [(out, src, span)], key, order)

@@ -1,65 +1,91 @@
 """Technical indicators (W3-W13) and the feature table.
 
 All windows share ``partitionBy(ticker).orderBy(date)``: Catalyst groups the
-expressions into a few Window nodes over the one ticker exchange. The feature
-stage runs on the preprocessed table, whose warm-up drop must happen first,
-so the two stages stay two passes (the drop is a filter between them).
+expressions into a few Window nodes over the one ticker exchange. The
+indicator expressions are built as plain Columns and applied in one wide
+projection; the EMAs need three more. The feature stage runs on the
+preprocessed table, whose warm-up drop must happen first, so preprocess and
+features stay two passes (a filter between them, no exchange).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.config import FeatureConfig
 from barlake.functions.numeric import fdiv
 from barlake.functions.windows import rolling_mean, rolling_std, series
-from barlake.operators.ema import add_ema
+from barlake.operators.ema import add_emas
 
 
 def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def add_rsi(df: DataFrame, period: int = 14, price: str = "Close") -> DataFrame:
+# ---------------------------------------------------------------- expressions
+
+def rsi_expr(period: int = 14, price: str = "Close") -> Column:
     """Simple-mean RSI: first diff counts as no gain/no loss; zero mean loss gives RSI 0."""
     delta = _c(price) - F.lag(_c(price), 1).over(series())
     gain = F.when(delta > 0, delta).otherwise(F.lit(0.0))
     loss = F.when(delta < 0, -delta).otherwise(F.lit(0.0))
     ag = rolling_mean(gain, period)
     al = rolling_mean(loss, period)
-    rsi = F.when(al == 0, F.lit(0.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ag / al))
-    return df.withColumn(f"rsi_{period}", rsi)
+    return F.when(al == 0, F.lit(0.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ag / al))
+
+
+def bollinger_exprs(window: int = 20, n_std: float = 2.0, price: str = "Close") -> dict[str, Column]:
+    sma = rolling_mean(_c(price), window)
+    std = rolling_std(_c(price), window)
+    upper = sma + F.lit(n_std) * std
+    lower = sma - F.lit(n_std) * std
+    return {
+        "bb_upper": upper, "bb_middle": sma, "bb_lower": lower,
+        "bb_position": fdiv(_c(price) - lower, upper - lower),
+    }
+
+
+def volatility_expr(window: int = 20) -> Column:
+    return rolling_std(F.col("log_return"), window)
+
+
+def volume_ratio_expr(window: int = 20) -> Column:
+    return fdiv(_c("Volume"), rolling_mean(_c("Volume"), window))
+
+
+def lag_exprs(lags=(1, 3, 5), src: str = "log_return") -> dict[str, Column]:
+    w = series()
+    return {f"return_lag_{k}d": F.lag(F.col(src), k).over(w) for k in lags}
+
+
+def target_expr(price: str = "Close") -> Column:
+    """Next-day direction; the last row has no next close and gets 0 (kept)."""
+    up = F.lead(_c(price), 1).over(series()) > _c(price)
+    return F.coalesce(up, F.lit(False)).cast("int")
+
+
+def price_change_expr(price: str = "Close") -> Column:
+    prev = F.lag(_c(price), 1).over(series())
+    return F.abs(fdiv(_c(price), prev) - F.lit(1.0))
+
+
+# ---------------------------------------------------------------- transforms
+
+def add_rsi(df: DataFrame, period: int = 14, price: str = "Close") -> DataFrame:
+    return df.withColumn(f"rsi_{period}", rsi_expr(period, price))
 
 
 def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
              price: str = "Close") -> DataFrame:
-    df = add_ema(df, "_ema_fast", _c(price), fast)
-    df = add_ema(df, "_ema_slow", _c(price), slow)
+    df = add_emas(df, [("_ema_fast", _c(price), fast), ("_ema_slow", _c(price), slow)])
     df = df.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow")
-    df = add_ema(df, "macd_signal", F.col("macd"), signal)
+    df = add_emas(df, [("macd_signal", F.col("macd"), signal)])
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
 def add_bollinger(df: DataFrame, window: int = 20, n_std: float = 2.0, price: str = "Close") -> DataFrame:
-    sma = rolling_mean(_c(price), window)
-    std = rolling_std(_c(price), window)
-    df = df.withColumns({
-        "bb_upper": sma + F.lit(n_std) * std,
-        "bb_middle": sma,
-        "bb_lower": sma - F.lit(n_std) * std,
-    })
-    return df.withColumn(
-        "bb_position", fdiv(_c(price) - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower"))
-    )
-
-
-def add_volatility(df: DataFrame, window: int = 20) -> DataFrame:
-    return df.withColumn(f"volatility_{window}d", rolling_std(F.col("log_return"), window))
-
-
-def add_volume_ratio(df: DataFrame, window: int = 20) -> DataFrame:
-    return df.withColumn("volume_ratio", fdiv(_c("Volume"), rolling_mean(_c("Volume"), window)))
+    return df.withColumns(bollinger_exprs(window, n_std, price))
 
 
 def add_sentiment(df: DataFrame, sentiment: DataFrame | None, neutral: float = 0.0) -> DataFrame:
@@ -72,50 +98,65 @@ def add_sentiment(df: DataFrame, sentiment: DataFrame | None, neutral: float = 0
     if sentiment is None:
         return df.withColumn("sentiment_score", F.lit(float(neutral)))
     scores = sentiment.select("ticker", F.col("sentiment_score").alias("_sent"))
+    cols = [c for c in df.columns if c != "sentiment_score"]
     return (df.join(scores, "ticker", "left")
-            .withColumn("sentiment_score", F.coalesce(F.col("_sent"), F.lit(float(neutral))))
-            .drop("_sent"))
+            .select(*[F.col(f"`{c}`") for c in cols],
+                    F.coalesce(F.col("_sent"), F.lit(float(neutral))).alias("sentiment_score")))
 
 
-def add_lags(df: DataFrame, lags=(1, 3, 5), src: str = "log_return") -> DataFrame:
-    w = series()
-    return df.withColumns({f"return_lag_{k}d": F.lag(F.col(src), k).over(w) for k in lags})
+FEATURE_ORDER = ["rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_middle", "bb_lower",
+                 "bb_position", "volatility", "volume_ratio", "sentiment_score", "lags",
+                 "target_direction", "price_change_pct"]
 
 
-def add_target(df: DataFrame, price: str = "Close") -> DataFrame:
-    """Next-day direction; the last row has no next close and gets 0 (kept)."""
-    up = F.lead(_c(price), 1).over(series()) > _c(price)
-    return df.withColumn("target_direction", F.coalesce(up, F.lit(False)).cast("int"))
-
-
-def add_price_change(df: DataFrame, price: str = "Close") -> DataFrame:
-    prev = F.lag(_c(price), 1).over(series())
-    return df.withColumn("price_change_pct", F.abs(fdiv(_c(price), prev) - F.lit(1.0)))
+def feature_names(cfg: FeatureConfig = FeatureConfig()) -> list[str]:
+    names = []
+    for f in FEATURE_ORDER:
+        if f == "rsi":
+            names.append(f"rsi_{cfg.rsi_period}")
+        elif f == "volatility":
+            names.append(f"volatility_{cfg.volatility_window}d")
+        elif f == "lags":
+            names += [f"return_lag_{k}d" for k in cfg.lag_periods]
+        else:
+            names.append(f)
+    return names
 
 
 def engineer_features(pre: DataFrame, cfg: FeatureConfig = FeatureConfig(),
                       sentiment: DataFrame | None = None) -> DataFrame:
     """Feature table: preprocessed bars + 15 features + target, warm-up rows dropped."""
-    df = add_rsi(pre, cfg.rsi_period)
-    df = add_macd(df, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal)
-    df = add_bollinger(df, cfg.bollinger_window, cfg.bollinger_std)
-    df = add_volatility(df, cfg.volatility_window)
-    df = add_volume_ratio(df, cfg.volume_ratio_window)
+    base = list(pre.columns)
+    df = add_emas(pre, [("_ema_fast", _c("Close"), cfg.macd_fast), ("_ema_slow", _c("Close"), cfg.macd_slow)])
+    df = df.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow"))
+    df = add_emas(df, [("macd_signal", F.col("macd"), cfg.macd_signal)])
+    exprs = {
+        f"rsi_{cfg.rsi_period}": rsi_expr(cfg.rsi_period),
+        "macd_histogram": F.col("macd") - F.col("macd_signal"),
+        **bollinger_exprs(cfg.bollinger_window, cfg.bollinger_std),
+        f"volatility_{cfg.volatility_window}d": volatility_expr(cfg.volatility_window),
+        "volume_ratio": volume_ratio_expr(cfg.volume_ratio_window),
+        **lag_exprs(cfg.lag_periods),
+        "target_direction": target_expr(),
+        "price_change_pct": price_change_expr(),
+    }
+    df = df.withColumns(exprs)
     df = add_sentiment(df, sentiment, cfg.sentiment_neutral_fill)
-    df = add_lags(df, cfg.lag_periods)
-    df = add_target(df)
-    df = add_price_change(df)
-    return df.na.drop(how="any")
+    return df.select(*[F.col(f"`{c}`") for c in base + feature_names(cfg)]).na.drop(how="any")
 
 
 def display_indicators(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Display set (W20): RSI, MACD and Bollinger on uncleaned history, nothing dropped."""
-    df = add_rsi(bars, cfg.rsi_period)
-    df = add_macd(df, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal)
-    df = add_bollinger(df, cfg.bollinger_window, cfg.bollinger_std).drop("bb_position")
+    """Display set (W20): RSI, MACD and Bollinger on uncleaned history, nothing dropped.
+
+    Adds candle colour, histogram sign (missing as 0) and RSI zone (X10, X11).
+    """
+    df = add_macd(bars, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal)
+    rsi = rsi_expr(cfg.rsi_period)
+    bb = bollinger_exprs(cfg.bollinger_window, cfg.bollinger_std)
     return df.withColumns({
+        f"rsi_{cfg.rsi_period}": rsi,
+        "bb_upper": bb["bb_upper"], "bb_middle": bb["bb_middle"], "bb_lower": bb["bb_lower"],
         "is_up": _c("Close") >= _c("Open"),
         "hist_pos": F.coalesce(F.col("macd_histogram"), F.lit(0.0)) >= 0,
-        "rsi_zone": F.when(F.col(f"rsi_{cfg.rsi_period}") > 70, "overbought")
-        .when(F.col(f"rsi_{cfg.rsi_period}") < 30, "oversold").otherwise("neutral"),
+        "rsi_zone": F.when(rsi > 70, "overbought").when(rsi < 30, "oversold").otherwise("neutral"),
     })

@@ -93,3 +93,81 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+# ------------------------------------------------------------------ metrics
+from barlake.operators import metrics as M  # noqa: E402
+from barlake.operators.split import random_split  # noqa: E402
+from barlake.sources.fixtures import scored_table  # noqa: E402
+
+RATE_SPEC = [("n", "long"), ("tn", "long"), ("fp", "long"), ("fn", "long"), ("tp", "long"),
+             ("accuracy", "double"), ("precision", "double"), ("recall", "double"), ("f1", "double")]
+FAIR_PAIR = ("EN", "DE")
+_T = DEFAULT.training
+
+
+@register("metrics_by_ticker", sql_project(sq.confusion_sql(sq.scored_sql(), "ticker"),
+                                           [("ticker", "string")] + RATE_SPEC))
+def q_metrics_by_ticker(spark, sf_dir):
+    """Confusion counts and rates per ticker, zero_division = 0."""
+    return spark_project(M.confusion_metrics(scored_table(spark, sf_dir), ["ticker"]),
+                         [("ticker", "string")] + RATE_SPEC)
+
+
+@register("metrics_overall", sql_project(sq.confusion_sql(sq.scored_sql(), None), RATE_SPEC))
+def q_metrics_overall(spark, sf_dir):
+    return spark_project(M.confusion_metrics(scored_table(spark, sf_dir)), RATE_SPEC)
+
+
+@register("roc_auc_by_ticker", sql_project(sq.auc_sql(sq.scored_sql(), "ticker"),
+                                           [("ticker", "string"), ("roc_auc", "double")]))
+def q_auc_by_ticker(spark, sf_dir):
+    """Exact rank-sum AUC with ties, per ticker."""
+    return spark_project(M.roc_auc(scored_table(spark, sf_dir), ["ticker"]),
+                         [("ticker", "string"), ("roc_auc", "double")])
+
+
+@register("roc_auc_overall", sql_project(sq.auc_sql(sq.scored_sql(), None), [("roc_auc", "double")]))
+def q_auc_overall(spark, sf_dir):
+    return spark_project(M.roc_auc(scored_table(spark, sf_dir)), [("roc_auc", "double")])
+
+
+BASE_SPEC = [("n", "long"), ("accuracy", "double"), ("precision", "double"), ("recall", "double"),
+             ("f1", "double")]
+
+
+@register("baseline_always_up", sql_project(sq.baseline_sql(sq.scored_sql(), "ticker"),
+                                            [("ticker", "string")] + BASE_SPEC))
+def q_baseline(spark, sf_dir):
+    """Naive always-UP accuracy / precision / recall / F1 per ticker."""
+    return spark_project(M.baseline_always_up(scored_table(spark, sf_dir), ["ticker"]),
+                         [("ticker", "string")] + BASE_SPEC)
+
+
+FAIR_SPEC = [(f"{c}_{t}", k) for t in FAIR_PAIR for c, k in
+             (("accuracy", "double"), ("f1", "double"), ("n", "long"))] + [
+    ("accuracy_gap", "double"), ("gap_warning", "bool")]
+
+
+@register("fairness_gap", sql_project(sq.fairness_sql(sq.scored_sql(), FAIR_PAIR, _T.fairness_min_rows,
+                                                      _T.fairness_gap_limit), FAIR_SPEC))
+def q_fairness(spark, sf_dir):
+    """Accuracy / F1 / samples of two groups (>= 50 rows) and the gap flag."""
+    return spark_project(M.fairness(scored_table(spark, sf_dir), FAIR_PAIR, _T.fairness_min_rows,
+                                    _T.fairness_gap_limit), FAIR_SPEC)
+
+
+SPLIT_SPEC = [("split", "string"), ("n", "long"), ("n_up", "long"), ("up_share", "double")]
+
+
+def _split_sql() -> str:
+    inner = sq.split_sql(sq.features_sql("l_returnflag"), _T.test_size, _T.random_seed)
+    return f"""SELECT split, count(*) AS n, count_if(target_direction = 1) AS n_up,
+               avg(CAST(target_direction AS DOUBLE)) AS up_share FROM ({inner}) s GROUP BY split"""
+
+
+@register("split_class_balance", sql_project(_split_sql(), SPLIT_SPEC))
+def q_split(spark, sf_dir):
+    """M1 + G9/G24: hash-stratified 80/20 split of the feature table and class balance per side."""
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    return spark_project(M.class_balance(random_split(ft, _T.test_size, _T.random_seed)), SPLIT_SPEC)

@@ -177,3 +177,74 @@ def clean_report_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT) ->
     SELECT rep.ticker, missing_pct, missing_pct <= {d.max_missing_pct} AS kept, volume_cap,
            coalesce(n_capped, 0) AS n_capped, coalesce(cleaned_rows, 0) AS cleaned_rows
     FROM rep LEFT JOIN capped USING (ticker)"""
+
+
+EPOCH = "2024-01-01"
+
+
+def scored_sql() -> str:
+    return f"""
+    SELECT upper(d.lang) AS ticker, CAST(DATE '{EPOCH}' + CAST(l.doc_id AS INTEGER) AS DATE) AS date,
+           CAST(l.quality AS INTEGER) AS label,
+           CAST(CAST(d.n_chars AS DOUBLE) / (SELECT max(d2.n_chars) FROM labels l2 JOIN documents d2
+                 ON l2.doc_id = d2.doc_id) > 0.5 AS INTEGER) AS prediction,
+           CAST(d.n_chars AS DOUBLE) / (SELECT CAST(max(d2.n_chars) AS DOUBLE) FROM labels l2
+                 JOIN documents d2 ON l2.doc_id = d2.doc_id) AS score
+    FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+
+def _rates(prefix: str = "") -> str:
+    return f"""
+           CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END AS accuracy,
+           CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+           CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+           CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1"""
+
+
+def confusion_sql(inner: str, group: str | None, label: str = "label", pred: str = "prediction") -> str:
+    sel = f"{group}, " if group else ""
+    grp = f"GROUP BY {group}" if group else ""
+    return f"""
+    SELECT *, {_rates()} FROM (
+      SELECT {sel}count(*) AS n,
+             count_if({label} = 0 AND {pred} = 0)::DOUBLE AS tn, count_if({label} = 0 AND {pred} = 1)::DOUBLE AS fp,
+             count_if({label} = 1 AND {pred} = 0)::DOUBLE AS fn, count_if({label} = 1 AND {pred} = 1)::DOUBLE AS tp
+      FROM ({inner}) s {grp}) c"""
+
+
+def auc_sql(inner: str, group: str | None) -> str:
+    part = f"PARTITION BY {group}" if group else ""
+    part2 = f"PARTITION BY {group}, score" if group else "PARTITION BY score"
+    sel = f"{group}, " if group else ""
+    grp = f"GROUP BY {group}" if group else ""
+    return f"""
+    SELECT {sel}(sum(CASE WHEN label = 1 THEN r END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
+           / (count_if(label = 1)::DOUBLE * count_if(label = 0)) AS roc_auc
+    FROM (SELECT *, rank() OVER ({part} ORDER BY score) + (count(*) OVER ({part2}) - 1) / 2.0 AS r
+          FROM ({inner}) s) ranked
+    {grp}"""
+
+
+def baseline_sql(inner: str, group: str | None, label: str = "label") -> str:
+    sel = f"{group}, " if group else ""
+    grp = f"GROUP BY {group}" if group else ""
+    return f"""
+    SELECT {sel}n, p AS accuracy, p AS precision, CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END AS recall,
+           CASE WHEN 1 + p = 0 THEN 0.0 ELSE 2 * p / (1 + p) END AS f1
+    FROM (SELECT {sel}count(*) AS n, avg(CAST({label} AS DOUBLE)) AS p FROM ({inner}) s {grp}) b"""
+
+
+def fairness_sql(inner: str, pair: tuple[str, str], min_rows: int, gap_limit: float) -> str:
+    a, b = pair
+    m = confusion_sql(f"SELECT * FROM ({inner}) x WHERE ticker IN ('{a}', '{b}')", "ticker")
+    cols = ", ".join(f"max(CASE WHEN ticker = '{t}' THEN {c} END) AS {c}_{t}"
+                     for t in pair for c in ("accuracy", "f1", "n"))
+    return f"""
+    SELECT *, abs(accuracy_{a} - accuracy_{b}) AS accuracy_gap, abs(accuracy_{a} - accuracy_{b}) > {gap_limit} AS gap_warning
+    FROM (SELECT {cols} FROM ({m}) m WHERE n >= {min_rows}) w"""
+
+
+def split_sql(inner: str, test_size: float, seed: int) -> str:
+    u = (f"CAST(('0x' || substr(md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '{seed}')), 1, 15))::BIGINT "
+         f"AS DOUBLE) / {float(16 ** 15)}")
+    return f"SELECT *, CASE WHEN {u} < {test_size} THEN 'test' ELSE 'train' END AS split FROM ({inner}) s"
