@@ -2,11 +2,9 @@
 
 Confusion counts, accuracy, precision, recall and F1 are one aggregate per
 group (partial aggregation map-side). ROC-AUC is the rank-sum statistic with
-ties at half weight, computed exactly without an un-partitioned window:
-scores are first collapsed to ``(group, bucket, score)`` counts (a hot score
-value becomes one row), buckets are equal-width slices of each group's score
-range, cross-bucket pairs come from bucket totals, and within-bucket pairs
-from a running count over ``partitionBy(group, bucket)``.
+ties at half weight, computed exactly without an un-partitioned window from
+the bucketed cumulative counts of ``operators.ecdf`` (a hot score value is
+one row; no group is sorted whole in one task).
 """
 
 from __future__ import annotations
@@ -15,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.numeric import safe_ratio
+from barlake.operators.ecdf import cumulative_counts
 
-AUC_BUCKETS = 4096
 
 
 def confusion_metrics(scored: DataFrame, group_cols: list[str] | None = None,
@@ -45,36 +43,24 @@ def with_rates(agg: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, group_cols: list[str] | None = None,
-            label: str = "label", score: str = "score", buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Exact ROC-AUC per group: P(score+ > score-) + 0.5 * P(score+ = score-)."""
+            label: str = "label", score: str = "score") -> DataFrame:
+    """Exact ROC-AUC per group: P(score+ > score-) + 0.5 * P(score+ = score-).
+
+    From cumulative counts per distinct score: each positive at score s pairs
+    with the negatives strictly below s (cum_neg - n_neg) and half of those at s.
+    """
     group_cols = group_cols or []
-    g = [F.col(c) for c in group_cols]
-    s = F.col(score)
-    if group_cols:
-        rng = scored.groupBy(*group_cols).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-        base = scored.join(rng, group_cols)
-    else:  # global range as scalar subqueries: no cross join
-        base = scored.withColumns({"_lo": scored.select(F.min(score)).scalar(),
-                                   "_hi": scored.select(F.max(score)).scalar()})
-    bucket = F.when(F.col("_hi") > F.col("_lo"),
-                    F.least(F.floor((s - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-                            F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    counts = base.select(*g, bucket.alias("_b"), s.alias("_s"), F.col(label).alias("_y")).groupBy(
-        *group_cols, "_b", "_s").agg(
-        F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") == 0).alias("_neg"))
-    # negatives strictly below, within the bucket (running count excluding the current score)
-    wb = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    within = counts.withColumn("_neg_below_in", F.coalesce(F.sum("_neg").over(wb), F.lit(0)))
-    per_bucket = within.groupBy(*group_cols, "_b").agg(
-        F.sum(F.col("_pos") * (F.col("_neg_below_in") + F.col("_neg") * 0.5)).alias("_pairs_in"),
-        F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    # negatives in lower buckets: running sum over the (small) bucket table of each group
-    wg = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_neg_lower", F.coalesce(F.sum("_neg").over(wg), F.lit(0)))
-    out = per_bucket.groupBy(*group_cols).agg(
-        F.sum(F.col("_pairs_in") + F.col("_pos") * F.col("_neg_lower")).alias("_pairs"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    return out.select(*group_cols, F.try_divide(F.col("_pairs"), F.col("_P") * F.col("_N")).alias("roc_auc"))
+    flags = scored.select(*group_cols, F.col(score).cast("double").alias("_s"),
+                          (F.col(label) == 1).alias("pos"), (F.col(label) == 0).alias("neg"))
+    if not group_cols:
+        flags = flags.withColumn("_all", F.lit(0))
+    keys = group_cols or ["_all"]
+    cum = cumulative_counts(flags, keys, "_s", ["pos", "neg"])
+    pairs = F.col("n_pos") * (F.col("cum_neg") - F.col("n_neg") + F.col("n_neg") * 0.5)
+    out = cum.groupBy(*keys).agg(F.sum(pairs).alias("_pairs"), F.first("tot_pos").alias("_P"),
+                                 F.first("tot_neg").alias("_N"))
+    return out.select(*group_cols, F.try_divide(F.col("_pairs"), (F.col("_P") * F.col("_N")).cast("double"))
+                      .alias("roc_auc"))
 
 
 def baseline_always_up(labels: DataFrame, group_cols: list[str] | None = None,

@@ -171,3 +171,74 @@ def q_split(spark, sf_dir):
     """M1 + G9/G24: hash-stratified 80/20 split of the feature table and class balance per side."""
     ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
     return spark_project(M.class_balance(random_split(ft, _T.test_size, _T.random_seed)), SPLIT_SPEC)
+
+
+# ------------------------------------------------------------------ drift
+from barlake.operators import drift as D  # noqa: E402
+from barlake.schemas import model_columns  # noqa: E402
+from barlake.sources.fixtures import prediction_log  # noqa: E402
+
+_MON = DEFAULT.monitoring
+KS_SPEC = [("ticker", "string"), ("feature", "string"), ("ordinal", "int"), ("n_ref", "long"),
+           ("n_rec", "long"), ("h", "long"), ("ks_statistic", "double")]
+FEATURE_COLS = model_columns([c for c, _ in FEATURES_SPEC])
+
+
+@register("ks_statistics", sql_project(sq.ks_sql(sq.features_sql("l_returnflag"), FEATURE_COLS,
+                                                 _MON.reference_fraction, _MON.drift_lookback_days,
+                                                 _MON.min_ks_values), KS_SPEC))
+def q_ks_statistics(spark, sf_dir):
+    """Two-sample KS statistic per (ticker, feature), first 70 % vs last 30 rows."""
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    return spark_project(D.ks_statistics(ft, _MON), KS_SPEC)
+
+
+@register("feature_drift", None)
+def q_feature_drift(spark, sf_dir):
+    """G20 with exact KS p-values (Python lattice-path DP per summary row): rows-only check."""
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    res = D.feature_drift(ft, _MON)
+    return res.select("ticker", "feature", F.round("ks_statistic", 4).alias("ks_statistic"),
+                      F.round("p_value", 4).alias("p_value"), "drifted")
+
+
+PD_SPEC = [("n_records", "long"), ("historical_up_pct", "double"), ("recent_up_pct", "double"),
+           ("shift", "double"), ("threshold", "double"), ("drifted", "bool"), ("reason", "string")]
+
+
+@register("prediction_drift", sql_project(sq.prediction_drift_sql(
+    _MON.drift_lookback_days, _MON.prediction_drift_threshold, _MON.min_log_rows), PD_SPEC))
+def q_prediction_drift(spark, sf_dir):
+    """UP share of the last min(30, n/3) log records vs the rest."""
+    return spark_project(D.prediction_drift(prediction_log(spark, sf_dir), _MON), PD_SPEC)
+
+
+RA_SPEC = [("ticker", "string"), ("date", "date"), ("prediction", "int"), ("label", "int"),
+           ("correct", "int"), ("rolling_accuracy", "double")]
+
+
+@register("rolling_accuracy", sql_project(sq.rolling_accuracy_sql(
+    _MON.rolling_accuracy_window, _MON.rolling_accuracy_min_periods), RA_SPEC))
+def q_rolling_accuracy(spark, sf_dir):
+    """J4 + W15: predictions joined to actuals, rolling share correct (30 rows, min 10)."""
+    s = scored_table(spark, sf_dir)
+    return spark_project(D.rolling_accuracy(s, s, _MON), RA_SPEC)
+
+
+@register("retrain_decision", None)
+def q_retrain(spark, sf_dir):
+    """Drift roll-up per ticker + log prediction drift + rolling accuracy of a
+    MACD-histogram sign rule against the target -> reasons and the retrain flag."""
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    res = D.feature_drift(ft, _MON)
+    rollup = D.drift_rollup(res, len(FEATURE_COLS))
+    rule = ft.select("ticker", "date", (F.col("macd_histogram") > 0).cast("int").alias("prediction"),
+                     F.col("target_direction").alias("label"))
+    acc = D.latest_value(D.rolling_accuracy(rule, rule, _MON), "rolling_accuracy")
+    pdrift = D.prediction_drift(prediction_log(spark, sf_dir), _MON)
+    dec = D.retrain_decision(rollup, pdrift, acc, _MON)
+    return rollup.join(dec, "ticker").select(
+        "ticker", "total_features", "tested_features", "n_drifted",
+        F.array_join("drifted_features", ",").alias("drifted_features"),
+        F.round("rolling_accuracy", 6).alias("rolling_accuracy"),
+        F.array_join("reasons", " | ").alias("reasons"), "retrain")

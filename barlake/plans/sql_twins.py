@@ -248,3 +248,59 @@ def split_sql(inner: str, test_size: float, seed: int) -> str:
     u = (f"CAST(('0x' || substr(md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '{seed}')), 1, 15))::BIGINT "
          f"AS DOUBLE) / {float(16 ** 15)}")
     return f"SELECT *, CASE WHEN {u} < {test_size} THEN 'test' ELSE 'train' END AS split FROM ({inner}) s"
+
+
+def ks_sql(inner: str, feature_cols: list[str], ref_fraction: float, lookback: int, min_values: int) -> str:
+    on = ", ".join(feature_cols)
+    ords = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(feature_cols))
+    return f"""
+    WITH f AS (SELECT * FROM ({inner}) x),
+    flagged AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn,
+                       count(*) OVER (PARTITION BY ticker) AS n FROM f),
+    flags AS (SELECT ticker, {on}, rn <= floor(n * {ref_fraction}) AS is_ref, rn > n - {lookback} AS is_rec
+              FROM flagged),
+    long AS (UNPIVOT flags ON {on} INTO NAME feature VALUE value),
+    cnt AS (SELECT ticker, feature, value, count_if(is_ref) AS c_ref, count_if(is_rec) AS c_rec
+            FROM long GROUP BY ticker, feature, value),
+    cum AS (SELECT *, sum(c_ref) OVER (PARTITION BY ticker, feature ORDER BY value) AS cum_ref,
+                      sum(c_rec) OVER (PARTITION BY ticker, feature ORDER BY value) AS cum_rec,
+                      sum(c_ref) OVER (PARTITION BY ticker, feature) AS n_ref,
+                      sum(c_rec) OVER (PARTITION BY ticker, feature) AS n_rec FROM cnt)
+    SELECT ticker, feature, CASE feature {ords} END AS ordinal, n_ref, n_rec, h,
+           CAST(h AS DOUBLE) / CAST(n_ref * n_rec AS DOUBLE) AS ks_statistic
+    FROM (SELECT ticker, feature, any_value(n_ref) AS n_ref, any_value(n_rec) AS n_rec,
+                 max(abs(cum_ref * n_rec - cum_rec * n_ref)) AS h FROM cum GROUP BY ticker, feature) s
+    WHERE n_ref >= {min_values} AND n_rec >= {min_values}"""
+
+
+def prediction_log_sql() -> str:
+    return """
+    SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, upper(event_type) AS ticker,
+           CAST(value > (SELECT quantile_cont(value, 0.5) FROM events) AS INTEGER) AS prediction,
+           0.5 + 0.5 * value / (SELECT max(value) FROM events) AS confidence, value AS latency_ms, event_id
+    FROM events"""
+
+
+def prediction_drift_sql(lookback: int, threshold: float, min_rows: int) -> str:
+    return f"""
+    WITH log AS ({prediction_log_sql()}),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY timestamp DESC, ticker DESC, event_id DESC) AS rk,
+                      count(*) OVER () AS n FROM log),
+    s AS (SELECT any_value(n) AS n,
+                 avg(CASE WHEN rk > least({lookback}, n // 3) THEN prediction END) AS hist,
+                 avg(CASE WHEN rk <= least({lookback}, n // 3) THEN prediction END) AS rec FROM ranked)
+    SELECT n AS n_records, CASE WHEN n >= {min_rows} THEN hist END AS historical_up_pct,
+           CASE WHEN n >= {min_rows} THEN rec END AS recent_up_pct,
+           CASE WHEN n >= {min_rows} THEN abs(rec - hist) END AS shift, {threshold} AS threshold,
+           coalesce(CASE WHEN n >= {min_rows} THEN abs(rec - hist) > {threshold} END, false) AS drifted,
+           CASE WHEN n < {min_rows} THEN 'Not enough predictions for drift check' END AS reason
+    FROM s"""
+
+
+def rolling_accuracy_sql(window: int, min_periods: int) -> str:
+    frame = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    return f"""
+    WITH s AS ({scored_sql()}),
+    j AS (SELECT p.ticker, p.date, p.prediction, a.label FROM s p JOIN s a ON p.ticker = a.ticker AND p.date = a.date)
+    SELECT *, CASE WHEN count(correct) {frame} >= {min_periods} THEN avg(correct) {frame} END AS rolling_accuracy
+    FROM (SELECT *, CAST(prediction = label AS INTEGER) AS correct FROM j) c"""
