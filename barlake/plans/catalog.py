@@ -242,3 +242,39 @@ def q_retrain(spark, sf_dir):
         F.array_join("drifted_features", ",").alias("drifted_features"),
         F.round("rolling_accuracy", 6).alias("rolling_accuracy"),
         F.array_join("reasons", " | ").alias("reasons"), "retrain")
+
+
+# ------------------------------------------------------------------ sentiment
+from barlake.operators import sentiment as S  # noqa: E402
+from barlake.sources.fixtures import headlines  # noqa: E402
+
+SENT_SPEC = [("ticker", "string"), ("sentiment_score", "double"), ("n_headlines", "long"),
+             ("sentiment_label", "string")]
+
+
+def _sent_label_sql() -> str:
+    return f"""SELECT *, CASE WHEN sentiment_score > 0.05 THEN 'positive' WHEN sentiment_score < -0.05
+               THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM ({sq.headline_sentiment_sql()}) s"""
+
+
+def _ticker_sentiment(spark, sf_dir):
+    return S.ticker_sentiment(headlines(spark, sf_dir), S.default_lexicon(spark))
+
+
+@register("headline_sentiment", sql_project(_sent_label_sql(), SENT_SPEC))
+def q_headline_sentiment(spark, sf_dir):
+    """Lexicon-rule polarity of every whole text, mean per ticker, label."""
+    s = _ticker_sentiment(spark, sf_dir)
+    return spark_project(s.withColumn("sentiment_label", S.sentiment_label(F.col("sentiment_score"))), SENT_SPEC)
+
+
+LS_FEATURES_SPEC = features_spec(DEFAULT)
+
+
+@register("features_with_sentiment", sql_project(
+    sq.features_sql("l_linestatus", DEFAULT, sq.headline_sentiment_sql()), LS_FEATURES_SPEC))
+def q_features_with_sentiment(spark, sf_dir):
+    """Feature table of the l_linestatus bars with the per-ticker headline score
+    joined on every row (neutral 0.0 where a ticker has no news)."""
+    bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
+    return spark_project(feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir)), LS_FEATURES_SPEC)

@@ -119,7 +119,7 @@ def preprocessed_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT) ->
       AND NOT isnan(log_return) AND NOT isnan(volume_normalised)"""
 
 
-def features_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT) -> str:
+def features_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT, sentiment: str | None = None) -> str:
     f = cfg.features
     a12, a26, a9 = (2.0 / (s + 1.0) for s in (f.macd_fast, f.macd_slow, f.macd_signal))
     w = "OVER (PARTITION BY ticker ORDER BY date)"
@@ -130,6 +130,11 @@ def features_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT) -> str
     sma = _roll("avg", '"Close"', bw)
     sd = _roll("stddev_samp", '"Close"', bw)
     lags = ", ".join(f"lag(log_return, {k}) {w} AS return_lag_{k}d" for k in f.lag_periods)
+    if sentiment is None:
+        sent_expr, sent_join = f"{f.sentiment_neutral_fill}::DOUBLE", ""
+    else:
+        sent_expr = f"coalesce(snt.sentiment_score, {f.sentiment_neutral_fill})::DOUBLE"
+        sent_join = f"LEFT JOIN ({sentiment}) snt USING (ticker)"
     return f"""
     WITH RECURSIVE pre AS ({preprocessed_sql(ticker_col, cfg)}),
     num AS (SELECT *, row_number() {w} AS rn FROM pre),
@@ -154,11 +159,11 @@ def features_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT) -> str
              {sma} - {f.bollinger_std} * {sd} AS bb_lower,
              {_roll("stddev_samp", "log_return", f.volatility_window)} AS volatility_{f.volatility_window}d,
              {_fdiv('"Volume"', _roll("avg", '"Volume"', f.volume_ratio_window))} AS volume_ratio,
-             {f.sentiment_neutral_fill}::DOUBLE AS sentiment_score,
+             {sent_expr} AS sentiment_score,
              {lags},
              CAST(coalesce(lead("Close", 1) {w} > "Close", false) AS INTEGER) AS target_direction,
              abs({_fdiv('"Close"', f'lag("Close", 1) {w}')} - 1) AS price_change_pct
-      FROM g)
+      FROM g {sent_join})
     SELECT * FROM (
       SELECT * REPLACE ({_fdiv('"Close" - bb_lower', 'bb_upper - bb_lower')} AS bb_position)
       FROM (SELECT *, NULL::DOUBLE AS bb_position FROM f) f2) f3
@@ -304,3 +309,40 @@ def rolling_accuracy_sql(window: int, min_periods: int) -> str:
     j AS (SELECT p.ticker, p.date, p.prediction, a.label FROM s p JOIN s a ON p.ticker = a.ticker AND p.date = a.date)
     SELECT *, CASE WHEN count(correct) {frame} >= {min_periods} THEN avg(correct) {frame} END AS rolling_accuracy
     FROM (SELECT *, CAST(prediction = label AS INTEGER) AS correct FROM j) c"""
+
+
+def headline_sentiment_sql() -> str:
+    from barlake.operators import sentiment as S
+
+    lex = ", ".join(f"('{t}', {v})" for t, v in S.DEFAULT_LEXICON)
+    negs = ", ".join(f"'{w}'" for w in S.NEGATIONS)
+    ups = ", ".join(f"'{w}'" for w in S.BOOSTERS_UP)
+    downs = ", ".join(f"'{w}'" for w in S.BOOSTERS_DOWN)
+    w = "OVER (PARTITION BY doc_id ORDER BY pos)"
+
+    def step(d: int) -> str:
+        dec = S.DISTANCE_DECAY[d - 1]
+        return (f"CASE WHEN p{d} IN ({ups}) AND NOT w{d} THEN {S.BOOST_INCR * dec} "
+                f"WHEN p{d} IN ({downs}) AND NOT w{d} THEN {S.BOOST_DECR * dec} ELSE 0.0 END")
+
+    def fold(prev: str, d: int) -> str:
+        boosted = f"({prev} + ({step(d)}) * sign({prev}))"
+        return f"CASE WHEN coalesce(p{d} IN ({negs}), false) THEN {boosted} * {S.NEGATION_SCALAR} ELSE {boosted} END"
+
+    return f"""
+    WITH lex(token, valence) AS (VALUES {lex}),
+    h AS (SELECT upper(substr(lang, 1, 1)) AS ticker, doc_id, text AS title FROM documents),
+    t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}]+'), lambda x: x <> '') AS arr FROM h),
+    u AS (SELECT doc_id, unnest(arr) AS tok, generate_subscripts(arr, 1) AS pos FROM t),
+    n AS (SELECT u.doc_id, u.pos, coalesce(lex.valence, 0.0) AS base,
+                 lag(tok, 1) {w} AS p1, lag(tok, 2) {w} AS p2, lag(tok, 3) {w} AS p3 FROM u LEFT JOIN lex ON u.tok = lex.token),
+    nw AS (SELECT n.*, coalesce(p1 IN (SELECT token FROM lex), false) AS w1,
+                  coalesce(p2 IN (SELECT token FROM lex), false) AS w2,
+                  coalesce(p3 IN (SELECT token FROM lex), false) AS w3 FROM n),
+    v1 AS (SELECT *, {fold('base', 1)} AS v1 FROM nw),
+    v2 AS (SELECT *, {fold('v1', 2)} AS v2 FROM v1),
+    v3 AS (SELECT *, CASE WHEN base = 0 THEN 0.0 ELSE {fold('v2', 3)} END AS v FROM v2),
+    per_doc AS (SELECT h.ticker, h.doc_id, coalesce(sum(v3.v), 0.0) AS s FROM h LEFT JOIN v3 USING (doc_id)
+                GROUP BY h.ticker, h.doc_id)
+    SELECT ticker, avg(s / sqrt(s * s + {S.NORMALIZE_ALPHA})) AS sentiment_score, count(*) AS n_headlines
+    FROM per_doc GROUP BY ticker"""

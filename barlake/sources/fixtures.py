@@ -52,9 +52,10 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, doc_id, title): ticker = upper(lang); the whole text is the headline."""
+    """(ticker, doc_id, title): ticker = upper of the first letter of lang (so French
+    news lands on bar ticker F); the whole text is the headline."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return docs.select(F.upper("lang").alias("ticker"), "doc_id", F.col("text").alias("title"))
+    return docs.select(F.upper(F.substring("lang", 1, 1)).alias("ticker"), "doc_id", F.col("text").alias("title"))
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
