@@ -278,3 +278,82 @@ def q_features_with_sentiment(spark, sf_dir):
     joined on every row (neutral 0.0 where a ticker has no news)."""
     bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
     return spark_project(feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir)), LS_FEATURES_SPEC)
+
+
+# ------------------------------------------------------------------ reports
+from barlake.operators import report as RP  # noqa: E402
+from barlake.operators.indicators import display_indicators  # noqa: E402
+from barlake.sources.bars import lookback  # noqa: E402
+from barlake.sources.fixtures import fundamentals  # noqa: E402
+
+FUND_API_SPEC = [("ticker", "string"), ("found", "bool"), ("pe_ratio", "double"), ("eps", "double"),
+                 ("market_cap", "string"), ("profit_margin", "double"), ("revenue_growth", "double"),
+                 ("fifty_two_week_high", "double"), ("fifty_two_week_low", "double")]
+
+
+@register("fundamentals_api", sql_project(sq.fundamentals_api_sql(), FUND_API_SPEC))
+def q_fundamentals_api(spark, sf_dir):
+    """Fundamentals per ticker with market-cap text; found = price present."""
+    rec = RP.fundamentals_record(fundamentals(spark, sf_dir))
+    return spark_project(rec.select("ticker", "found", "fundamentals.*"), FUND_API_SPEC)
+
+
+FUND_DASH_SPEC = [("ticker", "string")] + [(c, "string") for c in (
+    "pe_ratio", "eps", "market_cap", "profit_margin", "revenue_growth", "high_52w", "low_52w", "avg_volume")]
+
+
+@register("fundamentals_dashboard", sql_project(sq.fundamentals_dashboard_sql(), FUND_DASH_SPEC))
+def q_fundamentals_dashboard(spark, sf_dir):
+    """Dashboard number texts."""
+    return spark_project(RP.dashboard_text(fundamentals(spark, sf_dir)), FUND_DASH_SPEC)
+
+
+LVP_SPEC = [("ticker", "string"), ("date", "date"), ("latest_close", "double"), ("previous_close", "double"),
+            ("change", "double"), ("change_pct", "double")]
+
+
+@register("latest_vs_previous", sql_project(sq.latest_vs_previous_sql(), LVP_SPEC))
+def q_latest_vs_previous(spark, sf_dir):
+    """Latest vs previous close per ticker (group-limited window, top 2)."""
+    return spark_project(RP.latest_vs_previous(bars_from_lineitem(spark, sf_dir, "l_linestatus")), LVP_SPEC)
+
+
+SIG_SPEC = [("ticker", "string"), ("date", "date"), ("rsi_14", "double"), ("macd", "ema"),
+            ("macd_signal", "ema"), ("bollinger_position", "string"), ("volume_ratio", "double"),
+            ("volatility_20d", "double"), ("sentiment_score", "double")]
+
+
+@register("latest_signals", sql_project(sq.latest_signals_sql(), SIG_SPEC))
+def q_latest_signals(spark, sf_dir):
+    """Signals of each ticker's latest feature row (with headline sentiment)."""
+    bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
+    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir))
+    return spark_project(RP.signals(ft).select("ticker", "date", "signals.*", "sentiment_score"), SIG_SPEC)
+
+
+KPI_SPEC = [("total_requests", "long"), ("up_pct", "double"), ("avg_confidence_pct", "double")]
+
+
+@register("log_kpis", sql_project(sq.log_kpis_sql(), KPI_SPEC))
+def q_log_kpis(spark, sf_dir):
+    """Requests, UP share and mean confidence of the prediction log."""
+    return spark_project(RP.log_kpis(prediction_log(spark, sf_dir)), KPI_SPEC)
+
+
+@register("prediction_histogram", sql_project(sq.prediction_histogram_sql(), [("prediction", "int"), ("n", "long")]))
+def q_prediction_histogram(spark, sf_dir):
+    """Prediction counts per class (only when the log has more than 5 rows)."""
+    return spark_project(RP.prediction_histogram(prediction_log(spark, sf_dir)), [("prediction", "int"), ("n", "long")])
+
+
+DISP_SPEC = [("ticker", "string"), ("date", "date"), ("Open", "double"), ("Close", "double"),
+             ("macd", "ema"), ("macd_signal", "ema"), ("macd_histogram", "ema"), ("rsi_14", "double"),
+             ("bb_upper", "double"), ("bb_middle", "double"), ("bb_lower", "double"), ("is_up", "bool"),
+             ("hist_pos", "bool"), ("rsi_zone", "string")]
+
+
+@register("display_indicators", sql_project(sq.display_indicators_sql("l_linestatus", 12), DISP_SPEC))
+def q_display(spark, sf_dir):
+    """S7 + W20 + X10/X11: one-year look-back of raw bars with the display indicator set."""
+    bars = lookback(bars_from_lineitem(spark, sf_dir, "l_linestatus").repartition("ticker"), "1y")
+    return spark_project(display_indicators(bars), DISP_SPEC)

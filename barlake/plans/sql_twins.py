@@ -346,3 +346,120 @@ def headline_sentiment_sql() -> str:
                 GROUP BY h.ticker, h.doc_id)
     SELECT ticker, avg(s / sqrt(s * s + {S.NORMALIZE_ALPHA})) AS sentiment_score, count(*) AS n_headlines
     FROM per_doc GROUP BY ticker"""
+
+
+def fundamentals_fixture_sql() -> str:
+    return """
+    SELECT translate(lpad(CAST(s_suppkey AS VARCHAR), 5, '0'), '0123456789', 'ABCDEFGHIJ') AS ticker,
+           s_acctbal / 100.0 AS "trailingPE", s_acctbal / 1000.0 AS "trailingEps",
+           CASE WHEN s_suppkey % 7 = 0 THEN 0.0 ELSE abs(s_acctbal) *
+                (CASE WHEN s_nationkey % 3 = 0 THEN 1e9 WHEN s_nationkey % 3 = 1 THEN 1e6 ELSE 1e12 END) / 1000.0
+           END AS "marketCap",
+           s_acctbal / 10000.0 AS "profitMargins", s_acctbal / 20000.0 AS "revenueGrowth",
+           abs(s_acctbal) / 10.0 + 1 AS "fiftyTwoWeekHigh", abs(s_acctbal) / 20.0 AS "fiftyTwoWeekLow",
+           abs(s_acctbal) * 1000.0 AS "averageVolume",
+           CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE abs(s_acctbal) / 15.0 END AS "regularMarketPrice"
+    FROM supplier"""
+
+
+def _cap(c: str, na_zero: bool) -> str:
+    na = f"WHEN {c} IS NULL OR {c} = 0 THEN 'N/A'" if na_zero else f"WHEN {c} IS NULL THEN 'N/A'"
+    return (f"CASE {na} WHEN {c} >= 1e12 THEN printf('$%.2fT', round({c} / 1e12, 2)) "
+            f"WHEN {c} >= 1e9 THEN printf('$%.2fB', round({c} / 1e9, 2)) "
+            f"ELSE printf('$%.0fM', round({c} / 1e6, 0)) END")
+
+
+def fundamentals_api_sql() -> str:
+    return f"""
+    SELECT ticker, "regularMarketPrice" IS NOT NULL AS found, "trailingPE" AS pe_ratio, "trailingEps" AS eps,
+           {_cap('"marketCap"', True)} AS market_cap, "profitMargins" AS profit_margin,
+           "revenueGrowth" AS revenue_growth, "fiftyTwoWeekHigh" AS fifty_two_week_high,
+           "fiftyTwoWeekLow" AS fifty_two_week_low
+    FROM ({fundamentals_fixture_sql()}) f"""
+
+
+def fundamentals_dashboard_sql() -> str:
+    def num(c):
+        return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', round({c}, 2)) END"
+
+    def pct(c):
+        return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.1f%%', round({c} * 100, 1)) END"
+
+    return f"""
+    SELECT ticker, {num('"trailingPE"')} AS pe_ratio, {num('"trailingEps"')} AS eps,
+           {_cap('"marketCap"', False)} AS market_cap, {pct('"profitMargins"')} AS profit_margin,
+           {pct('"revenueGrowth"')} AS revenue_growth, {num('"fiftyTwoWeekHigh"')} AS high_52w,
+           {num('"fiftyTwoWeekLow"')} AS low_52w,
+           CASE WHEN "averageVolume" IS NULL THEN 'N/A' ELSE printf('%.1fM', round("averageVolume" / 1e6, 1)) END
+             AS avg_volume
+    FROM ({fundamentals_fixture_sql()}) f"""
+
+
+def latest_vs_previous_sql(ticker_col: str = "l_linestatus") -> str:
+    return f"""
+    WITH r AS (SELECT ticker, date, "Close", row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn
+               FROM ({bars_sql(ticker_col)}) b),
+    a AS (SELECT ticker, max(CASE WHEN rn = 1 THEN date END) AS date,
+                 max(CASE WHEN rn = 1 THEN "Close" END) AS latest_close,
+                 coalesce(max(CASE WHEN rn = 2 THEN "Close" END), max(CASE WHEN rn = 1 THEN "Close" END)) AS previous_close
+          FROM r WHERE rn <= 2 GROUP BY ticker)
+    SELECT *, latest_close - previous_close AS change,
+           {_fdiv('latest_close - previous_close', 'previous_close')} * 100 AS change_pct FROM a"""
+
+
+def latest_signals_sql() -> str:
+    inner = features_sql("l_linestatus", DEFAULT, headline_sentiment_sql())
+    return f"""
+    SELECT ticker, date, round(coalesce(rsi_14, 0.0), 2) AS rsi_14, round(coalesce(macd, 0.0), 4) AS macd,
+           round(coalesce(macd_signal, 0.0), 4) AS macd_signal,
+           CASE WHEN coalesce(bb_position, 0.5) > 0.8 THEN 'upper' WHEN coalesce(bb_position, 0.5) < 0.2 THEN 'lower'
+                ELSE 'middle' END AS bollinger_position,
+           round(coalesce(volume_ratio, 1.0), 4) AS volume_ratio,
+           round(coalesce(volatility_20d, 0.0), 6) AS volatility_20d,
+           round(coalesce(sentiment_score, 0.0), 4) AS sentiment_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM ({inner}) f) x
+    WHERE rn = 1"""
+
+
+def log_kpis_sql() -> str:
+    return f"""
+    SELECT count(*) AS total_requests, avg(CAST(prediction AS DOUBLE)) * 100 AS up_pct,
+           avg(confidence) * 100 AS avg_confidence_pct FROM ({prediction_log_sql()}) l"""
+
+
+def prediction_histogram_sql(min_rows: int = 5) -> str:
+    return f"""
+    SELECT prediction, count(*) AS n FROM ({prediction_log_sql()}) l GROUP BY prediction
+    HAVING (SELECT count(*) FROM ({prediction_log_sql()}) l2) > {min_rows}"""
+
+
+def display_indicators_sql(ticker_col: str = "l_linestatus", months: int = 12, cfg: Config = DEFAULT) -> str:
+    f = cfg.features
+    a12, a26, a9 = (2.0 / (s + 1.0) for s in (f.macd_fast, f.macd_slow, f.macd_signal))
+    w = "OVER (PARTITION BY ticker ORDER BY date)"
+    delta = f'("Close" - lag("Close", 1) {w})'
+    ag, al = _roll("avg", "gain", f.rsi_period), _roll("avg", "loss", f.rsi_period)
+    sma, sd = _roll("avg", '"Close"', f.bollinger_window), _roll("stddev_samp", '"Close"', f.bollinger_window)
+    return f"""
+    WITH RECURSIVE b AS ({bars_sql(ticker_col)}),
+    lb AS (SELECT * FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS mx FROM b) x
+           WHERE date >= CAST(mx - INTERVAL {months} MONTH AS DATE)),
+    num AS (SELECT *, row_number() {w} AS rn FROM lb),
+    ema(ticker, rn, e_fast, e_slow, sig) AS (
+      SELECT ticker, rn, "Close", "Close", 0.0::DOUBLE FROM num WHERE rn = 1
+      UNION ALL
+      SELECT n.ticker, n.rn, {a12} * n."Close" + (1 - {a12}) * e.e_fast, {a26} * n."Close" + (1 - {a26}) * e.e_slow,
+             {a9} * (({a12} * n."Close" + (1 - {a12}) * e.e_fast) - ({a26} * n."Close" + (1 - {a26}) * e.e_slow))
+               + (1 - {a9}) * e.sig
+      FROM ema e JOIN num n ON n.ticker = e.ticker AND n.rn = e.rn + 1),
+    g AS (SELECT num.*, e_fast - e_slow AS macd, sig AS macd_signal,
+                 CASE WHEN {delta} > 0 THEN {delta} ELSE 0.0 END AS gain,
+                 CASE WHEN {delta} < 0 THEN -{delta} ELSE 0.0 END AS loss
+          FROM num JOIN ema USING (ticker, rn)),
+    d AS (SELECT ticker, date, "Open", "Close", macd, macd_signal, macd - macd_signal AS macd_histogram,
+                 CASE WHEN {al} = 0 THEN 0.0 ELSE 100.0 - 100.0 / (1.0 + {ag} / {al}) END AS rsi_14,
+                 {sma} + {f.bollinger_std} * {sd} AS bb_upper, {sma} AS bb_middle,
+                 {sma} - {f.bollinger_std} * {sd} AS bb_lower FROM g)
+    SELECT *, "Close" >= "Open" AS is_up, coalesce(macd_histogram, 0.0) >= 0 AS hist_pos,
+           CASE WHEN rsi_14 > 70 THEN 'overbought' WHEN rsi_14 < 30 THEN 'oversold' ELSE 'neutral' END AS rsi_zone
+    FROM d"""
