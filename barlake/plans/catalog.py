@@ -357,3 +357,62 @@ def q_display(spark, sf_dir):
     """S7 + W20 + X10/X11: one-year look-back of raw bars with the display indicator set."""
     bars = lookback(bars_from_lineitem(spark, sf_dir, "l_linestatus").repartition("ticker"), "1y")
     return spark_project(display_indicators(bars), DISP_SPEC)
+
+
+# ------------------------------------------------------------------ models
+from barlake.operators import classifiers as C  # noqa: E402
+from barlake.operators import iforest as IF  # noqa: E402
+
+
+def _split_features(spark, sf_dir):
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    return random_split(ft, _T.test_size, _T.random_seed)
+
+
+@register("train_evaluate", None)
+def q_train_evaluate(spark, sf_dir):
+    """Fit RandomForest, boosted trees and
+    logistic regression on the hash split; one metrics row per model (+ naive baseline)."""
+    split = _split_features(spark, sf_dir)
+    runs, _ = C.train_evaluate(split, _T)
+    base = M.baseline_always_up(split.where(F.col("split") == "test"), label=_T.target_column)
+    out = C.summary(runs, base.select("f1").scalar())
+    return out.select("model", "n_train", "n_test", "tn", "fp", "fn", "tp",
+                      *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")],
+                      "beats_baseline", "best_model")
+
+
+def _anomaly_scored(spark, sf_dir):
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    return IF.fit_predict(ft, n_trees=_T.iforest_n_estimators, contamination=_T.iforest_contamination,
+                          seed=_T.iforest_random_state)[0]
+
+
+@register("anomaly_summary", None)
+def q_anomaly_summary(spark, sf_dir):
+    """Isolation forest on (volume_ratio, price_change_pct) of the pooled table."""
+    return IF.anomaly_summary(_anomaly_scored(spark, sf_dir))
+
+
+@register("anomalies_top", None)
+def q_anomalies_top(spark, sf_dir):
+    """Newest 20 anomalies per ticker and the total per ticker."""
+    return RP.anomalies_top(_anomaly_scored(spark, sf_dir), 20)
+
+
+@register("analysis_report", None)
+def q_analysis(spark, sf_dir):
+    """One analysis row per ticker from the latest features, the preferred
+    available classifier (here logistic regression is the one trained), the anomaly flag
+    of the latest row, signals, sentiment and fundamentals."""
+    bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
+    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir))
+    split = random_split(ft, _T.test_size, _T.random_seed)
+    _, models = C.train_evaluate(split, _T, names=["LogisticRegression"])
+    preds = C.score_latest(ft, models)
+    scored, _ = IF.fit_predict(ft, n_trees=_T.iforest_n_estimators, contamination=_T.iforest_contamination,
+                               seed=_T.iforest_random_state)
+    flag = RP.latest_row(scored).select("ticker", (F.col("anomaly") == -1).alias("anomaly_flag"))
+    rec = RP.analysis_record(ft, preds, flag, fundamentals(spark, sf_dir))
+    return rec.select("ticker", "direction_prediction", "confidence", "anomaly_flag", "sentiment_score",
+                      "signals.*", F.col("fundamentals.market_cap").alias("market_cap"), "model_used")

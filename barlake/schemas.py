@@ -20,7 +20,7 @@ EXCLUDE_FROM_MODEL = [
 ]
 
 # Bookkeeping columns of ours that are never model inputs either.
-INTERNAL_COLS = {"date", "run_date"}
+INTERNAL_COLS = {"date", "run_date", "split", "anomaly", "anomaly_score"}
 
 
 def model_columns(columns: list[str]) -> list[str]:
