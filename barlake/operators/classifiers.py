@@ -157,3 +157,23 @@ def score_latest(features: DataFrame, models: dict[str, PipelineModel]) -> DataF
 def importances_table(runs: DataFrame) -> DataFrame:
     """Feature importances as rows (M9)."""
     return runs.select("model", F.explode("importances").alias("feature", "importance"))
+
+
+def display_name(name) -> F.Column:
+    """Model display name: 'LogisticRegression' -> 'Logistic Regression' etc.."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.replace(F.replace(c, F.lit("RandomForest"), F.lit("Random Forest")),
+                     F.lit("LogisticRegression"), F.lit("Logistic Regression"))
+
+
+def side_by_side(rows: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+    """Every model's prediction and confidence for the same rows, as
+    ``pred_<model>`` / ``conf_<model>`` columns (J8): one transform per model, chained."""
+    out = rows
+    for name in MODEL_PREFERENCE:
+        if name not in models:
+            continue
+        scored = score(models[name], out)
+        out = scored.select(*out.columns, F.col("prediction").alias(f"pred_{name}"),
+                            F.col("confidence").alias(f"conf_{name}"))
+    return out

@@ -89,7 +89,13 @@ def compound_score(toks: Column, lex: Column) -> Column:
 
         return F.when(base == 0, F.lit(0.0)).otherwise(F.aggregate(F.array(*steps), base, apply))
 
-    s = F.aggregate(F.transform(toks, valence), F.lit(0.0), lambda acc, x: acc + x)
+    # only lexicon hits carry valence: find them with one map probe per token, then run
+    # the look-back rules at those positions only
+    hits = F.filter(F.sequence(F.lit(0), F.size(toks) - 1),
+                    lambda i: F.map_contains_key(lex, F.element_at(toks, i + 1)))
+    hits = F.when(F.size(toks) > 0, hits).otherwise(F.array().cast("array<int>"))
+    vals = F.transform(hits, lambda i: valence(F.element_at(toks, i + 1), i))
+    s = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
     return s / F.sqrt(s * s + F.lit(NORMALIZE_ALPHA))
 
 
