@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barlake.config import DataConfig
 from barlake.functions.calendar import weekday_sequence
 from barlake.functions.numeric import fdiv, flog
-from barlake.functions.windows import rolling_mean, series, whole
+from barlake.functions.windows import RollingSet, series, whole
 from barlake.schemas import VALUE_COLS
 
 
@@ -28,9 +28,8 @@ def densify(bars: DataFrame, value_cols: list[str] | None = None) -> DataFrame:
     """Reindex onto the business-day calendar between each ticker's first and
     last bar (J1): adds missing weekdays as empty rows and drops weekend bars."""
     value_cols = value_cols or [c for c in VALUE_COLS if c in bars.columns]
-    nxt = F.lead("date").over(series())
-    spans = bars.withColumn(
-        "_days", weekday_sequence(F.col("date"), F.coalesce(F.date_sub(nxt, 1), F.col("date")))
+    spans = bars.withColumn("_next", F.lead("date").over(series())).withColumn(
+        "_days", weekday_sequence(F.col("date"), F.coalesce(F.date_sub(F.col("_next"), 1), F.col("date")))
     )
     exploded = spans.select("*", F.explode("_days").alias("_d"))
     own = F.col("_d") == F.col("date")
@@ -94,11 +93,14 @@ def clean(bars: DataFrame, cfg: DataConfig = DataConfig()) -> DataFrame:
 
 def preprocess(cleaned: DataFrame, cfg: DataConfig = DataConfig()) -> DataFrame:
     """Log return (W1) and 20-row normalised volume (W2), then drop warm-up rows."""
-    prev_close = F.lag(_c("Close"), 1).over(series())
-    out = cleaned.withColumns({
-        "log_return": flog(fdiv(_c("Close"), prev_close)),
-        "volume_normalised": fdiv(_c("Volume"), rolling_mean(_c("Volume"), cfg.volume_norm_window)),
-    })
+    # window values once as columns, then plain arithmetic on them
+    rs = RollingSet()
+    vol_mean = rs.get("vol", "avg", _c("Volume"), cfg.volume_norm_window)
+    staged = cleaned.withColumns({"_prev_close": F.lag(_c("Close"), 1).over(series()), **rs.columns()})
+    out = staged.withColumns({
+        "log_return": flog(fdiv(_c("Close"), F.col("_prev_close"))),
+        "volume_normalised": fdiv(_c("Volume"), vol_mean),
+    }).drop("_prev_close", *rs.names())
     return out.na.drop(how="any")
 
 

@@ -35,12 +35,13 @@ def sample_flags(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
                  key: str = "ticker", order: str = "date") -> DataFrame:
     """Adds ``is_ref`` (first int(n * 0.7) rows) and ``is_rec`` (last 30 rows) per ticker."""
     w = Window.partitionBy(key).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    rn = F.row_number().over(w)
-    return features.withColumns({
+    staged = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
+                                   "_rn": F.row_number().over(w)})
+    n, rn = F.col("_n"), F.col("_rn")
+    return staged.withColumns({
         "is_ref": rn <= F.floor(n.cast("double") * F.lit(cfg.reference_fraction)),
         "is_rec": rn > n - F.lit(cfg.drift_lookback_days),
-    })
+    }).drop("_n", "_rn")
 
 
 def ks_statistics(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barlake.config import FeatureConfig
 from barlake.functions.numeric import fdiv
-from barlake.functions.windows import rolling_mean, rolling_std, series
+from barlake.functions.windows import RollingSet, rolling_mean, rolling_std, series
 from barlake.operators.ema import add_emas
 
 
@@ -123,6 +123,43 @@ def feature_names(cfg: FeatureConfig = FeatureConfig()) -> list[str]:
     return names
 
 
+def _staged_indicators(df: DataFrame, cfg: FeatureConfig, with_series_features: bool = True) -> DataFrame:
+    """RSI, Bollinger, volatility, volume ratio, lags, target and price change in
+    three projections: offset windows, then each distinct rolling aggregate once,
+    then plain arithmetic on those columns (no window expression is repeated)."""
+    w = series()
+    offsets = {"_prev": F.lag(_c("Close"), 1).over(w)}
+    if with_series_features:
+        offsets["_next"] = F.lead(_c("Close"), 1).over(w)
+        offsets.update(lag_exprs(cfg.lag_periods))
+    df = df.withColumns(offsets)
+    delta = _c("Close") - F.col("_prev")
+    rs = RollingSet()
+    ag = rs.get("gain", "avg", F.when(delta > 0, delta).otherwise(F.lit(0.0)), cfg.rsi_period)
+    al = rs.get("loss", "avg", F.when(delta < 0, -delta).otherwise(F.lit(0.0)), cfg.rsi_period)
+    sma = rs.get("close", "avg", _c("Close"), cfg.bollinger_window)
+    std = rs.get("close", "std", _c("Close"), cfg.bollinger_window)
+    derived = {f"rsi_{cfg.rsi_period}": F.when(al == 0, F.lit(0.0)).otherwise(
+        F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ag / al))}
+    upper = sma + F.lit(cfg.bollinger_std) * std
+    lower = sma - F.lit(cfg.bollinger_std) * std
+    derived.update({"bb_upper": upper, "bb_middle": sma, "bb_lower": lower})
+    if with_series_features:
+        vol = rs.get("logret", "std", F.col("log_return"), cfg.volatility_window)
+        vmean = rs.get("volume", "avg", _c("Volume"), cfg.volume_ratio_window)
+        derived.update({
+            f"volatility_{cfg.volatility_window}d": vol,
+            "volume_ratio": fdiv(_c("Volume"), vmean),
+            "target_direction": F.coalesce(F.col("_next") > _c("Close"), F.lit(False)).cast("int"),
+            "price_change_pct": F.abs(fdiv(_c("Close"), F.col("_prev")) - F.lit(1.0)),
+        })
+    df = df.withColumns(rs.columns()).withColumns(derived)
+    if with_series_features:
+        df = df.withColumn("bb_position", fdiv(_c("Close") - F.col("bb_lower"),
+                                               F.col("bb_upper") - F.col("bb_lower")))
+    return df.drop("_prev", "_next", *rs.names())
+
+
 def engineer_features(pre: DataFrame, cfg: FeatureConfig = FeatureConfig(),
                       sentiment: DataFrame | None = None) -> DataFrame:
     """Feature table: preprocessed bars + 15 features + target, warm-up rows dropped."""
@@ -130,17 +167,8 @@ def engineer_features(pre: DataFrame, cfg: FeatureConfig = FeatureConfig(),
     df = add_emas(pre, [("_ema_fast", _c("Close"), cfg.macd_fast), ("_ema_slow", _c("Close"), cfg.macd_slow)])
     df = df.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow"))
     df = add_emas(df, [("macd_signal", F.col("macd"), cfg.macd_signal)])
-    exprs = {
-        f"rsi_{cfg.rsi_period}": rsi_expr(cfg.rsi_period),
-        "macd_histogram": F.col("macd") - F.col("macd_signal"),
-        **bollinger_exprs(cfg.bollinger_window, cfg.bollinger_std),
-        f"volatility_{cfg.volatility_window}d": volatility_expr(cfg.volatility_window),
-        "volume_ratio": volume_ratio_expr(cfg.volume_ratio_window),
-        **lag_exprs(cfg.lag_periods),
-        "target_direction": target_expr(),
-        "price_change_pct": price_change_expr(),
-    }
-    df = df.withColumns(exprs)
+    df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    df = _staged_indicators(df, cfg)
     df = add_sentiment(df, sentiment, cfg.sentiment_neutral_fill)
     return df.select(*[F.col(f"`{c}`") for c in base + feature_names(cfg)]).na.drop(how="any")
 
@@ -151,11 +179,9 @@ def display_indicators(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) ->
     Adds candle colour, histogram sign (missing as 0) and RSI zone (X10, X11).
     """
     df = add_macd(bars, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal)
-    rsi = rsi_expr(cfg.rsi_period)
-    bb = bollinger_exprs(cfg.bollinger_window, cfg.bollinger_std)
+    df = _staged_indicators(df, cfg, with_series_features=False)
+    rsi = F.col(f"rsi_{cfg.rsi_period}")
     return df.withColumns({
-        f"rsi_{cfg.rsi_period}": rsi,
-        "bb_upper": bb["bb_upper"], "bb_middle": bb["bb_middle"], "bb_lower": bb["bb_lower"],
         "is_up": _c("Close") >= _c("Open"),
         "hist_pos": F.coalesce(F.col("macd_histogram"), F.lit(0.0)) >= 0,
         "rsi_zone": F.when(rsi > 70, "overbought").when(rsi < 30, "oversold").otherwise("neutral"),
