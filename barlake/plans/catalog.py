@@ -416,3 +416,68 @@ def q_analysis(spark, sf_dir):
     rec = RP.analysis_record(ft, preds, flag, fundamentals(spark, sf_dir))
     return rec.select("ticker", "direction_prediction", "confidence", "anomaly_flag", "sentiment_score",
                       "signals.*", F.col("fundamentals.market_cap").alias("market_cap"), "model_used")
+
+
+# ------------------------------------------------------------------ calendar, summary, metadata
+from barlake.operators.cleaning import sparse_summary  # noqa: E402
+from barlake.operators.quality import missing_days, run_metadata  # noqa: E402
+from barlake.sources.bars import bars_from_events  # noqa: E402
+
+
+@register("missing_days", sql_project(sq.missing_days_sql("l_returnflag"), [("ticker", "string"), ("date", "date")]))
+def q_missing_days(spark, sf_dir):
+    """Each missing trading day as a row (calendar left_anti bars)."""
+    return spark_project(missing_days(bars_from_lineitem(spark, sf_dir, "l_returnflag")),
+                         [("ticker", "string"), ("date", "date")])
+
+
+SUMMARY_SPEC = [("ticker", "string"), ("status", "string"), ("cleaned_rows", "long"), ("feature_rows", "long")]
+
+
+@register("job_summary", sql_project(sq.job_summary_sql(), SUMMARY_SPEC))
+def q_job_summary(spark, sf_dir):
+    """OK / DROPPED / FAILED per requested ticker with cleaned and feature row counts.
+
+    Requested tickers are every line status and return flag; both bar families
+    are built in one plan (union), so one ticker exchange serves all five."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    requested = (li.select(F.col("l_returnflag").alias("ticker"))
+                 .union(li.select(F.col("l_linestatus").alias("ticker"))).distinct())
+    bars = bars_from_lineitem(spark, sf_dir, "l_returnflag").unionByName(
+        bars_from_lineitem(spark, sf_dir, "l_linestatus"))
+    rep = clean_report(bars)
+    counts = feature_table(bars).groupBy("ticker").agg(F.count(F.lit(1)).alias("feature_rows"))
+    out = sparse_summary(rep, requested).join(counts, "ticker", "left").withColumn(
+        "feature_rows", F.coalesce("feature_rows", F.lit(0)))
+    return spark_project(out, SUMMARY_SPEC)
+
+
+META_COLS = ["Open", "High", "Low", "Close", "Adj Close", "Volume", "log_return", "volume_normalised"]
+META_SPEC = [("ticker", "string"), ("row_count", "long"), ("columns", "string")] + [
+    (f"nulls_{c}", "long") for c in META_COLS] + [("validation_issues", "string")]
+
+
+@register("run_metadata", sql_project(sq.run_metadata_sql("l_linestatus"), META_SPEC))
+def q_run_metadata(spark, sf_dir):
+    """Run metadata of the preprocessed table (row count, columns, null counts,
+    validation issues), flattened for comparison."""
+    bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
+    meta = run_metadata(preprocessed_bars(bars), validate(bars), "1995-01-01", "2002-01-01")
+    out = meta.select("ticker", "row_count", F.array_join("columns", ",").alias("columns"),
+                      *[F.col("null_counts")[c].alias(f"nulls_{c}") for c in META_COLS],
+                      F.array_join("validation_issues", " | ").alias("validation_issues"))
+    return spark_project(out, META_SPEC)
+
+
+HOURLY_SPEC = [("ticker", "string"), ("bucket", "string"), ("Open", "double"), ("High", "double"),
+               ("Low", "double"), ("Close", "double"), ("Adj Close", "double"), ("Volume", "double")]
+
+
+@register("bars_hourly", sql_project(
+    sq.hourly_bars_sql().replace("date_trunc('hour', ts) AS bucket",
+                                 "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') AS bucket"),
+    HOURLY_SPEC))
+def q_bars_hourly(spark, sf_dir):
+    """Hourly bar variant from events (first / last by (ts, event_id), count as volume)."""
+    b = bars_from_events(spark, sf_dir).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:00:00"))
+    return spark_project(b, HOURLY_SPEC)

@@ -463,3 +463,45 @@ def display_indicators_sql(ticker_col: str = "l_linestatus", months: int = 12, c
     SELECT *, "Close" >= "Open" AS is_up, coalesce(macd_histogram, 0.0) >= 0 AS hist_pos,
            CASE WHEN rsi_14 > 70 THEN 'overbought' WHEN rsi_14 < 30 THEN 'oversold' ELSE 'neutral' END AS rsi_zone
     FROM d"""
+
+
+def missing_days_sql(ticker_col: str = "l_returnflag") -> str:
+    return f"""
+    WITH bars AS ({bars_sql(ticker_col)}),
+    span AS (SELECT ticker, min(date) a, max(date) b FROM bars GROUP BY ticker),
+    cal AS (SELECT ticker, CAST(g.d AS DATE) AS date FROM span, generate_series(a, b, INTERVAL 1 DAY) g(d)
+            WHERE isodow(g.d) <= 5)
+    SELECT c.ticker, c.date FROM cal c ANTI JOIN bars b ON b.ticker = c.ticker AND b.date = c.date"""
+
+
+def job_summary_sql(cfg: Config = DEFAULT) -> str:
+    rep = (f"SELECT * FROM ({clean_report_sql('l_returnflag', cfg)}) r1 UNION ALL "
+           f"SELECT * FROM ({clean_report_sql('l_linestatus', cfg)}) r2")
+    feats = (f"SELECT ticker, count(*) AS n FROM ({features_sql('l_returnflag', cfg)}) f GROUP BY ticker UNION ALL "
+             f"SELECT ticker, count(*) AS n FROM ({features_sql('l_linestatus', cfg)}) g GROUP BY ticker")
+    return f"""
+    WITH req AS (SELECT DISTINCT upper(trim(l_returnflag)) AS ticker FROM lineitem
+                 UNION SELECT DISTINCT upper(trim(l_linestatus)) FROM lineitem),
+    rep AS ({rep}), fc AS ({feats})
+    SELECT req.ticker, coalesce(CASE WHEN rep.kept THEN 'OK' WHEN NOT rep.kept THEN 'DROPPED' END, 'FAILED') AS status,
+           coalesce(rep.cleaned_rows, 0) AS cleaned_rows, coalesce(fc.n, 0) AS feature_rows
+    FROM req LEFT JOIN rep USING (ticker) LEFT JOIN fc USING (ticker)"""
+
+
+def run_metadata_sql(ticker_col: str = "l_linestatus", cfg: Config = DEFAULT) -> str:
+    cols = ["Open", "High", "Low", "Close", "Adj Close", "Volume", "log_return", "volume_normalised"]
+    nulls = ", ".join(f'count_if("{c}" IS NULL) AS "nulls_{c}"' for c in cols)
+    return f"""
+    SELECT p.ticker, count(*) AS row_count, '{",".join(cols)}' AS columns, {nulls},
+           q.issues AS validation_issues
+    FROM ({preprocessed_sql(ticker_col, cfg)}) p LEFT JOIN ({quality_sql(ticker_col)}) q USING (ticker)
+    GROUP BY p.ticker, q.issues"""
+
+
+def hourly_bars_sql() -> str:
+    return """
+    SELECT upper(substr(event_type, 1, 5)) AS ticker, date_trunc('hour', ts) AS bucket,
+           arg_min(value, struct_pack(t := ts, e := event_id)) AS "Open", max(value) AS "High",
+           min(value) AS "Low", arg_max(value, struct_pack(t := ts, e := event_id)) AS "Close",
+           arg_max(value, struct_pack(t := ts, e := event_id)) AS "Adj Close", CAST(count(*) AS DOUBLE) AS "Volume"
+    FROM events GROUP BY 1, 2"""
