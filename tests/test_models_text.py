@@ -99,3 +99,36 @@ def test_tokens_whole_text(spark):
     text = "word " * 5000 + "good"
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(F.size(tokens(F.col("t")))).first()[0] == 5001
+
+
+def test_wide_to_long_and_lookback(spark):
+    from barlake.sources.bars import lookback, wide_to_long
+
+    wide = spark.createDataFrame([
+        (dt.date(2024, 1, 2), 1.0, 2.0, 0.5, 1.5, 1.4, 100.0, 10.0, 11.0, 9.0, 10.5, 10.4, 7.0),
+        (dt.date(2025, 1, 2), 1.1, 2.1, 0.6, 1.6, 1.5, 101.0, 10.1, 11.1, 9.1, 10.6, 10.5, 8.0),
+    ], "date date, `Open|aapl` double, `High|aapl` double, `Low|aapl` double, `Close|aapl` double, "
+       "`Adj Close|aapl` double, `Volume|aapl` double, `Open|MSFT` double, `High|MSFT` double, "
+       "`Low|MSFT` double, `Close|MSFT` double, `Adj Close|MSFT` double, `Volume|MSFT` double")
+    long = wide_to_long(wide)
+    rows = {(r["ticker"], r["date"]): r for r in long.collect()}
+    assert len(rows) == 4 and rows[("AAPL", dt.date(2024, 1, 2))]["Close"] == 1.5
+    assert rows[("MSFT", dt.date(2025, 1, 2))]["Volume"] == 8.0
+    assert lookback(long, "6mo").count() == 2 and lookback(long, "2y").count() == 4
+
+
+def test_models_saved_loaded_side_by_side(spark, tmp_path):
+    from barlake.operators.classifiers import (display_name, load_models, score_latest, side_by_side)
+
+    ft = feature_table(bars_from_lineitem(spark, SF001, "l_linestatus"))
+    cfg = TrainConfig(rf_n_estimators=5, gbt_n_estimators=3, lr_max_iter=50)
+    train_evaluate(random_split(ft), cfg, names=["RandomForest", "LogisticRegression"],
+                   models_dir=str(tmp_path / "models"))
+    models = load_models(spark, str(tmp_path / "models"))
+    assert set(models) == {"RandomForest", "LogisticRegression"}
+    latest = score_latest(ft, models).collect()
+    assert {r["model"] for r in latest} == {"RandomForest"} and len(latest) == 2
+    both = side_by_side(RP.latest_row(ft), models).collect()
+    assert all(r["pred_RandomForest"] in (0, 1) and r["pred_LogisticRegression"] in (0, 1) for r in both)
+    names = spark.createDataFrame([("LogisticRegression",)], "m string").select(display_name("m")).first()[0]
+    assert names == "Logistic Regression"
