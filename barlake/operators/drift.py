@@ -95,19 +95,23 @@ def prediction_drift(log: DataFrame, cfg: MonitorConfig = MonitorConfig(),
     """UP share of the recent records (last min(30, n div 3)) vs the rest of the log.
 
     No global window: the recent rows are the top-30 by order (each task keeps
-    30, TakeOrdered merges them); totals are one aggregate; historical is
-    totals minus recent. The log has no file position, so order is by
+    30, TakeOrdered merges them, a 30-element array cuts them to k); totals are
+    one aggregate; historical is totals minus recent. The log has no file position, so order is by
     (timestamp, ticker, event id). Fewer than 20 rows: not checked.
     """
     order_cols = [c for c in order_cols if c in log.columns]
     lookback = cfg.drift_lookback_days
     total = log.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("prediction").cast("double")).alias("s"))
-    top = log.select(*order_cols, "prediction").orderBy(*[F.col(c).desc() for c in order_cols]).limit(lookback)
     n_col = log.select(F.count(F.lit(1))).scalar()
-    k = F.least(F.lit(lookback), F.floor(n_col / 3))
-    rk = Window.orderBy(*[F.col(c).desc() for c in order_cols])  # over at most `lookback` rows
-    recent = (top.withColumn("_rk", F.row_number().over(rk)).where(F.col("_rk") <= k)
-              .agg(F.count(F.lit(1)).alias("rn"), F.sum(F.col("prediction").cast("double")).alias("rs")))
+    k = F.least(F.lit(lookback), F.floor(n_col / 3)).cast("int")
+    # newest `lookback` records (TakeOrdered keeps that many per task), gathered into
+    # one bounded array, sorted newest first and cut to k
+    top = log.select(*order_cols, "prediction").orderBy(*[F.col(c).desc() for c in order_cols]).limit(lookback)
+    newest = top.agg(F.sort_array(F.collect_list(F.struct(*order_cols, "prediction")), asc=False).alias("a"))
+    recent = newest.select(F.slice("a", 1, F.greatest(k, F.lit(1))).alias("r"), k.alias("k")).select(
+        F.when(F.col("k") > 0, F.size("r")).otherwise(F.lit(0)).alias("rn"),
+        F.when(F.col("k") > 0, F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["prediction"].cast("double")))
+        .alias("rs"))
     both = total.withColumns({"rn": recent.select("rn").scalar(), "rs": recent.select("rs").scalar()})
     hist = (F.col("s") - F.col("rs")) / (F.col("n") - F.col("rn"))
     rec = F.col("rs") / F.col("rn")
