@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _DECAY_PER_BLOCK = 300.0
+_MIN_DECAY = 40.0   # older blocks contribute below e^-40 relative
+_MAX_GROWTH = 500.0  # b^-k stays below e^500
 
 
 def block_size(beta: float) -> int:
@@ -33,6 +35,16 @@ def block_size(beta: float) -> int:
     return max(1, int(_DECAY_PER_BLOCK / -math.log(beta)))
 
 
+def shared_block_size(betas: list[float]) -> int | None:
+    """One block size valid for every decay rate (one partition spec, one sort), if any."""
+    logs = [-math.log(b) for b in betas if b > 0.0]
+    if not logs:
+        return None
+    lo = max(math.ceil(_MIN_DECAY / x) for x in logs)
+    hi = min(math.floor(_MAX_GROWTH / x) for x in logs)
+    return hi if lo <= hi else None
+
+
 def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
              key: str = "ticker", order: str = "date", index: str | None = None) -> DataFrame:
     """Append one column per ``(out, src, span)``: EMA(span, adjust=False) of src.
@@ -43,9 +55,12 @@ def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
     w = Window.partitionBy(key).orderBy(order)
     keep = list(df.columns)
     i = index or "_ema_i"
+    if index is not None and index in keep:
+        keep = [c for c in keep if c != index] + [index]
     if index is None:
         df = df.withColumn(i, F.row_number().over(w) - 1)
     stage1, stage2, stage3 = {}, {}, {}
+    shared = shared_block_size([1.0 - 2.0 / (span + 1.0) for _, _, span in specs])
     for out, src, span in specs:
         x = F.col(src) if isinstance(src, str) else src
         alpha = 2.0 / (span + 1.0)
@@ -53,8 +68,9 @@ def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
         if beta <= 0.0:
             stage3[out] = x
             continue
-        B = block_size(beta)
-        b, k, loc = f"_{out}_b", f"_{out}_k", f"_{out}_loc"
+        B = shared or block_size(beta)
+        tag = f"s{B}" if shared else out
+        b, k, loc = f"_ema_{tag}_b", f"_ema_{tag}_k", f"_{out}_loc"
         stage1[b] = F.floor(F.col(i) / B)
         stage1[k] = F.col(i) % B
         stage1[f"_{out}_x"] = F.when(F.col(i) == 0, x).otherwise(F.lit(alpha) * x)
@@ -70,7 +86,7 @@ def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
     if stage1:
         df = df.withColumns(stage1).withColumns(stage2)
     df = df.withColumns(stage3)
-    return df.select(*keep, *[out for out, _, _ in specs])
+    return df.select(*keep, *[out for out, _, _ in specs if out not in keep])
 
 
 def add_ema(df: DataFrame, out: str, src: str | Column, span: int,

@@ -1,10 +1,11 @@
 """Isolation forest (M5, M6, G18): Liu, Ting & Zhou (2008), psi = min(256, n).
 
 Fit, as Spark jobs:
-1. Sample: each row joins tree t when u(seed, t, key) < 2 * psi / n; the
-   ``filter(sequence(0, T-1))`` explode emits only those (row, tree) pairs,
-   about 2 * psi per tree whatever n is. Per tree the psi smallest hashes are
-   kept (a row_number over at most ~2 * psi rows per tree).
+1. Sample: each (row, tree) pair is kept with probability 2 * psi / n. One
+   hash per row selects candidates first; only candidates evaluate the
+   per-tree hashes and the ``filter(sequence(0, T-1))`` explode emits their
+   pairs, about 2 * psi per tree whatever n is. Per tree the psi smallest
+   hashes are kept (a row_number over at most ~2 * psi rows per tree).
 2. Build: ``groupBy(tree).applyInPandas`` grows one tree per group (psi rows)
    to depth ceil(log2 psi) and returns its node rows.
 3. The node table (trees x < 2 * psi nodes, bounded) is collected once and
@@ -57,11 +58,21 @@ def _unit_hash(seed: int, tree: Column, key: Column) -> Column:
 
 
 def sample_trees(X: DataFrame, key: Column, n_trees: int, psi: int, n_rows: Column, seed: int) -> DataFrame:
-    thr = F.lit(2.0 * psi) / n_rows.cast("double")
+    """(row, tree) pairs with inclusion probability 2 * psi / n per pair, then the
+    psi smallest hashes per tree.
+
+    One hash per row first keeps only candidates (rate n_trees * 2 * psi / n, at
+    most every row); per-tree hashes run on candidates only, with the rate
+    divided back out, so each (row, tree) pair keeps probability 2 * psi / n.
+    """
+    pair_rate = F.least(F.lit(1.0), F.lit(2.0 * psi) / n_rows.cast("double"))
+    cand_rate = F.least(F.lit(1.0), pair_rate * n_trees)
+    cand = X.withColumn("_key", key).where(_unit_hash(seed, F.lit(-1), F.col("_key")) < cand_rate)
+    thr = pair_rate / cand_rate
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: _unit_hash(seed, t, key) < thr)
-    pairs = X.withColumn("_key", key).select("*", F.explode(trees).alias("tree"))
-    pairs = pairs.withColumn("_u", _unit_hash(seed, F.col("tree"), F.col("_key")))
+                     lambda t: _unit_hash(seed, t, F.col("_key")) < thr)
+    pairs = cand.select("*", F.explode(trees).alias("tree"))
+    pairs = pairs.withColumn("_u", _unit_hash(seed + 1, F.col("tree"), F.col("_key")))
     w = Window.partitionBy("tree").orderBy("_u", "_key")
     return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u", "_key")
 

@@ -164,9 +164,12 @@ def engineer_features(pre: DataFrame, cfg: FeatureConfig = FeatureConfig(),
                       sentiment: DataFrame | None = None) -> DataFrame:
     """Feature table: preprocessed bars + 15 features + target, warm-up rows dropped."""
     base = list(pre.columns)
-    df = add_emas(pre, [("_ema_fast", _c("Close"), cfg.macd_fast), ("_ema_slow", _c("Close"), cfg.macd_slow)])
+    # one per-ticker position shared by all three EMAs (and one block size when the spans allow)
+    df = pre.withColumn("_pos", F.row_number().over(series()) - 1)
+    df = add_emas(df, [("_ema_fast", _c("Close"), cfg.macd_fast), ("_ema_slow", _c("Close"), cfg.macd_slow)],
+                  index="_pos")
     df = df.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow"))
-    df = add_emas(df, [("macd_signal", F.col("macd"), cfg.macd_signal)])
+    df = add_emas(df, [("macd_signal", F.col("macd"), cfg.macd_signal)], index="_pos")
     df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     df = _staged_indicators(df, cfg)
     df = add_sentiment(df, sentiment, cfg.sentiment_neutral_fill)
