@@ -1,4 +1,4 @@
-"""Business-day calendar (Mon-Fri, no holidays) as Column expressions."""
+"""Business-day calendar (Mon-Fri, no holidays) as Column expressions."""
 
 from __future__ import annotations
 

@@ -36,7 +36,7 @@ def fdiv(num: Column, den: Column) -> Column:
 
 
 def flog(x: Column) -> Column:
-    """Natural log: ln(0) = -Inf, ln(+Inf) = +Inf, ln(negative) = NULL."""
+    """Natural log (X1): ln(0) = -Inf, ln(+Inf) = +Inf, ln(negative) = NULL."""
     return (
         F.when(x == 0, neg_inf())
         .when(x == float("inf"), pos_inf())

@@ -92,7 +92,8 @@ def drift_rollup(results: DataFrame, total_features: int, key: str = "ticker") -
 
 def prediction_drift(log: DataFrame, cfg: MonitorConfig = MonitorConfig(),
                      order_cols: tuple[str, ...] = ("timestamp", "ticker", "event_id")) -> DataFrame:
-    """UP share of the recent records (last min(30, n div 3)) vs the rest of the log.
+    """UP share of the recent records (last min(30, n div 3)) vs the rest of the log
+    (G19, W18; fewer than 20 records: no check, F12).
 
     No global window: the recent rows are the top-30 by order (each task keeps
     30, TakeOrdered merges them, a 30-element array cuts them to k); totals are

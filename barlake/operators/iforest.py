@@ -184,6 +184,7 @@ def fit_predict(df: DataFrame, features: list[str] = ("volume_ratio", "price_cha
                 n_trees: int = 100, contamination: float = 0.05, seed: int = 42,
                 key_cols: tuple[str, ...] = ("ticker", "date")) -> tuple[DataFrame, float]:
     """Fit on the whole pooled table (rows with the features present) and flag it.
+    The input vector is (volume_ratio, price_change_pct) (F16).
 
     Returns (df + anomaly_score + anomaly (-1 / 1), cut)."""
     from barlake.session import checkpoint_dir

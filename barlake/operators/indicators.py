@@ -127,6 +127,7 @@ def _staged_indicators(df: DataFrame, cfg: FeatureConfig, with_series_features:
     """RSI, Bollinger, volatility, volume ratio, lags, target and price change in
     three projections: offset windows, then each distinct rolling aggregate once,
     then plain arithmetic on those columns (no window expression is repeated)."""
+    # X5 keep-where-else gain / loss, X6 zero mean loss -> RSI 0, X2 abs, X25 bool -> int
     w = series()
     offsets = {"_prev": F.lag(_c("Close"), 1).over(w)}
     if with_series_features:

@@ -89,7 +89,8 @@ def class_balance(df: DataFrame, split_col: str = "split", label: str = "target_
 def fairness(scored: DataFrame, pair: tuple[str, str], min_rows: int = 50, gap_limit: float = 0.10,
              key: str = "ticker", label: str = "label", pred: str = "prediction") -> DataFrame:
     """Per-group accuracy / F1 / samples for the two named groups with >= min_rows
-    rows (G14), plus the accuracy gap and the warning flag (G15), one row."""
+    rows (G14, F13 subset, F12 guard), plus the accuracy gap and the warning flag
+    (G15); the two groups end up side by side through conditional aggregates (J5)."""
     m = confusion_metrics(scored.where(F.col(key).isin(list(pair))), [key], label, pred)
     m = m.where(F.col("n") >= min_rows)
     a, b = pair
@@ -102,7 +103,7 @@ def fairness(scored: DataFrame, pair: tuple[str, str], min_rows: int = 50, gap_l
 
 
 def best_by_f1(metrics: DataFrame, name_col: str = "model", order_col: str = "ordinal") -> DataFrame:
-    """Best model by F1, the first in list order wins a tie."""
+    """Best model by F1, the first in list order wins a tie."""
     return metrics.agg(F.max_by(F.col(name_col), F.struct(F.col("f1"), -F.col(order_col))).alias("best_model"))
 
 

@@ -15,7 +15,8 @@ from barlake.functions.calendar import weekdays_between
 from barlake.functions.numeric import fdiv
 from barlake.schemas import PRICE_COLS
 
-# fixed values: issue texts of the quality report
+# fixed values: issue texts of the quality report (X17; built with format_string into an
+# array_compact list, X21)
 MSG_MISSING = "%d missing trading day(s) found"
 MSG_NULLS = "%s has %d null(s)"
 MSG_NEGATIVE = "%s has %d negative value(s)"

@@ -21,6 +21,7 @@ def check_requests(req: DataFrame, today: Column | None = None) -> DataFrame:
     """Adds normalised ticker, parsed dates, ``valid`` and ``reason``.
 
     Rules: ticker matches the pattern; end date not after today; end after start.
+    Dates parse as yyyy-MM-dd (X18).
     """
     today = today if today is not None else F.current_date()
     t = normalise_ticker(F.col("ticker"))

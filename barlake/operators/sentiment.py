@@ -116,7 +116,8 @@ def ticker_sentiment(headlines: DataFrame, lexicon: DataFrame) -> DataFrame:
 def news_titles(news: DataFrame, first_n: int | None = None) -> DataFrame:
     """Nested news (ticker, news: array<struct<title, content: struct<title>>>) -> titles.
 
-    The nested ``content.title`` wins when ``content`` is present, even when
+    Get-with-default on nested fields (X23): the nested ``content.title`` wins when
+    ``content`` is present, even when
     it has no title (then the item is skipped); otherwise the outer title.
     ``first_n`` keeps the first n items before the empty-title filter (T3).
     """

@@ -5,6 +5,8 @@ no shuffle, no global ordering, identical in any engine with md5 (the
 oracle recomputes it in DuckDB). Each label class is split at the same rate,
 so the class balance of both sides matches in expectation. The split ignores
 time, as the reference does; ``time_split`` cuts by date per ticker instead.
+Row order from sorted input files (T4) only mattered for the split; the hash
+rule needs no ordering, so no sort is added anywhere for it.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Output column specs shared by a registered query and its SQL twin.
 
-A spec is a list of ``(name, kind)``; kinds fix the type and the rounding so
-the Spark result and the DuckDB result hash the same way.
+A spec is a list of ``(name, kind)``; kinds fix the type and the rounding (X3)
+so the Spark result and the DuckDB result hash the same way.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ def load_latest_raw(spark: SparkSession, raw_dir: str, tickers: list[str] | None
 
 
 def load_feature_data(spark: SparkSession, features_dir: str, ticker: str | None = None) -> DataFrame:
-    """Whole feature store as one table (S4, U1); ``ticker`` is the partition column,
+    """Whole feature store as one table (S4, U1); ``ticker`` is the partition column
+    (the file-stem-to-ticker step, X15),
     so a single-ticker read prunes to one folder (S5). Empty store is an error."""
     if not _exists(spark, features_dir):
         raise FileNotFoundError(f"no feature data under {features_dir}")
@@ -39,7 +40,7 @@ def load_feature_data(spark: SparkSession, features_dir: str, ticker: str | None
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines prediction log with the declared schema (S6, F15): blank lines are
+    """JSON-lines prediction log with the declared schema (S6, F15, X22): blank lines are
     skipped, a malformed line fails the read; a missing path is an empty table."""
     if not _exists(spark, path):
         return spark.createDataFrame([], PREDICTION_LOG)
