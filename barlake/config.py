@@ -75,12 +75,25 @@ class MonitorConfig:
     min_ks_values: int = 10
 
 
+@dataclass(frozen=True)
+class LayoutConfig:
+    """How the series windows are laid out (execution only; results are equal).
+
+    "ticker": one window partition per ticker (a ticker's bars fit a task).
+    "blocked": blocks of ``block_rows`` consecutive rows per ticker with halos,
+    for series where one ticker holds a large share of all rows.
+    """
+    series_layout: str = "ticker"
+    block_rows: int = 1 << 18
+
+
 @dataclass(frozen=True)
 class Config:
     data: DataConfig = field(default_factory=DataConfig)
     features: FeatureConfig = field(default_factory=FeatureConfig)
     training: TrainConfig = field(default_factory=TrainConfig)
     monitoring: MonitorConfig = field(default_factory=MonitorConfig)
+    layout: LayoutConfig = field(default_factory=LayoutConfig)
     # fixed value: ticker pattern
     ticker_pattern: str = "^[A-Z]{1,5}$"
 

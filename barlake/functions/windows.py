@@ -19,16 +19,20 @@ KEY = "ticker"
 ORDER = "date"
 
 
-def series(key: str = KEY, order: str = ORDER) -> WindowSpec:
-    return Window.partitionBy(key).orderBy(order)
+def _keys(key) -> list:
+    return list(key) if isinstance(key, (list, tuple)) else [key]
+
+
+def series(key: str | list[str] = KEY, order: str = ORDER) -> WindowSpec:
+    return Window.partitionBy(*_keys(key)).orderBy(order)
 
 
 def roll(n: int, key: str = KEY, order: str = ORDER) -> WindowSpec:
     return series(key, order).rowsBetween(-(n - 1), 0)
 
 
-def whole(key: str = KEY) -> WindowSpec:
-    return Window.partitionBy(key)
+def whole(key: str | list[str] = KEY) -> WindowSpec:
+    return Window.partitionBy(*_keys(key))
 
 
 def rolling(agg, c: Column | str, n: int, key: str = KEY, order: str = ORDER) -> Column:

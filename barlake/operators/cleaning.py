@@ -39,9 +39,9 @@ def densify(bars: DataFrame, value_cols: list[str] | None = None) -> DataFrame:
     )
 
 
-def forward_fill(df: DataFrame, limit: int, cols: list[str]) -> DataFrame:
+def forward_fill(df: DataFrame, limit: int, cols: list[str], key="ticker", order: str = "date") -> DataFrame:
     """``ffill(limit=N)`` per column: last non-null among this and the N previous rows."""
-    w = series().rowsBetween(-limit, 0)
+    w = series(key, order).rowsBetween(-limit, 0)
     return df.select(
         *[c for c in df.columns if c not in cols],
         *[F.last(_c(c), ignorenulls=True).over(w).alias(c) for c in cols],
@@ -91,17 +91,18 @@ def clean(bars: DataFrame, cfg: DataConfig = DataConfig()) -> DataFrame:
     return clean_with_report(bars, cfg)[0]
 
 
-def preprocess(cleaned: DataFrame, cfg: DataConfig = DataConfig()) -> DataFrame:
+def preprocess(cleaned: DataFrame, cfg: DataConfig = DataConfig(), key="ticker", order: str = "date",
+               drop: bool = True) -> DataFrame:
     """Log return (W1) and 20-row normalised volume (W2), then drop warm-up rows."""
     # window values once as columns, then plain arithmetic on them
-    rs = RollingSet()
+    rs = RollingSet(key, order)
     vol_mean = rs.get("vol", "avg", _c("Volume"), cfg.volume_norm_window)
-    staged = cleaned.withColumns({"_prev_close": F.lag(_c("Close"), 1).over(series()), **rs.columns()})
+    staged = cleaned.withColumns({"_prev_close": F.lag(_c("Close"), 1).over(series(key, order)), **rs.columns()})
     out = staged.withColumns({
         "log_return": flog(fdiv(_c("Close"), F.col("_prev_close"))),
         "volume_normalised": fdiv(_c("Volume"), vol_mean),
     }).drop("_prev_close", *rs.names())
-    return out.na.drop(how="any")
+    return out.na.drop(how="any", subset=[c for c in out.columns if not c.startswith("_")]) if drop else out
 
 
 def sparse_summary(report: DataFrame, requested: DataFrame | None = None) -> DataFrame:

@@ -52,7 +52,8 @@ def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
     ``index`` names an existing 0-based per-key position column; without it a
     ``row_number`` is added (and dropped again).
     """
-    w = Window.partitionBy(key).orderBy(order)
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    w = Window.partitionBy(*keys).orderBy(order)
     keep = list(df.columns)
     i = index or "_ema_i"
     if index is not None and index in keep:
@@ -74,7 +75,7 @@ def add_emas(df: DataFrame, specs: list[tuple[str, Column | str, int]],
         stage1[b] = F.floor(F.col(i) / B)
         stage1[k] = F.col(i) % B
         stage1[f"_{out}_x"] = F.when(F.col(i) == 0, x).otherwise(F.lit(alpha) * x)
-        in_block = Window.partitionBy(key, b).orderBy(order).rowsBetween(
+        in_block = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         stage2[loc] = F.pow(F.lit(beta), F.col(k)) * F.sum(
             F.col(f"_{out}_x") * F.pow(F.lit(beta), -F.col(k))).over(in_block)

@@ -54,8 +54,8 @@ def volume_ratio_expr(window: int = 20) -> Column:
     return fdiv(_c("Volume"), rolling_mean(_c("Volume"), window))
 
 
-def lag_exprs(lags=(1, 3, 5), src: str = "log_return") -> dict[str, Column]:
-    w = series()
+def lag_exprs(lags=(1, 3, 5), src: str = "log_return", key="ticker", order: str = "date") -> dict[str, Column]:
+    w = series(key, order)
     return {f"return_lag_{k}d": F.lag(F.col(src), k).over(w) for k in lags}
 
 
@@ -123,19 +123,20 @@ def feature_names(cfg: FeatureConfig = FeatureConfig()) -> list[str]:
     return names
 
 
-def _staged_indicators(df: DataFrame, cfg: FeatureConfig, with_series_features: bool = True) -> DataFrame:
+def _staged_indicators(df: DataFrame, cfg: FeatureConfig, with_series_features: bool = True,
+                       key="ticker", order: str = "date") -> DataFrame:
     """RSI, Bollinger, volatility, volume ratio, lags, target and price change in
     three projections: offset windows, then each distinct rolling aggregate once,
     then plain arithmetic on those columns (no window expression is repeated)."""
     # X5 keep-where-else gain / loss, X6 zero mean loss -> RSI 0, X2 abs, X25 bool -> int
-    w = series()
+    w = series(key, order)
     offsets = {"_prev": F.lag(_c("Close"), 1).over(w)}
     if with_series_features:
         offsets["_next"] = F.lead(_c("Close"), 1).over(w)
-        offsets.update(lag_exprs(cfg.lag_periods))
+        offsets.update(lag_exprs(cfg.lag_periods, key=key, order=order))
     df = df.withColumns(offsets)
     delta = _c("Close") - F.col("_prev")
-    rs = RollingSet()
+    rs = RollingSet(key, order)
     ag = rs.get("gain", "avg", F.when(delta > 0, delta).otherwise(F.lit(0.0)), cfg.rsi_period)
     al = rs.get("loss", "avg", F.when(delta < 0, -delta).otherwise(F.lit(0.0)), cfg.rsi_period)
     sma = rs.get("close", "avg", _c("Close"), cfg.bollinger_window)
@@ -162,19 +163,27 @@ def _staged_indicators(df: DataFrame, cfg: FeatureConfig, with_series_features:
 
 
 def engineer_features(pre: DataFrame, cfg: FeatureConfig = FeatureConfig(),
-                      sentiment: DataFrame | None = None) -> DataFrame:
-    """Feature table: preprocessed bars + 15 features + target, warm-up rows dropped."""
+                      sentiment: DataFrame | None = None, key="ticker", order: str = "date",
+                      index: str | None = None) -> DataFrame:
+    """Feature table: preprocessed bars + 15 features + target, warm-up rows dropped.
+
+    ``key`` / ``order`` / ``index`` let the blocked layout run the same windows
+    inside ``(ticker, block)`` partitions with a global per-ticker row index.
+    """
     base = list(pre.columns)
     # one per-ticker position shared by all three EMAs (and one block size when the spans allow)
-    df = pre.withColumn("_pos", F.row_number().over(series()) - 1)
+    pos = index or "_pos"
+    df = pre if index else pre.withColumn(pos, F.row_number().over(series(key, order)) - 1)
     df = add_emas(df, [("_ema_fast", _c("Close"), cfg.macd_fast), ("_ema_slow", _c("Close"), cfg.macd_slow)],
-                  index="_pos")
+                  key=key, order=order, index=pos)
     df = df.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow"))
-    df = add_emas(df, [("macd_signal", F.col("macd"), cfg.macd_signal)], index="_pos")
+    df = add_emas(df, [("macd_signal", F.col("macd"), cfg.macd_signal)], key=key, order=order, index=pos)
     df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-    df = _staged_indicators(df, cfg)
+    df = _staged_indicators(df, cfg, key=key, order=order)
     df = add_sentiment(df, sentiment, cfg.sentiment_neutral_fill)
-    return df.select(*[F.col(f"`{c}`") for c in base + feature_names(cfg)]).na.drop(how="any")
+    out = base + [c for c in feature_names(cfg) if c not in base]
+    data_cols = [c for c in out if not c.startswith("_")]
+    return df.select(*[F.col(f"`{c}`") for c in out]).na.drop(how="any", subset=data_cols)
 
 
 def display_indicators(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:

@@ -480,3 +480,20 @@ def q_bars_hourly(spark, sf_dir):
     """Hourly bar variant from events (first / last by (ts, event_id), count as volume)."""
     b = bars_from_events(spark, sf_dir).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:00:00"))
     return spark_project(b, HOURLY_SPEC)
+
+
+# ------------------------------------------------------------------ blocked layout
+from dataclasses import replace as _replace  # noqa: E402
+
+from barlake.config import LayoutConfig  # noqa: E402
+
+# Small blocks so the fixture's ~1,785-row series really spans several blocks
+# (the halo of ~730 rows then reaches over more than one block).
+BLOCKED = _replace(DEFAULT, layout=LayoutConfig(series_layout="blocked", block_rows=512))
+
+
+@register("features_blocked", sql_project(sq.features_sql("l_returnflag"), FEATURES_SPEC))
+def q_features_blocked(spark, sf_dir):
+    """D4 in the blocked layout: every ticker cut into 512-row blocks with halos, so
+    one hot ticker spreads over many tasks; same result as ``features``."""
+    return spark_project(feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"), BLOCKED), FEATURES_SPEC)

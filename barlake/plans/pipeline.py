@@ -29,6 +29,11 @@ def preprocessed_bars(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def feature_table(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None) -> DataFrame:
+    """Feature table; ``cfg.layout`` picks per-ticker partitions or row blocks with halos."""
+    if cfg.layout.series_layout == "blocked":
+        from barlake.plans.blocked import feature_table_blocked
+
+        return feature_table_blocked(bars, cfg, sentiment, cfg.layout.block_rows)
     return engineer_features(preprocessed_bars(bars, cfg), cfg.features, sentiment)
 
 
