@@ -497,3 +497,25 @@ def q_features_blocked(spark, sf_dir):
     """D4 in the blocked layout: every ticker cut into 512-row blocks with halos, so
     one hot ticker spreads over many tasks; same result as ``features``."""
     return spark_project(feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"), BLOCKED), FEATURES_SPEC)
+
+
+# ------------------------------------------------------------------ streaming ingest
+import uuid  # noqa: E402
+
+from barlake.session import checkpoint_dir  # noqa: E402
+from barlake.streaming import prediction_stream as PS  # noqa: E402
+
+INGEST_SPEC = [("timestamp", "string"), ("ticker", "string"), ("prediction", "int"),
+               ("confidence", "double"), ("latency_ms", "double")]
+
+
+@register("log_stream_ingest", sql_project(sq.prediction_log_sql(), INGEST_SPEC))
+def q_log_stream_ingest(spark, sf_dir):
+    """P1 + K4 + S6: the events-derived prediction log is appended as JSON lines under the
+    shared checkpoint folder, then a file stream (availableNow, with its own checkpoint)
+    ingests every record exactly once into a parquet table, which is returned."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/log-ingest-{uuid.uuid4().hex}"
+    log = prediction_log(spark, sf_dir).drop("event_id")
+    log.write.mode("append").json(f"{base}/logs")
+    PS.ingest(spark, f"{base}/logs", f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return spark_project(spark.read.parquet(f"{base}/table"), INGEST_SPEC)
