@@ -31,12 +31,26 @@ def ks_pvalue_udf(n1, n2, h):
     return ks_pvalue_series(n1, n2, h)
 
 
+def _is_temporal(df: DataFrame, col: str) -> bool:
+    return dict(df.dtypes).get(col, "") in ("date", "timestamp", "timestamp_ntz")
+
+
 def sample_flags(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
                  key: str = "ticker", order: str = "date") -> DataFrame:
-    """Adds ``is_ref`` (first int(n * 0.7) rows) and ``is_rec`` (last 30 rows) per ticker."""
-    w = Window.partitionBy(key).orderBy(order)
-    staged = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
-                                   "_rn": F.row_number().over(w)})
+    """Adds ``is_ref`` (first int(n * 0.7) rows) and ``is_rec`` (last 30 rows) per ticker.
+
+    With a date order the positions come from per-(ticker, year) numbering plus
+    bucket offsets and the count from an aggregate: no ticker is sorted whole in
+    one task. Other order columns use per-ticker windows.
+    """
+    if key == "ticker" and _is_temporal(features, order):
+        from barlake.plans.blocked import row_positions
+
+        staged = row_positions(features, F.year(order), order)
+    else:
+        w = Window.partitionBy(key).orderBy(order)
+        staged = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
+                                       "_rn": F.row_number().over(w)})
     n, rn = F.col("_n"), F.col("_rn")
     return staged.withColumns({
         "is_ref": rn <= F.floor(n.cast("double") * F.lit(cfg.reference_fraction)),
@@ -135,10 +149,23 @@ def rolling_accuracy(predictions: DataFrame, actuals: DataFrame, cfg: MonitorCon
     """Join predictions to actuals on (ticker, date) (J4); rolling share correct over
     30 rows with at least 10 (W15)."""
     j = predictions.select(key, order, pred).join(actuals.select(key, order, label), [key, order])
-    correct = (F.col(pred) == F.col(label)).cast("int")
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(cfg.rolling_accuracy_window - 1), 0)
-    acc = F.when(F.count(correct).over(w) >= cfg.rolling_accuracy_min_periods, F.avg(correct).over(w))
-    return j.withColumn("correct", correct).withColumn("rolling_accuracy", acc)
+    j = j.withColumn("correct", (F.col(pred) == F.col(label)).cast("int"))
+    n = cfg.rolling_accuracy_window
+
+    def windows(df: DataFrame, keys, order_col: str) -> DataFrame:
+        w = Window.partitionBy(*(keys if isinstance(keys, list) else [keys])).orderBy(order_col) \
+            .rowsBetween(-(n - 1), 0)
+        staged = df.withColumns({"_c": F.count("correct").over(w), "_a": F.avg("correct").over(w)})
+        return staged.withColumn(
+            "rolling_accuracy", F.when(F.col("_c") >= cfg.rolling_accuracy_min_periods, F.col("_a"))
+        ).drop("_c", "_a")
+
+    if key == "ticker" and _is_temporal(j, order):
+        # a hot ticker is spread over row blocks with a (window - 1)-row halo
+        from barlake.plans.blocked import blocked_window
+
+        return blocked_window(j, F.year(order), order, n - 1, 0, windows)
+    return windows(j, key, order)
 
 
 def latest_value(df: DataFrame, col: str, key: str = "ticker", order: str = "date") -> DataFrame:

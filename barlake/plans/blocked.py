@@ -157,3 +157,30 @@ def feature_table_blocked(bars: DataFrame, cfg: Config = DEFAULT, sentiment: Dat
     out = add_sentiment(out, sentiment, cfg.features.sentiment_neutral_fill)
     names = [c for c in feats.columns if not c.startswith("_")]
     return out.select(*[_c(c) for c in names])
+
+
+def blocked_window(df: DataFrame, bucket: Column, order: str, back: int, fwd: int, fn,
+                   block_rows: int = 1 << 16) -> DataFrame:
+    """Run per-ticker ROWS-frame windows (reaching ``back`` rows behind, ``fwd`` ahead)
+    in row blocks, so no ticker is processed whole in one task.
+
+    ``bucket`` is a coarse ordering key monotone in ``order`` (e.g. the year of a
+    date): rows are numbered per (ticker, bucket) and offset by the counts of the
+    earlier buckets. ``fn(frame, keys, order_col)`` adds the window columns.
+    """
+    cols = list(df.columns)
+    staged = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
+    idx = dense_index(staged, "_bk", order, "_i").drop("_bk")
+    laid = lay_out(idx, "_i", block_rows, back, fwd)
+    out = fn(laid, [KEY, "_blk"], "_i")
+    return out.where(F.col("_own")).select(*[_c(c) for c in cols], *[
+        _c(c) for c in out.columns if c not in cols and c not in ("_blk", "_own", "_i")])
+
+
+def row_positions(df: DataFrame, bucket: Column, order: str) -> DataFrame:
+    """Adds ``_rn`` (1-based position in the ticker) and ``_n`` (rows of the ticker)
+    without a window over a whole ticker."""
+    staged = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
+    idx = dense_index(staged, "_bk", order, "_i").drop("_bk")
+    counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    return idx.join(counts, KEY).withColumn("_rn", F.col("_i") + 1).drop("_i")
