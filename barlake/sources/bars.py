@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.numeric import nan_to_null
@@ -66,8 +66,9 @@ def wide_to_long(wide: DataFrame, date_col: str = "date") -> DataFrame:
 def lookback(bars: DataFrame, period: str) -> DataFrame:
     """History by look-back period (S7): 6mo / 1y / 2y / 5y before each ticker's latest bar."""
     months = {"6mo": 6, "1y": 12, "2y": 24, "5y": 60}[period]
-    latest = F.max("date").over(Window.partitionBy("ticker"))
-    return (bars.withColumn("_latest", latest)
+    # latest date per ticker is an aggregate (one row per ticker), joined back
+    latest = bars.groupBy("ticker").agg(F.max("date").alias("_latest"))
+    return (bars.join(latest, "ticker")
             .where(F.col("date") >= F.add_months(F.col("_latest"), -months))
             .drop("_latest"))
 
