@@ -20,7 +20,26 @@ EXACT_MAX_N = 10_000
 
 
 def _inside_prob(n1: int, n2: int, h: int) -> float:
-    # paths that keep |i*n2 - j*n1| < h at every step
+    """Same probability, swept over anti-diagonals s = i + j: every cell on a
+    diagonal depends only on the previous one, so each step is one numpy
+    expression over the band |i * (n1 + n2) - s * n1| < h of that diagonal."""
+    n = n1 + n2
+    prev = np.zeros(n1 + 2)  # prev[i + 1] = f(i, s - 1 - i); prev[0] pads i = -1
+    prev[1] = 1.0
+    cur = np.zeros(n1 + 2)
+    for s in range(1, n + 1):
+        lo = max(0, s - n2, (s * n1 - h) // n + 1)
+        hi = min(n1, s, -((-(s * n1 + h)) // n) - 1)
+        cur[:] = 0.0
+        if lo <= hi:
+            i = np.arange(lo, hi + 1)
+            cur[i + 1] = (i * prev[i] + (s - i) * prev[i + 1]) / s
+        prev, cur = cur, prev
+    return float(prev[n1 + 1])
+
+
+def _inside_prob_rows(n1: int, n2: int, h: int) -> float:
+    # row-by-row reference version: paths that keep |i*n2 - j*n1| < h at every step
     prev = np.zeros(n2 + 1)
     cur = np.zeros(n2 + 1)
     for j in range(n2 + 1):
@@ -61,7 +80,9 @@ def ks_pvalue(n1: int, n2: int, h: int) -> float:
     if h <= 0:
         return 1.0
     if max(n1, n2) <= EXACT_MAX_N:
-        return min(1.0, max(0.0, 1.0 - _inside_prob(int(n1), int(n2), int(h))))
+        a, b = sorted((int(n1), int(n2)), reverse=True)  # symmetric: larger side outer
+        inside = _inside_prob_rows(a, b, int(h)) if b <= 64 else _inside_prob(a, b, int(h))
+        return min(1.0, max(0.0, 1.0 - inside))
     return _asymptotic(n1, n2, h / (n1 * n2))
 
 
