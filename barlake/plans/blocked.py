@@ -93,11 +93,13 @@ def lay_out(df: DataFrame, index: str, block_rows: int, back: int, fwd: int = 0)
             .repartition(KEY, "_blk"))
 
 
-def dense_index(df: DataFrame, block_col: str, order: str, out: str) -> DataFrame:
-    """0-based dense row index per ticker for rows laid out in ordered blocks."""
+def dense_index(df: DataFrame, block_col: str, order: str, out: str, total: str | None = None) -> DataFrame:
+    """0-based dense row index per ticker for rows laid out in ordered blocks
+    (and, with ``total``, the ticker's row count from the same small table)."""
     counts = df.groupBy(KEY, block_col).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(KEY).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(KEY, block_col, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    extra = [F.sum("_cnt").over(Window.partitionBy(KEY)).alias(total)] if total else []
+    offsets = counts.select(KEY, block_col, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"), *extra)
     rn = F.row_number().over(Window.partitionBy(KEY, block_col).orderBy(order))
     return df.join(offsets, [KEY, block_col]).withColumn(out, F.col("_off") + rn - 1).drop("_off")
 
@@ -181,6 +183,5 @@ def row_positions(df: DataFrame, bucket: Column, order: str) -> DataFrame:
     """Adds ``_rn`` (1-based position in the ticker) and ``_n`` (rows of the ticker)
     without a window over a whole ticker."""
     staged = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
-    idx = dense_index(staged, "_bk", order, "_i").drop("_bk")
-    counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    return idx.join(counts, KEY).withColumn("_rn", F.col("_i") + 1).drop("_i")
+    idx = dense_index(staged, "_bk", order, "_i", total="_n").drop("_bk")
+    return idx.withColumn("_rn", F.col("_i") + 1).drop("_i")
