@@ -64,3 +64,40 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str,
         *[(F.col(f"_below_{f}") + F.sum(f"n_{f}").over(inner)).alias(f"cum_{f}") for f in flag_cols],
         *[F.col(f"tot_{f}") for f in flag_cols],
     )
+
+
+def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, p: float,
+                   out: str = "quantile") -> DataFrame:
+    """Exact linear-interpolated quantile per group (``percentile`` semantics) without
+    merging a group's values in one task.
+
+    Target ranks lo = floor(p * (n - 1)) and lo + 1 (0-based). Distinct values are
+    counted per (group, order bucket); the rank range of each bucket comes from a
+    running sum over the small bucket table; only the buckets holding the two
+    target ranks are opened, and inside them a running count finds the values.
+    """
+    v = F.col(value_col)
+    keys = [*group_cols, "_b"]
+    counts = (df.where(v.isNotNull()).select(*group_cols, v.alias("_v"), order_bucket(v).alias("_b"))
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    per_bucket = counts.groupBy(*keys).agg(F.sum("_c").alias("_bc"))
+    below = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per_bucket.select(
+        *keys, F.coalesce(F.sum("_bc").over(below), F.lit(0)).alias("_start"), "_bc",
+        F.sum("_bc").over(Window.partitionBy(*group_cols)).alias("_n"))
+    pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+    ranges = ranges.withColumns({"_lo": F.floor(pos), "_frac": pos - F.floor(pos)})
+    ranges = ranges.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
+    hit = (((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_start") + F.col("_bc")))
+           | ((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_start") + F.col("_bc"))))
+    wanted = ranges.where(hit)
+    inner = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    located = (counts.join(wanted, keys)
+               .withColumn("_end", F.col("_start") + F.sum("_c").over(inner))      # exclusive rank end
+               .withColumn("_first", F.col("_end") - F.col("_c")))
+    at = lambda r: (F.col(r) >= F.col("_first")) & (F.col(r) < F.col("_end"))
+    picked = located.groupBy(*group_cols).agg(
+        F.max(F.when(at("_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(at("_hi"), F.col("_v"))).alias("_vhi"),
+        F.first("_frac").alias("_frac"))
+    return picked.select(*group_cols, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(out))

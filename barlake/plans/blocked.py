@@ -19,7 +19,9 @@ exact:
   merged with the bars by one aggregate;
 * after each missing-value drop the surviving rows are re-indexed: a row
   count per block (small table), prefix sums over blocks, plus a row number
-  inside the block.
+  inside the block;
+* per-ticker scalars are aggregates: the missing share, and the volume cap as
+  an exact quantile over order buckets (``operators.ecdf.exact_quantile``).
 
 Exchanges: one per layout (clean, preprocess, features) plus small per-ticker
 and per-block tables, which AQE broadcasts when measured small.
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from barlake.config import DEFAULT, Config
 from barlake.functions.calendar import weekdays_between
 from barlake.operators.cleaning import forward_fill, preprocess
+from barlake.operators.ecdf import exact_quantile
 from barlake.operators.indicators import add_sentiment, engineer_features
 from barlake.schemas import VALUE_COLS
 
@@ -137,8 +140,8 @@ def clean_blocked(bars: DataFrame, cfg: Config = DEFAULT, block_rows: int = 1 <<
     share = own.groupBy(KEY).agg(F.avg(n_null / F.lit(float(len(values)))).alias("_mp"))
     kept = (own.join(share.where(F.col("_mp") <= F.lit(d.max_missing_pct)).select(KEY), KEY, "left_semi")
             .na.drop(how="any", subset=values))
-    caps = kept.groupBy(KEY).agg(F.percentile(_c("Volume"), F.lit(d.volume_outlier_cap_percentile / 100.0))
-                                 .alias("_cap"))
+    # exact percentile without merging a ticker's volumes in one task
+    caps = exact_quantile(kept, [KEY], "Volume", d.volume_outlier_cap_percentile / 100.0, out="_cap")
     return kept.join(caps, KEY).select(
         KEY, "_blk", "_p", position_date(F.col("_f"), F.col("_p")).alias("date"),
         *[(F.least(_c(c), F.col("_cap")) if c == "Volume" else _c(c)).alias(c) for c in values])

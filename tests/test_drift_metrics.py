@@ -98,3 +98,18 @@ def test_ks_diagonal_sweep_matches_row_dp():
     for n1, n2 in ((50, 30), (1200, 30), (77, 77), (400, 13)):
         for h in (n1, n1 * n2 // 7, n1 * n2 // 3, n1 * n2 // 2):
             assert abs(_inside_prob(n1, n2, h) - _inside_prob_rows(n1, n2, h)) < 1e-12
+
+
+def test_exact_quantile_matches_percentile(spark):
+    from barlake.operators.ecdf import exact_quantile
+
+    rng = np.random.default_rng(2)
+    rows = [("A", float(x)) for x in rng.integers(0, 50, 1000)] + \
+           [("B", float(x)) for x in rng.normal(size=333)] + [("C", 7.0)] + [("D", 1.0), ("D", -2.0)]
+    df = spark.createDataFrame(rows, "ticker string, v double")
+    for p in (0.0, 0.25, 0.5, 0.99, 1.0):
+        got = {r["ticker"]: r["quantile"] for r in exact_quantile(df, ["ticker"], "v", p).collect()}
+        ref = {r["ticker"]: r["q"] for r in df.groupBy("ticker").agg(F.percentile("v", F.lit(p)).alias("q")).collect()}
+        assert set(got) == set(ref)
+        for t in ref:
+            assert abs(got[t] - ref[t]) <= 1e-12 * max(1.0, abs(ref[t])), (p, t, got[t], ref[t])
