@@ -66,6 +66,9 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str,
     )
 
 
+QUANTILE_SUB_BUCKETS = 1024
+
+
 def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, p: float,
                    out: str = "quantile") -> DataFrame:
     """Exact linear-interpolated quantile per group (``percentile`` semantics) without
@@ -78,7 +81,8 @@ def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, p: floa
     """
     v = F.col(value_col)
     keys = [*group_cols, "_b"]
-    counts = (df.where(v.isNotNull()).select(*group_cols, v.alias("_v"), order_bucket(v).alias("_b"))
+    counts = (df.where(v.isNotNull())
+              .select(*group_cols, v.alias("_v"), order_bucket(v, QUANTILE_SUB_BUCKETS).alias("_b"))
               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     per_bucket = counts.groupBy(*keys).agg(F.sum("_c").alias("_bc"))
     below = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

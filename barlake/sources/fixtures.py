@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.operators.ecdf import exact_quantile
+
 # fixed value: day zero for dates derived from ids in the fixtures
 EPOCH = "2024-01-01"
 
@@ -37,7 +39,8 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction log rows from ``events``: prediction = value > median(value),
     confidence = value scaled into [0.5, 1], latency_ms = value."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
-    median = ev.select(F.percentile("value", F.lit(0.5))).scalar()
+    # exact median as a scalar subquery, computed over order buckets (no single-task merge)
+    median = exact_quantile(ev.withColumn("_all", F.lit(0)), ["_all"], "value", 0.5).select("quantile").scalar()
     vmax = ev.select(F.max("value")).scalar()
     return ev.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
