@@ -62,31 +62,41 @@ def clean_with_report(bars: DataFrame, cfg: DataConfig = DataConfig()) -> tuple[
     scored = dense.withColumn(
         "_missing_pct", F.avg(n_null / F.lit(float(len(value_cols)))).over(whole())
     )
-    kept = scored.where(F.col("_missing_pct") <= F.lit(cfg.max_missing_pct)).na.drop(
-        how="any", subset=value_cols
-    )
+    # a row survives when its ticker is kept and every value is present; the cap is the
+    # percentile over surviving rows only (percentile skips the NULLs of the mask)
+    survives = (F.col("_missing_pct") <= F.lit(cfg.max_missing_pct)) & F.coalesce(
+        sum_bool([_c(c).isNotNull() for c in value_cols]), F.lit(False))
     p = cfg.volume_outlier_cap_percentile / 100.0
-    capped = kept.withColumn("_cap", F.percentile(_c("Volume"), F.lit(p)).over(whole()))
-    cleaned = capped.select(
+    capped = scored.withColumn("_keep", survives).withColumn(
+        "_cap", F.percentile(F.when(F.col("_keep"), _c("Volume")), F.lit(p)).over(whole()))
+    cleaned = capped.where(F.col("_keep")).select(
         "ticker", "date",
         *[(F.least(_c(c), F.col("_cap")) if c == "Volume" else _c(c)).alias(c) for c in value_cols],
     )
-    report = (
-        scored.groupBy("ticker").agg(F.first("_missing_pct").alias("missing_pct"))
-        .join(capped.groupBy("ticker").agg(
-            F.first("_cap").alias("volume_cap"),
-            F.count_if(_c("Volume") > F.col("_cap")).alias("n_capped"),
-            F.count(F.lit(1)).alias("cleaned_rows")), "ticker", "left")
-        .select(
-            "ticker", "missing_pct",
-            (F.col("missing_pct") <= F.lit(cfg.max_missing_pct)).alias("kept"),
-            "volume_cap", F.coalesce("n_capped", F.lit(0)).cast("long").alias("n_capped"),
-            F.coalesce("cleaned_rows", F.lit(0)).cast("long").alias("cleaned_rows"),
-        )
+    # the report is one aggregate over the same windowed rows (no second pass)
+    report = capped.groupBy("ticker").agg(
+        F.first("_missing_pct").alias("missing_pct"),
+        F.first("_cap").alias("_cap"),
+        F.count_if(F.col("_keep") & (_c("Volume") > F.col("_cap"))).alias("n_capped"),
+        F.count_if(F.col("_keep")).alias("cleaned_rows"),
+    ).select(
+        "ticker", "missing_pct",
+        (F.col("missing_pct") <= F.lit(cfg.max_missing_pct)).alias("kept"),
+        F.when(F.col("missing_pct") <= F.lit(cfg.max_missing_pct), F.col("_cap")).alias("volume_cap"),
+        F.col("n_capped").cast("long").alias("n_capped"),
+        F.col("cleaned_rows").cast("long").alias("cleaned_rows"),
     )
     return cleaned, report
 
 
+def sum_bool(conds):
+    """AND of a list of boolean Columns."""
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
 def clean(bars: DataFrame, cfg: DataConfig = DataConfig()) -> DataFrame:
     return clean_with_report(bars, cfg)[0]
 
