@@ -69,8 +69,9 @@ def signals(features: DataFrame, rsi_col: str = "rsi_14", vol_col: str = "volati
 
 
 def _fmt(pattern: str, v: Column, places: int) -> Column:
-    # round first: both engines then print the same digits
-    return F.format_string(pattern, F.round(v, places))
+    # half-to-even at the printed place (as Python's format), applied by bround to the
+    # double's shortest decimal form; Java's formatter then prints the digits as they are
+    return F.format_string(pattern, F.bround(v, places))
 
 
 def market_cap_text(mc: Column) -> Column:

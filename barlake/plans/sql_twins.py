@@ -223,8 +223,9 @@ def auc_sql(inner: str, group: str | None) -> str:
     sel = f"{group}, " if group else ""
     grp = f"GROUP BY {group}" if group else ""
     return f"""
-    SELECT {sel}(sum(CASE WHEN label = 1 THEN r END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
-           / (count_if(label = 1)::DOUBLE * count_if(label = 0)) AS roc_auc
+    SELECT {sel}CASE WHEN count_if(label = 1) = 0 OR count_if(label = 0) = 0 THEN NULL ELSE
+           (sum(CASE WHEN label = 1 THEN r END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
+           / (count_if(label = 1)::DOUBLE * count_if(label = 0)) END AS roc_auc
     FROM (SELECT *, rank() OVER ({part} ORDER BY score) + (count(*) OVER ({part2}) - 1) / 2.0 AS r
           FROM ({inner}) s) ranked
     {grp}"""
@@ -351,22 +352,27 @@ def headline_sentiment_sql() -> str:
 def fundamentals_fixture_sql() -> str:
     return """
     SELECT translate(lpad(CAST(s_suppkey AS VARCHAR), 5, '0'), '0123456789', 'ABCDEFGHIJ') AS ticker,
-           s_acctbal / 100.0 AS "trailingPE", s_acctbal / 1000.0 AS "trailingEps",
+           s_acctbal / 97.0 AS "trailingPE", s_acctbal / 971.0 AS "trailingEps",
            CASE WHEN s_suppkey % 7 = 0 THEN 0.0 ELSE abs(s_acctbal) *
-                (CASE WHEN s_nationkey % 3 = 0 THEN 1e9 WHEN s_nationkey % 3 = 1 THEN 1e6 ELSE 1e12 END) / 1000.0
+                (CASE WHEN s_nationkey % 3 = 0 THEN 1e9 WHEN s_nationkey % 3 = 1 THEN 1e6 ELSE 1e12 END) / 997.0
            END AS "marketCap",
-           s_acctbal / 10000.0 AS "profitMargins", s_acctbal / 20000.0 AS "revenueGrowth",
-           abs(s_acctbal) / 10.0 + 1 AS "fiftyTwoWeekHigh", abs(s_acctbal) / 20.0 AS "fiftyTwoWeekLow",
-           abs(s_acctbal) * 1000.0 AS "averageVolume",
-           CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE abs(s_acctbal) / 15.0 END AS "regularMarketPrice"
+           s_acctbal / 9973.0 AS "profitMargins", s_acctbal / 19997.0 AS "revenueGrowth",
+           abs(s_acctbal) / 7.0 + 1 AS "fiftyTwoWeekHigh", abs(s_acctbal) / 13.0 AS "fiftyTwoWeekLow",
+           abs(s_acctbal) * 997.0 / 3.0 AS "averageVolume",
+           CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE abs(s_acctbal) / 17.0 END AS "regularMarketPrice"
     FROM supplier"""
 
 
+def _dec_round(x: str, places: int) -> str:
+    # Spark's bround on a double: half-even on its shortest decimal string
+    return f"CAST(round_even(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, 12)), {places}) AS DOUBLE)"
+
+
 def _cap(c: str, na_zero: bool) -> str:
     na = f"WHEN {c} IS NULL OR {c} = 0 THEN 'N/A'" if na_zero else f"WHEN {c} IS NULL THEN 'N/A'"
-    return (f"CASE {na} WHEN {c} >= 1e12 THEN printf('$%.2fT', round({c} / 1e12, 2)) "
-            f"WHEN {c} >= 1e9 THEN printf('$%.2fB', round({c} / 1e9, 2)) "
-            f"ELSE printf('$%.0fM', round({c} / 1e6, 0)) END")
+    return (f"CASE {na} WHEN {c} >= 1e12 THEN printf('$%.2fT', {_dec_round(c + ' / 1e12', 2)}) "
+            f"WHEN {c} >= 1e9 THEN printf('$%.2fB', {_dec_round(c + ' / 1e9', 2)}) "
+            f"ELSE printf('$%.0fM', {_dec_round(c + ' / 1e6', 0)}) END")
 
 
 def fundamentals_api_sql() -> str:
@@ -380,17 +386,17 @@ def fundamentals_api_sql() -> str:
 
 def fundamentals_dashboard_sql() -> str:
     def num(c):
-        return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', round({c}, 2)) END"
+        return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', {_dec_round(c, 2)}) END"
 
     def pct(c):
-        return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.1f%%', round({c} * 100, 1)) END"
+        return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.1f%%', {_dec_round(c + ' * 100', 1)}) END"
 
     return f"""
     SELECT ticker, {num('"trailingPE"')} AS pe_ratio, {num('"trailingEps"')} AS eps,
            {_cap('"marketCap"', False)} AS market_cap, {pct('"profitMargins"')} AS profit_margin,
            {pct('"revenueGrowth"')} AS revenue_growth, {num('"fiftyTwoWeekHigh"')} AS high_52w,
            {num('"fiftyTwoWeekLow"')} AS low_52w,
-           CASE WHEN "averageVolume" IS NULL THEN 'N/A' ELSE printf('%.1fM', round("averageVolume" / 1e6, 1)) END
+           CASE WHEN "averageVolume" IS NULL THEN 'N/A' ELSE printf('%.1fM', {_dec_round('"averageVolume" / 1e6', 1)}) END
              AS avg_volume
     FROM ({fundamentals_fixture_sql()}) f"""
 

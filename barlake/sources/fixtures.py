@@ -65,7 +65,9 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fundamentals row per supplier: ticker from the key, figures scaled from s_acctbal.
 
     Market cap spans the M / B / T ranges by nation; every fifth key has no
-    price (ticker not found) and every seventh a zero market cap.
+    price (ticker not found) and every seventh a zero market cap. Scale divisors
+    are coprime to 10, so no figure sits exactly on a decimal rounding tie (where
+    engines print differently).
     """
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal")
     letters = F.translate(F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), "0123456789", "ABCDEFGHIJ")
@@ -73,13 +75,13 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     bal = F.col("s_acctbal")
     return s.select(
         letters.alias("ticker"),
-        (bal / 100.0).alias("trailingPE"),
-        (bal / 1000.0).alias("trailingEps"),
-        F.when(F.col("s_suppkey") % 7 == 0, F.lit(0.0)).otherwise(F.abs(bal) * scale / 1000.0).alias("marketCap"),
-        (bal / 10000.0).alias("profitMargins"),
-        (bal / 20000.0).alias("revenueGrowth"),
-        (F.abs(bal) / 10.0 + 1).alias("fiftyTwoWeekHigh"),
-        (F.abs(bal) / 20.0).alias("fiftyTwoWeekLow"),
-        (F.abs(bal) * 1000.0).alias("averageVolume"),
-        F.when(F.col("s_suppkey") % 5 == 0, F.lit(None).cast("double")).otherwise(F.abs(bal) / 15.0).alias("regularMarketPrice"),
+        (bal / 97.0).alias("trailingPE"),
+        (bal / 971.0).alias("trailingEps"),
+        F.when(F.col("s_suppkey") % 7 == 0, F.lit(0.0)).otherwise(F.abs(bal) * scale / 997.0).alias("marketCap"),
+        (bal / 9973.0).alias("profitMargins"),
+        (bal / 19997.0).alias("revenueGrowth"),
+        (F.abs(bal) / 7.0 + 1).alias("fiftyTwoWeekHigh"),
+        (F.abs(bal) / 13.0).alias("fiftyTwoWeekLow"),
+        (F.abs(bal) * 997.0 / 3.0).alias("averageVolume"),
+        F.when(F.col("s_suppkey") % 5 == 0, F.lit(None).cast("double")).otherwise(F.abs(bal) / 17.0).alias("regularMarketPrice"),
     )
