@@ -48,3 +48,34 @@ def test_log_read_and_stream(spark, tmp_path):
     q.awaitTermination()
     mon = spark.read.parquet(str(tmp_path / "mon")).orderBy(F.col("epoch_id").desc()).first()
     assert mon["total_requests"] == 30 and mon["drifted"] is True
+
+
+def test_cli_jobs(spark, tmp_path):
+    from barlake import __main__ as cli
+    from barlake.config import TrainConfig
+    from barlake.operators.classifiers import train_evaluate
+    from barlake.operators.split import random_split
+
+    d = str(tmp_path)
+    bars_from_lineitem(spark, SF001, "l_linestatus").write.partitionBy("ticker").parquet(f"{d}/bars")
+    spark.createDataFrame([("f", "1996-01-01", "2001-06-01"), ("O", "1996-01-01", "2001-06-01"),
+                           ("BAD1", "2000-01-01", "2001-01-01")],
+                          "ticker string, start_date string, end_date string").write.json(f"{d}/requests")
+    cli.main(["build", "--bars", f"{d}/bars", "--out", f"{d}/store", "--start", "1995-01-01", "--end", "2002-01-01"])
+    summary = {r["ticker"]: r for r in spark.read.parquet(f"{d}/store/summary").collect()}
+    assert summary["F"]["feature_rows"] == 1691
+    feats = spark.read.parquet(f"{d}/store/features")
+    train_evaluate(random_split(feats), TrainConfig(lr_max_iter=50), names=["LogisticRegression"],
+                   models_dir=f"{d}/models")
+    cli.main(["analyze", "--requests", f"{d}/requests", "--bars", f"{d}/bars", "--models", f"{d}/models",
+              "--log", f"{d}/log", "--out", f"{d}/analysis"])
+    rows = {r["ticker"]: r for r in spark.read.parquet(f"{d}/analysis/analysis").collect()}
+    assert set(rows) == {"F", "O"} and rows["F"]["model_used"] == "LogisticRegression"
+    assert rows["F"]["direction_prediction"] in ("UP", "DOWN") and rows["F"]["status"] == "OK"
+    assert [r["ticker"] for r in spark.read.parquet(f"{d}/analysis/rejected").collect()] == ["BAD1"]
+    log = read_prediction_log(spark, f"{d}/log")
+    assert log.count() == 2 and len(log.first()["features"]) == 5
+    cli.main(["monitor", "--features", f"{d}/store/features", "--log", f"{d}/log", "--out", f"{d}/monitor"])
+    assert spark.read.parquet(f"{d}/monitor").count() == 2
+    cli.main(["ingest", "--log", f"{d}/log", "--table", f"{d}/log_table", "--checkpoint", f"{d}/ck"])
+    assert spark.read.parquet(f"{d}/log_table").count() == 2
