@@ -147,16 +147,28 @@ def clean_blocked(bars: DataFrame, cfg: Config = DEFAULT, block_rows: int = 1 <<
         *[(F.least(_c(c), F.col("_cap")) if c == "Volume" else _c(c)).alias(c) for c in values])
 
 
-def feature_table_blocked(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None,
-                          block_rows: int = 1 << 18) -> DataFrame:
-    """Same table as ``plans.pipeline.feature_table``, laid out in row blocks."""
-    B = block_rows
-    cleaned = dense_index(clean_blocked(bars, cfg, B), "_blk", "_p", "_i").drop("_p")
-    lay2 = lay_out(cleaned, "_i", B, back=cfg.data.volume_norm_window)
+def preprocessed_blocked(bars: DataFrame, cfg: Config = DEFAULT, block_rows: int = 1 << 18) -> DataFrame:
+    """Cleaned + preprocessed rows (log return, normalised volume), warm-up dropped.
+    Keeps ``_blk`` / ``_i`` (the layout of the preprocess windows)."""
+    cleaned = dense_index(clean_blocked(bars, cfg, block_rows), "_blk", "_p", "_i").drop("_p")
+    lay2 = lay_out(cleaned, "_i", block_rows, back=cfg.data.volume_norm_window)
     pre = preprocess(lay2, cfg.data, key=[KEY, "_blk"], order="_i", drop=False).where(F.col("_own"))
-    pre = pre.na.drop(how="any", subset=[c for c in pre.columns if not c.startswith("_")])
-    pre = dense_index(pre, "_blk", "_i", "_j").drop("_i", "_own")
-    lay3 = lay_out(pre, "_j", B, back=feature_halo(cfg), fwd=1)
+    return pre.na.drop(how="any", subset=[c for c in pre.columns if not c.startswith("_")]).drop("_own")
+
+
+def features_from_preprocessed_blocked(pre: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None,
+                                       block_rows: int = 1 << 18) -> DataFrame:
+    """Feature windows in row blocks over a preprocessed table.
+
+    With ``_blk`` / ``_i`` from ``preprocessed_blocked`` the rows are renumbered
+    from those blocks; a table read back from storage is numbered by year of date.
+    """
+    if "_blk" in pre.columns and "_i" in pre.columns:
+        idx = dense_index(pre, "_blk", "_i", "_j").drop("_i")
+    else:
+        staged = pre.withColumn("_bk", F.year("date")).repartition(KEY, "_bk")
+        idx = dense_index(staged, "_bk", "date", "_j").drop("_bk")
+    lay3 = lay_out(idx, "_j", block_rows, back=feature_halo(cfg), fwd=1)
     feats = engineer_features(lay3, cfg.features, None, key=[KEY, "_blk"], order="_j", index="_j")
     out = feats.where(F.col("_own")).drop("_blk", "_own", "_j", "sentiment_score")
     out = add_sentiment(out, sentiment, cfg.features.sentiment_neutral_fill)
@@ -164,6 +176,13 @@ def feature_table_blocked(bars: DataFrame, cfg: Config = DEFAULT, sentiment: Dat
     return out.select(*[_c(c) for c in names])
 
 
+def feature_table_blocked(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None,
+                          block_rows: int = 1 << 18) -> DataFrame:
+    """Same table as ``plans.pipeline.feature_table``, laid out in row blocks."""
+    pre = preprocessed_blocked(bars, cfg, block_rows)
+    return features_from_preprocessed_blocked(pre, cfg, sentiment, block_rows)
+
+
 def blocked_window(df: DataFrame, bucket: Column, order: str, back: int, fwd: int, fn,
                    block_rows: int = 1 << 16) -> DataFrame:
     """Run per-ticker ROWS-frame windows (reaching ``back`` rows behind, ``fwd`` ahead)

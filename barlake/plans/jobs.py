@@ -33,14 +33,22 @@ def build(bars: DataFrame, out_dir: str, start: str, end: str, cfg: Config = DEF
           sentiment: DataFrame | None = None, run_date: str | None = None,
           requested: DataFrame | None = None) -> DataFrame:
     """Run the whole build for all tickers; returns the job summary per ticker."""
-    bars = by_ticker(bars)
+    blocked = cfg.layout.series_layout == "blocked"
     report = validate(bars)
-    cleaned, clean_rep = clean_with_report(bars, cfg.data)
-    pre = preprocess(cleaned, cfg.data)
+    cleaned, clean_rep = clean_with_report(by_ticker(bars), cfg.data)
+    if blocked:
+        from barlake.plans.blocked import features_from_preprocessed_blocked, preprocessed_blocked
+
+        pre = preprocessed_blocked(bars, cfg, cfg.layout.block_rows).drop("_blk", "_i")
+    else:
+        pre = preprocess(cleaned, cfg.data)
     W.write_raw(pre, f"{out_dir}/raw", run_date)
     W.write_metadata(run_metadata(pre, report, start, end), f"{out_dir}/metadata", run_date)
     raw = load_latest_raw(bars.sparkSession, f"{out_dir}/raw").drop("run_date")
-    feats = engineer_features(by_ticker(raw), cfg.features, sentiment)
+    if blocked:
+        feats = features_from_preprocessed_blocked(raw, cfg, sentiment, cfg.layout.block_rows)
+    else:
+        feats = engineer_features(by_ticker(raw), cfg.features, sentiment)
     W.save_features(feats, f"{out_dir}/features")
     stored = load_feature_data(bars.sparkSession, f"{out_dir}/features")
     counts = stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("feature_rows"))

@@ -57,3 +57,16 @@ def test_blocked_hot_ticker_with_gaps(spark):
     bars = make_bars(spark, rows)
     spec = features_spec(DEFAULT)
     assert same(spark_project(feature_table(bars), spec), spark_project(feature_table(bars, blocked(256)), spec))
+
+
+def test_build_job_blocked_equals_per_ticker(spark, tmp_path):
+    from barlake.plans import jobs
+    from barlake.sources.tables import load_feature_data
+
+    bars = bars_from_lineitem(spark, SF001, "l_linestatus")
+    spec = features_spec(DEFAULT)
+    jobs.build(bars, str(tmp_path / "a"), "1995-01-01", "2002-01-01")
+    jobs.build(bars, str(tmp_path / "b"), "1995-01-01", "2002-01-01", blocked(300))
+    a = spark_project(load_feature_data(spark, str(tmp_path / "a/features")), spec)
+    b = spark_project(load_feature_data(spark, str(tmp_path / "b/features")), spec)
+    assert a.count() == 3395 and same(a, b)
