@@ -111,6 +111,14 @@ def clean_blocked(bars: DataFrame, cfg: Config = DEFAULT, block_rows: int = 1 <<
     """Calendar densify + fill + sparse drop + volume cap on calendar positions.
 
     Returns cleaned rows with ``_blk`` (the position block) and ``_p`` (position)."""
+    return clean_blocked_with_report(bars, cfg, block_rows)[0]
+
+
+def clean_blocked_with_report(bars: DataFrame, cfg: Config = DEFAULT,
+                              block_rows: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """``clean_blocked`` plus the clean report of ``operators.cleaning.clean_with_report``
+    (missing share, kept flag, volume cap, capped and cleaned row counts), all from
+    per-ticker aggregates."""
     d = cfg.data
     values = [c for c in VALUE_COLS if c in bars.columns]
     B, H = block_rows, d.max_consecutive_fill
@@ -142,9 +150,18 @@ def clean_blocked(bars: DataFrame, cfg: Config = DEFAULT, block_rows: int = 1 <<
             .na.drop(how="any", subset=values))
     # exact percentile without merging a ticker's volumes in one task
     caps = exact_quantile(kept, [KEY], "Volume", d.volume_outlier_cap_percentile / 100.0, out="_cap")
-    return kept.join(caps, KEY).select(
+    cleaned = kept.join(caps, KEY).select(
         KEY, "_blk", "_p", position_date(F.col("_f"), F.col("_p")).alias("date"),
         *[(F.least(_c(c), F.col("_cap")) if c == "Volume" else _c(c)).alias(c) for c in values])
+    counts = kept.join(caps, KEY).groupBy(KEY).agg(
+        F.first("_cap").alias("volume_cap"),
+        F.count_if(_c("Volume") > F.col("_cap")).alias("n_capped"),
+        F.count(F.lit(1)).alias("cleaned_rows"))
+    report = share.join(counts, KEY, "left").select(
+        KEY, F.col("_mp").alias("missing_pct"), (F.col("_mp") <= F.lit(d.max_missing_pct)).alias("kept"),
+        "volume_cap", F.coalesce("n_capped", F.lit(0)).cast("long").alias("n_capped"),
+        F.coalesce("cleaned_rows", F.lit(0)).cast("long").alias("cleaned_rows"))
+    return cleaned, report
 
 
 def preprocessed_blocked(bars: DataFrame, cfg: Config = DEFAULT, block_rows: int = 1 << 18) -> DataFrame:

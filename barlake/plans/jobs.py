@@ -35,12 +35,14 @@ def build(bars: DataFrame, out_dir: str, start: str, end: str, cfg: Config = DEF
     """Run the whole build for all tickers; returns the job summary per ticker."""
     blocked = cfg.layout.series_layout == "blocked"
     report = validate(bars)
-    cleaned, clean_rep = clean_with_report(by_ticker(bars), cfg.data)
     if blocked:
-        from barlake.plans.blocked import features_from_preprocessed_blocked, preprocessed_blocked
+        from barlake.plans.blocked import (clean_blocked_with_report, features_from_preprocessed_blocked,
+                                           preprocessed_blocked)
 
+        clean_rep = clean_blocked_with_report(bars, cfg, cfg.layout.block_rows)[1]
         pre = preprocessed_blocked(bars, cfg, cfg.layout.block_rows).drop("_blk", "_i")
     else:
+        cleaned, clean_rep = clean_with_report(by_ticker(bars), cfg.data)
         pre = preprocess(cleaned, cfg.data)
     W.write_raw(pre, f"{out_dir}/raw", run_date)
     W.write_metadata(run_metadata(pre, report, start, end), f"{out_dir}/metadata", run_date)

@@ -70,3 +70,16 @@ def test_build_job_blocked_equals_per_ticker(spark, tmp_path):
     a = spark_project(load_feature_data(spark, str(tmp_path / "a/features")), spec)
     b = spark_project(load_feature_data(spark, str(tmp_path / "b/features")), spec)
     assert a.count() == 3395 and same(a, b)
+
+
+def test_blocked_clean_report_equals_per_ticker(spark):
+    from barlake.plans.blocked import clean_blocked_with_report
+    from barlake.plans.pipeline import clean_report
+
+    for key in ("l_linestatus", "l_returnflag"):      # kept tickers and dropped tickers
+        bars = bars_from_lineitem(spark, SF001, key)
+        spec = [("ticker", "string"), ("missing_pct", "double"), ("kept", "bool"), ("volume_cap", "double"),
+                ("n_capped", "long"), ("cleaned_rows", "long")]
+        a = spark_project(clean_report(bars), spec)
+        b = spark_project(clean_blocked_with_report(bars, DEFAULT, 200)[1], spec)
+        assert same(a, b)
