@@ -519,3 +519,13 @@ def q_log_stream_ingest(spark, sf_dir):
     log.write.mode("append").json(f"{base}/logs")
     PS.ingest(spark, f"{base}/logs", f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return spark_project(spark.read.parquet(f"{base}/table"), INGEST_SPEC)
+
+
+@register("clean_report_blocked", sql_project(sq.clean_report_sql("l_returnflag"), CLEAN_REPORT_SPEC))
+def q_clean_report_blocked(spark, sf_dir):
+    """G2/G3/G4/F11 in the blocked layout: calendar positions in 512-row blocks,
+    missing share and exact volume cap from per-ticker aggregates."""
+    from barlake.plans.blocked import clean_blocked_with_report
+
+    bars = bars_from_lineitem(spark, sf_dir, "l_returnflag")
+    return spark_project(clean_blocked_with_report(bars, BLOCKED, 512)[1], CLEAN_REPORT_SPEC)
