@@ -14,7 +14,9 @@ e^-300 relative: the result is exact in double precision, linear time, no
 join and no extra exchange (the blocks refine the ticker partitioning).
 
 Several EMAs over the same rows are computed side by side in the same
-projections (three selects in all), which keeps the plan shallow.
+projections (three selects in all), which keeps the plan shallow; when one
+block size suits every span (``shared_block_size``) they share one partition
+spec and one sort.
 """
 
 from __future__ import annotations

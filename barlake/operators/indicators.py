@@ -1,11 +1,15 @@
 """Technical indicators (W3-W13) and the feature table.
 
-All windows share ``partitionBy(ticker).orderBy(date)``: Catalyst groups the
-expressions into a few Window nodes over the one ticker exchange. The
-indicator expressions are built as plain Columns and applied in one wide
-projection; the EMAs need three more. The feature stage runs on the
-preprocessed table, whose warm-up drop must happen first, so preprocess and
-features stay two passes (a filter between them, no exchange).
+All windows share ``partitionBy(ticker).orderBy(date)`` (or, in the blocked
+layout, ``partitionBy(ticker, block)`` ordered by a global row index): Catalyst
+groups them into a few Window nodes over the one exchange. Spark evaluates a
+repeated window expression once per occurrence, so the feature stage is
+staged: offset windows (lag / lead) first, then each distinct rolling
+aggregate once as a column (``RollingSet``), then plain arithmetic on those
+columns. The EMAs share one position column and, when their spans allow, one
+block size. The feature stage runs on the preprocessed table, whose warm-up
+drop must happen first, so preprocess and features stay two passes (a filter
+between them, no exchange).
 """
 
 from __future__ import annotations
