@@ -36,7 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--end", default=DEFAULT.data.default_end_date)
     b.add_argument("--news")
     b.add_argument("--lexicon")
-    b.add_argument("--blocked", action="store_true", help="row-block layout for hot tickers")
+    b.add_argument("--layout", choices=["auto", "ticker", "blocked"], default="auto",
+                   help="series layout; auto = blocked when the largest ticker exceeds one task's share")
     t = sub.add_parser("train")
     t.add_argument("--features", required=True)
     t.add_argument("--out", required=True)
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
         from barlake.schemas import NEWS
         from barlake.sources.bars import read_bars
 
-        cfg = replace(DEFAULT, layout=LayoutConfig(series_layout="blocked")) if args.blocked else DEFAULT
+        cfg = replace(DEFAULT, layout=LayoutConfig(series_layout=args.layout))
         bars = read_bars(spark, args.bars, tickers=args.tickers, start=args.start, end=args.end)
         sentiment = None
         if args.news and args.lexicon:

@@ -85,6 +85,8 @@ class LayoutConfig:
     """
     series_layout: str = "ticker"
     block_rows: int = 1 << 18
+    # "auto" picks "blocked" when the largest ticker has more rows than this
+    max_rows_per_task: int = 1 << 20
 
 
 @dataclass(frozen=True)

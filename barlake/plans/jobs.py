@@ -33,6 +33,9 @@ def build(bars: DataFrame, out_dir: str, start: str, end: str, cfg: Config = DEF
           sentiment: DataFrame | None = None, run_date: str | None = None,
           requested: DataFrame | None = None) -> DataFrame:
     """Run the whole build for all tickers; returns the job summary per ticker."""
+    from barlake.plans.pipeline import choose_layout
+
+    cfg = choose_layout(bars, cfg)
     blocked = cfg.layout.series_layout == "blocked"
     report = validate(bars)
     if blocked:

@@ -30,6 +30,7 @@ def preprocessed_bars(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def feature_table(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None) -> DataFrame:
     """Feature table; ``cfg.layout`` picks per-ticker partitions or row blocks with halos."""
+    cfg = choose_layout(bars, cfg)
     if cfg.layout.series_layout == "blocked":
         from barlake.plans.blocked import feature_table_blocked
 
@@ -37,5 +38,21 @@ def feature_table(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame |
     return engineer_features(preprocessed_bars(bars, cfg), cfg.features, sentiment)
 
 
+def choose_layout(bars: DataFrame, cfg: Config = DEFAULT) -> Config:
+    """Resolve ``series_layout = "auto"``: one aggregate over the ticker column gives the
+    largest ticker's row count; above ``max_rows_per_task`` the blocked layout is used.
+
+    Meant for stored bar tables (a cheap columnar pass); bars derived from raw data
+    on the fly would pay that derivation twice, so set the layout explicitly there.
+    """
+    from dataclasses import replace
+
+    if cfg.layout.series_layout != "auto":
+        return cfg
+    biggest = bars.groupBy("ticker").count().agg(F.max("count")).first()[0] or 0
+    layout = "blocked" if biggest > cfg.layout.max_rows_per_task else "ticker"
+    return replace(cfg, layout=replace(cfg.layout, series_layout=layout))
+
+
 def clean_report(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return clean_with_report(by_ticker(bars), cfg.data)[1]

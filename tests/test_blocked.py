@@ -83,3 +83,14 @@ def test_blocked_clean_report_equals_per_ticker(spark):
         a = spark_project(clean_report(bars), spec)
         b = spark_project(clean_blocked_with_report(bars, DEFAULT, 200)[1], spec)
         assert same(a, b)
+
+
+def test_auto_layout_choice(spark):
+    from barlake.plans.pipeline import choose_layout
+
+    bars = bars_from_lineitem(spark, SF001, "l_linestatus")
+    small = replace(DEFAULT, layout=LayoutConfig(series_layout="auto", max_rows_per_task=100))
+    large = replace(DEFAULT, layout=LayoutConfig(series_layout="auto", max_rows_per_task=10_000))
+    assert choose_layout(bars, small).layout.series_layout == "blocked"
+    assert choose_layout(bars, large).layout.series_layout == "ticker"
+    assert choose_layout(bars, DEFAULT).layout.series_layout == "ticker"
