@@ -25,3 +25,32 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 30
+
+
+def test_no_unpartitioned_windows_in_registered_plans(spark):
+    """No registered query moves data into one task through a window without PARTITION BY.
+
+    Excluded by name: the global rank statistics (overall AUC; the global median of the
+    log fixture, read by the three log queries). Their un-partitioned windows are the
+    prefix sum and total over an order-bucket table, bounded by construction (signs x
+    exponents x slices), not by the data.
+    """
+    skip = {"train_evaluate", "analysis_report", "anomaly_summary", "anomalies_top", "log_stream_ingest",
+            "feature_drift", "retrain_decision"}
+    global_stats = {"roc_auc_overall", "prediction_drift", "log_kpis", "prediction_histogram"}
+    # a window spec whose first element is an ordering term or the frame has no PARTITION BY
+    unpartitioned = re.compile(
+        r"windowspecdefinition\((?:[^,()]+ (?:ASC|DESC) NULLS (?:FIRST|LAST)|specifiedwindowframe)")
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    probe = spark.range(3).withColumn("r", F.row_number().over(Window.orderBy("id")))
+    assert unpartitioned.search(probe._jdf.queryExecution().executedPlan().toString())  # the check bites
+    offenders = []
+    for name, fn in E.queries().items():
+        if name in skip or name in global_stats:
+            continue
+        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        if unpartitioned.search(plan):
+            offenders.append(name)
+    assert offenders == [], offenders
