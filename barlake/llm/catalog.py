@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.toxicity_ftrl import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.token_counts import count_tokens
 
@@ -35,7 +41,7 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_token_counts, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op3_toxicity_ftrl, op6_token_counts, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
