@@ -34,6 +34,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.fair_mix import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.bitplane import token_files
 
@@ -41,8 +47,10 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity_ftrl, op6_token_counts, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op3_toxicity_ftrl, op6_token_counts, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from barlake.llm import fair_mix
+
+    return {"op9_fair_mix": fair_mix.ORACLE}
