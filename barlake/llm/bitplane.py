@@ -19,7 +19,7 @@ shuffled to read the files back, and a lost task is simply read again.
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +33,7 @@ from barlake.llm.shared import Generations, scratch
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 ZSTD_LEVEL = 3
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 
 SEGMENT_SCHEMA = (
     "shard int, seg int, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -43,46 +43,85 @@ _BLOCKS = pa.list_(pa.struct([("offset", pa.int64()), ("n_ids", pa.int64()), ("p
 _SEGMENT = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                       ("lengths", pa.list_(pa.int64())), ("blocks", _BLOCKS), ("plane_bits", pa.int32())])
 
-#: A space or line feed beside other white space: there the tokenizer's pre-tokens reach over it.
-_RUNS = re.compile(r"[ \n]\s|\s[ \n]")
+#: Texts are encoded in groups of so many; pieces that a group lacks go to the library at once.
+GROUP = 256
+
+
+def _latin(word: str) -> bool:
+    """Letters only, of blocks whose classes no Unicode version has changed."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
+def _word(key: str) -> str:
+    """The word of a key that is a word with punctuation behind it, else nothing."""
+    word = key.rstrip(string.punctuation)
+    return word if len(word) < len(key) and _latin(word[word[:1] == "\n":]) else ""
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
+    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    The byte-level pre-tokenizer never joins a word with the single space or line feed that
-    follows it, so a text without white-space runs is cut there and each piece is encoded
-    once per worker. Other texts, and texts with an added token's string, go whole to the
-    tokenizer.
+    The byte-level pre-tokenizer never joins a word with the single space or line feed behind
+    it, so texts whose white space is only that are cut there, and each piece is encoded once
+    per worker: a piece is keyed without its leading space, or with its leading line feed.
+    Other texts, and texts with an added token's string, go whole to the tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # words of letters are one pre-token each, so they need no pattern: a line feed parts them
+        self.lines = Tokenizer.from_file(tokenizer_path)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.feed = self._whole("\n")
         self.pieces = Generations(self._piece, CACHE_ENTRIES)
-        self.bare = Generations(self._whole, CACHE_ENTRIES // 10)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, key: str) -> bytes:
-        # a letter and a comma or stop behind it are two pre-tokens
-        if len(key) > 1 and key[-1] in ".," and key[-2].isalpha() and key[-2] < "ɐ":
-            return self.pieces[key[:-1]] + self.bare[key[-1]]
+        word = _word(key)
+        if word:  # a word and the punctuation behind it are two pre-tokens
+            return self.pieces[word] + self.pieces["\n" + key[len(word):]][len(self.feed):]
         return self._whole(key if key[:1] == "\n" else " " + key)
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _RUNS.search(text) or any(a in text for a in self.added):
-            return self._whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._first(first) + b"".join(map(self.pieces.__getitem__, rest))
-
-    def _first(self, piece: str) -> bytes:
-        return self._whole(piece) if piece else b""
+    def _learn(self, keys: set[str]) -> None:
+        """Encodes the words among new keys together."""
+        new = {_word(k) or k for k in keys}
+        new = [k for k in new if k not in self.pieces and k not in self.pieces.old and _latin(k[k[:1] == "\n":])]
+        if not new:
+            return
+        text = "\n".join(k[1:] if k[0] == "\n" else " " + k for k in new)
+        ids = np.asarray(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]), len(ids)) * 4
+        data, start = ids.tobytes(), 0
+        for key, end in zip(new, ends.tolist()):
+            self.pieces.put(key, (self.feed if key[0] == "\n" else b"") + data[start:end])
+            start = end + 4
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Pieces, the first one as if behind a line feed; None where white space meets or is of other kinds."""
+        parts = text.split()
+        gaps = len(parts) - 1
+        if gaps < 0 or sum(map(len, parts)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
+            return None
+        if any(a in text for a in self.added):
+            return None
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(texts), GROUP):
+            group = texts[k:k + GROUP]
+            cut = [self._cut(t) for t in group]
+            self._learn(set().union(*(c for c in cut if c)) - self.pieces.keys())
+            for text, pieces in zip(group, cut):
+                if pieces is not None:
+                    yield b"".join(map(self.pieces.__getitem__, pieces))[len(self.feed):]
+                else:
+                    yield self._whole(text) if text else b""
 
 
 def to_planes(ids: np.ndarray, plane_bits: int) -> list[bytes]:
@@ -131,8 +170,8 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, bl
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode(text.as_py()) + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                data += end
                 doc_ids.append(doc_id)
                 lengths.append(len(data) // 4)
                 parts.append(data)
