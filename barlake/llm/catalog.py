@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.quality_lines import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.toxicity_ftrl import score
 
@@ -47,10 +53,10 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity_ftrl, op6_token_counts, op9_fair_mix, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op6_token_counts, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from barlake.llm import fair_mix
+    from barlake.llm import fair_mix, quality_lines
 
-    return {"op9_fair_mix": fair_mix.ORACLE}
+    return {"op1_line_frequency": quality_lines.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
