@@ -4,8 +4,8 @@ A text is cut before every single space and line feed. Such a cut is exact when
 vocabulary piece holds the two characters beside it, which :class:`Counter` checks against
 the vocabulary, so the tokens of a text are the tokens of its pieces.
 
-- Tier 1: a table of the most frequent pieces and their token counts, fitted on at most
-  ``SAMPLE_ROWS`` documents and broadcast. At most ``HOT_ENTRIES`` entries of at most
+- Tier 1: a table of the most frequent pieces and their token counts, fitted on the
+  starts of at most ``SAMPLE_ROWS`` documents and broadcast. At most ``HOT_ENTRIES`` entries of at most
   ``HOT_CHARS`` characters, whatever the corpus.
 - Tier 2: per worker, a bounded cache in front of the library.
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from barlake.llm.shared import Generations
 
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_000
+SAMPLE_CHARS = 8_192
 HOT_ENTRIES = 50_000
 HOT_CHARS = 64
 CACHE_ENTRIES = 300_000
@@ -93,19 +94,16 @@ def _counter(model_path: str) -> Counter:
 
 
 def hot_table(docs: DataFrame, model_path: str, text_col: str = "text") -> tuple[str, bytes]:
-    """The frequent pieces (joined by spaces, which no piece holds) and their counts, one byte each."""
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter, seen = _counter(model_path), Tally()
-        for frame in frames:
-            for text in frame["text"]:
-                seen.update(counter.split(text) or ())
-        top = [(p, n) for p in (p for p, _ in seen.most_common(2 * HOT_ENTRIES) if len(p) <= HOT_CHARS)
-               if (n := counter.pieces[p]) < 256][:HOT_ENTRIES]
-        yield pd.DataFrame(top, columns=["piece", "n"])
-
-    sample = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).limit(SAMPLE_ROWS).coalesce(1)
-    rows = sample.mapInPandas(tally, "piece string, n int").collect()
-    return " ".join(r.piece for r in rows), bytes(r.n for r in rows)
+    """The frequent pieces of the sample (joined by spaces, which no piece holds) and their counts, one byte each.
+
+    ``take`` reads as few partitions as it needs and brings at most ``SAMPLE_ROWS`` strings
+    of ``SAMPLE_CHARS`` characters to the driver.
+    """
+    counter, seen = _counter(model_path), Tally()
+    for row in docs.select(F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).where("text is not null").take(SAMPLE_ROWS):
+        seen.update(counter.split(row.text) or ())
+    top = [(p, n) for p, _ in seen.most_common(HOT_ENTRIES) if len(p) <= HOT_CHARS and (n := counter.pieces[p]) < 256]
+    return " ".join(p for p, _ in top), bytes(n for _, n in top)
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col: str = "doc_id",
