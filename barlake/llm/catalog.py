@@ -40,6 +40,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_group_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.group_prefix_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.fair_mix import mix
 
@@ -53,7 +59,7 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op6_token_counts, op9_fair_mix, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op6_token_counts, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
