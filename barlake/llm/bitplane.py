@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import Generations, scratch
+from barlake.llm.shared import Generations, scratch, ship
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
@@ -182,6 +182,7 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, bl
         if doc_ids:
             yield flush()
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     return rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text").mapInArrow(run, SEGMENT_SCHEMA)

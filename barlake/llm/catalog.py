@@ -34,6 +34,12 @@ def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.tiling import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.token_counts import count_tokens
 
@@ -59,7 +65,7 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op6_token_counts, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op5_string_tiling, op6_token_counts, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import Generations
+from barlake.llm.shared import Generations, ship
 
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 8_192
@@ -110,6 +110,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col:
                  text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit. Null texts are empty: 0 bytes, 0 tokens."""
     spark = docs.sparkSession
+    ship(spark)
     table = spark.sparkContext.broadcast(hot_table(docs, model_path, text_col))
 
     @F.pandas_udf("long")

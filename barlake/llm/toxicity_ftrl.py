@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import Generations
+from barlake.llm.shared import Generations, ship
 
 BITS = 24
 MAX_ROWS = 12_000
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_co
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id",
           text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted. Null texts are empty texts."""
+    ship(docs.sparkSession)
     at, w = train(docs, labels, id_col=id_col, text_col=text_col, **options)
     model = docs.sparkSession.sparkContext.broadcast((at.astype(np.uint32), w.astype(np.float32)))
 
