@@ -46,6 +46,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.warc_merge import archive_history, digest_rows
+
+    history = archive_history(table(spark, sf_dir, "pages"))
+    return digest_rows(history).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_group_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.group_prefix_join import join_components
 
@@ -65,10 +72,11 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op5_string_tiling, op6_token_counts, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op5_string_tiling, op6_token_counts, op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from barlake.llm import fair_mix, quality_lines
+    from barlake.llm import fair_mix, quality_lines, warc_merge
 
-    return {"op1_line_frequency": quality_lines.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
+    return {"op1_line_frequency": quality_lines.ORACLE, "op7_warc_merge": warc_merge.ORACLE,
+            "op9_fair_mix": fair_mix.ORACLE}
