@@ -34,6 +34,12 @@ def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.pii_bootstrap import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.tiling import contamination
 
@@ -72,7 +78,7 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op5_string_tiling, op6_token_counts, op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op4_pii_bootstrap, op5_string_tiling, op6_token_counts, op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
