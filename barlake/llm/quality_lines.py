@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import SPACE, words
+from barlake.llm.shared import SPACE, words, written
 
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -102,19 +102,26 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
 
 
+def _verdicts(slim: DataFrame, max_docs: int, max_lost: int) -> DataFrame:
+    """Per row: id, content, the counts, kept, and the positions of the lines to remove.
+
+    Written, so that a filter on a verdict is no reason to evaluate the counts once more.
+    """
+    lost = (removed_lines(slim, max_docs).groupBy("id", "content").agg(F.sum("n").alias("gone"), F.collect_set("pos").alias("at"))
+            .select(F.col("id").alias("of"), F.col("content").alias("of_content"), "gone", "at"))
+    base = base_counts(slim).withColumn("content", _content(F.col("text"))).drop("text", "host")
+    on = F.col("id").eqNullSafe(F.col("of")) & (F.col("content") == F.col("of_content"))
+    rows = base.join(lost, on, "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("long")).drop("of", "of_content", "gone")
+    kept = ~F.col("base_failed") & (100 * F.col("n_removed_words") <= max_lost * F.col("n_words"))
+    return written(rows.withColumn("kept", kept), "verdicts")
+
+
 def judged(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST, id_col: str = "doc_id",
            text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, n_removed_words, kept."""
-    slim = _slim(docs, id_col, text_col, host_col)
-    lost = (removed_lines(slim, max_docs).groupBy("id", "content").agg(F.sum("n").alias("gone"))
-            .select(F.col("id").alias("of"), F.col("content").alias("of_content"), "gone"))
-    base = base_counts(slim).withColumn("content", _content(F.col("text"))).drop("text", "host")
-    on = F.col("id").eqNullSafe(F.col("of")) & (F.col("content") == F.col("of_content"))
-    gone = F.coalesce("gone", F.lit(0))
-    return base.join(lost, on, "left").select(
+    return _verdicts(_slim(docs, id_col, text_col, host_col), max_docs, max_lost).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        gone.cast("long").alias("n_removed_words"),
-        (~F.col("base_failed") & (100 * gone <= max_lost * F.col("n_words"))).alias("kept"))
+        "n_removed_words", "kept")
 
 
 def kept_rows(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST, id_col: str = "doc_id",
@@ -123,18 +130,16 @@ def kept_rows(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_lost: int = MAX_
 
     ``chars_col`` names a column that holds the text's length; it follows a changed text.
     """
-    slim = _slim(docs, id_col, text_col, host_col)
-    lost = (removed_lines(slim, max_docs).groupBy("id", "content").agg(F.sum("n").alias("gone"), F.collect_set("pos").alias("at"))
-            .select(F.col("id").alias("of"), F.col("content").alias("of_content"), "gone", "at"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = base_counts(rows).where(~F.col("base_failed")).select("row", "id", "n_words", _content(F.col("text")).alias("content"))
-    on = F.col("id").eqNullSafe(F.col("of")) & (F.col("content") == F.col("of_content"))
-    rows = rows.join(lost, on, "left").where(F.coalesce(100 * F.col("gone") <= max_lost * F.col("n_words"), F.lit(True)))
+    passed = (_verdicts(_slim(docs, id_col, text_col, host_col), max_docs, max_lost).where("kept")
+              .select(F.col("id").alias("of"), F.col("content").alias("of_content"), "at").dropDuplicates(["of", "of_content"]))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _content(F.col(text_col)).alias("content"))
+    rows = rows.join(passed, F.col("id").eqNullSafe(F.col("of")) & (F.col("content") == F.col("of_content")))
     whole = F.col("row")[text_col]
     rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x, k: ~F.array_contains("at", k)), "\n")
-    rows = rows.withColumn("left", F.when(F.col("at").isNull(), whole).otherwise(rest))
-    new = {text_col: F.col("left")} | ({chars_col: F.when(F.col("at").isNull(), F.col("row")[chars_col])
-                                        .otherwise(F.length("left").cast("long"))} if chars_col else {})
+    rows = rows.select("row", "at", F.when(F.col("at").isNull(), whole).otherwise(rest).alias("left"))
+    new = {text_col: F.col("left")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("at").isNull(), F.col("row")[chars_col]).otherwise(F.length("left").cast("long"))
     return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
