@@ -9,7 +9,7 @@ import xxhash
 
 from barlake.llm.shared import Generations
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

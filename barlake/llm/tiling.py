@@ -44,7 +44,7 @@ _MARKS = string.punctuation.encode()
 
 @lru_cache(maxsize=1)
 def _hashes() -> Generations:
-    return Generations(lambda word: xxhash.xxh3_64_intdigest(word.strip(_MARKS) or word), 400_000)
+    return Generations(lambda word: xxhash.xxh3_64_intdigest(word.strip(_MARKS) or word), 100_000)
 
 
 def word_codes(text: str | None) -> np.ndarray:

@@ -33,7 +33,7 @@ BITS = 24
 MAX_ROWS = 12_000
 MIN_ROWS = 4
 TOXIC_WEIGHT = 5.0
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: FTRL-proximal: learning rate, its smoothing, L1, passes over the rows.
 ALPHA, BETA, L1, PASSES = 2.0, 1.0, 6.0, 4
 
@@ -86,15 +86,15 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, values: np.ndarray) -> np.n
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) other than zero; a weight has its coordinate's value in it."""
-    seen = np.zeros(1 << BITS, np.int32)
+    seen = np.zeros(1 << BITS, np.uint16 if len(rows) < 1 << 16 else np.uint32)
     for at in rows:
         seen[at] += 1
-    kept = seen >= min(MIN_ROWS, len(rows))
-    kept[_BIAS] = True
-    names, place = np.flatnonzero(kept), np.cumsum(kept, dtype=np.int64) - 1
-    values = np.log(len(rows) / np.maximum(seen[names], 1)) / max(np.log(len(rows) / MIN_ROWS), 1.0)
+    seen[_BIAS] = max(seen[_BIAS], MIN_ROWS)
+    least = min(MIN_ROWS, max(len(rows), 1))
+    names = np.flatnonzero(seen >= least).astype(np.uint32)
+    values = np.log(len(rows) / seen[names]) / max(np.log(len(rows) / MIN_ROWS), 1.0)
     values[names == _BIAS] = 1.0
-    w = ftrl([place[at[kept[at]]] for at in rows], labels, values) * values
+    w = ftrl([np.searchsorted(names, at[seen[at] >= least]) for at in rows], labels, values) * values
     return names[w != 0], w[w != 0]
 
 
