@@ -19,7 +19,7 @@ shuffled to read the files back, and a lost task is simply read again.
 
 from __future__ import annotations
 
-import string
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +32,8 @@ from barlake.llm.shared import Generations, scratch, ship
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
-ZSTD_LEVEL = 3
-CACHE_ENTRIES = 400_000
+ZSTD_LEVEL = 1
+CACHE_ENTRIES = 700_000
 
 SEGMENT_SCHEMA = (
     "shard int, seg int, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -44,18 +44,12 @@ _SEGMENT = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.i
                       ("lengths", pa.list_(pa.int64())), ("blocks", _BLOCKS), ("plane_bits", pa.int32())])
 
 #: Texts are encoded in groups of so many; pieces that a group lacks go to the library at once.
-GROUP = 256
+GROUP = 512
 
 
-def _latin(word: str) -> bool:
-    """Letters only, of blocks whose classes no Unicode version has changed."""
-    return word.isalpha() and max(word) < "\u0250"
-
-
-def _word(key: str) -> str:
-    """The word of a key that is a word with punctuation behind it, else nothing."""
-    word = key.rstrip(string.punctuation)
-    return word if len(word) < len(key) and _latin(word[word[:1] == "\n":]) else ""
+#: A word of letters, of blocks whose classes no Unicode version has changed, perhaps behind a
+#: line feed, and the punctuation behind it: two pre-tokens.
+_PIECE = re.compile("(\n?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
 
 class Encoder:
@@ -78,37 +72,40 @@ class Encoder:
             pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.feed = self._whole("\n")
         self.pieces = Generations(self._piece, CACHE_ENTRIES)
+        self.marks = Generations(self._whole, CACHE_ENTRIES // 100)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, key: str) -> bytes:
-        word = _word(key)
-        if word:  # a word and the punctuation behind it are two pre-tokens
-            return self.pieces[word] + self.pieces["\n" + key[len(word):]][len(self.feed):]
         return self._whole(key if key[:1] == "\n" else " " + key)
 
     def _learn(self, keys: set[str]) -> None:
-        """Encodes the words among new keys together."""
-        new = {_word(k) or k for k in keys}
-        new = [k for k in new if k not in self.pieces and k not in self.pieces.old and _latin(k[k[:1] == "\n":])]
-        if not new:
-            return
-        text = "\n".join(k[1:] if k[0] == "\n" else " " + k for k in new)
-        ids = np.asarray(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]), len(ids)) * 4
-        data, start = ids.tobytes(), 0
-        for key, end in zip(new, ends.tolist()):
-            self.pieces.put(key, (self.feed if key[0] == "\n" else b"") + data[start:end])
-            start = end + 4
+        """Encodes the words among new keys together; other keys are encoded one by one when they are met."""
+        known, old, words, marked = self.pieces, self.pieces.old, {}, []
+        for key in keys:
+            match = _PIECE.fullmatch(key)
+            if match:
+                word, marks = match.groups()
+                if marks:
+                    marked.append((key, word, marks))
+                if word not in known and word not in old:
+                    words[word] = None
+        if words:
+            text = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
+            ids = np.asarray(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]), len(ids)) * 4
+            data, start, put = ids.tobytes(), 0, known.put
+            for word, end in zip(words, ends.tolist()):
+                put(word, self.feed + data[start:end] if word[0] == "\n" else data[start:end])
+                start = end + 4
+        for key, word, marks in marked:
+            known.put(key, known[word] + self.marks[marks])
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces, the first one as if behind a line feed; None where white space meets or is of other kinds."""
-        parts = text.split()
-        gaps = len(parts) - 1
-        if gaps < 0 or sum(map(len, parts)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
-            return None
-        if any(a in text for a in self.added):
+        if (not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+                or not text.replace("\n", " ").isprintable() or any(a in text for a in self.added)):
             return None
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
@@ -116,7 +113,7 @@ class Encoder:
         for k in range(0, len(texts), GROUP):
             group = texts[k:k + GROUP]
             cut = [self._cut(t) for t in group]
-            self._learn(set().union(*(c for c in cut if c)) - self.pieces.keys())
+            self._learn(set().union(*(c for c in cut if c)).difference(self.pieces))
             for text, pieces in zip(group, cut):
                 if pieces is not None:
                     yield b"".join(map(self.pieces.__getitem__, pieces))[len(self.feed):]
