@@ -17,7 +17,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from barlake.config import DEFAULT, LayoutConfig
+from barlake.config import DEFAULT
 from barlake.session import tune
 
 
@@ -36,8 +36,6 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--end", default=DEFAULT.data.default_end_date)
     b.add_argument("--news")
     b.add_argument("--lexicon")
-    b.add_argument("--layout", choices=["auto", "ticker", "blocked"], default="auto",
-                   help="series layout; auto = blocked when the largest ticker exceeds one task's share")
     t = sub.add_parser("train")
     t.add_argument("--features", required=True)
     t.add_argument("--out", required=True)
@@ -60,14 +58,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = _session()
 
     if args.cmd == "build":
-        from dataclasses import replace
-
         from barlake.operators.sentiment import news_titles, ticker_sentiment
         from barlake.plans import jobs
         from barlake.schemas import NEWS
         from barlake.sources.bars import read_bars
 
-        cfg = replace(DEFAULT, layout=LayoutConfig(series_layout=args.layout))
         bars = read_bars(spark, args.bars, tickers=args.tickers, start=args.start, end=args.end)
         sentiment = None
         if args.news and args.lexicon:
@@ -75,7 +70,7 @@ def main(argv: list[str] | None = None) -> None:
             sentiment = ticker_sentiment(news_titles(news), spark.read.parquet(args.lexicon))
         requested = (spark.createDataFrame([(t,) for t in args.tickers], "ticker string")
                      if args.tickers else None)
-        summary = jobs.build(bars, args.out, args.start, args.end, cfg, sentiment, requested=requested)
+        summary = jobs.build(bars, args.out, args.start, args.end, DEFAULT, sentiment, requested=requested)
         summary.write.mode("overwrite").parquet(f"{args.out}/summary")
     elif args.cmd == "train":
         from barlake.operators import iforest as IF
@@ -93,7 +88,7 @@ def main(argv: list[str] | None = None) -> None:
         nodes, psi = IF.fit(load_feature_data(spark, args.features).select(
             "volume_ratio", "price_change_pct", "ticker", "date").na.drop(),
             ["volume_ratio", "price_change_pct"], tc.iforest_n_estimators, tc.iforest_random_state,
-            256, F.xxhash64("ticker", "date"))
+            tc.iforest_max_samples, F.xxhash64("ticker", "date"))
         spark.createDataFrame(nodes).withColumn("psi", F.lit(psi)).write.mode("overwrite").parquet(
             f"{args.out}/models/isolation_forest")
     elif args.cmd == "analyze":

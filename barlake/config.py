@@ -44,7 +44,6 @@ class TrainConfig:
     target_column: str = "target_direction"
     rf_n_estimators: int = 200
     rf_max_depth: int = 10
-    rf_min_samples_split: int = 5
     rf_min_samples_leaf: int = 2
     gbt_n_estimators: int = 200
     gbt_max_depth: int = 6
@@ -54,6 +53,7 @@ class TrainConfig:
     lr_c: float = 1.0
     lr_max_iter: int = 1000
     iforest_n_estimators: int = 100
+    iforest_max_samples: int = 256  # rows per tree; bounds the node table with the number of trees
     iforest_contamination: float = 0.05
     iforest_random_state: int = 42
     fairness_tickers: tuple[str, str] = ("TSLA", "MSFT")
@@ -77,16 +77,9 @@ class MonitorConfig:
 
 @dataclass(frozen=True)
 class LayoutConfig:
-    """How the series windows are laid out (execution only; results are equal).
-
-    "ticker": one window partition per ticker (a ticker's bars fit a task).
-    "blocked": blocks of ``block_rows`` consecutive rows per ticker with halos,
-    for series where one ticker holds a large share of all rows.
-    """
-    series_layout: str = "ticker"
-    block_rows: int = 1 << 18
-    # "auto" picks "blocked" when the largest ticker has more rows than this
-    max_rows_per_task: int = 1 << 20
+    """How the series windows are laid out (execution only): blocks of ``block_rows``
+    consecutive rows per ticker with halos, at every size."""
+    block_rows: int = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -96,8 +89,5 @@ class Config:
     training: TrainConfig = field(default_factory=TrainConfig)
     monitoring: MonitorConfig = field(default_factory=MonitorConfig)
     layout: LayoutConfig = field(default_factory=LayoutConfig)
-    # fixed value: ticker pattern
-    ticker_pattern: str = "^[A-Z]{1,5}$"
-
 
 DEFAULT = Config()

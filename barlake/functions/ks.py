@@ -3,10 +3,12 @@
 h is the statistic in integer units: D = h / (n1 * n2), with
 h = max |cum1 * n2 - cum2 * n1| over the pooled values. The exact p-value is
 the probability that a uniformly random lattice path from (0, 0) to (n1, n2)
-(a random interleaving of the two samples) reaches |i*n2 - j*n1| >= h. The
-path probability is propagated row by row inside the band of allowed j:
-f(i, j) = (i*f(i-1, j) + j*f(i, j-1)) / (i + j). Exact mode is used up to
-10,000 values per side, the asymptotic Kolmogorov series beyond.
+(a random interleaving of the two samples) reaches |i*n2 - j*n1| >= h. Paths that
+stay inside are counted column by column: with j the smaller side,
+N(i, j) = N(i - 1, j) + N(i, j - 1) is a running sum along i over the allowed
+band, so a column is one numpy ``cumsum``. Counts are scaled by the largest one of a column,
+whose logarithm is kept. One method at every size: min(n1, n2) running sums over
+the band; the recent side has at most 30 values.
 """
 
 from __future__ import annotations
@@ -16,62 +18,32 @@ import math
 import numpy as np
 import pandas as pd
 
-EXACT_MAX_N = 10_000
-
 
 def _inside_prob(n1: int, n2: int, h: int) -> float:
-    """Same probability, swept over anti-diagonals s = i + j: every cell on a
-    diagonal depends only on the previous one, so each step is one numpy
-    expression over the band |i * (n1 + n2) - s * n1| < h of that diagonal."""
-    n = n1 + n2
-    prev = np.zeros(n1 + 2)  # prev[i + 1] = f(i, s - 1 - i); prev[0] pads i = -1
-    prev[1] = 1.0
-    cur = np.zeros(n1 + 2)
-    for s in range(1, n + 1):
-        lo = max(0, s - n2, (s * n1 - h) // n + 1)
-        hi = min(n1, s, -((-(s * n1 + h)) // n) - 1)
-        cur[:] = 0.0
-        if lo <= hi:
-            i = np.arange(lo, hi + 1)
-            cur[i + 1] = (i * prev[i] + (s - i) * prev[i + 1]) / s
-        prev, cur = cur, prev
-    return float(prev[n1 + 1])
-
-
-def _inside_prob_rows(n1: int, n2: int, h: int) -> float:
-    # row-by-row reference version: paths that keep |i*n2 - j*n1| < h at every step
-    prev = np.zeros(n2 + 1)
-    cur = np.zeros(n2 + 1)
+    """Share of the paths with |i*n2 - j*n1| < h at every step; n1 >= n2."""
+    log_scale, first, counts = 0.0, 0, np.zeros(0)
     for j in range(n2 + 1):
-        if abs(-j * n1) >= h:
-            break
-        prev[j] = 1.0
-    for i in range(1, n1 + 1):
-        cur[:] = 0.0
-        # allowed j: |i*n2 - j*n1| < h  <=>  (i*n2 - h)/n1 < j < (i*n2 + h)/n1
-        lo = max(0, math.floor((i * n2 - h) / n1) + 1)
-        hi = min(n2, math.ceil((i * n2 + h) / n1) - 1)
-        for j in range(lo, hi + 1):
-            if abs(i * n2 - j * n1) >= h:
-                continue
-            left = cur[j - 1] if j > 0 else 0.0
-            cur[j] = (i * prev[j] + j * left) / (i + j)
-        prev, cur = cur, prev
-    return float(prev[n2])
-
-
-def _asymptotic(n1: int, n2: int, d: float) -> float:
-    en = n1 * n2 / (n1 + n2)
-    lam = (math.sqrt(en) + 0.12 + 0.11 / math.sqrt(en)) * d
-    if lam <= 0:
-        return 1.0
-    s = 0.0
-    for k in range(1, 101):
-        term = 2 * (-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam)
-        s += term
-        if abs(term) < 1e-16:
-            break
-    return min(1.0, max(0.0, s))
+        # allowed i: (j*n1 - h) / n2 < i < (j*n1 + h) / n2
+        lo, hi = max(0, (j * n1 - h) // n2 + 1), min(n1, -(-(j * n1 + h) // n2) - 1)
+        if lo > hi:
+            return 0.0
+        col = np.zeros(hi - lo + 1)
+        if j == 0:
+            col[0] = 1.0  # (0, 0); every other point of the column is reached along it
+        else:
+            a, b = max(lo, first), min(hi, first + len(counts) - 1)
+            if a <= b:
+                col[a - lo:b - lo + 1] = counts[a - first:b - first + 1]
+        counts, first = np.cumsum(col), lo
+        top = counts[-1]
+        if top == 0.0:
+            return 0.0
+        counts /= top
+        log_scale += math.log(top)
+    if first + len(counts) - 1 < n1:
+        return 0.0
+    log_all = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
+    return float(counts[n1 - first] * math.exp(log_scale - log_all))
 
 
 def ks_pvalue(n1: int, n2: int, h: int) -> float:
@@ -79,11 +51,8 @@ def ks_pvalue(n1: int, n2: int, h: int) -> float:
         return float("nan")
     if h <= 0:
         return 1.0
-    if max(n1, n2) <= EXACT_MAX_N:
-        a, b = sorted((int(n1), int(n2)), reverse=True)  # symmetric: larger side outer
-        inside = _inside_prob_rows(a, b, int(h)) if b <= 64 else _inside_prob(a, b, int(h))
-        return min(1.0, max(0.0, 1.0 - inside))
-    return _asymptotic(n1, n2, h / (n1 * n2))
+    a, b = sorted((int(n1), int(n2)), reverse=True)  # symmetric
+    return min(1.0, max(0.0, 1.0 - _inside_prob(a, b, int(h))))
 
 
 def ks_pvalue_series(n1: pd.Series, n2: pd.Series, h: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -71,11 +72,8 @@ def train_evaluate(split: DataFrame, cfg: TrainConfig = TrainConfig(), names: li
     spark = split.sparkSession
     label = cfg.target_column
     feature_cols = feature_cols or model_columns(split.columns)
-    from barlake.session import checkpoint_dir
-
-    checkpoint_dir(spark)
-    # every fit and evaluation re-reads the split: materialise it once in the shared folder
-    split = split.checkpoint(eager=True)
+    # every fit and evaluation re-reads the split
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     n_train = train.count()

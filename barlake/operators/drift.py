@@ -39,14 +39,14 @@ def sample_flags(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
                  key: str = "ticker", order: str = "date") -> DataFrame:
     """Adds ``is_ref`` (first int(n * 0.7) rows) and ``is_rec`` (last 30 rows) per ticker.
 
-    With a date order the positions come from per-(ticker, year) numbering plus
+    With a date order the positions come from per-(ticker, month) numbering plus
     bucket offsets and the count from an aggregate: no ticker is sorted whole in
     one task. Other order columns use per-ticker windows.
     """
     if key == "ticker" and _is_temporal(features, order):
-        from barlake.plans.blocked import row_positions
+        from barlake.plans.blocked import month_number, row_positions
 
-        staged = row_positions(features, F.year(order), order)
+        staged = row_positions(features, month_number(F.col(order)), order)
     else:
         w = Window.partitionBy(key).orderBy(order)
         staged = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
@@ -162,9 +162,9 @@ def rolling_accuracy(predictions: DataFrame, actuals: DataFrame, cfg: MonitorCon
 
     if key == "ticker" and _is_temporal(j, order):
         # a hot ticker is spread over row blocks with a (window - 1)-row halo
-        from barlake.plans.blocked import blocked_window
+        from barlake.plans.blocked import blocked_window, month_number
 
-        return blocked_window(j, F.year(order), order, n - 1, 0, windows)
+        return blocked_window(j, month_number(F.col(order)), order, n - 1, 0, windows)
     return windows(j, key, order)
 
 

@@ -12,8 +12,7 @@ Fit, as Spark jobs:
    shipped to the scoring UDF.
 Score: a pandas UDF walks all trees level by level on Arrow batches; score =
 2 ** (-E[h] / c(psi)). The cut is the (1 - contamination) quantile of the
-training scores (approx quantile with a fixed accuracy: bounded memory at any
-n); rows above it are -1 (anomaly), others 1.
+training scores, exact over order buckets (``ecdf.exact_quantile``); rows above it are -1 (anomaly), others 1.
 """
 
 from __future__ import annotations
@@ -22,15 +21,16 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlake.operators.ecdf import exact_quantile
+
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size long, leaf boolean")
-MAX_NODES = 5_000_000
-QUANTILE_ACCURACY = 100_000
 
 
 def c_factor(n: float) -> float:
@@ -122,8 +122,7 @@ def fit(X: DataFrame, features: list[str], n_trees: int = 100, seed: int = 42,
                           key, n_trees, psi, F.lit(n), seed)
     nodes = sample.select("tree", *features).groupBy("tree").applyInPandas(
         _build_tree(features, psi, seed), NODE_SCHEMA)
-    # bounded by construction: n_trees * (2 * psi - 1) nodes at most
-    assert n_trees * (2 * psi - 1) <= MAX_NODES, "node table above its size bound"
+    # the parameters bound it: n_trees * (2 * max_samples - 1) nodes at most
     return nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True), psi
 
 
@@ -182,23 +181,21 @@ def score_udf(nodes: pd.DataFrame, psi: int):
 
 def fit_predict(df: DataFrame, features: list[str] = ("volume_ratio", "price_change_pct"),
                 n_trees: int = 100, contamination: float = 0.05, seed: int = 42,
-                key_cols: tuple[str, ...] = ("ticker", "date")) -> tuple[DataFrame, float]:
+                key_cols: tuple[str, ...] = ("ticker", "date"), max_samples: int = 256) -> tuple[DataFrame, float]:
     """Fit on the whole pooled table (rows with the features present) and flag it.
     The input vector is (volume_ratio, price_change_pct) (F16).
 
     Returns (df + anomaly_score + anomaly (-1 / 1), cut)."""
-    from barlake.session import checkpoint_dir
-
     features = list(features)
-    checkpoint_dir(df.sparkSession)
-    # several passes (count, sample, quantile, score): cut the lineage once, reliably
-    X = df.na.drop(subset=features).checkpoint(eager=True)
+    # several passes (count, sample, quantile, score); lost blocks are recomputed
+    X = df.na.drop(subset=features).persist(StorageLevel.MEMORY_AND_DISK)
     key = F.xxhash64(*[F.col(c) for c in key_cols if c in X.columns])
     nodes, psi = fit(X.select(*features, *[c for c in key_cols if c in X.columns]), features,
-                     n_trees, seed, 256, key)
+                     n_trees, seed, max_samples, key)
     udf = score_udf(nodes, psi)
-    scored = X.withColumn("anomaly_score", udf(*[F.col(c) for c in features]))
-    cut = scored.select(F.percentile_approx("anomaly_score", 1.0 - contamination, QUANTILE_ACCURACY)).first()[0]
+    scored = X.withColumn("anomaly_score", udf(*[F.col(c) for c in features])).persist(StorageLevel.MEMORY_AND_DISK)
+    found = exact_quantile(scored.withColumn("_all", F.lit(0)), ["_all"], "anomaly_score", 1.0 - contamination).collect()
+    cut = found[0]["quantile"] if found else float("inf")
     return scored.withColumn("anomaly", F.when(F.col("anomaly_score") > cut, -1).otherwise(1)), float(cut)
 
 

@@ -29,69 +29,22 @@ def _c(name: str):
 
 # ---------------------------------------------------------------- expressions
 
-def rsi_expr(period: int = 14, price: str = "Close") -> Column:
-    """Simple-mean RSI: first diff counts as no gain/no loss; zero mean loss gives RSI 0."""
-    delta = _c(price) - F.lag(_c(price), 1).over(series())
-    gain = F.when(delta > 0, delta).otherwise(F.lit(0.0))
-    loss = F.when(delta < 0, -delta).otherwise(F.lit(0.0))
-    ag = rolling_mean(gain, period)
-    al = rolling_mean(loss, period)
-    return F.when(al == 0, F.lit(0.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ag / al))
-
-
-def bollinger_exprs(window: int = 20, n_std: float = 2.0, price: str = "Close") -> dict[str, Column]:
-    sma = rolling_mean(_c(price), window)
-    std = rolling_std(_c(price), window)
-    upper = sma + F.lit(n_std) * std
-    lower = sma - F.lit(n_std) * std
-    return {
-        "bb_upper": upper, "bb_middle": sma, "bb_lower": lower,
-        "bb_position": fdiv(_c(price) - lower, upper - lower),
-    }
-
-
-def volatility_expr(window: int = 20) -> Column:
-    return rolling_std(F.col("log_return"), window)
-
-
-def volume_ratio_expr(window: int = 20) -> Column:
-    return fdiv(_c("Volume"), rolling_mean(_c("Volume"), window))
-
-
 def lag_exprs(lags=(1, 3, 5), src: str = "log_return", key="ticker", order: str = "date") -> dict[str, Column]:
     w = series(key, order)
     return {f"return_lag_{k}d": F.lag(F.col(src), k).over(w) for k in lags}
 
 
-def target_expr(price: str = "Close") -> Column:
-    """Next-day direction; the last row has no next close and gets 0 (kept)."""
-    up = F.lead(_c(price), 1).over(series()) > _c(price)
-    return F.coalesce(up, F.lit(False)).cast("int")
-
-
-def price_change_expr(price: str = "Close") -> Column:
-    prev = F.lag(_c(price), 1).over(series())
-    return F.abs(fdiv(_c(price), prev) - F.lit(1.0))
-
-
 # ---------------------------------------------------------------- transforms
 
-def add_rsi(df: DataFrame, period: int = 14, price: str = "Close") -> DataFrame:
-    return df.withColumn(f"rsi_{period}", rsi_expr(period, price))
-
-
 def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
-             price: str = "Close") -> DataFrame:
-    df = add_emas(df, [("_ema_fast", _c(price), fast), ("_ema_slow", _c(price), slow)])
+             price: str = "Close", key="ticker", order: str = "date", index: str | None = None) -> DataFrame:
+    at = {"key": key, "order": order, "index": index}
+    df = add_emas(df, [("_ema_fast", _c(price), fast), ("_ema_slow", _c(price), slow)], **at)
     df = df.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow")
-    df = add_emas(df, [("macd_signal", F.col("macd"), signal)])
+    df = add_emas(df, [("macd_signal", F.col("macd"), signal)], **at)
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
-def add_bollinger(df: DataFrame, window: int = 20, n_std: float = 2.0, price: str = "Close") -> DataFrame:
-    return df.withColumns(bollinger_exprs(window, n_std, price))
-
-
 def add_sentiment(df: DataFrame, sentiment: DataFrame | None, neutral: float = 0.0) -> DataFrame:
     """One snapshot score per ticker on every row (J3); neutral when absent.
 
@@ -108,6 +61,7 @@ def add_sentiment(df: DataFrame, sentiment: DataFrame | None, neutral: float = 0
                     F.coalesce(F.col("_sent"), F.lit(float(neutral))).alias("sentiment_score")))
 
 
+# fixed values: output names of the feature table, in order
 FEATURE_ORDER = ["rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_middle", "bb_lower",
                  "bb_position", "volatility", "volume_ratio", "sentiment_score", "lags",
                  "target_direction", "price_change_pct"]
@@ -190,13 +144,14 @@ def engineer_features(pre: DataFrame, cfg: FeatureConfig = FeatureConfig(),
     return df.select(*[F.col(f"`{c}`") for c in out]).na.drop(how="any", subset=data_cols)
 
 
-def display_indicators(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+def display_indicators(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), key="ticker",
+                       order: str = "date", index: str | None = None) -> DataFrame:
     """Display set (W20): RSI, MACD and Bollinger on uncleaned history, nothing dropped.
 
     Adds candle colour, histogram sign (missing as 0) and RSI zone (X10, X11).
     """
-    df = add_macd(bars, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal)
-    df = _staged_indicators(df, cfg, with_series_features=False)
+    df = add_macd(bars, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal, key=key, order=order, index=index)
+    df = _staged_indicators(df, cfg, with_series_features=False, key=key, order=order)
     rsi = F.col(f"rsi_{cfg.rsi_period}")
     return df.withColumns({
         "is_up": _c("Close") >= _c("Open"),

@@ -56,10 +56,12 @@ def roc_auc(scored: DataFrame, group_cols: list[str] | None = None,
         flags = flags.withColumn("_all", F.lit(0))
     keys = group_cols or ["_all"]
     cum = cumulative_counts(flags, keys, "_s", ["pos", "neg"])
-    pairs = F.col("n_pos") * (F.col("cum_neg") - F.col("n_neg") + F.col("n_neg") * 0.5)
-    out = cum.groupBy(*keys).agg(F.sum(pairs).alias("_pairs"), F.first("tot_pos").alias("_P"),
+    # twice the pairs, as exact integers: the sum doesn't depend on the order
+    wide = lambda c: c.cast("decimal(19,0)")
+    twice = wide(F.col("n_pos")) * wide(2 * F.col("cum_neg") - F.col("n_neg"))
+    out = cum.groupBy(*keys).agg((F.sum(twice.cast("decimal(38,0)")).cast("double") / 2).alias("_pairs"), F.first("tot_pos").alias("_P"),
                                  F.first("tot_neg").alias("_N"))
-    return out.select(*group_cols, F.try_divide(F.col("_pairs"), (F.col("_P") * F.col("_N")).cast("double"))
+    return out.select(*group_cols, F.try_divide(F.col("_pairs"), F.col("_P").cast("double") * F.col("_N").cast("double"))
                       .alias("roc_auc"))
 
 

@@ -1,9 +1,9 @@
 """Data-quality report per ticker (G1, J2, F6-F10) and table profile.
 
-One ``groupBy(ticker).agg`` over the raw bars: partial aggregation runs
-map-side, so a hot ticker costs one small buffer per task, not a hot task.
-Missing trading days come from a closed-form weekday count instead of a
-calendar table: no join, no exchange beyond the aggregate.
+Two aggregates over the raw bars, per (ticker, date) and then per ticker: a date
+that occurs twice counts once as a trading day. Partial aggregation runs map-side, so a
+hot ticker is spread over its dates first. Missing trading days come from a
+closed-form weekday count instead of a calendar table: no join.
 """
 
 from __future__ import annotations
@@ -46,7 +46,9 @@ def quality_counts(bars: DataFrame) -> DataFrame:
     if "Adj Close" in cols and "Close" in cols:
         ratio = fdiv(_c("Adj Close"), _c("Close"))
         aggs.append(F.count_if((ratio < 0.5) | (ratio > 1.5)).alias("bad_split"))
-    out = bars.groupBy("ticker").agg(*aggs)
+    per_day = bars.groupBy("ticker", "date").agg(*[a for a in aggs[:1] + aggs[4:]])
+    sums = [F.sum(c).alias(c) for c in per_day.columns if c not in ("ticker", "date")]
+    out = per_day.groupBy("ticker").agg(*sums, *aggs[1:4])
     out = out.withColumn(
         "missing_days", weekdays_between(F.col("_dmin"), F.col("_dmax")) - F.col("_weekday_rows")
     )

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed value: ticker pattern
 TICKER_PATTERN = "^[A-Z]{1,5}$"
-# fixed values: rejection texts
-MSG_TICKER = "Ticker must be 1-5 uppercase letters"
-MSG_END_FUTURE = "end_date cannot be in the future"
-MSG_END_ORDER = "end_date must be after start_date"
+MSG_TICKER = "ticker is not one to five letters A-Z"
+MSG_DATES = "start_date and end_date must be dates like 2024-01-31"
+MSG_END_FUTURE = "the range ends after today"
+MSG_END_ORDER = "the range is empty: its end is not after its start"
 
 
 def normalise_ticker(c: Column) -> Column:
@@ -18,19 +18,26 @@ def normalise_ticker(c: Column) -> Column:
 
 
 def check_requests(req: DataFrame, today: Column | None = None) -> DataFrame:
-    """Adds normalised ticker, parsed dates, ``valid`` and ``reason``.
+    """Per request: ``request_id``, normalised ticker, parsed dates, ``valid`` and ``reason``.
 
-    Rules: ticker matches the pattern; end date not after today; end after start.
-    Dates parse as yyyy-MM-dd (X18).
+    Rules: ticker matches the pattern; both dates parse as yyyy-MM-dd (X18); end not after
+    today; end after start. A missing or unreadable date is a reason, never an error. Without a
+    ``request_id`` column the id is the request's own text plus its number among equal ones.
     """
     today = today if today is not None else F.current_date()
     t = normalise_ticker(F.col("ticker"))
-    start = F.to_date(F.col("start_date"), "yyyy-MM-dd")
-    end = F.to_date(F.col("end_date"), "yyyy-MM-dd")
+    start = F.try_to_date(F.col("start_date"), "yyyy-MM-dd")
+    end = F.try_to_date(F.col("end_date"), "yyyy-MM-dd")
+    if "request_id" not in req.columns:
+        same = ["ticker", "start_date", "end_date"]
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in same])
+        number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+        req = req.withColumn("request_id", F.concat_ws("#", text, number.cast("string")))
     reason = (F.when(~F.coalesce(t.rlike(TICKER_PATTERN), F.lit(False)), F.lit(MSG_TICKER))
+              .when(start.isNull() | end.isNull(), F.lit(MSG_DATES))
               .when(end > today, F.lit(MSG_END_FUTURE))
               .when(end <= start, F.lit(MSG_END_ORDER)))
-    return req.select(t.alias("ticker"), start.alias("start"), end.alias("end"), reason.alias("reason")) \
+    return req.select("request_id", t.alias("ticker"), start.alias("start"), end.alias("end"), reason.alias("reason")) \
         .withColumn("valid", F.col("reason").isNull())
 
 

@@ -7,10 +7,8 @@ valence's current direction and a negation scales it by -0.74; the sum s
 maps to compound = s / sqrt(s^2 + 15). Case emphasis, punctuation and idiom
 rules are not part of this version.
 
-Scoring is per row with array higher-order functions (JVM side, no Python,
-no explode, no shuffle): the lexicon is an input table whose size is checked
-before it becomes a map literal; only the per-ticker mean is an aggregate.
-Whole texts are scored, never a prefix.
+The lexicon is an input table of any size: tokens join it, and the look-back rules run at
+the hits only. Whole texts are scored, never a prefix.
 """
 
 from __future__ import annotations
@@ -38,79 +36,77 @@ DEFAULT_LEXICON = [
     ("que", 0.3), ("der", -0.3), ("los", 0.8), ("ción", -0.9), ("und", 0.5), ("chung", -1.1),
     ("les", 0.7), ("des", -0.6), ("ment", 1.1), ("eine", 0.2),
 ]
-MAX_LEXICON = 200_000
 
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_LEXICON, LEXICON)
 
 
-def lexicon_map(lexicon: DataFrame, max_entries: int = MAX_LEXICON) -> Column:
-    """Size-checked lexicon -> map literal shipped inside the plan."""
-    n = lexicon.count()
-    if n > max_entries:
-        raise ValueError(f"lexicon has {n} entries; more than {max_entries} can't be shipped as a map")
-    rows = lexicon.select("token", "valence").collect()
-    args = [x for r in rows for x in (F.lit(r["token"].lower()), F.lit(float(r["valence"])))]
-    return F.create_map(*args) if args else F.create_map().cast("map<string,double>")
+def normal_lexicon(lexicon: DataFrame) -> DataFrame:
+    """One row per lower-case token; of several valences the largest."""
+    return lexicon.groupBy(F.lower("token").alias("token")).agg(F.max(F.col("valence").cast("double")).alias("valence"))
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t != "")
 
 
-def compound_score(toks: Column, lex: Column) -> Column:
-    """Compound polarity from a token array column (a column reference, so the
-    lambda reads the materialised array instead of re-splitting the text)."""
-    negs = F.array(*[F.lit(w) for w in NEGATIONS])
-    ups = F.array(*[F.lit(w) for w in BOOSTERS_UP])
-    downs = F.array(*[F.lit(w) for w in BOOSTERS_DOWN])
-
-    def prev(i, d):
-        return F.when(i >= d, F.element_at(toks, i - d + 1))  # element_at is 1-based
-
-    def valence(t, i):
-        # fold over the tokens 1, 2, 3 back: add the (decayed) booster in the current
-        # valence's direction, then flip-and-damp when that token is a negation
-        base = F.coalesce(F.element_at(lex, t), F.lit(0.0))
-        steps = []
-        for d in (1, 2, 3):
-            p = prev(i, d)
-            is_word = F.coalesce(F.map_contains_key(lex, p), F.lit(False))
-            step = (F.when(F.array_contains(ups, p) & ~is_word, F.lit(BOOST_INCR * DISTANCE_DECAY[d - 1]))
-                    .when(F.array_contains(downs, p) & ~is_word, F.lit(BOOST_DECR * DISTANCE_DECAY[d - 1]))
-                    .otherwise(F.lit(0.0)))
-            neg = F.coalesce(F.array_contains(negs, p), F.lit(False))
-            steps.append(F.struct(F.coalesce(step, F.lit(0.0)).alias("b"), neg.alias("neg")))
-
-        def apply(acc, x):
-            boosted = acc + x["b"] * F.signum(acc)
-            return F.when(x["neg"], boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
-
-        return F.when(base == 0, F.lit(0.0)).otherwise(F.aggregate(F.array(*steps), base, apply))
-
-    # only lexicon hits carry valence: find them with one map probe per token, then run
-    # the look-back rules at those positions only
-    hits = F.filter(F.sequence(F.lit(0), F.size(toks) - 1),
-                    lambda i: F.map_contains_key(lex, F.element_at(toks, i + 1)))
-    hits = F.when(F.size(toks) > 0, hits).otherwise(F.array().cast("array<int>"))
-    vals = F.transform(hits, lambda i: valence(F.element_at(toks, i + 1), i))
-    s = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
-    return s / F.sqrt(s * s + F.lit(NORMALIZE_ALPHA))
+def token_rows(headlines: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
+    """One row per token with the three tokens before it and its headline's number ``_h``."""
+    toks = headlines.select(*keep, F.monotonically_increasing_id().alias("_h"), tokens(F.col("title")).alias("_toks"))
+    back = lambda i, d: F.get("_toks", i - d)
+    each = F.transform(F.sequence(F.lit(0), F.size("_toks") - 1), lambda i: F.struct(
+        *[back(i, d).alias(f"t{d}") for d in range(4)]))
+    each = F.when(F.size("_toks") > 0, each)
+    return toks.select(*keep, "_h", (F.explode_outer if outer else F.explode)(each).alias("t")).select(*keep, "_h", "t.*")
+
+
+def valence(lexicon: DataFrame) -> Column:
+    """Valence of a lexicon hit (``valence``, ``t1`` .. ``t3``): over the tokens 1, 2, 3 back, add the
+    (decayed) booster in the current direction, then flip and damp at a negation. Boosters
+    that the lexicon lists as words don't boost."""
+    boosters = BOOSTERS_UP + BOOSTERS_DOWN
+    listed = lexicon.where(F.col("token").isin(boosters)).agg(F.collect_set("token")).scalar()
+    score = F.col("valence")
+    for d in (1, 2, 3):
+        t = F.col(f"t{d}")
+        plain = ~F.array_contains(listed, t)
+        step = (F.when(t.isin(BOOSTERS_UP) & plain, BOOST_INCR * DISTANCE_DECAY[d - 1])
+                .when(t.isin(BOOSTERS_DOWN) & plain, BOOST_DECR * DISTANCE_DECAY[d - 1]).otherwise(0.0))
+        boosted = score + F.coalesce(step, F.lit(0.0)) * F.signum(score)
+        score = F.when(t.isin(NEGATIONS), boosted * NEGATION_SCALAR).otherwise(boosted)
+    return F.when(F.col("valence") == 0, 0.0).otherwise(score)
+
+
+def compound(total: Column) -> Column:
+    return total / F.sqrt(total * total + F.lit(NORMALIZE_ALPHA))
 
 
 def headline_scores(headlines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(ticker, ..., title) -> + compound."""
-    lex = lexicon_map(lexicon)
-    return (headlines.withColumn("_toks", tokens(F.col("title")))
-            .withColumn("compound", compound_score(F.col("_toks"), lex)).drop("_toks"))
+    lex = normal_lexicon(lexicon)
+    cols = headlines.columns
+    rows = token_rows(headlines, cols, outer=True).join(lex.withColumnRenamed("token", "t0"), "t0", "left")
+    total = F.coalesce(F.sum(valence(lex)), F.lit(0.0))
+    return rows.groupBy("_h", *cols).agg(total.alias("_s")).select(*cols, compound(F.col("_s")).alias("compound"))
+
 
+def ticker_sentiment(headlines: DataFrame, lexicon: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """Mean compound per ticker (G5) -> (ticker, sentiment_score, n_headlines).
 
-def ticker_sentiment(headlines: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Mean compound per ticker (G5) -> (ticker, sentiment_score, n_headlines)."""
-    scored = headline_scores(headlines, lexicon)
-    return scored.groupBy("ticker").agg(F.avg("compound").alias("sentiment_score"),
-                                        F.count(F.lit(1)).alias("n_headlines"))
+    Only tokens that the lexicon lists go on to the look-back rules and the sum per headline;
+    headlines without any have compound 0, so they only count. ``tickers`` limits the work to
+    the tickers that will use the scores.
+    """
+    if tickers is not None:
+        headlines = headlines.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
+    lex = normal_lexicon(lexicon)
+    hits = token_rows(headlines, ["ticker"]).join(lex.withColumnRenamed("token", "t0"), "t0")
+    per_headline = hits.groupBy("ticker", "_h").agg(F.sum(valence(lex)).alias("_s"))
+    sums = per_headline.groupBy("ticker").agg(F.sum(compound(F.col("_s"))).alias("_c"))
+    counts = headlines.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_headlines"))
+    return counts.join(sums, "ticker", "left").select(
+        "ticker", (F.coalesce("_c", F.lit(0.0)) / F.col("n_headlines")).alias("sentiment_score"), "n_headlines")
 
 
 def news_titles(news: DataFrame, first_n: int | None = None) -> DataFrame:

@@ -1,13 +1,11 @@
 """Blocked series layout: a hot ticker's series split over many tasks.
 
-The per-ticker layout (``plans.pipeline``) keeps one ticker's series in one
-window partition. That is right while a ticker's bars fit a task (a daily
-series has ~250 rows a year). When one ticker holds a large share of all
-rows (intraday bars, years of ticks), this layout cuts every ticker into
-blocks of B consecutive rows and evaluates the same windows inside
+One ticker may hold a large share of all rows (intraday bars, years of ticks), so
+this layout cuts every ticker into
+blocks of B consecutive rows and evaluates the windows of the operators inside
 ``partitionBy(ticker, block)``; every block also holds a *halo*, copies of the
-rows before it that its look-backs reach. Results equal the per-ticker
-layout: rolling frames and lags see the same rows, and the EMA recursion,
+rows before it that its look-backs reach. Results equal windows over whole
+tickers: rolling frames and lags see the same rows, and the EMA recursion,
 restarted at the halo start, has decayed below e^-40 of its state by the
 first own row.
 
@@ -38,7 +36,7 @@ from barlake.config import DEFAULT, Config
 from barlake.functions.calendar import weekdays_between
 from barlake.operators.cleaning import forward_fill, preprocess
 from barlake.operators.ecdf import exact_quantile
-from barlake.operators.indicators import add_sentiment, engineer_features
+from barlake.operators.indicators import add_sentiment, display_indicators, engineer_features
 from barlake.schemas import VALUE_COLS
 
 KEY = "ticker"
@@ -49,6 +47,11 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def month_number(d: Column) -> Column:
+    """Months since year 0: the coarse order key rows are numbered in first."""
+    return F.year(d) * 12 + F.month(d)
+
+
 def first_weekday(d: Column) -> Column:
     return F.date_add(d, F.when(F.weekday(d) == 5, 2).when(F.weekday(d) == 6, 1).otherwise(0))
 
@@ -178,12 +181,12 @@ def features_from_preprocessed_blocked(pre: DataFrame, cfg: Config = DEFAULT, se
     """Feature windows in row blocks over a preprocessed table.
 
     With ``_blk`` / ``_i`` from ``preprocessed_blocked`` the rows are renumbered
-    from those blocks; a table read back from storage is numbered by year of date.
+    from those blocks; a table read back from storage is numbered by month of date.
     """
     if "_blk" in pre.columns and "_i" in pre.columns:
         idx = dense_index(pre, "_blk", "_i", "_j").drop("_i")
     else:
-        staged = pre.withColumn("_bk", F.year("date")).repartition(KEY, "_bk")
+        staged = pre.withColumn("_bk", month_number(F.col("date"))).repartition(KEY, "_bk")
         idx = dense_index(staged, "_bk", "date", "_j").drop("_bk")
     lay3 = lay_out(idx, "_j", block_rows, back=feature_halo(cfg), fwd=1)
     feats = engineer_features(lay3, cfg.features, None, key=[KEY, "_blk"], order="_j", index="_j")
@@ -205,7 +208,7 @@ def blocked_window(df: DataFrame, bucket: Column, order: str, back: int, fwd: in
     """Run per-ticker ROWS-frame windows (reaching ``back`` rows behind, ``fwd`` ahead)
     in row blocks, so no ticker is processed whole in one task.
 
-    ``bucket`` is a coarse ordering key monotone in ``order`` (e.g. the year of a
+    ``bucket`` is a coarse ordering key monotone in ``order`` (e.g. the month of a
     date): rows are numbered per (ticker, bucket) and offset by the counts of the
     earlier buckets. ``fn(frame, keys, order_col)`` adds the window columns.
     """
@@ -224,3 +227,10 @@ def row_positions(df: DataFrame, bucket: Column, order: str) -> DataFrame:
     staged = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
     idx = dense_index(staged, "_bk", order, "_i", total="_n").drop("_bk")
     return idx.withColumn("_rn", F.col("_i") + 1).drop("_i")
+
+
+def display_indicators_blocked(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The display indicator set over raw bars, in row blocks."""
+    return blocked_window(
+        bars, month_number(F.col("date")), "date", feature_halo(cfg), 0,
+        lambda df, keys, order: display_indicators(df, cfg.features, keys, order, order), cfg.layout.block_rows)

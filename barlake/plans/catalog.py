@@ -257,8 +257,9 @@ def _sent_label_sql() -> str:
                THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM ({sq.headline_sentiment_sql()}) s"""
 
 
-def _ticker_sentiment(spark, sf_dir):
-    return S.ticker_sentiment(headlines(spark, sf_dir), S.default_lexicon(spark))
+def _ticker_sentiment(spark, sf_dir, bars=None):
+    """Scores of all headline tickers, or of those that have bars."""
+    return S.ticker_sentiment(headlines(spark, sf_dir), S.default_lexicon(spark), bars)
 
 
 @register("headline_sentiment", sql_project(_sent_label_sql(), SENT_SPEC))
@@ -277,12 +278,12 @@ def q_features_with_sentiment(spark, sf_dir):
     """Feature table of the l_linestatus bars with the per-ticker headline score
     joined on every row (neutral 0.0 where a ticker has no news)."""
     bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
-    return spark_project(feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir)), LS_FEATURES_SPEC)
+    return spark_project(feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir, bars)), LS_FEATURES_SPEC)
 
 
 # ------------------------------------------------------------------ reports
 from barlake.operators import report as RP  # noqa: E402
-from barlake.operators.indicators import display_indicators  # noqa: E402
+from barlake.plans.blocked import display_indicators_blocked  # noqa: E402
 from barlake.sources.bars import lookback  # noqa: E402
 from barlake.sources.fixtures import fundamentals  # noqa: E402
 
@@ -327,7 +328,7 @@ SIG_SPEC = [("ticker", "string"), ("date", "date"), ("rsi_14", "double"), ("macd
 def q_latest_signals(spark, sf_dir):
     """Signals of each ticker's latest feature row (with headline sentiment)."""
     bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
-    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir))
+    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir, bars))
     return spark_project(RP.signals(ft).select("ticker", "date", "signals.*", "sentiment_score"), SIG_SPEC)
 
 
@@ -355,8 +356,8 @@ DISP_SPEC = [("ticker", "string"), ("date", "date"), ("Open", "double"), ("Close
 @register("display_indicators", sql_project(sq.display_indicators_sql("l_linestatus", 12), DISP_SPEC))
 def q_display(spark, sf_dir):
     """S7 + W20 + X10/X11: one-year look-back of raw bars with the display indicator set."""
-    bars = lookback(bars_from_lineitem(spark, sf_dir, "l_linestatus").repartition("ticker"), "1y")
-    return spark_project(display_indicators(bars), DISP_SPEC)
+    bars = lookback(bars_from_lineitem(spark, sf_dir, "l_linestatus"), "1y")
+    return spark_project(display_indicators_blocked(bars), DISP_SPEC)
 
 
 # ------------------------------------------------------------------ models
@@ -406,7 +407,7 @@ def q_analysis(spark, sf_dir):
     available classifier (here logistic regression is the one trained), the anomaly flag
     of the latest row, signals, sentiment and fundamentals."""
     bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
-    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir))
+    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir, bars))
     split = random_split(ft, _T.test_size, _T.random_seed)
     _, models = C.train_evaluate(split, _T, names=["LogisticRegression"])
     preds = C.score_latest(ft, models)
@@ -489,7 +490,7 @@ from barlake.config import LayoutConfig  # noqa: E402
 
 # Small blocks so the fixture's ~1,785-row series really spans several blocks
 # (the halo of ~730 rows then reaches over more than one block).
-BLOCKED = _replace(DEFAULT, layout=LayoutConfig(series_layout="blocked", block_rows=512))
+BLOCKED = _replace(DEFAULT, layout=LayoutConfig(block_rows=512))
 
 
 @register("features_blocked", sql_project(sq.features_sql("l_returnflag"), FEATURES_SPEC))

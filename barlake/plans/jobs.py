@@ -19,43 +19,36 @@ from barlake.config import DEFAULT, Config
 from barlake.operators import drift as D
 from barlake.operators import report as RP
 from barlake.operators.classifiers import score_latest
-from barlake.operators.cleaning import clean_with_report, preprocess, sparse_summary
-from barlake.operators.indicators import engineer_features
+from barlake.operators.cleaning import sparse_summary
 from barlake.operators.quality import run_metadata, validate
-from barlake.operators.requests import check_requests, missing_tickers
-from barlake.plans.pipeline import by_ticker
+from barlake.operators.requests import check_requests, missing_tickers, normalise_ticker
+from barlake.plans.blocked import features_from_preprocessed_blocked
+from barlake.plans.pipeline import cleaned_with_report, feature_table, preprocessed_bars
 from barlake.schemas import model_columns
 from barlake.sinks import writers as W
-from barlake.sources.tables import load_feature_data, load_latest_raw
+from barlake.sources.tables import load_feature_data
 
 
 def build(bars: DataFrame, out_dir: str, start: str, end: str, cfg: Config = DEFAULT,
           sentiment: DataFrame | None = None, run_date: str | None = None,
           requested: DataFrame | None = None) -> DataFrame:
-    """Run the whole build for all tickers; returns the job summary per ticker."""
-    from barlake.plans.pipeline import choose_layout
+    """Run the whole build for all tickers of ``bars``; returns the job summary per ticker.
 
-    cfg = choose_layout(bars, cfg)
-    blocked = cfg.layout.series_layout == "blocked"
+    Reads and replaces what belongs to this run only: the raw version of its run date for
+    the tickers it kept. Other tickers, and older versions of dropped ones, stay untouched.
+    """
+    spark = bars.sparkSession
+    run_date = run_date or spark.range(1).select(F.date_format(F.current_date(), "yyyy-MM-dd")).first()[0]
     report = validate(bars)
-    if blocked:
-        from barlake.plans.blocked import (clean_blocked_with_report, features_from_preprocessed_blocked,
-                                           preprocessed_blocked)
-
-        clean_rep = clean_blocked_with_report(bars, cfg, cfg.layout.block_rows)[1]
-        pre = preprocessed_blocked(bars, cfg, cfg.layout.block_rows).drop("_blk", "_i")
-    else:
-        cleaned, clean_rep = clean_with_report(by_ticker(bars), cfg.data)
-        pre = preprocess(cleaned, cfg.data)
-    W.write_raw(pre, f"{out_dir}/raw", run_date)
-    W.write_metadata(run_metadata(pre, report, start, end), f"{out_dir}/metadata", run_date)
-    raw = load_latest_raw(bars.sparkSession, f"{out_dir}/raw").drop("run_date")
-    if blocked:
-        feats = features_from_preprocessed_blocked(raw, cfg, sentiment, cfg.layout.block_rows)
-    else:
-        feats = engineer_features(by_ticker(raw), cfg.features, sentiment)
+    clean_rep = cleaned_with_report(bars, cfg)[1]
+    W.write_raw(preprocessed_bars(bars, cfg), f"{out_dir}/raw", run_date)
+    mine = clean_rep.where("kept").select("ticker")
+    raw = (spark.read.parquet(f"{out_dir}/raw").where(F.col("run_date").cast("string") == run_date)
+           .join(mine, "ticker", "left_semi").drop("run_date"))
+    W.write_metadata(run_metadata(raw, report, start, end), f"{out_dir}/metadata", run_date)
+    feats = features_from_preprocessed_blocked(raw, cfg, sentiment, cfg.layout.block_rows)
     W.save_features(feats, f"{out_dir}/features")
-    stored = load_feature_data(bars.sparkSession, f"{out_dir}/features")
+    stored = load_feature_data(spark, f"{out_dir}/features").join(mine, "ticker", "left_semi")
     counts = stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("feature_rows"))
     return (sparse_summary(clean_rep, requested).join(counts, "ticker", "left")
             .withColumn("feature_rows", F.coalesce("feature_rows", F.lit(0)).cast("long"))
@@ -65,53 +58,65 @@ def build(bars: DataFrame, out_dir: str, start: str, end: str, cfg: Config = DEF
 def features_for(spark: SparkSession, requested: DataFrame, features_dir: str, bars: DataFrame,
                  cfg: Config = DEFAULT, sentiment: DataFrame | None = None, save: bool = True) -> DataFrame:
     """Stored features for the requested tickers, computing and appending the misses (K7)."""
+    wanted = requested.select(normalise_ticker(F.col("ticker")).alias("ticker")).distinct()
     try:
         existing = load_feature_data(spark, features_dir)
     except FileNotFoundError:
         existing = None
-    if existing is None:
-        misses = requested.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
-    else:
-        misses = missing_tickers(requested, existing)
-    fresh = engineer_features(
-        preprocess(clean_with_report(by_ticker(bars.join(misses, "ticker", "left_semi")), cfg.data)[0], cfg.data),
-        cfg.features, sentiment)
+    misses = wanted if existing is None else missing_tickers(requested, existing)
+    fresh = feature_table(bars.join(misses, "ticker", "left_semi"), cfg, sentiment)
     if save:
         W.save_features(fresh, features_dir, mode="append")
         existing = load_feature_data(spark, features_dir)
-        req = requested.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
-        return existing.join(req, "ticker", "left_semi")
-    return fresh if existing is None else existing.unionByName(fresh, allowMissingColumns=True)
+    elif existing is not None:
+        existing = existing.unionByName(fresh, allowMissingColumns=True)
+    else:
+        existing = fresh
+    return existing.join(wanted, "ticker", "left_semi")
 
 
 def analyze(spark: SparkSession, requests: DataFrame, bars: DataFrame, models: dict,
             anomaly_cut: float | None = None, anomaly_model=None, info: DataFrame | None = None,
             sentiment: DataFrame | None = None, log_dir: str | None = None,
             cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Returns (analysis rows for valid requests, rejected requests with reasons)."""
+    """Returns (one analysis row per valid request, rejected requests with reasons).
+
+    A request is a series of its own: its id takes the place of the ticker in every
+    window, so several ranges of one ticker stay apart. Status: OK, INSUFFICIENT_DATA (fewer
+    than 30 cleaned rows or too sparse), INSUFFICIENT_FEATURES, NO_DATA (no bars in the range).
+    """
     t0 = time.time()
     checked = check_requests(requests)
     valid = checked.where("valid")
     rejected = checked.where(~F.col("valid"))
-    win = bars.join(valid.select("ticker", "start", "end"), "ticker")
-    win = win.where((F.col("date") >= F.col("start")) & (F.col("date") < F.col("end"))).drop("start", "end")
-    cleaned, rep = clean_with_report(by_ticker(win), cfg.data)
-    feats = engineer_features(preprocess(cleaned, cfg.data), cfg.features, sentiment)
+    named = valid.select("ticker", "request_id")
+
+    def per_request(df: DataFrame) -> DataFrame:
+        return df.join(named, "ticker").drop("ticker").withColumnRenamed("request_id", "ticker")
+
+    win = bars.join(valid.select("ticker", "start", "end", "request_id"), "ticker")
+    win = win.where((F.col("date") >= F.col("start")) & (F.col("date") < F.col("end"))).drop("start", "end", "ticker")
+    win = win.withColumnRenamed("request_id", "ticker")
+    rep = cleaned_with_report(win, cfg)[1]
+    feats = feature_table(win, cfg, None if sentiment is None else per_request(sentiment))
     preds = score_latest(feats, models)
     flag = None
     if anomaly_model is not None and anomaly_cut is not None:
         udf, cols = anomaly_model
         last = RP.latest_row(feats)
         flag = last.select("ticker", (udf(*[F.col(c) for c in cols]) > anomaly_cut).alias("anomaly_flag"))
-    rec = RP.analysis_record(feats, preds, flag, info)
-    status = rep.select("ticker", F.when(~F.col("kept"), "INSUFFICIENT_DATA")
-                        .when(F.col("cleaned_rows") < 30, "INSUFFICIENT_DATA").otherwise("OK").alias("status"))
-    rec = status.join(rec, "ticker", "left").withColumn(
-        "status", F.when((F.col("status") == "OK") & F.col("direction_prediction").isNull(),
-                         "INSUFFICIENT_FEATURES").otherwise(F.col("status")))
+    rec = RP.analysis_record(feats, preds, flag, None if info is None else per_request(info))
+    few = ~F.col("kept") | (F.col("cleaned_rows") < 30)
+    status = rep.select("ticker", F.when(few, "INSUFFICIENT_DATA").otherwise("OK").alias("status"))
+    rec = status.join(rec, "ticker", "left").withColumnRenamed("ticker", "request_id")
+    rec = valid.select("request_id", "ticker", "start", "end").join(rec, "request_id", "left").withColumn(
+        "status", F.when(F.col("status").isNull(), "NO_DATA")
+        .when((F.col("status") == "OK") & F.col("direction_prediction").isNull(), "INSUFFICIENT_FEATURES")
+        .otherwise(F.col("status")))
     if log_dir is not None:
         cols = model_columns(feats.columns)
-        scored = RP.latest_row(feats).join(preds, "ticker")
+        scored = RP.latest_row(feats).join(preds, "ticker").withColumnRenamed("ticker", "request_id")
+        scored = scored.join(valid.select("request_id", "ticker"), "request_id")
         W.append_prediction_log(W.prediction_records(scored, cols, (time.time() - t0) * 1000.0), log_dir)
     return rec, rejected
 

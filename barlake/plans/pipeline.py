@@ -1,58 +1,34 @@
 """Batch build: bars -> validate -> clean -> preprocess -> features (one lazy plan).
 
-Shape of the physical plan: one ``Exchange hashpartitioning(ticker)`` after
-the bar aggregate; every later step is a window or filter inside those
-partitions. ``repartition(ticker)`` up front makes the partitioning explicit
-so the first Window does not pick a different key set.
+One layout at every size: each ticker's rows are cut into blocks of
+``cfg.layout.block_rows`` consecutive rows with halos (``plans.blocked``), so a
+ticker with a large share of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barlake.config import Config, DEFAULT
-from barlake.operators.cleaning import clean, clean_with_report, preprocess
-from barlake.operators.indicators import engineer_features
+from barlake.plans.blocked import clean_blocked_with_report, feature_table_blocked, preprocessed_blocked
 
 
-def by_ticker(bars: DataFrame) -> DataFrame:
-    return bars.repartition(F.col("ticker"))
+def cleaned_with_report(bars: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    cleaned, report = clean_blocked_with_report(bars, cfg, cfg.layout.block_rows)
+    return cleaned.drop("_blk", "_p"), report
 
 
 def cleaned_bars(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return clean(by_ticker(bars), cfg.data)
+    return cleaned_with_report(bars, cfg)[0]
 
 
 def preprocessed_bars(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return preprocess(cleaned_bars(bars, cfg), cfg.data)
+    return preprocessed_blocked(bars, cfg, cfg.layout.block_rows).drop("_blk", "_i")
 
 
 def feature_table(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None) -> DataFrame:
-    """Feature table; ``cfg.layout`` picks per-ticker partitions or row blocks with halos."""
-    cfg = choose_layout(bars, cfg)
-    if cfg.layout.series_layout == "blocked":
-        from barlake.plans.blocked import feature_table_blocked
-
-        return feature_table_blocked(bars, cfg, sentiment, cfg.layout.block_rows)
-    return engineer_features(preprocessed_bars(bars, cfg), cfg.features, sentiment)
-
-
-def choose_layout(bars: DataFrame, cfg: Config = DEFAULT) -> Config:
-    """Resolve ``series_layout = "auto"``: one aggregate over the ticker column gives the
-    largest ticker's row count; above ``max_rows_per_task`` the blocked layout is used.
-
-    Meant for stored bar tables (a cheap columnar pass); bars derived from raw data
-    on the fly would pay that derivation twice, so set the layout explicitly there.
-    """
-    from dataclasses import replace
-
-    if cfg.layout.series_layout != "auto":
-        return cfg
-    biggest = bars.groupBy("ticker").count().agg(F.max("count")).first()[0] or 0
-    layout = "blocked" if biggest > cfg.layout.max_rows_per_task else "ticker"
-    return replace(cfg, layout=replace(cfg.layout, series_layout=layout))
+    return feature_table_blocked(bars, cfg, sentiment, cfg.layout.block_rows)
 
 
 def clean_report(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return clean_with_report(by_ticker(bars), cfg.data)[1]
+    return cleaned_with_report(bars, cfg)[1]

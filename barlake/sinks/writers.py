@@ -7,30 +7,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _dynamic(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+def _save(df: DataFrame, keys: list[str], mode: str):
+    """Writer with one folder per key. Rows are dealt by ticker and month, so a ticker with a
+    large share of all rows is written by many tasks."""
+    deal = ["ticker"] + ([F.date_trunc("month", F.col("date"))] if "date" in df.columns else [])
+    return (df.repartition(*deal).write.partitionBy(*keys).mode(mode)
+            .option("partitionOverwriteMode", "dynamic"))
+
+
+def _run_date(run_date: str | None):
+    return F.lit(run_date) if run_date else F.date_format(F.current_date(), "yyyy-MM-dd")
 
 
 def write_raw(df: DataFrame, raw_dir: str, run_date: str | None = None) -> None:
     """Versioned raw table ``ticker=/run_date=``; rerunning a day overwrites it (K1)."""
-    _dynamic(df)
-    rd = F.lit(run_date) if run_date else F.date_format(F.current_date(), "yyyy-MM-dd")
-    (df.withColumn("run_date", rd).repartition("ticker")
-     .write.partitionBy("ticker", "run_date").mode("overwrite").parquet(raw_dir))
+    _save(df.withColumn("run_date", _run_date(run_date)), ["ticker", "run_date"], "overwrite").parquet(raw_dir)
 
 
 def save_features(df: DataFrame, features_dir: str, mode: str = "overwrite") -> None:
     """Feature store, one folder per ticker (K2)."""
-    _dynamic(df)
-    df.repartition("ticker").write.partitionBy("ticker").mode(mode).parquet(features_dir)
+    _save(df, ["ticker"], mode).parquet(features_dir)
 
 
 def write_metadata(meta: DataFrame, metadata_dir: str, run_date: str | None = None) -> None:
     """Run metadata records as JSON, one folder per ticker and day (K3)."""
-    _dynamic(meta)
-    rd = F.lit(run_date) if run_date else F.date_format(F.current_date(), "yyyy-MM-dd")
-    (meta.withColumn("run_date", rd).repartition("ticker")
-     .write.partitionBy("ticker", "run_date").mode("overwrite").json(metadata_dir))
+    _save(meta.withColumn("run_date", _run_date(run_date)), ["ticker", "run_date"], "overwrite").json(metadata_dir)
 
 
 def prediction_records(scored: DataFrame, feature_cols: list[str], latency_ms) -> DataFrame:
@@ -48,8 +49,8 @@ def prediction_records(scored: DataFrame, feature_cols: list[str], latency_ms) -
 
 
 def append_prediction_log(records: DataFrame, log_dir: str) -> None:
-    """Append one JSON line per record; one write per batch of requests (K4)."""
-    records.coalesce(1).write.mode("append").json(log_dir)
+    """Append one JSON line per record (K4)."""
+    records.write.mode("append").json(log_dir)
 
 
 def append_training_runs(runs: DataFrame, runs_dir: str) -> None:

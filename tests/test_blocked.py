@@ -4,6 +4,8 @@ from dataclasses import replace
 import numpy as np
 
 from barlake.config import DEFAULT, LayoutConfig
+from barlake.operators.cleaning import clean_with_report, preprocess
+from barlake.operators.indicators import engineer_features
 from barlake.plans.blocked import copies, feature_halo, position_date
 from barlake.plans.pipeline import feature_table
 from barlake.plans.projection import features_spec, spark_project
@@ -14,7 +16,12 @@ from pyspark.sql import functions as F
 
 
 def blocked(rows):
-    return replace(DEFAULT, layout=LayoutConfig(series_layout="blocked", block_rows=rows))
+    return replace(DEFAULT, layout=LayoutConfig(block_rows=rows))
+
+
+def whole_tickers(bars):
+    """The same operators in windows over whole tickers."""
+    return engineer_features(preprocess(clean_with_report(bars)[0]))
 
 
 def same(a, b):
@@ -37,7 +44,7 @@ def test_copies_and_positions(spark):
 def test_blocked_equals_per_ticker_on_fixture(spark):
     bars = bars_from_lineitem(spark, SF001, "l_linestatus")
     spec = features_spec(DEFAULT)
-    a = spark_project(feature_table(bars), spec)
+    a = spark_project(whole_tickers(bars), spec)
     b = spark_project(feature_table(bars, blocked(97)), spec)
     assert same(a, b)
 
@@ -56,10 +63,10 @@ def test_blocked_hot_ticker_with_gaps(spark):
         rows.append(("SML", d, c, c + 1, c - 1, c, c, 100.0 + i))
     bars = make_bars(spark, rows)
     spec = features_spec(DEFAULT)
-    assert same(spark_project(feature_table(bars), spec), spark_project(feature_table(bars, blocked(256)), spec))
+    assert same(spark_project(whole_tickers(bars), spec), spark_project(feature_table(bars, blocked(256)), spec))
 
 
-def test_build_job_blocked_equals_per_ticker(spark, tmp_path):
+def test_build_job_does_not_depend_on_block_rows(spark, tmp_path):
     from barlake.plans import jobs
     from barlake.sources.tables import load_feature_data
 
@@ -74,23 +81,22 @@ def test_build_job_blocked_equals_per_ticker(spark, tmp_path):
 
 def test_blocked_clean_report_equals_per_ticker(spark):
     from barlake.plans.blocked import clean_blocked_with_report
-    from barlake.plans.pipeline import clean_report
 
     for key in ("l_linestatus", "l_returnflag"):      # kept tickers and dropped tickers
         bars = bars_from_lineitem(spark, SF001, key)
         spec = [("ticker", "string"), ("missing_pct", "double"), ("kept", "bool"), ("volume_cap", "double"),
                 ("n_capped", "long"), ("cleaned_rows", "long")]
-        a = spark_project(clean_report(bars), spec)
+        a = spark_project(clean_with_report(bars)[1], spec)
         b = spark_project(clean_blocked_with_report(bars, DEFAULT, 200)[1], spec)
         assert same(a, b)
 
 
-def test_auto_layout_choice(spark):
-    from barlake.plans.pipeline import choose_layout
+
+def test_display_indicators_in_blocks(spark):
+    from barlake.operators.indicators import display_indicators
+    from barlake.plans.blocked import display_indicators_blocked
 
     bars = bars_from_lineitem(spark, SF001, "l_linestatus")
-    small = replace(DEFAULT, layout=LayoutConfig(series_layout="auto", max_rows_per_task=100))
-    large = replace(DEFAULT, layout=LayoutConfig(series_layout="auto", max_rows_per_task=10_000))
-    assert choose_layout(bars, small).layout.series_layout == "blocked"
-    assert choose_layout(bars, large).layout.series_layout == "ticker"
-    assert choose_layout(bars, DEFAULT).layout.series_layout == "ticker"
+    pick = lambda df: df.select("ticker", "date", "is_up", "hist_pos", "rsi_zone",
+                                *[F.round(c, 5).alias(c) for c in ("rsi_14", "macd", "macd_signal", "bb_upper", "bb_lower")])
+    assert same(pick(display_indicators(bars)), pick(display_indicators_blocked(bars, blocked(150))))

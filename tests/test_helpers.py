@@ -53,3 +53,70 @@ def test_time_parse_label_and_hourly_bars(spark):
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     assert hourly.agg(F.sum("Volume")).first()[0] == ev.count()
     assert hourly.where(F.col("High") < F.col("Low")).count() == 0
+
+
+def test_ks_is_one_method_at_every_size():
+    """Against a count of paths row by row, and without a step at 10,000 values."""
+    import math
+
+    from barlake.functions.ks import ks_pvalue
+
+    def plain(n1, n2, h):
+        n = [[0] * (n2 + 1) for _ in range(n1 + 1)]
+        for i in range(n1 + 1):
+            for j in range(n2 + 1):
+                if abs(i * n2 - j * n1) < h:
+                    n[i][j] = 1 if i == j == 0 else (n[i - 1][j] if i else 0) + (n[i][j - 1] if j else 0)
+        return 1 - n[n1][n2] / math.comb(n1 + n2, n2)
+
+    for n1, n2 in ((40, 30), (7, 7), (1, 5), (90, 30)):
+        for h in range(1, n1 * n2 + 1, max(1, n1 * n2 // 17)):
+            assert abs(ks_pvalue(n1, n2, h) - plain(n1, n2, h)) < 1e-10
+    a, b = (ks_pvalue(n, 30, int(0.2 * n * 30)) for n in (10_000, 10_001))
+    assert abs(a - b) < 2e-4 and ks_pvalue(1_000_000, 30, 6_000_000) > 0.15
+
+
+def test_requests_bad_dates_and_ids(spark):
+    from barlake.operators.requests import MSG_DATES, check_requests
+
+    req = spark.createDataFrame([("aapl ", "2024-01-01", "2024-02-01"), ("AAPL", "2024-03-01", "2024-04-01"), ("X", "2020-13-45", "2024-01-01"),
+                                 ("X", None, "2024-01-01"), ("TOOLONG", "2024-01-01", "2024-02-01"), ("X", "2024-02-01", "2024-02-01"),
+                                 ("AAPL", "2024-03-01", "2024-04-01")], "ticker string, start_date string, end_date string")
+    rows = check_requests(req).collect()
+    assert len({r.request_id for r in rows}) == 7
+    assert sum(r.valid for r in rows) == 3 and sum(r.reason == MSG_DATES for r in rows) == 2
+
+
+def test_duplicate_dates_do_not_hide_gaps(spark):
+    from barlake.operators.quality import missing_days, validate
+
+    days = weekdays("2024-01-01", 10)
+    rows = [("A", d, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for d in days if d != days[4]]
+    bars = make_bars(spark, rows + rows[:3])
+    r = validate(bars).first()
+    assert r.missing_days == missing_days(bars).count() == 1 and r.rows == 12 and len(r.issues) == 1
+
+
+def test_build_touches_only_its_own_tickers(spark, tmp_path):
+    from barlake.plans import jobs
+    from barlake.sources.tables import load_feature_data
+
+    rng = __import__("random").Random(3)
+    days = weekdays("2020-01-01", 260)
+
+    def series(name, every):
+        return [(name, d, c := 50 + rng.random(), c + 1, c - 1, c, c, 100.0 + rng.random() * 50) for i, d in enumerate(days) if i % every == 0]
+
+    out = str(tmp_path / "store")
+    feel = spark.createDataFrame([("BBB", 0.6), ("CCC", 0.6)], "ticker string, sentiment_score double")
+    first = make_bars(spark, series("AAA", 1) + series("BBB", 1) + series("CCC", 1))
+    jobs.build(first, out, "2020-01-01", "2021-01-01", sentiment=feel, run_date="2024-01-01")
+    again = make_bars(spark, series("AAA", 1) + series("CCC", 9))
+    summary = {r.ticker: r for r in jobs.build(again, out, "2020-01-01", "2021-01-01", run_date="2024-01-02").collect()}
+    stored = load_feature_data(spark, f"{out}/features")
+    assert stored.where("ticker = 'BBB'").select("sentiment_score").distinct().collect()[0][0] == 0.6
+    assert summary["CCC"].status == "DROPPED" and summary["CCC"].feature_rows == 0 and summary["AAA"].feature_rows > 0
+    asked = spark.createDataFrame([("aaa",)], "ticker string")
+    for save in (False, True):
+        got = jobs.features_for(spark, asked, f"{out}/features", again, save=save)
+        assert [r.ticker for r in got.select("ticker").distinct().collect()] == ["AAA"]

@@ -7,7 +7,7 @@ from barlake.operators import iforest as IF
 from barlake.operators import report as RP
 from barlake.operators.classifiers import train_evaluate
 from barlake.operators.requests import check_requests
-from barlake.operators.sentiment import (compound_score, headline_scores, news_titles, short_title,
+from barlake.operators.sentiment import (headline_scores, news_titles, short_title, ticker_sentiment,
                                          tokens)
 from barlake.operators.split import random_split
 from barlake.config import TrainConfig
@@ -66,6 +66,9 @@ def test_polarity_rules(spark):
     assert out[2] < 0 and abs(out[2] + 1.48 / (1.48 ** 2 + 15) ** 0.5) < 1e-12
     assert abs(out[3] - 2.293 / (2.293 ** 2 + 15) ** 0.5) < 1e-12
     assert out[4] < -0.7 and out[5] == 0.0
+    mixed = spark.createDataFrame([("Good", 2.0), ("good", 1.0), ("BAD", -2.0)] + [(f"w{i}", 1.0) for i in range(100_000)], LEXICON)
+    per = ticker_sentiment(df.withColumn("ticker", F.lit("T")), mixed).first()
+    assert per["n_headlines"] == 5 and abs(per["sentiment_score"] - sum(out.values()) / 5) < 1e-12
     t = spark.createDataFrame([("x" * 81,)], "t string").select(short_title(F.col("t")).alias("s")).first()["s"]
     assert t == "x" * 80 + "..."
 

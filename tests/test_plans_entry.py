@@ -7,15 +7,18 @@ from conftest import SF001
 import __spark_entry__ as E
 
 
-def test_feature_plan_exchanges(spark):
-    """Bar aggregate exchange + one ticker exchange; every window reuses it."""
+def test_feature_plan_splits_tickers(spark):
+    """Series rows are dealt by (ticker, block); no window over bar rows has a ticker to itself."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = feature_table(bars_from_lineitem(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    exchanges = re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan)
-    assert len(exchanges) == 2, plan
+    dealt = re.findall(r"Exchange hashpartitioning\(([^\n]*?)\), REPARTITION_BY_COL", plan)
+    assert dealt and all("_blk" in keys for keys in dealt), dealt
+    windows = re.findall(r"Window \[[^\n]*", plan)
+    series = [w for w in windows if re.search(r"\b(Close|Volume|log_return)#", w)]
+    assert series and all("_blk" in w for w in series), series
     assert "SinglePartition" not in plan
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barlake.operators.cleaning import clean_with_report, densify, preprocess
 from barlake.operators.ema import add_emas, block_size
-from barlake.operators.indicators import engineer_features, rsi_expr
+from barlake.operators.indicators import display_indicators, engineer_features
 from barlake.plans.pipeline import feature_table
 from barlake.sources.bars import bars_from_lineitem
 from conftest import SF001, make_bars, series_bars, weekdays
@@ -38,7 +38,7 @@ def test_ema_matches_recursion_across_blocks(spark):
 def test_rsi_flat_and_all_gain_are_zero(spark):
     flat = series_bars(spark, "FLAT", [10.0] * 60)
     gain = series_bars(spark, "GAIN", [10.0 + i for i in range(60)])
-    df = flat.unionByName(gain).withColumn("rsi", rsi_expr(14)).orderBy("ticker", "date").toPandas()
+    df = display_indicators(flat.unionByName(gain)).withColumnRenamed("rsi_14", "rsi").orderBy("ticker", "date").toPandas()
     for t in ("FLAT", "GAIN"):
         r = df[df.ticker == t].rsi.to_numpy()
         assert all(v is None or (isinstance(v, float) and math.isnan(v)) for v in r[:13])
