@@ -11,6 +11,7 @@ Arrow-batched call per (ticker, feature) summary row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,8 @@ def sample_flags(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
     if key == "ticker" and _is_temporal(features, order):
         from barlake.plans.blocked import month_number, row_positions
 
-        staged = row_positions(features, month_number(F.col(order)), order)
+        # numbering reads the rows twice (counts, then rows): build the features once
+        staged = row_positions(features.persist(StorageLevel.MEMORY_AND_DISK), month_number(F.col(order)), order)
     else:
         w = Window.partitionBy(key).orderBy(order)
         staged = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),

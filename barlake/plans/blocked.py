@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +147,8 @@ def clean_blocked_with_report(bars: DataFrame, cfg: Config = DEFAULT,
               .groupBy(KEY, "_blk", "_p")
               .agg(F.max("_f").alias("_f"), F.max("_own").alias("_own"), *[F.max(_c(c)).alias(c) for c in values]))
     filled = forward_fill(merged, d.max_consecutive_fill, values, key=[KEY, "_blk"], order="_p")
-    own = filled.where(F.col("_own"))
+    # share, cap, counts and the cleaned rows all read the filled rows: fill once
+    own = filled.where(F.col("_own")).persist(StorageLevel.MEMORY_AND_DISK)
     n_null = sum(F.when(_c(c).isNull(), 1).otherwise(0) for c in values)
     share = own.groupBy(KEY).agg(F.avg(n_null / F.lit(float(len(values)))).alias("_mp"))
     kept = (own.join(share.where(F.col("_mp") <= F.lit(d.max_missing_pct)).select(KEY), KEY, "left_semi")
