@@ -28,6 +28,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.compact_windows import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.toxicity_ftrl import score
 
@@ -78,7 +84,7 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op3_toxicity_ftrl, op4_pii_bootstrap, op5_string_tiling, op6_token_counts, op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_compact_windows, op3_toxicity_ftrl, op4_pii_bootstrap, op5_string_tiling, op6_token_counts, op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
