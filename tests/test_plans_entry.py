@@ -5,6 +5,7 @@ from barlake.sources.bars import bars_from_lineitem
 from conftest import SF001
 
 import __spark_entry__ as E
+from barlake.plans import catalog
 
 
 def test_feature_plan_splits_tickers(spark):
@@ -50,7 +51,7 @@ def test_no_unpartitioned_windows_in_registered_plans(spark):
     probe = spark.range(3).withColumn("r", F.row_number().over(Window.orderBy("id")))
     assert unpartitioned.search(probe._jdf.queryExecution().executedPlan().toString())  # the check bites
     offenders = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         if name in skip or name in global_stats:
             continue
         plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
