@@ -404,12 +404,12 @@ def q_anomalies_top(spark, sf_dir):
 @register("analysis_report", None)
 def q_analysis(spark, sf_dir):
     """One analysis row per ticker from the latest features, the preferred
-    available classifier (here logistic regression is the one trained), the anomaly flag
+    of the three trained classifiers, the anomaly flag
     of the latest row, signals, sentiment and fundamentals."""
     bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
     ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir, bars))
     split = random_split(ft, _T.test_size, _T.random_seed)
-    _, models = C.train_evaluate(split, _T, names=["LogisticRegression"])
+    _, models = C.train_evaluate(split, _T)
     preds = C.score_latest(ft, models)
     scored, _ = IF.fit_predict(ft, n_trees=_T.iforest_n_estimators, contamination=_T.iforest_contamination,
                                seed=_T.iforest_random_state)

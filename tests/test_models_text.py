@@ -135,3 +135,22 @@ def test_models_saved_loaded_side_by_side(spark, tmp_path):
     assert all(r["pred_RandomForest"] in (0, 1) and r["pred_LogisticRegression"] in (0, 1) for r in both)
     names = spark.createDataFrame([("LogisticRegression",)], "m string").select(display_name("m")).first()[0]
     assert names == "Logistic Regression"
+
+
+def test_analysis_report_trains_every_model(spark, monkeypatch):
+    from barlake.operators import classifiers
+    from barlake.plans import catalog
+
+    class Asked(Exception):
+        pass
+
+    def asked(split, cfg=None, names=None, **options):
+        raise Asked(names)
+
+    monkeypatch.setattr(classifiers, "train_evaluate", asked)
+    try:
+        catalog.q_analysis(spark, SF001)
+    except Asked as e:
+        assert e.args[0] is None or set(e.args[0]) == set(classifiers.MODEL_PREFERENCE)
+    else:
+        raise AssertionError("no model was trained")
