@@ -92,14 +92,6 @@ def test_retrain_reasons(spark):
     assert out["B"]["reasons"] == ["Rolling accuracy 50.0% < 55%"]
 
 
-def test_ks_diagonal_sweep_matches_row_dp():
-    from barlake.functions.ks import _inside_prob, _inside_prob_rows
-
-    for n1, n2 in ((50, 30), (1200, 30), (77, 77), (400, 13)):
-        for h in (n1, n1 * n2 // 7, n1 * n2 // 3, n1 * n2 // 2):
-            assert abs(_inside_prob(n1, n2, h) - _inside_prob_rows(n1, n2, h)) < 1e-12
-
-
 def test_exact_quantile_matches_percentile(spark):
     from barlake.operators.ecdf import exact_quantile
 
