@@ -89,14 +89,21 @@ def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.metric_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_line_frequency, op2_compact_windows, op3_toxicity_ftrl, op4_pii_bootstrap, op5_string_tiling, op6_token_counts,
-        op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids, op11_burst_trie)}
+        op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids, op11_burst_trie, op12_metric_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from barlake.llm import burst_trie, fair_mix, quality_lines, warc_merge
+    from barlake.llm import burst_trie, fair_mix, metric_join, quality_lines, warc_merge
 
     return {"op1_line_frequency": quality_lines.ORACLE, "op7_warc_merge": warc_merge.ORACLE,
-            "op9_fair_mix": fair_mix.ORACLE, "op11_burst_trie": burst_trie.ORACLE}
+            "op9_fair_mix": fair_mix.ORACLE, "op11_burst_trie": burst_trie.ORACLE,
+            "op12_metric_join": metric_join.ORACLE}
