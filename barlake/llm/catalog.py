@@ -95,15 +95,22 @@ def op12_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.phrase_automata import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_line_frequency, op2_compact_windows, op3_toxicity_ftrl, op4_pii_bootstrap, op5_string_tiling, op6_token_counts,
-        op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids, op11_burst_trie, op12_metric_join)}
+        op7_warc_merge, op8_group_prefix_join, op9_fair_mix, op10_bitplane_ids, op11_burst_trie, op12_metric_join,
+        op13_phrase_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from barlake.llm import burst_trie, fair_mix, metric_join, quality_lines, warc_merge
+    from barlake.llm import burst_trie, fair_mix, metric_join, phrase_automata, quality_lines, warc_merge
 
     return {"op1_line_frequency": quality_lines.ORACLE, "op7_warc_merge": warc_merge.ORACLE,
             "op9_fair_mix": fair_mix.ORACLE, "op11_burst_trie": burst_trie.ORACLE,
-            "op12_metric_join": metric_join.ORACLE}
+            "op12_metric_join": metric_join.ORACLE, "op13_phrase_automata": phrase_automata.ORACLE}

@@ -229,12 +229,12 @@ def _pair(a, b):
         return _mixed(np.asarray(a, np.uint64)) + np.asarray(b, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slots(paths: np.ndarray) -> np.ndarray:
-    """Places of paths in a bit table."""
+def _slots(paths: np.ndarray, bits: int) -> np.ndarray:
+    """Places of paths in a table of ``bits`` bits (a power of two)."""
     mixed = paths[:, 0].copy()
     for j in range(1, paths.shape[1]):
         mixed = _pair(mixed, paths[:, j])
-    return (_mixed(mixed) & np.uint64(TABLE_BITS - 1)).astype(np.int64)
+    return (_mixed(mixed) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
@@ -245,15 +245,15 @@ def _bits(rows: DataFrame) -> np.ndarray:
     return table
 
 
-def _bit_rows(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slots = np.unique(_slots(paths))
+def _bit_rows(paths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    slots = np.unique(_slots(paths, bits))
     word, first = np.unique(slots >> 6, return_index=True)
-    bits = np.left_shift(np.uint64(1), (slots & 63).astype(np.uint64))
-    return word, np.bitwise_or.reduceat(bits, first).view(np.int64) if len(first) else bits.view(np.int64)
+    ones = np.left_shift(np.uint64(1), (slots & 63).astype(np.uint64))
+    return word, np.bitwise_or.reduceat(ones, first).view(np.int64)
 
 
 def _has(table: np.ndarray, paths: np.ndarray) -> np.ndarray:
-    slots = _slots(paths)
+    slots = _slots(paths, 64 * len(table))
     return (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
@@ -405,10 +405,12 @@ def _word_ranges(words: DataFrame, ranges: Ranges) -> DataFrame:
 
 
 def _bits_of(automata: DataFrame) -> np.ndarray:
+    size = TABLE_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(1).to_pylist():
-                word, bits = _bit_rows(Transducer.load(data).paths()[0])
+                word, bits = _bit_rows(Transducer.load(data).paths()[0], size)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
 
     return _bits(automata.mapInArrow(run, "word long, bits long"))
@@ -428,7 +430,7 @@ def _questions(automata: DataFrame, size: int, ranges: Ranges) -> DataFrame:
             for data in batch.column(1).to_pylist():
                 paths, a = Transducer.load(data).paths()
                 wide = np.column_stack([paths, np.zeros((len(paths), 4 - paths.shape[1]), np.uint64)])
-                copy = (_slots(paths) % COPIES).astype(np.int32)
+                copy = (_slots(paths, 1 << 20) % COPIES).astype(np.int32)
                 for words, first, slot in _CUTS[size]:
                     part = np.column_stack([paths[:, 0], paths[:, first + 1:first + 1 + words]])
                     full = lambda x: pa.array(np.full(len(paths), x, np.int32))
