@@ -1,9 +1,10 @@
 """Job entry points for ``spark-submit`` (or ``python -m barlake``).
 
   build    bars table -> quality report, versioned raw, metadata, feature store, job summary
-  train    feature store -> training runs table + saved models + anomaly model nodes
+  train    feature store -> training runs table + saved models + anomaly model + fairness of the best model
   analyze  request table (ticker, start_date, end_date) -> analysis rows (+ log append)
-  monitor  feature store + prediction log -> retrain decision per ticker
+  anomalies  feature store + stored forest -> newest anomalies per ticker, count and share
+  monitor  feature store + prediction log (+ predictions and actuals, reference sample) -> retrain decision per ticker
   ingest   prediction log folder -> parquet table (file stream, availableNow)
 
 Paths are folders readable by the cluster (parquet unless noted). The session
@@ -13,12 +14,13 @@ comes from spark-submit; nothing here sets a master.
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from barlake.config import DEFAULT
-from barlake.session import tune
+from barlake.session import release, tune
 
 
 def _session() -> SparkSession:
@@ -44,11 +46,20 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--bars", required=True)
     a.add_argument("--models", required=True)
     a.add_argument("--fundamentals")
+    a.add_argument("--news")
+    a.add_argument("--lexicon")
     a.add_argument("--log")
     a.add_argument("--out", required=True)
+    n = sub.add_parser("anomalies")
+    n.add_argument("--features", required=True)
+    n.add_argument("--models", required=True)
+    n.add_argument("--out", required=True)
     m = sub.add_parser("monitor")
     m.add_argument("--features", required=True)
     m.add_argument("--log", required=True)
+    m.add_argument("--predictions")
+    m.add_argument("--actuals")
+    m.add_argument("--reference")
     m.add_argument("--out", required=True)
     g = sub.add_parser("ingest")
     g.add_argument("--log", required=True)
@@ -74,7 +85,7 @@ def main(argv: list[str] | None = None) -> None:
         summary.write.mode("overwrite").parquet(f"{args.out}/summary")
     elif args.cmd == "train":
         from barlake.operators import iforest as IF
-        from barlake.operators.classifiers import summary, train_evaluate
+        from barlake.operators.classifiers import best_fairness, summary, train_evaluate
         from barlake.operators.metrics import baseline_always_up
         from barlake.operators.split import random_split
         from barlake.sinks.writers import append_training_runs
@@ -82,37 +93,59 @@ def main(argv: list[str] | None = None) -> None:
 
         tc = DEFAULT.training
         split = random_split(load_feature_data(spark, args.features), tc.test_size, tc.random_seed)
-        runs, _ = train_evaluate(split, tc, models_dir=f"{args.out}/models")
+        runs, models = train_evaluate(split, tc, models_dir=f"{args.out}/models")
         base = baseline_always_up(split.where(F.col("split") == "test"), label=tc.target_column)
         append_training_runs(summary(runs, base.select("f1").scalar()), f"{args.out}/training_runs")
-        nodes, psi = IF.fit(load_feature_data(spark, args.features).select(
-            "volume_ratio", "price_change_pct", "ticker", "date").na.drop(),
-            ["volume_ratio", "price_change_pct"], tc.iforest_n_estimators, tc.iforest_random_state,
-            tc.iforest_max_samples, F.xxhash64("ticker", "date"))
-        spark.createDataFrame(nodes).withColumn("psi", F.lit(psi)).write.mode("overwrite").parquet(
-            f"{args.out}/models/isolation_forest")
+        best_fairness(runs, models, load_feature_data(spark, args.features), tc).write.mode("overwrite").parquet(f"{args.out}/fairness")
+        t0 = time.time()
+        scored, forest = IF.fit_predict(load_feature_data(spark, args.features), n_trees=tc.iforest_n_estimators,
+                                        contamination=tc.iforest_contamination, seed=tc.iforest_random_state,
+                                        max_samples=tc.iforest_max_samples)
+        IF.save_forest(spark, forest, f"{args.out}/models/isolation_forest", time.strftime("%Y%m%dT%H%M%S", time.gmtime()))
+        append_training_runs(IF.training_run(scored, forest, tc, time.time() - t0), f"{args.out}/training_runs")
     elif args.cmd == "analyze":
         from barlake.operators.classifiers import load_models
+        from barlake.operators.iforest import load_forest
+        from barlake.operators.sentiment import news_titles, ticker_sentiment
         from barlake.plans import jobs
-        from barlake.schemas import ANALYZE_REQUEST, FUNDAMENTALS
+        from barlake.schemas import ANALYZE_REQUEST, FUNDAMENTALS, NEWS
         from barlake.sources.bars import read_bars
 
         req = spark.read.schema(ANALYZE_REQUEST).json(args.requests)
         info = spark.read.schema(FUNDAMENTALS).parquet(args.fundamentals) if args.fundamentals else None
+        sentiment = None
+        if args.news and args.lexicon:
+            news = spark.read.schema(NEWS).json(args.news)
+            sentiment = ticker_sentiment(news_titles(news), spark.read.parquet(args.lexicon))
+        forest = load_forest(spark, f"{args.models}/isolation_forest")
         rec, rejected = jobs.analyze(spark, req, read_bars(spark, args.bars), load_models(spark, args.models),
-                                     info=info, log_dir=args.log)
+                                     forest=forest, info=info, sentiment=sentiment, log_dir=args.log)
         rec.write.mode("overwrite").parquet(f"{args.out}/analysis")
         rejected.write.mode("overwrite").parquet(f"{args.out}/rejected")
+    elif args.cmd == "anomalies":
+        from barlake.operators.iforest import load_forest
+        from barlake.plans import jobs
+        from barlake.sources.tables import load_feature_data
+
+        forest = load_forest(spark, f"{args.models}/isolation_forest")
+        if forest is None:
+            raise SystemExit(f"no anomaly model under {args.models}")
+        top, share = jobs.anomalies(load_feature_data(spark, args.features), forest)
+        top.write.mode("overwrite").parquet(f"{args.out}/anomalies")
+        share.write.mode("overwrite").parquet(f"{args.out}/summary")
     elif args.cmd == "monitor":
         from barlake.plans import jobs
         from barlake.sources.tables import load_feature_data, read_prediction_log
 
-        out = jobs.monitor(load_feature_data(spark, args.features), read_prediction_log(spark, args.log))
+        table = lambda path: spark.read.parquet(path) if path else None
+        out = jobs.monitor(load_feature_data(spark, args.features), read_prediction_log(spark, args.log),
+                           predictions=table(args.predictions), actuals=table(args.actuals), reference=table(args.reference))
         out.write.mode("overwrite").parquet(args.out)
     elif args.cmd == "ingest":
         from barlake.streaming import prediction_stream as PS
 
         PS.ingest(spark, args.log, args.table, args.checkpoint).awaitTermination()
+    release(spark)
 
 
 if __name__ == "__main__":

@@ -117,6 +117,15 @@ def train_evaluate(split: DataFrame, cfg: TrainConfig = TrainConfig(), names: li
     return spark.createDataFrame(rows, schema), models
 
 
+def best_fairness(runs: DataFrame, models: dict[str, PipelineModel], table: DataFrame, cfg: TrainConfig = TrainConfig()) -> DataFrame:
+    """Accuracy gap between the two named tickers of the best model by F1, over the whole table."""
+    best = M.best_by_f1(runs).first()["best_model"]
+    scored = score(models[best], table.where(F.col("ticker").isin(list(cfg.fairness_tickers)))).select(
+        "ticker", F.col(cfg.target_column).alias("label"), "prediction")
+    gap = M.fairness(scored, cfg.fairness_tickers, cfg.fairness_min_rows, cfg.fairness_gap_limit)
+    return gap.withColumn("model", F.lit(best))
+
+
 def summary(runs: DataFrame, baseline_f1) -> DataFrame:
     """Training runs + beats-baseline flag (G17) + best model by F1."""
     best = M.best_by_f1(runs)

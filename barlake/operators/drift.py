@@ -11,7 +11,6 @@ Arrow-batched call per (ticker, feature) summary row.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,7 @@ from barlake.config import MonitorConfig
 from barlake.functions.ks import ks_pvalue_series
 from barlake.operators.ecdf import cumulative_counts
 from barlake.schemas import model_columns
+from barlake.session import staged
 
 # fixed values: retrain reason texts
 MSG_FEATURE_DRIFT = "Feature drift in: "
@@ -48,26 +48,31 @@ def sample_flags(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
         from barlake.plans.blocked import month_number, row_positions
 
         # numbering reads the rows twice (counts, then rows): build the features once
-        staged = row_positions(features.persist(StorageLevel.MEMORY_AND_DISK), month_number(F.col(order)), order)
+        numbered = row_positions(staged(features, "drift-features"), month_number(F.col(order)), order)
     else:
         w = Window.partitionBy(key).orderBy(order)
-        staged = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
-                                       "_rn": F.row_number().over(w)})
+        numbered = features.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
+                                         "_rn": F.row_number().over(w)})
     n, rn = F.col("_n"), F.col("_rn")
-    return staged.withColumns({
+    return numbered.withColumns({
         "is_ref": rn <= F.floor(n.cast("double") * F.lit(cfg.reference_fraction)),
         "is_rec": rn > n - F.lit(cfg.drift_lookback_days),
     }).drop("_n", "_rn")
 
 
-def ks_statistics(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
-                  feature_cols: list[str] | None = None, key: str = "ticker") -> DataFrame:
+def ks_statistics(features: DataFrame, cfg: MonitorConfig = MonitorConfig(), feature_cols: list[str] | None = None,
+                  key: str = "ticker", reference: DataFrame | None = None) -> DataFrame:
     """Per (ticker, feature): n_ref, n_rec, integer statistic h and D = h / (n_ref * n_rec).
 
-    Features with fewer than 10 non-null values on either side are left out.
+    With a ``reference`` table its rows are the reference sample; otherwise the first 70 % of
+    each ticker's rows. Features with fewer than 10 non-null values on either side are left out.
     """
     feature_cols = feature_cols or model_columns(features.columns)
     flagged = sample_flags(features, cfg, key)
+    if reference is not None:
+        both = [key, *feature_cols]
+        flagged = (flagged.where("is_rec").select(*both, F.lit(False).alias("is_ref"), "is_rec")
+                   .unionByName(reference.select(*both, F.lit(True).alias("is_ref"), F.lit(False).alias("is_rec"))))
     long = flagged.select(
         key, "is_ref", "is_rec",
         F.explode(F.array(*[
@@ -83,10 +88,10 @@ def ks_statistics(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
         "ks_statistic", F.col("h").cast("double") / (F.col("n_ref") * F.col("n_rec")).cast("double"))
 
 
-def feature_drift(features: DataFrame, cfg: MonitorConfig = MonitorConfig(),
-                  feature_cols: list[str] | None = None, key: str = "ticker") -> DataFrame:
+def feature_drift(features: DataFrame, cfg: MonitorConfig = MonitorConfig(), feature_cols: list[str] | None = None,
+                  key: str = "ticker", reference: DataFrame | None = None) -> DataFrame:
     """KS results per (ticker, feature): statistic, p-value, drifted (p < threshold, unrounded)."""
-    stats = ks_statistics(features, cfg, feature_cols, key)
+    stats = ks_statistics(features, cfg, feature_cols, key, reference)
     p = ks_pvalue_udf(F.col("n_ref"), F.col("n_rec"), F.col("h"))
     return stats.withColumn("p_value", p).withColumn(
         "drifted", F.col("p_value") < F.lit(cfg.ks_pvalue_threshold))
@@ -157,8 +162,8 @@ def rolling_accuracy(predictions: DataFrame, actuals: DataFrame, cfg: MonitorCon
     def windows(df: DataFrame, keys, order_col: str) -> DataFrame:
         w = Window.partitionBy(*(keys if isinstance(keys, list) else [keys])).orderBy(order_col) \
             .rowsBetween(-(n - 1), 0)
-        staged = df.withColumns({"_c": F.count("correct").over(w), "_a": F.avg("correct").over(w)})
-        return staged.withColumn(
+        counted = df.withColumns({"_c": F.count("correct").over(w), "_a": F.avg("correct").over(w)})
+        return counted.withColumn(
             "rolling_accuracy", F.when(F.col("_c") >= cfg.rolling_accuracy_min_periods, F.col("_a"))
         ).drop("_c", "_a")
 

@@ -18,7 +18,12 @@ _HEX = 15  # hex digits of md5 used: 60 bits, exact in a BIGINT and a DOUBLE rat
 
 
 def hash_unit(seed: int, *cols: str) -> Column:
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
+    return unit_of(*[F.col(c) for c in cols], F.lit(seed))
+
+
+def unit_of(*parts: Column) -> Column:
+    """Uniform value in [0, 1) from the md5 of the parts' texts."""
+    key = F.concat_ws("|", *[c.cast("string") for c in parts])
     h = F.conv(F.substring(F.md5(key), 1, _HEX), 16, 10).cast("long")
     return h.cast("double") / float(16 ** _HEX)
 

@@ -6,6 +6,7 @@ nothing is capped, sampled or filtered to a subset of ids.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from barlake.plans import sql_twins as sq
 from barlake.plans.pipeline import clean_report, cleaned_bars, feature_table, preprocessed_bars
 from barlake.plans.projection import (BARS_SPEC, PRE_SPEC, features_spec, spark_project,
                                       sql_project)
-from barlake.session import tune
+from barlake.session import checkpoint_dir, staged, tune
 from barlake.sources.bars import bars_from_lineitem
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -383,22 +384,52 @@ def q_train_evaluate(spark, sf_dir):
                       "beats_baseline", "best_model")
 
 
+FOREST = dict(n_trees=_T.iforest_n_estimators, contamination=_T.iforest_contamination, seed=_T.iforest_random_state,
+              max_samples=_T.iforest_max_samples)
+ANOM_SPEC = [("n_anomalies", "long"), ("n_rows", "long"), ("anomaly_pct", "double")]
+ANOM_TOP_SPEC = [("ticker", "string"), ("rn", "int"), ("date", "string"), ("close_price", "double"), ("volume", "double"),
+                 ("volume_ratio", "double"), ("price_change_pct", "double"), ("total_anomalies", "long")]
+NODES_SPEC = [("tree", "int"), ("node", "int"), ("depth", "int"), ("feature", "int"), ("threshold", "double"), ("size", "long")]
+STORED_SPEC = [("ticker", "string"), ("n_rows", "long"), ("n_anomalies", "long"), ("top_score", "double"), ("latest_flag", "bool")]
+
+
 def _anomaly_scored(spark, sf_dir):
     ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
-    return IF.fit_predict(ft, n_trees=_T.iforest_n_estimators, contamination=_T.iforest_contamination,
-                          seed=_T.iforest_random_state)[0]
+    return IF.fit_predict(ft, **FOREST)
 
 
-@register("anomaly_summary", None)
+@register("anomaly_summary", sql_project(sq.anomaly_summary_sql(sq.features_sql("l_returnflag"), **FOREST), ANOM_SPEC))
 def q_anomaly_summary(spark, sf_dir):
     """Isolation forest on (volume_ratio, price_change_pct) of the pooled table."""
-    return IF.anomaly_summary(_anomaly_scored(spark, sf_dir))
+    return spark_project(IF.anomaly_summary(_anomaly_scored(spark, sf_dir)[0]), ANOM_SPEC)
 
 
-@register("anomalies_top", None)
+@register("anomalies_top", sql_project(sq.anomalies_top_sql(sq.features_sql("l_returnflag"), 20, **FOREST), ANOM_TOP_SPEC))
 def q_anomalies_top(spark, sf_dir):
     """Newest 20 anomalies per ticker and the total per ticker."""
-    return RP.anomalies_top(_anomaly_scored(spark, sf_dir), 20)
+    return spark_project(RP.anomalies_top(_anomaly_scored(spark, sf_dir)[0], 20), ANOM_TOP_SPEC)
+
+
+@register("forest_nodes", sql_project(sq.forest_nodes_sql(sq.features_sql("l_returnflag"), **FOREST), NODES_SPEC))
+def q_forest_nodes(spark, sf_dir):
+    """M5/K5: the node table of the forest, grown level by level."""
+    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    X = staged(ft.na.drop(subset=list(IF.FEATURES)), "forest-input")
+    forest = IF.fit(X, IF.FEATURES, FOREST["n_trees"], FOREST["seed"], FOREST["max_samples"])
+    return spark_project(spark.createDataFrame(forest.nodes), NODES_SPEC)
+
+
+@register("stored_forest", sql_project(sq.stored_anomalies_sql(sq.features_sql("l_returnflag"), **FOREST), STORED_SPEC))
+def q_stored_forest(spark, sf_dir):
+    """The forest is fitted, saved with its cut, loaded again, and the loaded version
+    scores the feature table; scores, flags and each ticker's newest flag."""
+    ft = staged(feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag")), "features")
+    path = f"{checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
+    IF.save_forest(spark, IF.fit_predict(ft, **FOREST)[1], path, "1")
+    scored = IF.score(IF.load_forest(spark, path), ft.na.drop(subset=list(IF.FEATURES)))
+    out = scored.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("anomaly") == -1).alias("n_anomalies"),
+                                       F.max("anomaly_score").alias("top_score"), F.max_by(F.col("anomaly") == -1, "date").alias("latest_flag"))
+    return spark_project(out, STORED_SPEC)
 
 
 @register("analysis_report", None)
@@ -411,8 +442,7 @@ def q_analysis(spark, sf_dir):
     split = random_split(ft, _T.test_size, _T.random_seed)
     _, models = C.train_evaluate(split, _T)
     preds = C.score_latest(ft, models)
-    scored, _ = IF.fit_predict(ft, n_trees=_T.iforest_n_estimators, contamination=_T.iforest_contamination,
-                               seed=_T.iforest_random_state)
+    scored, _ = IF.fit_predict(ft, **FOREST)
     flag = RP.latest_row(scored).select("ticker", (F.col("anomaly") == -1).alias("anomaly_flag"))
     rec = RP.analysis_record(ft, preds, flag, fundamentals(spark, sf_dir))
     return rec.select("ticker", "direction_prediction", "confidence", "anomaly_flag", "sentiment_score",
@@ -501,9 +531,6 @@ def q_features_blocked(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ streaming ingest
-import uuid  # noqa: E402
-
-from barlake.session import checkpoint_dir  # noqa: E402
 from barlake.streaming import prediction_stream as PS  # noqa: E402
 
 INGEST_SPEC = [("timestamp", "string"), ("ticker", "string"), ("prediction", "int"),
@@ -515,7 +542,7 @@ def q_log_stream_ingest(spark, sf_dir):
     """P1 + K4 + S6: the events-derived prediction log is appended as JSON lines under the
     shared checkpoint folder, then a file stream (availableNow, with its own checkpoint)
     ingests every record exactly once into a parquet table, which is returned."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/log-ingest-{uuid.uuid4().hex}"
+    base = f"{checkpoint_dir(spark)}/log-ingest-{uuid.uuid4().hex}"
     log = prediction_log(spark, sf_dir).drop("event_id")
     log.write.mode("append").json(f"{base}/logs")
     PS.ingest(spark, f"{base}/logs", f"{base}/table", f"{base}/checkpoint").awaitTermination()
@@ -530,3 +557,7 @@ def q_clean_report_blocked(spark, sf_dir):
 
     bars = bars_from_lineitem(spark, sf_dir, "l_returnflag")
     return spark_project(clean_blocked_with_report(bars, BLOCKED, 512)[1], CLEAN_REPORT_SPEC)
+
+
+# queries of sources, sinks, requests and reports
+from barlake.plans import catalog_io  # noqa: E402, F401

@@ -5,6 +5,7 @@
 * ``features_for``: compute-if-missing cache over the feature store (K7).
 * ``analyze``: request table -> one analysis row per valid request (J7) and
   one appended log record each (K4).
+* ``anomalies``: stored forest + feature store -> newest anomalies and their share.
 * ``monitor``: feature drift + prediction drift + rolling accuracy -> retrain.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from barlake.config import DEFAULT, Config
 from barlake.operators import drift as D
+from barlake.operators import iforest as IF
 from barlake.operators import report as RP
 from barlake.operators.classifiers import score_latest
 from barlake.operators.cleaning import sparse_summary
@@ -25,6 +27,7 @@ from barlake.operators.requests import check_requests, missing_tickers, normalis
 from barlake.plans.blocked import features_from_preprocessed_blocked
 from barlake.plans.pipeline import cleaned_with_report, feature_table, preprocessed_bars
 from barlake.schemas import model_columns
+from barlake.session import staged
 from barlake.sinks import writers as W
 from barlake.sources.tables import load_feature_data
 
@@ -76,7 +79,7 @@ def features_for(spark: SparkSession, requested: DataFrame, features_dir: str, b
 
 
 def analyze(spark: SparkSession, requests: DataFrame, bars: DataFrame, models: dict,
-            anomaly_cut: float | None = None, anomaly_model=None, info: DataFrame | None = None,
+            forest: IF.Forest | None = None, info: DataFrame | None = None,
             sentiment: DataFrame | None = None, log_dir: str | None = None,
             cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Returns (one analysis row per valid request, rejected requests with reasons).
@@ -101,10 +104,8 @@ def analyze(spark: SparkSession, requests: DataFrame, bars: DataFrame, models: d
     feats = feature_table(win, cfg, None if sentiment is None else per_request(sentiment))
     preds = score_latest(feats, models)
     flag = None
-    if anomaly_model is not None and anomaly_cut is not None:
-        udf, cols = anomaly_model
-        last = RP.latest_row(feats)
-        flag = last.select("ticker", (udf(*[F.col(c) for c in cols]) > anomaly_cut).alias("anomaly_flag"))
+    if forest is not None:
+        flag = IF.score(forest, RP.latest_row(feats)).select("ticker", (F.col("anomaly") == -1).alias("anomaly_flag"))
     rec = RP.analysis_record(feats, preds, flag, None if info is None else per_request(info))
     few = ~F.col("kept") | (F.col("cleaned_rows") < 30)
     status = rep.select("ticker", F.when(few, "INSUFFICIENT_DATA").otherwise("OK").alias("status"))
@@ -121,10 +122,17 @@ def analyze(spark: SparkSession, requests: DataFrame, bars: DataFrame, models: d
     return rec, rejected
 
 
+def anomalies(features: DataFrame, forest: IF.Forest, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(newest k anomalies per ticker, count and share) of a stored forest over a feature table."""
+    scored = staged(IF.score(forest, features.na.drop(subset=list(forest.features))), "anomalies")
+    return RP.anomalies_top(scored, k), IF.anomaly_summary(scored)
+
+
 def monitor(features: DataFrame, log: DataFrame, predictions: DataFrame | None = None,
-            actuals: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Retrain decision per ticker from the three monitors."""
-    res = D.feature_drift(features, cfg.monitoring)
+            actuals: DataFrame | None = None, cfg: Config = DEFAULT, reference: DataFrame | None = None) -> DataFrame:
+    """Retrain decision per ticker from the three monitors (G22); ``reference`` rows take the place
+    of each ticker's first 70 % where given."""
+    res = D.feature_drift(features, cfg.monitoring, reference=reference)
     rollup = D.drift_rollup(res, len(model_columns(features.columns)))
     acc = None
     if predictions is not None and actuals is not None:

@@ -511,3 +511,85 @@ def hourly_bars_sql() -> str:
            min(value) AS "Low", arg_max(value, struct_pack(t := ts, e := event_id)) AS "Close",
            arg_max(value, struct_pack(t := ts, e := event_id)) AS "Adj Close", CAST(count(*) AS DOUBLE) AS "Volume"
     FROM events GROUP BY 1, 2"""
+
+
+def _unit(*parts: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT AS DOUBLE) / {float(16 ** 15)})"
+
+
+def forest_ctes(inner: str, n_trees: int, max_samples: int, contamination: float, seed: int) -> str:
+    """CTEs that sample, grow and score the forest over ``inner``; the last one is ``flags``: its rows with
+    ``anomaly_score`` and ``anomaly``."""
+    levels = max(1, (max_samples - 1).bit_length())
+    c = "(CASE WHEN {0} <= 1 THEN 0.0::DOUBLE WHEN {0} = 2 THEN 1.0::DOUBLE ELSE 2.0 * (ln({0} - 1.0) + 0.5772156649015329) - 2.0 * ({0} - 1.0) / {0} END)"
+    out = [f"""feat AS MATERIALIZED (
+      SELECT *, round(volume_ratio, 6) AS x0, round(price_change_pct, 6) AS x1, ticker || '|' || CAST(date AS VARCHAR) AS key
+      FROM ({inner}) f0 WHERE volume_ratio IS NOT NULL AND price_change_pct IS NOT NULL)""",
+           f"""size AS MATERIALIZED (
+      SELECT least({max_samples}, count(*)) AS psi, least(1.0::DOUBLE, 2.0 * least({max_samples}, count(*)) / greatest(count(*), 1)) AS rate,
+             ceil(log2(greatest(least({max_samples}, count(*)), 2))) AS deep FROM feat)""",
+           f"""sampled AS MATERIALIZED (
+      SELECT tree, x0, x1 FROM (
+        SELECT tree, x0, x1, psi, row_number() OVER (PARTITION BY tree ORDER BY {_unit(str(seed + 1), 'tree', 'key')}, key) AS r
+        FROM feat, size, range({n_trees}) t(tree)
+        WHERE {_unit(str(seed), '-1', 'key')} < least(1.0::DOUBLE, rate * {n_trees})
+          AND {_unit(str(seed), 'tree', 'key')} < rate / least(1.0::DOUBLE, rate * {n_trees})) s0
+      WHERE r <= psi)""",
+           "l0 AS MATERIALIZED (SELECT tree, 0 AS node, true AS open, x0, x1 FROM sampled)"]
+    for d in range(levels + 1):
+        out.append(f"""s{d} AS MATERIALIZED (
+      SELECT *, CASE WHEN n <= 1 OR {d} >= (SELECT deep FROM size) OR NOT (b0 > a0 OR b1 > a1) THEN -1
+                     WHEN b0 > a0 AND b1 > a1 THEN CAST(floor({_unit(str(seed), "'feature'", 'tree', 'node')} * 2) AS INTEGER)
+                     WHEN b0 > a0 THEN 0 ELSE 1 END AS f
+      FROM (SELECT tree, node, count(*) AS n, min(x0) AS a0, max(x0) AS b0, min(x1) AS a1, max(x1) AS b1
+            FROM l{d} WHERE open GROUP BY tree, node) g{d})""")
+        out.append(f"""n{d} AS MATERIALIZED (
+      SELECT tree, node, {d} AS depth, f, n, CASE WHEN f = 0 THEN a0 + {_unit(str(seed), "'threshold'", 'tree', 'node')} * (b0 - a0)
+             WHEN f = 1 THEN a1 + {_unit(str(seed), "'threshold'", 'tree', 'node')} * (b1 - a1) ELSE 0.0 END AS t FROM s{d})""")
+        if d < levels:
+            out.append(f"""l{d + 1} AS MATERIALIZED (
+      SELECT l.tree, 2 * l.node + 1 + CAST((CASE WHEN n.f = 0 THEN l.x0 ELSE l.x1 END) >= n.t AS INTEGER) AS node, true AS open, l.x0, l.x1
+      FROM l{d} l JOIN n{d} n ON n.tree = l.tree AND n.node = l.node WHERE n.f >= 0)""")
+    out.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(levels + 1)) + ")")
+    out.append(f"w0 AS (SELECT key, x0, x1, tree, 0 AS node FROM feat, range({n_trees}) t(tree))")
+    for d in range(levels):
+        out.append(f"""w{d + 1} AS (
+      SELECT key, x0, x1, w.tree, CASE WHEN n.f < 0 OR n.depth <> {d} THEN w.node
+             ELSE 2 * w.node + 1 + CAST((CASE WHEN n.f = 0 THEN x0 ELSE x1 END) >= n.t AS INTEGER) END AS node
+      FROM w{d} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node)""")
+    out.append(f"""paths AS MATERIALIZED (
+      SELECT w.key, sum(CAST(round((n.depth + {c.format('n.n')}) * 1000000) AS BIGINT)) AS total
+      FROM w{levels} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY w.key)""")
+    out.append(f"""scores AS MATERIALIZED (
+      SELECT feat.*, pow(2.0, -(total / {float(n_trees * 1_000_000)}) / (SELECT {c.format('psi')} FROM size)) AS anomaly_score
+      FROM feat JOIN paths ON paths.key = feat.key)""")
+    out.append(f"""flags AS MATERIALIZED (
+      SELECT *, CASE WHEN anomaly_score > (SELECT quantile_cont(anomaly_score, {1.0 - contamination}) FROM scores) THEN -1 ELSE 1 END AS anomaly
+      FROM scores)""")
+    return ",\n    ".join(out)
+
+
+def anomaly_summary_sql(inner: str, **forest) -> str:
+    return f"""WITH {forest_ctes(inner, **forest)}
+    SELECT count_if(anomaly = -1) AS n_anomalies, count(*) AS n_rows,
+           round(100.0 * avg(CAST(anomaly = -1 AS DOUBLE)), 2) AS anomaly_pct FROM flags"""
+
+
+def anomalies_top_sql(inner: str, k: int, **forest) -> str:
+    return f"""WITH {forest_ctes(inner, **forest)}
+    SELECT ticker, rn, CAST(date AS VARCHAR) AS date, round(coalesce("Close", 0.0), 2) AS close_price, coalesce("Volume", 0.0) AS volume,
+           round(coalesce(volume_ratio, 0.0), 4) AS volume_ratio, round(coalesce(price_change_pct, 0.0), 6) AS price_change_pct, total_anomalies
+    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY ticker) AS total_anomalies
+          FROM flags WHERE anomaly = -1) a WHERE rn <= {k}"""
+
+
+def forest_nodes_sql(inner: str, **forest) -> str:
+    return f"""WITH {forest_ctes(inner, **forest)}
+    SELECT tree, node, depth, f AS feature, t AS threshold, n AS size FROM nodes"""
+
+
+def stored_anomalies_sql(inner: str, **forest) -> str:
+    """Flags of each ticker's newest row and their shares, from the scored table."""
+    return f"""WITH {forest_ctes(inner, **forest)}
+    SELECT ticker, count(*) AS n_rows, count_if(anomaly = -1) AS n_anomalies, max(anomaly_score) AS top_score,
+           arg_max(anomaly = -1, date) AS latest_flag FROM flags GROUP BY ticker"""

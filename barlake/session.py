@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL confs every job relies on. Applied only where the session has no
 # explicit value, so a cluster's own settings win.
@@ -18,8 +19,8 @@ RUNTIME_CONFS = {
 }
 
 
-# Window buffers: a ticker's bars (bounded by the calendar) stay in the fast
-# in-memory row array instead of switching to the external one at 4,096 rows.
+# Window buffers: a row block's frame stays in the fast in-memory row array instead of
+# switching to the external one at 4,096 rows.
 # Only applied when the launch configuration leaves the setting alone.
 LAUNCH_DEFAULTS = {
     "spark.sql.windowExec.buffer.in.memory.threshold": "131072",
@@ -58,18 +59,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts, as ``spark.checkpoint.dir`` names it.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when unset (local
-    tests) do we create one of our own.
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster session
+    fails, because its executors would each write to a disk that the others don't see.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    path = tempfile.mkdtemp(prefix="barlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="barlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+_STAGED: list[str] = []
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: several readers share
+    it, nothing is cached, and a lost executor costs no recomputation. ``release`` deletes it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the staged tables of this process; results that still read them must be done."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)

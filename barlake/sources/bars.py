@@ -85,7 +85,7 @@ def _line_key() -> Column:
 
 def bars_from_lineitem(spark: SparkSession, sf_dir: str,
                        ticker_col: str | list[str] = "l_linestatus") -> DataFrame:
-    """Daily bars: one ticker per ``ticker_col`` value, one bar per ship date.
+    """Daily bars: one ticker per value of ``ticker_col`` (a column or an expression), one bar per ship date.
 
     A partial (map-side) aggregate per (ticker, date) before the shuffle, so a
     ticker holding a third of all line items still ships one row per task and day.
@@ -93,7 +93,7 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str,
     into one row per ticker column before the aggregate.
     """
     cols = [ticker_col] if isinstance(ticker_col, str) else list(ticker_col)
-    ticker = F.col(cols[0]) if len(cols) == 1 else F.explode(F.array(*cols))
+    ticker = F.expr(cols[0]) if len(cols) == 1 else F.explode(F.array(*cols))
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         ticker.alias("ticker"), F.to_date("l_shipdate").alias("date"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barlake.schemas import PREDICTION_LOG
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -31,7 +31,7 @@ def load_feature_data(spark: SparkSession, features_dir: str, ticker: str | None
     """Whole feature store as one table (S4, U1); ``ticker`` is the partition column
     (the file-stem-to-ticker step, X15),
     so a single-ticker read prunes to one folder (S5). Empty store is an error."""
-    if not _exists(spark, features_dir):
+    if not path_exists(spark, features_dir):
         raise FileNotFoundError(f"no feature data under {features_dir}")
     df = spark.read.option("mergeSchema", "true").parquet(features_dir)
     if ticker is not None:
@@ -39,10 +39,18 @@ def load_feature_data(spark: SparkSession, features_dir: str, ticker: str | None
     return df
 
 
+def load_loose_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Loose feature files named ``<ticker>_features*`` at any depth as one table (S4, U1, X15): the ticker
+    is the file's (or its folder's) name, the columns are the union by name."""
+    df = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(folder)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)_features[^/]*(/[^/]*)?$", 1)
+    return df.select("*", F.upper(stem).alias("ticker")).where(F.col("ticker") != "")
+
+
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines prediction log with the declared schema (S6, F15, X22): blank lines are
     skipped, a malformed line fails the read; a missing path is an empty table."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], PREDICTION_LOG)
     return spark.read.schema(PREDICTION_LOG).option("mode", "FAILFAST").json(path)
 

@@ -22,16 +22,58 @@ def test_iforest_flags_contamination_share(spark):
     pts = rng.normal(size=(2000, 2))
     df = spark.createDataFrame([(f"T{i % 3}", i, float(a), float(b)) for i, (a, b) in enumerate(pts)],
                                "ticker string, date int, volume_ratio double, price_change_pct double")
-    scored, cut = IF.fit_predict(df, n_trees=50, contamination=0.05)
+    scored, forest = IF.fit_predict(df, n_trees=50, contamination=0.05)
     share = scored.agg(F.avg((F.col("anomaly") == -1).cast("double"))).first()[0]
     assert 0.04 <= share <= 0.06
-    # far-away points score higher than the centre
-    far = spark.createDataFrame([("X", 0, 8.0, 8.0), ("X", 1, 0.0, 0.0)],
+    # far-away points score higher than the centre, missing features have no score
+    far = spark.createDataFrame([("X", 0, 8.0, 8.0), ("X", 1, 0.0, 0.0), ("X", 2, None, 0.0)],
                                 "ticker string, date int, volume_ratio double, price_change_pct double")
-    nodes, psi = IF.fit(df.select("volume_ratio", "price_change_pct", "ticker", "date"),
-                        ["volume_ratio", "price_change_pct"], 50, 42, 256, F.xxhash64("ticker", "date"))
-    s = far.withColumn("s", IF.score_udf(nodes, psi)("volume_ratio", "price_change_pct")).orderBy("date").collect()
-    assert s[0]["s"] > s[1]["s"]
+    s = IF.score(forest, far).orderBy("date").collect()
+    assert s[0]["anomaly_score"] > s[1]["anomaly_score"] and s[0]["anomaly"] == -1 and s[1]["anomaly"] == 1
+    assert s[2]["anomaly_score"] is None and s[2]["anomaly"] == 1
+
+
+def plain_forest_scores(nodes, rows, n_trees, psi):
+    """Scores by walking the node rows one by one."""
+    at = {(r.tree, r.node): r for r in nodes.itertuples()}
+    out = []
+    for x in rows:
+        total = 0
+        for t in range(n_trees):
+            n = at[t, 0]
+            while n.feature >= 0:
+                n = at[t, 2 * n.node + 1 + (x[n.feature] >= n.threshold)]
+            total += round((n.depth + IF.c_factor(n.size)) * IF.UNIT)
+        out.append(2.0 ** (-total / (n_trees * IF.UNIT) / IF.c_factor(psi)))
+    return out
+
+
+def test_forest_tables_are_a_tree_and_score_like_the_walk(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    pts = np.round(rng.normal(size=(300, 2)), 6).tolist() + [[1.0, 1.0]] * 40  # repeated rows make leaves that can't split
+    df = spark.createDataFrame([("T", i, a, b) for i, (a, b) in enumerate(pts)],
+                               "ticker string, date int, volume_ratio double, price_change_pct double")
+    scored, forest = IF.fit_predict(df, n_trees=7, contamination=0.1, max_samples=64)
+    nodes = forest.nodes
+    at = {(r.tree, r.node): r for r in nodes.itertuples()}
+    assert len(at) == len(nodes) and {t for t, _ in at} == set(range(7)) and all(at[t, 0].size == 64 for t in range(7))
+    for (t, n), r in at.items():
+        if r.feature >= 0:
+            assert at[t, 2 * n + 1].size + at[t, 2 * n + 2].size == r.size if (t, 2 * n + 1) in at else at[t, 2 * n + 2].size == r.size
+        else:
+            assert r.size == 1 or r.depth == 6 or r.size > 1
+    got = [r["anomaly_score"] for r in scored.orderBy("date").collect()]
+    assert np.allclose(got, plain_forest_scores(nodes, pts, 7, 64))
+
+    path = str(tmp_path / "forest")
+    assert IF.load_forest(spark, path) is None
+    IF.save_forest(spark, forest, path, "20240101")
+    IF.save_forest(spark, forest, path, "20240102")
+    again = IF.load_forest(spark, path)
+    assert again.version == "20240102" and again.cut == forest.cut and again.features == forest.features
+    same = IF.score(again, df).orderBy("date").collect()
+    assert [r["anomaly"] for r in same] == [r["anomaly"] for r in scored.orderBy("date").collect()]
+    assert IF.load_forest(spark, path, "20240101").nodes.equals(forest.nodes)
 
 
 def test_train_and_quality_band(spark):
