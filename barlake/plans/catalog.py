@@ -194,13 +194,15 @@ def q_ks_statistics(spark, sf_dir):
     return spark_project(D.ks_statistics(ft, _MON), KS_SPEC)
 
 
-@register("feature_drift", None)
+_KS_SQL = sq.ks_sql(sq.features_sql("l_returnflag"), FEATURE_COLS, _MON.reference_fraction, _MON.drift_lookback_days, _MON.min_ks_values)
+FD_SPEC = [("ticker", "string"), ("feature", "string"), ("ks_statistic", "d4"), ("p_value", "d4"), ("drifted", "bool")]
+
+
+@register("feature_drift", sql_project(sq.feature_drift_sql(_KS_SQL, _MON.ks_pvalue_threshold), FD_SPEC))
 def q_feature_drift(spark, sf_dir):
-    """G20 with exact KS p-values (Python lattice-path DP per summary row): rows-only check."""
+    """G20 with exact KS p-values (lattice paths; one Arrow batch over the summary rows)."""
     ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
-    res = D.feature_drift(ft, _MON)
-    return res.select("ticker", "feature", F.round("ks_statistic", 4).alias("ks_statistic"),
-                      F.round("p_value", 4).alias("p_value"), "drifted")
+    return spark_project(D.feature_drift(ft, _MON), FD_SPEC)
 
 
 PD_SPEC = [("n_records", "long"), ("historical_up_pct", "double"), ("recent_up_pct", "double"),
@@ -226,11 +228,15 @@ def q_rolling_accuracy(spark, sf_dir):
     return spark_project(D.rolling_accuracy(s, s, _MON), RA_SPEC)
 
 
-@register("retrain_decision", None)
+RETRAIN_SPEC = [("ticker", "string"), ("total_features", "int"), ("tested_features", "int"), ("n_drifted", "int"), ("drifted_features", "string"),
+                ("rolling_accuracy", "double"), ("reasons", "string"), ("retrain", "bool")]
+
+
+@register("retrain_decision", sql_project(sq.retrain_sql(sq.features_sql("l_returnflag"), _KS_SQL, _MON).format(total=len(FEATURE_COLS)), RETRAIN_SPEC))
 def q_retrain(spark, sf_dir):
     """Drift roll-up per ticker + log prediction drift + rolling accuracy of a
     MACD-histogram sign rule against the target -> reasons and the retrain flag."""
-    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    ft = staged(feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag")), "features")
     res = D.feature_drift(ft, _MON)
     rollup = D.drift_rollup(res, len(FEATURE_COLS))
     rule = ft.select("ticker", "date", (F.col("macd_histogram") > 0).cast("int").alias("prediction"),
@@ -238,11 +244,8 @@ def q_retrain(spark, sf_dir):
     acc = D.latest_value(D.rolling_accuracy(rule, rule, _MON), "rolling_accuracy")
     pdrift = D.prediction_drift(prediction_log(spark, sf_dir), _MON)
     dec = D.retrain_decision(rollup, pdrift, acc, _MON)
-    return rollup.join(dec, "ticker").select(
-        "ticker", "total_features", "tested_features", "n_drifted",
-        F.array_join("drifted_features", ",").alias("drifted_features"),
-        F.round("rolling_accuracy", 6).alias("rolling_accuracy"),
-        F.array_join("reasons", " | ").alias("reasons"), "retrain")
+    return spark_project(rollup.join(dec, "ticker").withColumns({
+        "drifted_features": F.array_join("drifted_features", ","), "reasons": F.array_join("reasons", " | ")}), RETRAIN_SPEC)
 
 
 # ------------------------------------------------------------------ sentiment

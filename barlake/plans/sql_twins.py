@@ -593,3 +593,43 @@ def stored_anomalies_sql(inner: str, **forest) -> str:
     return f"""WITH {forest_ctes(inner, **forest)}
     SELECT ticker, count(*) AS n_rows, count_if(anomaly = -1) AS n_anomalies, max(anomaly_score) AS top_score,
            arg_max(anomaly = -1, date) AS latest_flag FROM flags GROUP BY ticker"""
+
+
+def feature_drift_sql(inner_ks: str, threshold: float) -> str:
+    """Exact KS p-values: lattice paths that stay inside |i * n2 - j * n1| < h, one running sum per j."""
+    inside = "abs(i * n2 - (j + 1) * n1) < h"
+    return f"""
+    WITH RECURSIVE ks AS MATERIALIZED (SELECT *, greatest(n_ref, n_rec) AS n1, least(n_ref, n_rec) AS n2 FROM ({inner_ks}) k0),
+    lat AS (
+      SELECT ticker, feature, n1, n2, h, 0::BIGINT AS j, i, CASE WHEN i * n2 < h THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v
+      FROM ks, LATERAL (SELECT unnest(range(0, CAST(n1 + 1 AS BIGINT))) AS i) r
+      UNION ALL
+      SELECT ticker, feature, n1, n2, h, j + 1, i, CASE WHEN {inside} THEN sum(CASE WHEN {inside} THEN v ELSE 0.0 END) OVER (
+             PARTITION BY ticker, feature ORDER BY i) ELSE 0.0 END FROM lat WHERE j < n2),
+    p AS (
+      SELECT ks.*, CASE WHEN ks.h <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1.0 - lat.v * exp(
+             lgamma(ks.n1 + 1) + lgamma(ks.n2 + 1) - lgamma(ks.n1 + ks.n2 + 1)))) END AS p_value
+      FROM ks JOIN lat ON lat.ticker = ks.ticker AND lat.feature = ks.feature AND lat.j = ks.n2 AND lat.i = ks.n1)
+    SELECT ticker, feature, ordinal, ks_statistic, p_value, p_value < {threshold} AS drifted FROM p"""
+
+
+def retrain_sql(inner: str, ks: str, cfg) -> str:
+    """Drift roll-up, prediction drift and the rolling accuracy of the histogram sign rule, with reasons."""
+    n, m = cfg.rolling_accuracy_window, cfg.rolling_accuracy_min_periods
+    frame = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"""
+    WITH fd AS MATERIALIZED ({feature_drift_sql(ks, cfg.ks_pvalue_threshold)}),
+    roll AS (SELECT ticker, count(*) AS tested, count_if(drifted) AS n_drifted,
+                    coalesce(list(feature ORDER BY ordinal) FILTER (drifted), []) AS names FROM fd GROUP BY ticker),
+    c AS (SELECT ticker, date, CAST(CAST(macd_histogram > 0 AS INTEGER) = target_direction AS INTEGER) AS correct FROM ({inner}) f),
+    acc AS (SELECT ticker, arg_max(a, date) AS a FROM (SELECT ticker, date, CASE WHEN count(correct) {frame} >= {m} THEN avg(correct) {frame} END AS a FROM c) r
+            GROUP BY ticker),
+    pd AS (SELECT * FROM ({prediction_drift_sql(cfg.drift_lookback_days, cfg.prediction_drift_threshold, cfg.min_log_rows)}) p0),
+    r AS (SELECT roll.*, acc.a, list_filter([
+            CASE WHEN n_drifted > 0 THEN 'Feature drift in: [' || array_to_string(list_transform(names, lambda x: '''' || x || ''''), ', ') || ']' END,
+            CASE WHEN (SELECT drifted FROM pd) THEN printf('Prediction drift: %.1f%%', (SELECT shift FROM pd) * 100) END,
+            CASE WHEN a < {cfg.min_accuracy_threshold} THEN printf('Rolling accuracy %.1f%% < %.0f%%', a * 100, {cfg.min_accuracy_threshold * 100}) END],
+            lambda x: x IS NOT NULL) AS reasons
+          FROM roll LEFT JOIN acc USING (ticker))
+    SELECT ticker, {{total}} AS total_features, tested AS tested_features, n_drifted, array_to_string(names, ',') AS drifted_features,
+           a AS rolling_accuracy, array_to_string(reasons, ' | ') AS reasons, len(reasons) > 0 AS retrain FROM r"""
