@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from barlake.config import TrainConfig
 from barlake.operators import metrics as M
 from barlake.schemas import model_columns
+from barlake.session import staged
 
 # fixed values: model names and the serving preference order
 MODEL_PREFERENCE = ["XGBoost", "RandomForest", "LogisticRegression"]
@@ -72,8 +72,7 @@ def train_evaluate(split: DataFrame, cfg: TrainConfig = TrainConfig(), names: li
     spark = split.sparkSession
     label = cfg.target_column
     feature_cols = feature_cols or model_columns(split.columns)
-    # every fit and evaluation re-reads the split
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    split = staged(split, "split")  # every fit and evaluation reads it
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     n_train = train.count()
@@ -86,13 +85,12 @@ def train_evaluate(split: DataFrame, cfg: TrainConfig = TrainConfig(), names: li
         t0 = time.time()
         model = pipe.fit(train)
         train_s = time.time() - t0
-        scored = score(model, test).select(F.col(label).alias("label"), "prediction", "score").persist()
+        scored = score(model, test).select(F.col(label).alias("label"), "prediction", "score")
         t1 = time.time()
-        scored.write.format("noop").mode("overwrite").save()
+        scored = staged(scored, "test-scores")
         infer_ms = (time.time() - t1) / max(n_test, 1) * 1000.0
         m = M.confusion_metrics(scored).first().asDict()
         auc = M.roc_auc(scored).first()["roc_auc"]
-        scored.unpersist()
         est = model.stages[-1]
         imps = {}
         if hasattr(est, "featureImportances"):

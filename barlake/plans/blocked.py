@@ -21,15 +21,16 @@ exact:
 * per-ticker scalars are aggregates: the missing share, and the volume cap as
   an exact quantile over order buckets (``operators.ecdf.exact_quantile``).
 
-Exchanges: one per layout (clean, preprocess, features) plus small per-ticker
-and per-block tables, which AQE broadcasts when measured small.
+Filled rows and preprocessed rows are read several times (share, cap, counts, row numbers), so
+each is one table in the shared folder: nothing stays cached, a lost executor repeats no
+earlier stage, and later plans start from a scan. Exchanges: one per layout (clean,
+preprocess, features) plus the joins of per-ticker and per-block tables.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ from barlake.operators.cleaning import forward_fill, preprocess
 from barlake.operators.ecdf import exact_quantile
 from barlake.operators.indicators import add_sentiment, display_indicators, engineer_features
 from barlake.schemas import VALUE_COLS
+from barlake.session import staged
 
 KEY = "ticker"
 COPY_T = "array<struct<b:bigint,own:boolean>>"
@@ -148,7 +150,7 @@ def clean_blocked_with_report(bars: DataFrame, cfg: Config = DEFAULT,
               .agg(F.max("_f").alias("_f"), F.max("_own").alias("_own"), *[F.max(_c(c)).alias(c) for c in values]))
     filled = forward_fill(merged, d.max_consecutive_fill, values, key=[KEY, "_blk"], order="_p")
     # share, cap, counts and the cleaned rows all read the filled rows: fill once
-    own = filled.where(F.col("_own")).persist(StorageLevel.MEMORY_AND_DISK)
+    own = staged(filled.where(F.col("_own")).drop("_own"), "filled")
     n_null = sum(F.when(_c(c).isNull(), 1).otherwise(0) for c in values)
     share = own.groupBy(KEY).agg(F.avg(n_null / F.lit(float(len(values)))).alias("_mp"))
     kept = (own.join(share.where(F.col("_mp") <= F.lit(d.max_missing_pct)).select(KEY), KEY, "left_semi")
@@ -188,8 +190,8 @@ def features_from_preprocessed_blocked(pre: DataFrame, cfg: Config = DEFAULT, se
     if "_blk" in pre.columns and "_i" in pre.columns:
         idx = dense_index(pre, "_blk", "_i", "_j").drop("_i")
     else:
-        staged = pre.withColumn("_bk", month_number(F.col("date"))).repartition(KEY, "_bk")
-        idx = dense_index(staged, "_bk", "date", "_j").drop("_bk")
+        dealt = pre.withColumn("_bk", month_number(F.col("date"))).repartition(KEY, "_bk")
+        idx = dense_index(dealt, "_bk", "date", "_j").drop("_bk")
     lay3 = lay_out(idx, "_j", block_rows, back=feature_halo(cfg), fwd=1)
     feats = engineer_features(lay3, cfg.features, None, key=[KEY, "_blk"], order="_j", index="_j")
     out = feats.where(F.col("_own")).drop("_blk", "_own", "_j", "sentiment_score")
@@ -201,7 +203,7 @@ def features_from_preprocessed_blocked(pre: DataFrame, cfg: Config = DEFAULT, se
 def feature_table_blocked(bars: DataFrame, cfg: Config = DEFAULT, sentiment: DataFrame | None = None,
                           block_rows: int = 1 << 18) -> DataFrame:
     """Same table as ``plans.pipeline.feature_table``, laid out in row blocks."""
-    pre = preprocessed_blocked(bars, cfg, block_rows)
+    pre = staged(preprocessed_blocked(bars, cfg, block_rows), "preprocessed")  # counted and read
     return features_from_preprocessed_blocked(pre, cfg, sentiment, block_rows)
 
 
@@ -215,8 +217,8 @@ def blocked_window(df: DataFrame, bucket: Column, order: str, back: int, fwd: in
     earlier buckets. ``fn(frame, keys, order_col)`` adds the window columns.
     """
     cols = list(df.columns)
-    staged = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
-    idx = dense_index(staged, "_bk", order, "_i").drop("_bk")
+    dealt = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
+    idx = dense_index(dealt, "_bk", order, "_i").drop("_bk")
     laid = lay_out(idx, "_i", block_rows, back, fwd)
     out = fn(laid, [KEY, "_blk"], "_i")
     return out.where(F.col("_own")).select(*[_c(c) for c in cols], *[
@@ -226,8 +228,8 @@ def blocked_window(df: DataFrame, bucket: Column, order: str, back: int, fwd: in
 def row_positions(df: DataFrame, bucket: Column, order: str) -> DataFrame:
     """Adds ``_rn`` (1-based position in the ticker) and ``_n`` (rows of the ticker)
     without a window over a whole ticker."""
-    staged = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
-    idx = dense_index(staged, "_bk", order, "_i", total="_n").drop("_bk")
+    dealt = df.withColumn("_bk", bucket).repartition(KEY, "_bk")
+    idx = dense_index(dealt, "_bk", order, "_i", total="_n").drop("_bk")
     return idx.withColumn("_rn", F.col("_i") + 1).drop("_i")
 
 

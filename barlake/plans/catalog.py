@@ -170,7 +170,7 @@ def _split_sql() -> str:
 @register("split_class_balance", sql_project(_split_sql(), SPLIT_SPEC))
 def q_split(spark, sf_dir):
     """M1 + G9/G24: hash-stratified 80/20 split of the feature table and class balance per side."""
-    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    ft = staged(feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag")), "features")
     return spark_project(M.class_balance(random_split(ft, _T.test_size, _T.random_seed)), SPLIT_SPEC)
 
 
@@ -370,7 +370,7 @@ from barlake.operators import iforest as IF  # noqa: E402
 
 
 def _split_features(spark, sf_dir):
-    ft = feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag"))
+    ft = staged(feature_table(bars_from_lineitem(spark, sf_dir, "l_returnflag")), "features")
     return random_split(ft, _T.test_size, _T.random_seed)
 
 
@@ -441,7 +441,7 @@ def q_analysis(spark, sf_dir):
     of the three trained classifiers, the anomaly flag
     of the latest row, signals, sentiment and fundamentals."""
     bars = bars_from_lineitem(spark, sf_dir, "l_linestatus")
-    ft = feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir, bars))
+    ft = staged(feature_table(bars, DEFAULT, _ticker_sentiment(spark, sf_dir, bars)), "features")
     split = random_split(ft, _T.test_size, _T.random_seed)
     _, models = C.train_evaluate(split, _T)
     preds = C.score_latest(ft, models)

@@ -250,10 +250,17 @@ def fairness_sql(inner: str, pair: tuple[str, str], min_rows: int, gap_limit: fl
     FROM (SELECT {cols} FROM ({m}) m WHERE n >= {min_rows}) w"""
 
 
-def split_sql(inner: str, test_size: float, seed: int) -> str:
-    u = (f"CAST(('0x' || substr(md5(concat_ws('|', ticker, CAST(date AS VARCHAR), '{seed}')), 1, 15))::BIGINT "
-         f"AS DOUBLE) / {float(16 ** 15)}")
-    return f"SELECT *, CASE WHEN {u} < {test_size} THEN 'test' ELSE 'train' END AS split FROM ({inner}) s"
+def split_sql(inner: str, test_size: float, seed: int, label: str = "target_direction") -> str:
+    key = f"concat_ws('|', ticker, CAST(date AS VARCHAR), '{seed}')"
+    return f"""
+    WITH f AS ({inner}),
+    c AS (SELECT {label} AS label, count(*) AS n, (SELECT count(*) FROM f) AS total,
+                 CAST(ceil(CAST({test_size} AS DOUBLE) * (SELECT count(*) FROM f)) AS BIGINT) AS wanted FROM f GROUP BY {label}),
+    b AS (SELECT *, wanted * n // total AS base, row_number() OVER (ORDER BY wanted * n % total DESC, label) AS rest FROM c),
+    q AS (SELECT label, base + CAST(rest <= wanted - (SELECT sum(base) FROM b) AS BIGINT) AS quota FROM b)
+    SELECT f.*, CASE WHEN row_number() OVER (PARTITION BY {label} ORDER BY ('0x' || substr(md5({key}), 1, 15))::BIGINT, {key}) <= q.quota
+                     THEN 'test' ELSE 'train' END AS split
+    FROM f JOIN q ON q.label = f.{label}"""
 
 
 def ks_sql(inner: str, feature_cols: list[str], ref_fraction: float, lookback: int, min_values: int) -> str:

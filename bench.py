@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from barlake.plans.catalog import queries  # noqa: E402
-from barlake.session import local_session  # noqa: E402
+from barlake.session import local_session, release  # noqa: E402
 
 HEADLINE = [
     "bars_daily", "quality_report", "clean_bars", "features", "features_with_sentiment",
@@ -37,6 +37,8 @@ def main() -> None:
         t0 = time.time()
         q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        spark.catalog.clearCache()  # no query may read what another has kept
+        release(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

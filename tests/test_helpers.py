@@ -120,3 +120,23 @@ def test_build_touches_only_its_own_tickers(spark, tmp_path):
     for save in (False, True):
         got = jobs.features_for(spark, asked, f"{out}/features", again, save=save)
         assert [r.ticker for r in got.select("ticker").distinct().collect()] == ["AAA"]
+
+
+def test_split_has_exact_shares_per_label(spark):
+    from pyspark.sql import functions as F
+
+    from barlake.operators.split import random_split, shares
+
+    rows = [(f"T{i % 5}", i, None if i % 97 == 0 else i % 3 // 2) for i in range(3001)]
+    df = spark.createDataFrame(rows, "ticker string, date int, target_direction int")
+    out = random_split(df, 0.2, 7)
+    got = {(r["target_direction"], r["split"]): r["count"] for r in out.groupBy("target_direction", "split").count().collect()}
+    sizes = {k: sum(1 for r in rows if r[2] == k) for k in (None, 0, 1)}
+    quota = shares(sizes, 0.2)
+    assert sum(quota.values()) == 601 and all(abs(quota[k] - 0.2 * sizes[k]) <= 1 for k in sizes)
+    assert {k: got[k, "test"] for k in sizes} == quota and out.count() == 3001
+    again = random_split(df.repartition(7), 0.2, 7)
+    assert out.exceptAll(again).count() == 0
+    assert random_split(df.limit(0)).count() == 0
+    whole = random_split(df, 0.5, 7, label=None)
+    assert whole.where("split = 'test'").count() == 1501
