@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.config import DEFAULT
 from barlake.operators import metrics as M
 from barlake.operators import report as RP
 from barlake.operators import sentiment as S
@@ -370,3 +371,47 @@ def q_analysis_record(spark, sf_dir):
                                     "fundamentals.pe_ratio", F.col("analysis_date").isNotNull().alias("dated")), RECORD_SPEC)
 
 
+
+
+# ------------------------------------------------------------------ models as tables
+
+MODEL_SPEC = [("model", "string"), ("n_train", "long"), ("n_test", "long"), ("n_up", "long"), ("n_equal", "long"), ("n_side_by_side", "long"),
+              ("named_features", "long"), ("timed", "bool"), ("weighs_features", "bool")]
+_SPLIT = sq.split_sql(sq.features_sql("l_returnflag"), DEFAULT.training.test_size, DEFAULT.training.random_seed)
+
+
+@register("exported_models", sql_project(f"""
+    WITH s AS ({_SPLIT}), t AS (SELECT count_if(split = 'train') AS n_train, count_if(split = 'test') AS n_test,
+                                       count_if(split = 'test' AND target_direction = 1) AS n_up FROM s)
+    SELECT m.model, n_train, n_test, n_up, n_test AS n_equal, n_test AS n_side_by_side, 16 AS named_features, true AS timed, m.trees AS weighs_features
+    FROM (VALUES ('Random Forest', true), ('XGBoost', true), ('Logistic Regression', false)) m(model, trees), t""", MODEL_SPEC))
+def q_exported_models(spark, sf_dir):
+    """The three classifiers are trained, exported as node and coefficient rows, written,
+    and scored by joins; every test row's class and probability must equal the library's, also side by side."""
+    from barlake.operators import classifiers as C
+    from barlake.operators import model_tables as MT
+    from barlake.operators.split import random_split
+
+    cfg = DEFAULT.training
+    ft = staged(feature_table(B.bars_from_lineitem(spark, sf_dir, "l_returnflag")), "features")
+    split = staged(random_split(ft, cfg.test_size, cfg.random_seed), "split")
+    runs, models = C.train_evaluate(split, cfg)
+    cols = model_columns(ft.columns)
+    test = split.where("split = 'test'").select("ticker", "date", "target_direction", *cols)
+    together = C.side_by_side(test, models)
+    out = None
+    for name, model in models.items():
+        nodes = staged(MT.export(model, cols, _folder(spark, "trees")), "model")
+        depth = {"RandomForest": cfg.rf_max_depth, "XGBoost": cfg.gbt_max_depth}.get(name, 0)
+        mine = MT.score_rows(nodes, test, cols, ["ticker", "date"], depth).withColumnRenamed("prediction", "own").withColumnRenamed("score", "own_score")
+        both = C.score(model, test).select("ticker", "date", "target_direction", "prediction", "score").join(mine, ["ticker", "date"])
+        both = both.join(together.select("ticker", "date", F.col(f"pred_{name}").alias("beside"), F.col(f"conf_{name}").alias("conf")), ["ticker", "date"])
+        agg = both.agg(F.count(F.lit(1)).alias("n_test"), F.sum("target_direction").alias("n_up"),
+                       F.count_if((F.col("own") == F.col("prediction")) & (F.abs(F.col("own_score") - F.col("score")) < 1e-9)).alias("n_equal"),
+                       F.count_if((F.col("beside") == F.col("own")) & (F.abs(F.col("conf") - F.col("confidence")) < 1e-9)).alias("n_side_by_side"))
+        out = (lambda x: x if out is None else out.unionByName(x))(agg.withColumn("name", F.lit(name)))
+    total = C.importances_table(runs).groupBy(F.col("model").alias("name")).agg(F.sum("importance").alias("weight"))
+    facts = runs.select(F.col("model").alias("name"), "n_train", (F.col("training_time_seconds") > 0).alias("timed"))
+    joined = out.join(facts, "name").join(total, "name", "left")
+    return spark_project(joined.select("*", C.display_name("name").alias("model"), F.lit(len(cols)).alias("named_features"),
+                                       F.coalesce(F.abs(F.col("weight") - 1) < 1e-9, F.lit(False)).alias("weighs_features")), MODEL_SPEC)
