@@ -1,18 +1,21 @@
 """WARC archives with a globally merged capture index.
 
 *Archives.* One record per capture, WARC/1.0: ``response`` with the payload, or ``revisit`` (same
-payload digest) that names the response it repeats. Records are built in SQL expressions and written by
-Spark's text writer, whose line separator is the blank lines that end a record, so an archive
-is an ordinary WARC file and a lost task is simply run again. A file holds at most
-``FILE_RECORDS`` records.
-
-*Runs.* Reading the archives back, each file gives a run: its captures sorted by URL key and
-timestamp, with file, offset and length.
-
-*Merge.* Evenly spaced keys of the runs (at most ``SAMPLE_KEYS`` in all) cut the key space into
-ranges of about ``RANGE_ROWS`` captures, cut by (URL key, timestamp, id), so one URL with many
-captures spans ranges. The rows of a range arrive run by run and a loser tree merges them
-k ways. The result is ordered by range and place: the global capture history.
+payload digest) that names the response it repeats. Only digests are shuffled to learn who
+revisits; payloads are written where they are read, those of ids outside a bit table of the
+revisiting ids (fixed size, false hits are told apart by id and digest) without any join. A task
+packs its records into archives of at most ``FILE_BYTES`` bytes or one larger record, each record
+its own gzip member as the format recommends, so a record can be read by offset and length.
+Archives are binary values of a table that Spark commits, so a lost task is simply run again.
+
+*Runs.* Reading the archives back, each one gives a run: its captures sorted by URL key and
+timestamp, with archive, offset and length.
+
+*Merge.* Captures with the smallest hashes of (run, place), about ``SAMPLE_KEYS`` at most, give keys
+that cut the key space into ranges of about ``RANGE_ROWS`` captures, however the captures lie in
+archives; cuts are by (URL key, timestamp, id), so one URL with many captures spans ranges. The
+rows of a range arrive run by run and a loser tree merges them k ways. The result is ordered
+by range and place: the global capture history.
 
 Null payloads are empty; null URLs are empty keys. Payloads under ``MIN_BYTES`` bytes are
 never revisited. Rows that share an id and a payload are one capture each; the smallest id's
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from barlake.llm.shared import scratch, ship, written
 
 MIN_BYTES = 100
-FILE_RECORDS = 2_000
+FILE_BYTES = 1 << 24
+FILTER_BITS = 1 << 24
+GZIP_LEVEL = 1
 RANGE_ROWS = 50_000
 SAMPLE_KEYS = 200_000
 EPOCH = 1_704_067_200  # captures without a time get this second plus their id
@@ -68,13 +73,31 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
              .where("first <> last"))
     repeats = (facts.where(F.col("bytes") >= MIN_BYTES).join(first, "digest").where("id <> first")
                .select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), "first").distinct())
+    repeats = written(repeats, "repeats")
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = (repeats.select(F.col("of").alias("id")).groupBy(F.shiftright(slot, 6).alias("word"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) & 63 AS int))")).alias("bits")).toPandas())
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)  # at most so many rows reach the driver
+    bitmap[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
+    table = pages.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def listed(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((table.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    return rows.join(repeats, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").select(
-        "id", "url", "payload", "bytes", "digest", F.col("first").alias("refers_to"))
+    maybe = F.col("id").isNotNull() & listed(slot)
+    alone = rows.where(~maybe).withColumn("refers_to", F.lit(None).cast("long"))
+    asked = rows.where(maybe).join(repeats, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").withColumn("refers_to", F.col("first"))
+    return alone.select(*_CAUGHT).unionByName(asked.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")).select(*_CAUGHT))
+
+
+_CAUGHT = ["id", "url", "payload", "bytes", "digest", "refers_to"]
 
 
 def _record() -> Column:
-    """The record's text; Spark's writer adds the two blank lines behind it."""
+    """The record's text, without the two blank lines that end it."""
     uri = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), "[<>]", "")
     name = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     second = F.lit(EPOCH) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(3_650 * _DAY))
@@ -91,30 +114,66 @@ def _record() -> Column:
     return F.concat(head, block)
 
 
-def write_warc(caught: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    caught.select(_record().alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", file_records).text(path)
+def write_warc(caught: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Archives (archive, content): every task closes its archive before it passes ``file_bytes``."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        from pyspark import TaskContext
+
+        part, number, members, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def close() -> pa.RecordBatch:
+            name = f"part-{part:05d}-{number:05d}.warc.gz"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary())], names=["archive", "content"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                press = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+                data = press.compress(text.as_py().encode("utf-8", "surrogatepass") + _END.encode()) + press.flush()
+                if members and held + len(data) > file_bytes:
+                    yield close()
+                    number, members, held = number + 1, [], 0
+                members.append(data)
+                held += len(data)
+        if members:
+            yield close()
+
+    packed = caught.select(_record().alias("value")).mapInArrow(pack, "archive string, content binary")
+    packed.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 _RUN = "run string, seq long, url_key string, ts string, id long, payload_bytes long, digest string, type string, refers_to long, offset long, length long"
 
 
-def parse(content: bytes) -> Iterator[dict]:
-    """The records of an archive. Lengths come from the headers, so payloads may hold anything."""
+def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of every gzip member of an archive."""
+    import zlib
+
     at = 0
     while at < len(content):
-        head_end = content.index(b"\r\n\r\n", at)
-        lines = content[at:head_end].decode("utf-8", "surrogatepass").split("\r\n")
+        press = zlib.decompressobj(31)
+        record = press.decompress(memoryview(content)[at:]) + press.flush()
+        end = len(content) - len(press.unused_data)
+        yield at, end - at, record
+        at = end
+
+
+def parse(content: bytes) -> Iterator[dict]:
+    """The records of an archive. Lengths come from the headers, so payloads may hold anything."""
+    for at, length, record in members(content):
+        head_end = record.index(b"\r\n\r\n")
+        lines = record[:head_end].decode("utf-8", "surrogatepass").split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines[1:])
         start, size = head_end + 4, int(fields["Content-Length"])
-        block = content[start:start + size]
+        block = record[start:start + size]
         payload = block[block.index(b"\r\n\r\n") + 4:]
         named = lambda k: None if (v := fields[k][len("<urn:capture:"):-1]) == "null" else int(v)
         kind = fields["WARC-Type"]
         digest = hashlib.sha256(payload).hexdigest() if kind == "response" else fields["WARC-Payload-Digest"].split(":")[1]
         yield {"url_key": url_key(fields["WARC-Target-URI"]), "ts": re.sub(r"\D", "", fields["WARC-Date"]), "id": named("WARC-Record-ID"),
                "payload_bytes": len(payload) if kind == "response" else int(fields["X-Payload-Length"]), "digest": digest, "type": kind,
-               "refers_to": named("WARC-Refers-To") if kind == "revisit" else None, "offset": at, "length": start + size + 4 - at}
-        at = start + size + 4
+               "refers_to": named("WARC-Refers-To") if kind == "revisit" else None, "offset": at, "length": length}
 
 
 def _key(r: dict) -> tuple:
@@ -122,18 +181,18 @@ def _key(r: dict) -> tuple:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """One sorted run per archive file."""
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                rows = sorted(parse(bytes(content)), key=_key)
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in _RUN.split(", ")][2:])
-                out.insert(0, "run", name.rsplit("/", 1)[-1])
-                out.insert(1, "seq", np.arange(len(out)))
-                yield out.astype({"refers_to": "Int64", "id": "Int64"})
+    """One sorted run per archive."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = sorted(parse(content.as_py()), key=_key)
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pylist([r | {"run": name, "seq": k + n} for n, r in enumerate(rows[k:k + 10_000])], schema=_RUN_SCHEMA)
+
+    return spark.read.schema("archive string, content binary").parquet(path).mapInArrow(read, _RUN)
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(read, _RUN)
+_RUN_SCHEMA = pa.schema([(f.split()[0], pa.int64() if f.split()[1] == "long" else pa.string()) for f in _RUN.split(", ")])
 
 
 class LoserTree:
@@ -171,10 +230,10 @@ def merged(indexed: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The runs merged into one order: their columns with range_id and place."""
     spark = indexed.sparkSession
     n = indexed.count()
-    step = max(1, min(range_rows // 50, 1_000), -(-n // SAMPLE_KEYS))
-    heads = indexed.where((F.col("seq") % step == 0) & (F.col("seq") > 0)).select("url_key", "ts", F.coalesce("id", F.lit(-1)).alias("i"))
-    keys = sorted(map(tuple, heads.collect()))  # at most SAMPLE_KEYS keys
-    apart = max(1, range_rows // step)
+    wanted = min(n, SAMPLE_KEYS // 2, 50 * -(-n // range_rows))  # keys, whatever the runs are
+    heads = indexed.where(F.pmod(F.xxhash64("run", "seq"), F.lit(1 << 40)) < int((1 << 40) * (wanted / max(n, 1))))
+    keys = sorted(map(tuple, heads.select("url_key", "ts", F.coalesce("id", F.lit(-1)).alias("i")).collect()))  # about ``wanted`` keys
+    apart = max(1, round(len(keys) * range_rows / max(n, 1)))
     cuts = spark.sparkContext.broadcast(keys[apart::apart])
 
     @F.pandas_udf("int")
@@ -213,12 +272,12 @@ def merged(indexed: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.select(*fields, "range_id").mapInArrow(merge, f"{_RUN}, range_id int, place long")
 
 
-def archive_history(pages: DataFrame, *, range_rows: int = RANGE_ROWS, file_records: int = FILE_RECORDS, **columns) -> DataFrame:
+def archive_history(pages: DataFrame, *, range_rows: int = RANGE_ROWS, file_bytes: int = FILE_BYTES, **columns) -> DataFrame:
     """Writes the archives in the shared folder, reads them back and merges their runs."""
     spark = pages.sparkSession
     ship(spark)
     path = scratch(spark, "warc")
-    write_warc(captures(pages, **columns), path, file_records)
+    write_warc(captures(pages, **columns), path, file_bytes)
     return merged(written(runs(spark, path), "runs"), range_rows)
 
 

@@ -163,7 +163,7 @@ def test_warc_round_trip_and_order(spark, tmp_path):
     import hashlib
     rows = pages_fixture()
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS id", "2 AS digest", "'u' AS payload")
-    history = warc_merge.archive_history(pages, range_rows=60, file_records=37)
+    history = warc_merge.archive_history(pages, range_rows=60, file_bytes=4000)
     got = warc_merge.digest_rows(history).collect()
     first = {}
     for i, _, h in sorted(rows, key=lambda r: r[0]):
