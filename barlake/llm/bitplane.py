@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from barlake.llm.shared import Generations, scratch, ship
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 ZSTD_LEVEL = 1
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 
 SEGMENT_SCHEMA = (
     "shard int, seg int, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -121,6 +122,12 @@ class Encoder:
                     yield self._whole(text) if text else b""
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer_path: str) -> Encoder:
+    """The worker's encoder: a worker keeps it, and the pieces it knows, for all its tasks."""
+    return Encoder(tokenizer_path)
+
+
 def to_planes(ids: np.ndarray, plane_bits: int) -> list[bytes]:
     """The block's planes: byte k (or bit k) of every id, low planes first."""
     by_byte = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -152,7 +159,7 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, bl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard, seg = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, shard, seg = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
         end = np.asarray([end_id], "<u4").tobytes()
         doc_ids, lengths, parts = [], [], []
