@@ -257,6 +257,14 @@ def test_join_components_match_all_pairs(spark, seed):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_first_rows_tell_texts_of_one_id_apart(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"x{k}" for k in range(60))
+    rows = [(1, near, "s"), (5, near + " more", "s"), (5, other, "s"), (5, other, "s"), (6, near, "s"), (7, "", "s"), (8, "", "s"), (7, "", "s"), (None, near, "s")]
+    kept = sorted((r.doc_id or 0, r.text) for r in group_prefix_join.first_rows(documents(spark, rows)).collect())
+    assert kept == [(0, near), (1, near), (5, other), (7, ""), (8, "")]
+
+
 def test_join_with_hot_table(spark, monkeypatch):
     """A full hot table moves tokens in the order and salts them, but no link."""
     monkeypatch.setattr(group_prefix_join, "SAMPLE_SHARE", 1)
