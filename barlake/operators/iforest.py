@@ -86,7 +86,7 @@ def sample_trees(X: DataFrame, key: Column, n_trees: int, psi: int, n_rows: int,
 
 
 def sample_rates(n_trees: int, psi: int, n_rows: int) -> tuple[float, float]:
-    pair_rate = min(1.0, 2.0 * psi / max(n_rows, 1))
+    pair_rate = min(1.0, 2.0 * max(psi, 1) / max(n_rows, 1))
     return pair_rate, min(1.0, pair_rate * n_trees)
 
 

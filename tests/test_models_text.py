@@ -76,6 +76,16 @@ def test_forest_tables_are_a_tree_and_score_like_the_walk(spark, tmp_path):
     assert IF.load_forest(spark, path, "20240101").nodes.equals(forest.nodes)
 
 
+def test_forest_of_few_or_no_rows(spark, tmp_path):
+    schema = "ticker string, date int, volume_ratio double, price_change_pct double"
+    scored, forest = IF.fit_predict(spark.createDataFrame([], schema))
+    assert scored.collect() == [] and forest.psi == 0 and len(forest.nodes) == 0
+    IF.save_forest(spark, forest, str(tmp_path / "f"), "1")
+    assert IF.load_forest(spark, str(tmp_path / "f")).cut == float("inf")
+    one = IF.fit_predict(spark.createDataFrame([("A", 1, 1.0, 2.0)], schema))[0].first()
+    assert one["anomaly_score"] == 0.5 and one["anomaly"] == 1
+
+
 def test_train_and_quality_band(spark):
     ft = feature_table(bars_from_lineitem(spark, SF001, "l_linestatus"))
     cfg = TrainConfig(rf_n_estimators=20, gbt_n_estimators=5, lr_max_iter=100)

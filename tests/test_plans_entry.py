@@ -40,7 +40,9 @@ def test_no_unpartitioned_windows_in_registered_plans(spark):
     exponents x slices), not by the data.
     """
     skip = {"train_evaluate", "analysis_report", "anomaly_summary", "anomalies_top", "log_stream_ingest",
-            "feature_drift", "retrain_decision"}
+            "feature_drift", "retrain_decision",
+            # jobs that run while the query is built; what they return reads written tables
+            "forest_nodes", "stored_forest", "exported_models", "feature_store"}
     global_stats = {"roc_auc_overall", "prediction_drift", "log_kpis", "prediction_histogram"}
     # a window spec whose first element is an ordering term or the frame has no PARTITION BY
     unpartitioned = re.compile(
