@@ -116,27 +116,41 @@ def prediction_drift(log: DataFrame, cfg: MonitorConfig = MonitorConfig(),
     """UP share of the recent records (last min(30, n div 3)) vs the rest of the log
     (G19, W18; fewer than 20 records: no check, F12).
 
-    No global window: the recent rows are the top-30 by order (each task keeps
-    30, TakeOrdered merges them, a 30-element array cuts them to k); totals are
-    one aggregate; historical is totals minus recent. The log has no file position, so order is by
-    (timestamp, ticker, event id). Fewer than 20 rows: not checked.
+    No global window: one aggregate gives the totals, and TakeOrdered (each task keeps 30 rows)
+    the newest records. The log has no file position, so order is by (timestamp, ticker, event
+    id). Fewer than 20 rows: not checked.
     """
-    order_cols = [c for c in order_cols if c in log.columns]
-    lookback = cfg.drift_lookback_days
-    total = log.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("prediction").cast("double")).alias("s"))
-    n_col = log.select(F.count(F.lit(1))).scalar()
-    k = F.least(F.lit(lookback), F.floor(n_col / 3)).cast("int")
-    # newest `lookback` records (TakeOrdered keeps that many per task), gathered into
-    # one bounded array, sorted newest first and cut to k
-    top = log.select(*order_cols, "prediction").orderBy(*[F.col(c).desc() for c in order_cols]).limit(lookback)
-    newest = top.agg(F.sort_array(F.collect_list(F.struct(*order_cols, "prediction")), asc=False).alias("a"))
-    recent = newest.select(F.slice("a", 1, F.greatest(k, F.lit(1))).alias("r"), k.alias("k")).select(
-        F.when(F.col("k") > 0, F.size("r")).otherwise(F.lit(0)).alias("rn"),
-        F.when(F.col("k") > 0, F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["prediction"].cast("double")))
-        .alias("rs"))
-    both = total.withColumns({"rn": recent.select("rn").scalar(), "rs": recent.select("rs").scalar()})
-    hist = (F.col("s") - F.col("rs")) / (F.col("n") - F.col("rn"))
-    rec = F.col("rs") / F.col("rn")
+    return shift_of(log_totals(log).withColumn("newest", newest_records(log, cfg, order_cols).scalar()), cfg)
+
+
+def log_totals(log: DataFrame) -> DataFrame:
+    """One row of mergeable sums over log records: n, ups, n_predicted, confidence, n_confident."""
+    return log.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.col("prediction").cast("double")), F.lit(0.0)).alias("ups"),
+        F.count("prediction").alias("n_predicted"),
+        F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("confidence"),
+        F.count("confidence").alias("n_confident"))
+
+
+def newest_records(log: DataFrame, cfg: MonitorConfig = MonitorConfig(),
+                   order_cols: tuple[str, ...] = ("timestamp", "ticker", "event_id")) -> DataFrame:
+    """One row with one array: the newest ``drift_lookback_days`` records, newest first."""
+    cols = [c for c in order_cols if c in log.columns] + ["prediction"]
+    top = log.select(*cols).orderBy(*[F.col(c).desc() for c in cols]).limit(cfg.drift_lookback_days)
+    return top.agg(F.sort_array(F.collect_list(F.struct(*cols)), asc=False).alias("newest"))
+
+
+def shift_of(state: DataFrame, cfg: MonitorConfig = MonitorConfig()) -> DataFrame:
+    """The drift row of a log known by its totals and its newest records (``log_totals``, ``newest_records``)."""
+    n = F.col("n")
+    k = F.least(F.lit(cfg.drift_lookback_days), F.floor(n / 3)).cast("int")
+    recent = F.slice("newest", 1, F.greatest(k, F.lit(1)))
+    rs = F.when(k > 0, F.aggregate(recent, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["prediction"].cast("double"), F.lit(0.0))))
+    rn = F.when(k > 0, k).otherwise(F.lit(0))
+    both = state.select(n, F.col("ups").alias("s"), rn.alias("rn"), rs.alias("rs"))
+    hist = F.try_divide(F.col("s") - F.col("rs"), F.col("n") - F.col("rn"))
+    rec = F.try_divide(F.col("rs"), F.col("rn"))
     shift = F.abs(rec - hist)
     enough = F.col("n") >= cfg.min_log_rows
     return both.select(
@@ -156,7 +170,11 @@ def rolling_accuracy(predictions: DataFrame, actuals: DataFrame, cfg: MonitorCon
     """Join predictions to actuals on (ticker, date) (J4); rolling share correct over
     30 rows with at least 10 (W15)."""
     j = predictions.select(key, order, pred).join(actuals.select(key, order, label), [key, order])
-    j = j.withColumn("correct", (F.col(pred) == F.col(label)).cast("int"))
+    return rolling_share(j.withColumn("correct", (F.col(pred) == F.col(label)).cast("int")), cfg, key, order)
+
+
+def rolling_share(j: DataFrame, cfg: MonitorConfig = MonitorConfig(), key: str = "ticker", order: str = "date") -> DataFrame:
+    """Rolling share of ``correct`` over joined rows, by order within the key."""
     n = cfg.rolling_accuracy_window
 
     def windows(df: DataFrame, keys, order_col: str) -> DataFrame:
