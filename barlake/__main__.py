@@ -6,6 +6,8 @@
   anomalies  feature store + stored forest -> newest anomalies per ticker, count and share
   monitor  feature store + prediction log (+ predictions and actuals, reference sample) -> retrain decision per ticker
   ingest   prediction log folder -> parquet table (file stream, availableNow)
+  watch    prediction log stream -> monitor row per batch (+ retrain decisions with a drift roll-up)
+  outcomes  streams of predictions and actuals -> joined rows and rolling accuracy state per ticker
 
 Paths are folders readable by the cluster (parquet unless noted). The session
 comes from spark-submit; nothing here sets a master.
@@ -60,11 +62,28 @@ def main(argv: list[str] | None = None) -> None:
     m.add_argument("--predictions")
     m.add_argument("--actuals")
     m.add_argument("--reference")
+    m.add_argument("--rollup", help="folder that keeps the drift table which watch reads")
     m.add_argument("--out", required=True)
     g = sub.add_parser("ingest")
     g.add_argument("--log", required=True)
     g.add_argument("--table", required=True)
     g.add_argument("--checkpoint", required=True)
+    s = sub.add_parser("watch")
+    s.add_argument("--log", required=True)
+    s.add_argument("--table", required=True)
+    s.add_argument("--out", required=True)
+    s.add_argument("--checkpoint", required=True)
+    s.add_argument("--rollup")
+    s.add_argument("--accuracy")
+    o = sub.add_parser("outcomes")
+    o.add_argument("--predictions", required=True)
+    o.add_argument("--actuals", required=True)
+    o.add_argument("--table", required=True)
+    o.add_argument("--accuracy", required=True)
+    o.add_argument("--checkpoint", required=True)
+    o.add_argument("--late", default="45 days")
+    for stream in (s, o):
+        stream.add_argument("--keep-running", action="store_true", help="a batch every 30 seconds instead of one drained run")
     args = ap.parse_args(argv)
     spark = _session()
 
@@ -139,12 +158,23 @@ def main(argv: list[str] | None = None) -> None:
 
         table = lambda path: spark.read.parquet(path) if path else None
         out = jobs.monitor(load_feature_data(spark, args.features), read_prediction_log(spark, args.log),
-                           predictions=table(args.predictions), actuals=table(args.actuals), reference=table(args.reference))
+                           predictions=table(args.predictions), actuals=table(args.actuals), reference=table(args.reference),
+                           rollup_dir=args.rollup)
         out.write.mode("overwrite").parquet(args.out)
     elif args.cmd == "ingest":
         from barlake.streaming import prediction_stream as PS
 
         PS.ingest(spark, args.log, args.table, args.checkpoint).awaitTermination()
+    elif args.cmd == "watch":
+        from barlake.streaming import prediction_stream as PS
+
+        PS.monitor(spark, args.log, args.table, args.out, args.checkpoint, DEFAULT.monitoring, not args.keep_running,
+                   rollup_dir=args.rollup, accuracy_dir=args.accuracy).awaitTermination()
+    elif args.cmd == "outcomes":
+        from barlake.streaming import prediction_stream as PS
+
+        PS.outcomes(spark, args.predictions, args.actuals, args.table, args.accuracy, args.checkpoint, args.late,
+                    DEFAULT.monitoring, not args.keep_running).awaitTermination()
     release(spark)
 
 

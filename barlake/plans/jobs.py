@@ -129,11 +129,15 @@ def anomalies(features: DataFrame, forest: IF.Forest, k: int = 20) -> tuple[Data
 
 
 def monitor(features: DataFrame, log: DataFrame, predictions: DataFrame | None = None,
-            actuals: DataFrame | None = None, cfg: Config = DEFAULT, reference: DataFrame | None = None) -> DataFrame:
+            actuals: DataFrame | None = None, cfg: Config = DEFAULT, reference: DataFrame | None = None,
+            rollup_dir: str | None = None) -> DataFrame:
     """Retrain decision per ticker from the three monitors (G22); ``reference`` rows take the place
-    of each ticker's first 70 % where given."""
+    of each ticker's first 70 % where given. The feature-drift table is kept in ``rollup_dir`` for the stream."""
     res = D.feature_drift(features, cfg.monitoring, reference=reference)
     rollup = D.drift_rollup(res, len(model_columns(features.columns)))
+    if rollup_dir is not None:
+        rollup.write.mode("overwrite").parquet(rollup_dir)
+        rollup = features.sparkSession.read.schema(rollup.schema).parquet(rollup_dir)
     acc = None
     if predictions is not None and actuals is not None:
         acc = D.latest_value(D.rolling_accuracy(predictions, actuals, cfg.monitoring), "rolling_accuracy")

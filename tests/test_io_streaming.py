@@ -75,7 +75,15 @@ def test_cli_jobs(spark, tmp_path):
     assert [r["ticker"] for r in spark.read.parquet(f"{d}/analysis/rejected").collect()] == ["BAD1"]
     log = read_prediction_log(spark, f"{d}/log")
     assert log.count() == 2 and len(log.first()["features"]) == 5
-    cli.main(["monitor", "--features", f"{d}/store/features", "--log", f"{d}/log", "--out", f"{d}/monitor"])
+    cli.main(["monitor", "--features", f"{d}/store/features", "--log", f"{d}/log", "--rollup", f"{d}/rollup", "--out", f"{d}/monitor"])
     assert spark.read.parquet(f"{d}/monitor").count() == 2
+    spark.createDataFrame([], PS.OUTCOME_SIDES["prediction"]).write.parquet(f"{d}/preds")
+    spark.createDataFrame([], PS.OUTCOME_SIDES["label"]).write.parquet(f"{d}/actuals")
+    cli.main(["outcomes", "--predictions", f"{d}/preds", "--actuals", f"{d}/actuals", "--table", f"{d}/joined",
+              "--accuracy", f"{d}/accuracy", "--checkpoint", f"{d}/ck-outcomes"])
+    cli.main(["watch", "--log", f"{d}/log", "--table", f"{d}/watched", "--out", f"{d}/watch", "--checkpoint", f"{d}/ck-watch",
+              "--rollup", f"{d}/rollup", "--accuracy", f"{d}/accuracy"])
+    assert spark.read.parquet(f"{d}/watch").first()["total_requests"] == 2
+    assert spark.read.parquet(f"{d}/watch_decisions").count() == 2
     cli.main(["ingest", "--log", f"{d}/log", "--table", f"{d}/log_table", "--checkpoint", f"{d}/ck"])
     assert spark.read.parquet(f"{d}/log_table").count() == 2
