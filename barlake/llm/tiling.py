@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-1. *Seeds.* Every run of ``min_match`` words of a benchmark item is a seed. A bit table of
+1. *Seeds.* Every run of ``min_match`` words of a benchmark item is a seed; an item with fewer words is
+   one seed as a whole, and its own length is its least match. A bit table of
    ``FILTER_BITS`` bits over the seeds' hashes, a fixed size whatever the benchmark, is
    broadcast; one pass over the whole texts keeps the stretches of words that may hold seeds. Every
    tile consists of seeds, so the stretches are all that tiling needs of a document.
@@ -14,8 +15,8 @@
 4. *Threshold.* A document is contaminated when tiles cover ``coverage`` or more of the
    words of some item.
 
-Words are lower-cased (A-Z) and stripped of the punctuation around them. Items with fewer
-than ``min_match`` words have no seeds and match nothing; null texts are empty.
+Words are lower-cased (A-Z) and stripped of the punctuation around them. Items without words have no
+seeds and match nothing; null texts are empty.
 Documents without a pair have coverage 0. Rows that share an id are one document; equal
 rows get equal results, and rows with null id are judged by their text alike.
 """
@@ -110,6 +111,11 @@ def tiles(item: np.ndarray, parts: list[np.ndarray], min_match: int) -> list[tup
     return found
 
 
+def least_match(words: int, min_match: int) -> int:
+    """Shortest tile of an item: ``min_match``, or all of a shorter item."""
+    return max(1, min(words, min_match))
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64).view(np.int64)
 
@@ -121,7 +127,7 @@ def benchmark_items(benchmark: DataFrame, min_match: int, item_col: str, text_co
             codes = [word_codes(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(c) for c in codes], pa.int64()), pa.array([_signed(c) for c in codes], pa.list_(pa.int64())),
-                pa.array([_signed(rolled(c, min_match)) for c in codes], pa.list_(pa.int64()))], names=["item", "n", "words", "seeds"])
+                pa.array([_signed(rolled(c, least_match(len(c), min_match))) for c in codes], pa.list_(pa.int64()))], names=["item", "n", "words", "seeds"])
 
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     return rows.mapInArrow(run, "item long, n long, words array<long>, seeds array<long>")
@@ -140,6 +146,9 @@ def _filter(items: DataFrame) -> np.ndarray:
 def stretches(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
     """id, content, seeds, parts: what the documents may share with the benchmark."""
     table = docs.sparkSession.sparkContext.broadcast(_filter(items))
+    # runs as long as some short item: at most min_match - 1 lengths
+    short = [r.n for r in items.where((F.col("n") > 0) & (F.col("n") < min_match)).select("n").distinct().collect()]
+    sizes = [*sorted(short), min_match]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -147,17 +156,20 @@ def stretches(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
             rows = []
             for doc, content, text in zip(*(c.to_pylist() for c in batch.columns)):
                 codes = word_codes(text)
-                seeds = rolled(codes, min_match)
-                at = seeds.view(np.int64) & np.int64(FILTER_BITS - 1)
-                hit = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                if not hit.any():
+                used, shared = np.zeros(len(codes) + 1, np.int8), []
+                for size in sizes:
+                    seeds = rolled(codes, size)
+                    at = seeds.view(np.int64) & np.int64(FILTER_BITS - 1)
+                    hit = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                    for k in range(size):
+                        used[k:k + len(hit)] |= hit
+                    shared.append(seeds[hit])
+                shared = np.unique(np.concatenate(shared))
+                if not len(shared):
                     continue
-                used = np.zeros(len(codes) + 1, np.int8)
-                for k in range(min_match):
-                    used[k:k + len(hit)] |= hit
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], used])))
                 parts = [_signed(codes[a:b]).tolist() for a, b in zip(edge[::2], edge[1::2])]
-                rows.append({"id": doc, "content": content, "seeds": _signed(np.unique(seeds[hit])).tolist(), "parts": parts})
+                rows.append({"id": doc, "content": content, "seeds": _signed(shared).tolist(), "parts": parts})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
                 ("id", pa.int64()), ("content", pa.int64()), ("seeds", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))]))
 
@@ -184,7 +196,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATC
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             item, words, parts = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            covered = [sum(t[2] for t in tiles(np.array(w, np.int64), [np.array(p, np.int64) for p in ps], min_match)) for w, ps in zip(words, parts)]
+            covered = [sum(t[2] for t in tiles(np.array(w, np.int64), [np.array(p, np.int64) for p in ps],
+                                                   least_match(len(w), min_match))) for w, ps in zip(words, parts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(item, pa.int64()), pa.array(covered, pa.int64()),
                                               pa.array([len(w) for w in words], pa.int64())],
                                              names=["content", "item_id", "tiled_words", "item_words"])

@@ -189,12 +189,13 @@ def test_contamination_matches_plain_tiling(spark):
     got = tiling.contamination(docs, bench).collect()
     assert len(got) == len(rows)
     codes = lambda t: tiling.word_codes(t).tolist()
+    least = lambda t: max(1, min(5, len(codes(t))))
     expected = []
     for i, t, _ in rows:
         if t == LONG:
-            best = max(sum(x[2] for x in tiling.tiles(tiling.word_codes(b), [tiling.word_codes(t)], 5)) / max(1, len(codes(b))) for _, b in items)
+            best = max(sum(x[2] for x in tiling.tiles(tiling.word_codes(b), [tiling.word_codes(t)], least(b))) / max(1, len(codes(b))) for _, b in items)
         else:
-            best = max(plain_tiles(codes(b), codes(t), 5) / max(1, len(codes(b))) for _, b in items if len(codes(b)) < 100)
+            best = max(plain_tiles(codes(b), codes(t), least(b)) / max(1, len(codes(b))) for _, b in items if len(codes(b)) < 100)
         expected.append((i, best >= tiling.COVERAGE))
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(((r.doc_id, r.contaminated) for r in got), key=key) == sorted(expected, key=key)
@@ -205,6 +206,18 @@ def test_contamination_matches_plain_tiling(spark):
     assert not any(r.contaminated for r in tiling.contamination(docs, bench.limit(0)).collect())
 
 
+def test_short_items_are_tiled_whole(spark):
+    """Items under the least match count where they stand whole, in any case and between any other words."""
+    bench = spark.createDataFrame([(1, "four words stand whole"), (2, "two words"), (3, " . "), (4, "six words that stand here once")],
+                                  "item_id long, text string")
+    rows = [(1, "before Four words, stand WHOLE after", "s"), (2, "four words stand apart whole", "s"), (3, "just two words.", "s"),
+            (4, "two other words", "s"), (5, "", "s"), (6, "four words stand", "s"), (7, "two words four words stand whole", "s")]
+    got = {r.doc_id: r for r in tiling.contamination(documents(spark, rows), bench).collect()}
+    assert {i: got[i].item_id for i in got if got[i].contaminated} == {1: 1, 3: 2, 7: 1}
+    assert got[7].tiled_words == 4 and got[2].coverage == 0
+    assert {r.doc_id for r in tiling.clean_rows(documents(spark, rows), bench).collect()} == {2, 4, 5, 6}
+
+
 def plain_components(rows):
     sets, ids = {}, {}
     for i, t, _ in rows:
