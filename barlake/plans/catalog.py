@@ -563,4 +563,4 @@ def q_clean_report_blocked(spark, sf_dir):
 
 
 # queries of sources, sinks, requests and reports
-from barlake.plans import catalog_io, catalog_streams  # noqa: E402, F401
+from barlake.plans import catalog_io, catalog_polarity, catalog_streams  # noqa: E402, F401
