@@ -2,16 +2,18 @@
 
 *Base.* E-mail addresses, IP addresses, card and phone numbers by the fixed rules below.
 
-*Mentions.* Base entities are seeds. Other words that look like identifiers (``MIN_DIGITS`` digits or an
-``@``) are candidates. Every mention has two lexical patterns: the two words before it, and
-the word before with the word behind. An instance is a mention's text.
+*Mentions.* Base entities are seeds. All other words with a digit or an ``@`` are candidates; words of digits
+and marks only, one space apart and not parted by punctuation, are one candidate up to ``RUN_DIGITS`` digits (a
+longer row of numbers is several). The contexts decide, not the shape. Every mention has two lexical patterns: the
+two words before it, and the word before with the word behind (of mentions of one word). An instance is a mention's text.
 
 *Graph.* Patterns with ``MIN_SUPPORT`` different instances get their total: how often their words
 occur in the whole corpus, counted over all texts. Then, ``ROUNDS`` times, Spark scores both sides:
 
 - a pattern: the sum of its instances' scores over its total (plus a smoothing), so contexts
   that mostly hold other words score near 0;
-- an instance: 1 for a seed, else one minus the product of (1 - score) over its patterns.
+- an instance: 1 for a seed, else the mean score of its patterns over its mentions, if one of them has
+  ``MIN_SUPPORT`` trusted instances. So a number that stands everywhere doesn't carry a score from one context to others.
 
 New instances raise patterns that no seed has; these find further instances in the next round.
 
@@ -37,7 +39,8 @@ from barlake.llm.shared import ship, written
 from barlake.llm.shingles import word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS = 4
+#: Most digits of a candidate of several words, as of the longest base entity.
+RUN_DIGITS = 19
 MIN_SUPPORT = 3
 SMOOTHING = 1.0
 HIGH = 0.6
@@ -52,6 +55,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGN = re.compile("[0-9@]")
+_LETTER = re.compile(r"[^\W\d_]|@")
 
 
 def luhn(digits: str) -> bool:
@@ -95,6 +99,25 @@ def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, around
 
 
+def _runs(text: str, words: list[tuple[int, int]], signed: list[int], covered: set[int]) -> list[tuple[int, int]]:
+    """(first, last) word of every candidate among the words ``signed`` with a digit or an ``@``."""
+    runs, held = [], 0  # digits of the last run, 0 if no word may join it
+    for k in signed:
+        start, end = words[k]
+        if k in covered:
+            held = 0
+            continue
+        n = 0 if _LETTER.search(text, start, end) else sum(text.count(c, start, end) for c in "0123456789")
+        if n and held and runs[-1][1] == k - 1 and held + n <= RUN_DIGITS and text[words[k - 1][1]:start] == " ":
+            runs[-1], held = (runs[-1][0], k), held + n
+        else:
+            runs.append((k, k))
+            held = n
+        if text[end - 1] in ".,;:!?":
+            held = 0
+    return runs
+
+
 def mentions(text: str) -> list[dict]:
     """Base entities and candidates with their patterns, by start."""
     if not _SIGN.search(text):
@@ -116,15 +139,15 @@ def mentions(text: str) -> list[dict]:
         first, last = (int(np.searchsorted(starts, x, "right")) - 1 for x in (start, end - 1))
         covered.update(range(first, last + 1))
         out.append(mention(start, end, kind, first, last))
-    for k, (start, end) in enumerate(words):
-        word = text[start:end]
-        if k in covered or not ("@" in word or sum(c in "0123456789" for c in word) >= MIN_DIGITS):
-            continue
-        left = next((i for i, c in enumerate(word) if c.isalnum()), None)
-        if left is None:
+    signs = np.array([m.start() for m in _SIGN.finditer(text)])
+    for first, last in _runs(text, words, np.unique(np.searchsorted(starts, signs, "right") - 1).tolist(), covered):
+        inside = [k for k in range(words[first][0], words[last][1]) if text[k].isalnum()]
+        if not inside:
             continue
-        right = next(i for i in range(len(word), 0, -1) if word[i - 1].isalnum())
-        out.append(mention(start + left, start + right, None, k, k))
+        left, right = inside[0], inside[-1] + 1
+        if left > words[first][0] and (text[left - 1] == "+" or text[left - 1] == "(" and ")" in text[left:right]):
+            left -= 1
+        out.append(mention(left, right, None, first, last))
     return sorted(out, key=lambda m: (m["start"], -1 if m["kind"] is None else m["kind"]))
 
 
@@ -187,10 +210,11 @@ def patterns_scored(edges: DataFrame, counts: DataFrame, seeds: DataFrame, round
                           (-F.col("main.col2")).alias("kind"), "trusted"))
         scored = written(scored.where("score > 0 and kind is not null"), "patterns")
         if k < rounds - 1:
-            reached = edges.join(scored.where(F.col("trusted") >= MIN_SUPPORT), "pattern")
-            new = (reached.groupBy("inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("weight"),
-                                               F.max(F.struct("score", -F.col("kind"))).alias("main"))
-                   .select("inst", "weight", (-F.col("main.col2")).alias("kind")).join(seeds, "inst", "left_anti"))
+            reached = edges.join(scored, "pattern", "left")
+            new = (reached.groupBy("inst").agg((F.sum(F.coalesce("score", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("weight"),
+                                               F.max(F.when(F.col("score").isNotNull(), F.struct("score", -F.col("kind")))).alias("main"),
+                                               F.max("trusted").alias("most"))
+                   .where(F.col("most") >= MIN_SUPPORT).select("inst", "weight", (-F.col("main.col2")).alias("kind")).join(seeds, "inst", "left_anti"))
             known = written(seeds.select("inst", F.lit(1.0).alias("weight"), "kind").union(new), "instances")
     return scored
 

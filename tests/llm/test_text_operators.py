@@ -142,6 +142,78 @@ def test_pii_discovers_by_context_only(spark):
     assert pii_bootstrap.personal_data(documents(spark, [])).count() == 0
 
 
+def plain_discovery(texts):
+    """The graph over words instead of hashes, and without tables: spans that the method adds to each text."""
+    found = []
+    for i, t in enumerate(texts):
+        w = [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", t)]
+        low = [t[a:b].translate({c: c + 32 for c in range(65, 91)}) for a, b in w]
+        for m in pii_bootstrap.mentions(t):
+            first = max(k for k, x in enumerate(w) if x[0] <= m["start"])
+            last = max(k for k, x in enumerate(w) if x[0] < m["end"])
+            p = [("two", *low[first - 2:first])] if first > 1 else []
+            if first == last and 0 < first < len(w) - 1:
+                p.append(("around", low[first - 1], low[first + 1]))
+            found.append((i, m["start"], m["end"], m["kind"], t[m["start"]:m["end"]].lower(), p))
+    edges, total = {}, {}
+    for *_, inst, p in found:
+        for x in p:
+            edges.setdefault(x, {}).setdefault(inst, 0)
+            edges[x][inst] += 1
+    edges = {x: e for x, e in edges.items() if len(e) >= 3}
+    for t in texts:
+        low = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^ \t-\r]+", t)]
+        for x in [("two", *low[k - 2:k]) for k in range(2, len(low))] + [("around", low[k - 1], low[k + 1]) for k in range(1, len(low) - 1)]:
+            total[x] = total.get(x, 0) + 1
+    seeds = {}
+    for _, _, _, kind, inst, _ in found:
+        if kind is not None:
+            seeds[inst] = (1.0, min(kind, seeds.get(inst, (1, kind))[1]))
+    known = dict(seeds)
+    for _ in range(3):
+        scored = {}
+        for x, e in edges.items():
+            good = {}
+            for inst, n in e.items():
+                if inst in known:
+                    good[known[inst][1]] = good.get(known[inst][1], 0) + known[inst][0] * n
+            if sum(good.values()) > 0:
+                kind = max(good, key=lambda k: (good[k], -k))
+                scored[x] = (min(sum(good.values()) / (total[x] + 1), 0.999), kind, sum(known.get(y, (0, 0))[0] >= 0.5 for y in e))
+        known = dict(seeds)
+        for inst in {y for e in edges.values() for y in e} - set(seeds):
+            mine = [(e[inst], scored.get(x)) for x, e in edges.items() if inst in e]
+            if any(s and s[2] >= 3 for _, s in mine):
+                best = max((s[0], -s[1]) for _, s in mine if s)
+                known[inst] = (sum(n * s[0] for n, s in mine if s) / sum(n for n, _ in mine), -best[1])
+    out = [[] for _ in texts]
+    for i, a, b, kind, _, p in found:
+        high = [scored[x] for x in p if x in scored and scored[x][0] >= 0.6 and scored[x][2] >= 3]
+        if kind is None and high:
+            out[i].append((a, -max((s, -k) for s, k, _ in high)[1], b))
+    return out
+
+
+def test_pii_runs_of_any_shape_are_found_by_context(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(3)) for _ in range(n))
+    new = ["(017) 555-7713", "123", "9807 9157 6280 4490", "0 1 2 3", "A7", "me@home"]
+    texts = [f"{filler(8)} please call +1 (555) {100 + k}-{2000 + k} {filler(5)}" for k in range(16)]
+    texts += [f"{filler(6)} please call {x}, {filler(6)}" for x in new]
+    # a context that new instances alone carry, numbers that stand everywhere, and a long row of numbers
+    texts += [f"{filler(6)} dial now {x} {filler(6)}" for x in new[:4]] + [f"{filler(4)} chapter no {k % 3} {filler(4)}" for k in range(30)]
+    texts += [f"{filler(3)} " + " ".join(str(k) for k in range(200)) + f" {filler(3)}", "@", "1", "@@ 5 (", "+ 7) +8"]
+    got = {r.doc_id: r for r in pii_bootstrap.personal_data(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    more = plain_discovery(texts)
+    for k, t in enumerate(texts):
+        spans = sorted([(a, kind, b) for a, kind, b in plain_pii(t)] + more[k])
+        assert got[k].n_discovered == len(more[k])
+        assert got[k].spans == ",".join(f"{pii_bootstrap.KINDS[kind]}:{a}:{b}" for a, kind, b in spans), t
+    for k, x in enumerate(new):
+        assert [texts[16 + k][a:b] for a, _, b in more[16 + k]] == [x]
+    assert not any(more[26:])
+
+
 def plain_tiles(item, doc, least):
     """Greedy string tiling as defined: all maximal matches of the greatest length, marked in order."""
     free_i, free_d, covered = [True] * len(item), [True] * len(doc), 0
