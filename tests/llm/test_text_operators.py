@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barlake.llm import bitplane, catalog, group_prefix_join, pii_bootstrap, shingles, tiling, token_counts, toxicity_ftrl
 
@@ -379,3 +380,24 @@ def test_prefix_and_parity_lose_no_pair():
             assert set(group_prefix_join.prefix(a, hot, rank)[0]) & set(group_prefix_join.prefix(b, hot, rank)[0])
             apart = sum(int(x).bit_count() for x in (group_prefix_join.parity(a) ^ group_prefix_join.parity(b)).view(np.uint64))
             assert 175 * apart <= 25 * (len(a) + len(b))
+
+
+def test_bitmaps_in_the_join_lose_no_link(spark):
+    rng, base, rows = random.Random(6), [f"w{k}" for k in range(300)], []
+    for k in range(24):  # four groups of sets, some long, with members at all distances
+        size = rng.choice([60, 60, 900])
+        own = [f"v{j}" for j in range(size)] if size > 300 else base[:size]
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(size)] = f"x{rng.randrange(5000)}"
+        rows.append((k, k % 4, own))
+    sets = {k: np.sort(np.array([shingles.word_hashes(w)[0] for w in set(own)], np.uint64)) for k, _, own in rows}
+    table = spark.createDataFrame([(k, g, len(sets[k]), [int(x) for x in group_prefix_join.parity(sets[k])]) for k, g, _ in rows],
+                                  "cls long, g long, n long, sign array<long>").select("*", *group_prefix_join._marks("sign"))
+    bits = [f"b{k}" for k in group_prefix_join.MARKS]
+    groups = table.groupBy("g").agg(*[F.bit_and(b).alias(b) for b in bits], *[F.expr(f"~(bit_and({b}) ^ bit_or({b}))").alias("m" + b[1:]) for b in bits])
+    grouped = table.drop(*bits).join(groups, "g")
+    for side, sure in ((table, False), (grouped, True)):
+        other = side.select(*[F.col(c).alias(f"o_{c}") for c in side.columns])
+        met = {(r.cls, r.o_cls) for r in side.join(other, F.col("cls") < F.col("o_cls")).where(group_prefix_join._alike(75, sure)).collect()}
+        close = {(a, b) for a in sets for b in sets if a < b and 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+        assert close and close <= met and (sure or len(met) < 24 * 23 // 2)
