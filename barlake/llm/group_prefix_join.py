@@ -19,10 +19,15 @@ Two sets with Jaccard similarity of at least ``t`` share one of the first
    too, unless their bitmaps, folded and carried in the lists, already tell them apart: the join
    over a token only makes pairs that may link. So no link that matters to a component is missed,
    and nothing is capped.
-5. *Components* of the links.
+5. *Components* of the links. Every link lies inside one of them.
+6. *All links.* The classes of a component are cut into blocks by size and hash, and every two blocks
+   whose sizes may link meet in one task, which intersects all their sets and returns a count per
+   class: every link counts, however many a group has, and none becomes a row.
 
 Null and empty texts have no shingles and link with nothing. Rows with null id take no part
-(null component). Rows that share an id count as one document. Equal rows get equal results.
+(null component). Rows that share an id count as one document. Equal rows get equal results. The number
+of links counts the other documents that link with one, its copies included; an id that stands
+over different texts counts once for each.
 """
 
 from __future__ import annotations
@@ -48,6 +53,10 @@ SIGN_BITS = 1024
 #: Words of 64 bits that the lists of the last step carry of each bitmap.
 MARKS = range(8)
 OPEN_TOKENS = 1_000_000
+#: Classes and tokens of a block, about; and pairs of equal tokens that are counted at once.
+BLOCK_CLASSES = 1024
+BLOCK_TOKENS = 1 << 20
+MET = 1 << 21
 SALTS = 16
 #: Bits of the filter that spares texts without a candidate the shuffle; full, it spares none.
 FILTER_BITS = 1 << 24
@@ -195,14 +204,10 @@ class _Opened(dict):
         return tokens
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose texts link, checked on whole shingle sets.
-
-    Only texts of candidates move, compressed; a pivot's pairs may be split over tasks.
-    """
+def packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, data): the texts of ``ids``, compressed. Only they move."""
     import zstandard
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     bits = (ids.groupBy(F.shiftright(slot, 6).alias("word"))
             .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) & 63 AS int))")).alias("bits")))
@@ -221,8 +226,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "data"])
 
     marked = texts.where("id is not null").select("id", "text", slot.alias("slot"))
-    packed = written(marked.mapInArrow(run, "id long, data binary").join(ids, "id", "left_semi").distinct(), "candidates",
-                     **{"parquet.enable.dictionary": "false", "compression": "none"})
+    return written(marked.mapInArrow(run, "id long, data binary").join(ids, "id", "left_semi").distinct(), "candidates",
+                   **{"parquet.enable.dictionary": "false", "compression": "none"})
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose texts link, checked on whole shingle sets.
+
+    Only texts of candidates move, compressed; a pivot's pairs may be split over tasks.
+    """
+    found = packed(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _Opened(size)
@@ -235,8 +248,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int
                 linked.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    right = pairs.join(packed.select(F.col("id").alias("b"), F.col("data").alias("db")), "b")
-    both = right.join(packed.select(F.col("id").alias("a"), F.col("data").alias("da")), "a").select("a", "b", "da", "db")
+    right = pairs.join(found.select(F.col("id").alias("b"), F.col("data").alias("db")), "b")
+    both = right.join(found.select(F.col("id").alias("a"), F.col("data").alias("da")), "a").select("a", "b", "da", "db")
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
@@ -264,7 +277,8 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def linked(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
            text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): set figures per row, classes with their group, verified links of classes."""
+    """(rows, classes, links): set figures per row, classes with their group, and verified links of classes,
+    as many as their components need; ``link_counts`` counts all."""
     ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     rows = written(sets(texts, size, percent), "sets", **{"parquet.enable.dictionary": "false"})
@@ -308,17 +322,140 @@ def linked(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col
     return rows, classes, links
 
 
-def join_components(docs: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, n_links (verified links of its class)."""
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set in ``a`` with every set in ``b``."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    tokens = np.concatenate([*a, *b])
+    _, token = np.unique(tokens, return_inverse=True)
+    cut = sum(map(len, a))
+    n = int(token.max(initial=-1)) + 1
+    ta, tb = token[:cut], token[cut:]
+    in_a, in_b = np.bincount(ta, minlength=n), np.bincount(tb, minlength=n)
+    ra, rb = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    # tokens of many sets by matrix products
+    often = np.flatnonzero(16 * in_a * in_b > len(a) * len(b))
+    column = np.full(n, -1)
+    column[often] = np.arange(len(often))
+    for low in range(0, len(often), BLOCK_CLASSES):
+        sides = []
+        for t, r, rows in ((ta, ra, len(a)), (tb, rb, len(b))):
+            at = column[t] - low
+            hit = (column[t] >= low) & (at < BLOCK_CLASSES)
+            side = np.zeros((rows, BLOCK_CLASSES), np.float32)
+            side[r[hit], at[hit]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    # the others by the pairs that they make
+    in_b[often] = 0
+    order = np.argsort(tb, kind="stable")
+    first = np.r_[0, np.cumsum(np.bincount(tb, minlength=n))]
+    rest = np.flatnonzero(in_b[ta] > 0)
+    met = np.cumsum(in_b[ta[rest]])
+    low = 0
+    while low < len(rest):
+        high = max(low + 1, int(np.searchsorted(met, (met[low - 1] if low else 0) + MET, "right")))
+        part = rest[low:high]
+        many = in_b[ta[part]]
+        at = np.repeat(first[ta[part]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        pairs = np.repeat(ra[part], many) * len(b) + rb[order[at]]
+        out += np.bincount(pairs, minlength=out.size).reshape(out.shape)
+        low = high
+    return out
+
+
+def link_counts(classes: DataFrame, found: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(cls, linked): how many documents stand in the classes that a class links with.
+
+    ``classes`` (cls, n, copies), ``found`` their components (id, component). Sizes of links differ by a factor
+    of at most 100 / percent, so a class meets the blocks of its own level of sizes and of the next ones.
+    """
+    import zstandard
+
+    members = classes.join(found.withColumnRenamed("id", "cls"), "cls").select("cls", "component", "copies", "n")
+    members = written(members.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.5 / percent))).cast("int")), "members")
+    whole = members.groupBy("component").agg(F.count("*").alias("k"), F.sum("copies").alias("all"))
+    two = members.join(whole.where("k = 2"), "component").select("cls", (F.col("all") - F.col("copies")).alias("linked"))
+    many = members.join(whole.where("k > 2").select("component"), "component")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    levels = many.groupBy("component", "level").agg(parts.alias("parts"))
+
+    def beside(step: int, name: str) -> DataFrame:
+        return levels.select("component", (F.col("level") - step).alias("level"), F.col("parts").alias(name))
+
+    dealt = (many.join(levels, ["component", "level"]).join(beside(1, "above"), ["component", "level"], "left")
+             .join(beside(-1, "below"), ["component", "level"], "left"))
+    block = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(1), n), lambda j: f(j - 1))
+    spot = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
+    level, b, none = F.col("level"), F.col("block"), F.array().cast("array<struct<low:int,high:int,i:int,j:int,side:int>>")
+    spots = F.concat(
+        each(F.col("parts"), lambda j: spot(level, level, F.least(b, j), F.greatest(b, j), F.when(b <= j, 0).otherwise(1))),
+        F.coalesce(each(F.col("above"), lambda j: spot(level, level + 1, b, j, F.lit(0))), none),
+        F.coalesce(each(F.col("below"), lambda j: spot(level - 1, level, j, b, F.lit(1))), none))
+    key = ["component", "low", "high", "i", "j"]
+    rows = dealt.withColumn("block", block).select("cls", "component", "copies", F.explode(spots).alias("s")).select("cls", "component", "copies", "s.*")
+    data = packed(texts, many.select(F.col("cls").alias("id")))
+    met = rows.join(data.withColumnRenamed("id", "cls"), "cls").select(*key, "side", "cls", "copies", "data")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            same = now[1] == now[2] and now[3] == now[4]  # a block with itself
+            left, right = sides[0], sides[0] if same else sides[1]
+            if not left or not right:
+                return
+            (ca, wa, a), (cb, wb, b) = zip(*left), zip(*right)
+            both = common(a, b)
+            na, nb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+            linked = (both > 0) & (100 * both >= percent * (na[:, None] + nb[None, :] - both))
+            if same:
+                np.fill_diagonal(linked, False)
+            out = [(ca, linked @ np.array(wb, np.int64))] + ([] if same else [(cb, np.array(wa, np.int64) @ linked)])
+            for cls, n in out:
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["cls", "linked"])
+
+        for batch in batches:
+            for *spot, side, cls, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if spot != now:
+                    if now:
+                        yield from ended()
+                    now, sides = spot, ([], [])
+                text = zstandard.decompress(data).decode("utf-8", "surrogatepass")
+                sides[side].append((cls, copies, shingle_set(word_hashes(text), size)))
+        if now:
+            yield from ended()
+
+    counted = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(count, "cls long, linked long")
+    return two.union(counted).groupBy("cls").agg(F.sum("linked").alias("linked"))
+
+
+def _components(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, found): ``found`` is the component of every class that links with another."""
     rows, classes, links = linked(docs, **options)
-    found = components(links)
-    degree = links.union(links.select("b", "a")).toDF("cls", "x").groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = (classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").join(degree, "cls", "left")
-             .select("s1", "s2", "n", "g", F.coalesce("component", "cls").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = rows.drop("prefix", "cold", "sign").join(named, ["s1", "s2", "n", "g"], "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, classes, components(links)
+
+
+def _per_row(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their class in ``named``."""
+    return rows.drop("prefix", "cold", "sign").join(named, ["s1", "s2", "n", "g"], "left")
+
+
+def join_components(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, n_links (other documents that link with it, copies included)."""
+    rows, classes, found = _components(docs, size=size, percent=percent, id_col=id_col, text_col=text_col)
+    key = ["s1", "s2", "n", "g"]
+    copies = rows.where("n > 0 and id is not null").groupBy(*key).agg(F.countDistinct("id").alias("copies"))
+    weighed = written(classes.drop("sign").join(copies, key), "weighed-classes")
+    counts = link_counts(weighed, found, _texts(docs, id_col, text_col), size, percent)
+    named = (weighed.join(found.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left")
+             .select(*key, F.coalesce("component", "cls").alias("component_id"),
+                     (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    known = F.col("id").isNotNull()
+    return _per_row(rows, named).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"),
+        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 
 
 def first_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -332,8 +469,9 @@ def first_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"),
                                                          F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = join_components(named.select("t", "text"), id_col="t", text_col="text", **options)
-    members = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("t")).agg(F.min("component_id").alias("component"))
+    sets_of, classes, found = _components(named.select("t", "text"), id_col="t", text_col="text", **options)
+    of = classes.drop("sign").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    members = _per_row(sets_of.where("n > 0"), of.drop("cls")).groupBy(F.col("id").alias("t")).agg(F.min("component").alias("component"))
     rows = written(named.select("id", "t").distinct().join(members, "t", "left"), "members")
     first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "t")).alias("f")).select("f.id", "f.t")
     stay = first.union(rows.where("component IS NULL").select("id", "t"))

@@ -343,6 +343,32 @@ def test_join_components_match_all_pairs(spark, seed):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(group_prefix_join, "BLOCK_CLASSES", block)
+    rng, rows = random.Random(3), near_fixture(4)
+    base = [f"w{k}" for k in range(60)]
+    for k in range(20):  # a group of near copies of many sizes, far ends of which don't link
+        own = base[:60 - 2 * (k % 10)] + [f"x{rng.randrange(4)}" for _ in range(k % 3)]
+        rows.append((600 + k, " ".join(own), "s"))
+    rows += [(700, rows[-1][1], "s"), (700, rows[-1][1], "s"), (None, rows[-1][1], "s"), (701, "one two", "s"), (702, "ONE  two", "s"), (703, "", "s"), (704, None, "s")]
+    words = {i: shingles.word_hashes(t) for i, t, _ in rows if i is not None}
+    sets = {i: set(shingles.shingle_set(w).tolist()) for i, w in words.items()}
+    links = {i: sum(100 * len(s & t) >= 75 * len(s | t) for j, t in sets.items() if j != i and s and t) for i, s in sets.items()}
+    got = group_prefix_join.join_components(documents(spark, rows)).collect()
+    assert len(got) == len(rows) and max(links.values()) >= 20
+    assert all(r.n_links == (links[r.doc_id] if r.doc_id is not None else 0) for r in got)
+
+
+def test_common_sizes_equal_plain_intersections(monkeypatch):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [np.unique(rng.integers(0, rng.choice([9, 400]), 40).astype(np.uint64)) for _ in range(n)]
+    for met in (50, 1 << 21):
+        monkeypatch.setattr(group_prefix_join, "MET", met)
+        for a, b in ((draw(30), draw(50)), (draw(1), draw(3)), ([np.zeros(0, np.uint64)], draw(2))):
+            assert group_prefix_join.common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_first_rows_tell_texts_of_one_id_apart(spark):
     near = " ".join(f"w{k}" for k in range(60))
     other = " ".join(f"x{k}" for k in range(60))
