@@ -32,6 +32,8 @@ QUESTION_INCR, QUESTION_MAX, QUESTION_MANY = 0.18, 3, 0.96
 CONTRASTS = ["but", "aber", "pero", "mais"]
 # codes of the words before a hit
 _PLAIN, _NEGATION, _UP, _DOWN = range(4)
+#: Bits of the table that spares runs outside the lexicon the join; full, it spares none.
+FILTER_BITS = 1 << 24
 
 
 def words(text: Column) -> Column:
@@ -68,8 +70,9 @@ def emphasis(title: Column) -> Column:
 def phrase_hits(headlines: DataFrame, lexicon: DataFrame, keep: list[str]) -> DataFrame:
     """Rows (keep, _h, emphasis, score) of the hits that count.
 
-    Boosters that the lexicon lists as words don't boost. Only hits leave the join: what the rules need
-    of a hit's surroundings travels with it as codes.
+    Boosters that the lexicon lists as words don't boost. Only runs that a bit table of the lexicon lets
+    through are shuffled to the join, and only hits leave it: what the rules need of a hit's
+    surroundings travels with it packed in one number.
     """
     lex = phrase_lexicon(lexicon)
     boosters = BOOSTERS_UP + BOOSTERS_DOWN
@@ -82,13 +85,30 @@ def phrase_hits(headlines: DataFrame, lexicon: DataFrame, keep: list[str]) -> Da
     base = base.withColumns({"_low": F.transform("_w", F.lower), "_caps": F.transform("_w", shout)})
     base = base.withColumns({"_code": F.transform("_low", code), "_mixed": ~F.forall("_caps", lambda c: c),
                              "_turn": F.array_position(F.transform("_low", lambda t: t.isin(CONTRASTS)), F.lit(True)) - 1})
-    run = lambda i, k, text: F.struct(
-        i.alias("pos"), k.alias("n_words"), text.alias("token"), *[F.get("_code", i - d).alias(f"c{d}") for d in (1, 2, 3)],
-        (F.col("_mixed") & F.forall(F.slice("_caps", i + 1, k), lambda c: c)).alias("caps"),
-        F.when(F.col("_turn") < 0, 1.0).when(i < F.col("_turn"), BEFORE_CONTRAST).when(i > F.col("_turn"), AFTER_CONTRAST)
-        .otherwise(1.0).alias("weight"))
+    code_at = lambda i, d: F.coalesce(F.get("_code", i - d), F.lit(_PLAIN))
+    weight = lambda i: F.when(F.col("_turn") < 0, 0).when(i < F.col("_turn"), 1).when(i > F.col("_turn"), 2).otherwise(0)
+    caps = lambda i, k: (F.col("_mixed") & F.forall(F.slice("_caps", i + 1, k), lambda c: c)).cast("int")
+    packed = lambda i, k: ((((i.cast("long") * 4 + code_at(i, 1)) * 4 + code_at(i, 2)) * 4 + code_at(i, 3)) * 2 + caps(i, k)) * 4 + weight(i)
+    run = lambda i, k, text: F.struct(text.alias("token"), packed(i, k).alias("around"))
     rows = base.select(*keep, "_h", "emphasis", F.explode(word_runs(F.col("_low"), run)).alias("r")).select(*keep, "_h", "emphasis", "r.*")
-    return _scores(_longest(rows.join(lex, ["token", "n_words"])), keep)
+    hits = rows.where(_maybe_listed(F.col("token"), lex)).join(lex, "token").drop("token")
+    cut = lambda by, size: F.floor(F.col("around") / by).cast("long") % size
+    hits = hits.select(*keep, "_h", "emphasis", "n_words", "valence", F.floor(F.col("around") / 512).cast("int").alias("pos"),
+                       *[cut(by, 4).cast("int").alias(f"c{d}") for d, by in ((1, 128), (2, 32), (3, 8))], (cut(4, 2) == 1).alias("caps"),
+                       F.when(cut(1, 4) == 1, BEFORE_CONTRAST).when(cut(1, 4) == 2, AFTER_CONTRAST).otherwise(1.0).alias("weight"))
+    return _scores(_longest(hits), keep)
+
+
+def _maybe_listed(token: Column, lex: DataFrame) -> Column:
+    """False for most tokens that ``lex`` lacks, true for all that it has: a test of FILTER_BITS bits."""
+    n = FILTER_BITS // 64
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    at = lex.select(slot(F.col("token")).alias("slot"))
+    some = at.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(bit(F.col("slot"))).alias("bits"))
+    words = some.sparkSession.range(n).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table = words.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("w")).select("w.bits").scalar()
+    return F.get(table, F.shiftright(slot(token), 6).cast("int")).bitwiseAND(bit(slot(token))) != 0
 
 
 def _longest(hits: DataFrame) -> DataFrame:

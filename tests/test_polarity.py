@@ -99,3 +99,12 @@ def test_tickers_lexicons_and_odd_input(spark):
     texts = spark.createDataFrame([("Fine fine words", 1)] * 6 + [("poor words", 0)] * 6 + [(None, 1)], "text string, y int")
     learned = {r.token: r.valence for r in P.learned_lexicon(texts, "y").collect()}
     assert learned["fine words"] == 4 * 6 / 16 and learned["poor"] == -4 * 6 / 16 and "words" not in learned
+
+
+def test_runs_outside_the_lexicon_stay_out_of_the_join(spark):
+    lex = P.phrase_lexicon(spark.createDataFrame([(f"a{chr(97 + k % 26)}{chr(97 + k // 26)} listed", 1.0) for k in range(300)], "token string, valence double"))
+    other = spark.range(5000).selectExpr("concat('x', id, ' other') AS token", "false AS listed")
+    rows = lex.selectExpr("token", "true AS listed").union(other)
+    let = {r.listed: r["n"] for r in rows.where(P._maybe_listed(F.col("token"), lex)).groupBy("listed").agg(F.count("*").alias("n")).collect()}
+    assert let[True] == 300 and let.get(False, 0) < 50
+    assert rows.where(P._maybe_listed(F.col("token"), lex.limit(0))).count() == 0
