@@ -50,6 +50,7 @@ RANGE_NGRAMS = 2_000_000
 RANGES = 65_536
 COPIES = 8
 TABLE_BITS = 1 << 26
+CHUNK_WORDS = 1 << 13
 CACHE_ENTRIES = 200_000
 
 # The contract's separators of pieces (fixed values), and A-Z in lower case.
@@ -238,10 +239,34 @@ def _slots(paths: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
-    """A bit table from rows (word, bits); at most TABLE_BITS / 64 rows reach the driver."""
+    """A bit table from rows (word, bits). The driver gets it in pieces of CHUNK_WORDS words, at most
+    TABLE_BITS / 8 bytes, and no row per word."""
+    size = min(CHUNK_WORDS, TABLE_BITS // 64)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, piece = None, None
+        for batch in batches:
+            word, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            edge = np.flatnonzero(np.r_[True, word[1:] // size != word[:-1] // size]) if len(word) else []
+            for lo, hi in zip(edge, np.r_[edge[1:], len(word)].astype(np.int64)):
+                at = int(word[lo]) // size
+                if at != now:
+                    if now is not None:
+                        yield made(now, piece)
+                    now, piece = at, np.zeros(size, np.uint64)
+                np.bitwise_or.at(piece, word[lo:hi] % size, bits[lo:hi])
+        if now is not None:
+            yield made(now, piece)
+
+    def made(at: int, piece: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["at", "data"])
+
+    chunk = F.floor(F.col("word") / size)
+    grouped = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).withColumn("chunk", chunk)
+    got = grouped.repartition("chunk").sortWithinPartitions("word").select("word", "bits").mapInArrow(pieces, "at long, data binary")
     table = np.zeros(TABLE_BITS // 64, np.uint64)
-    got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    for r in got.collect():
+        table[r["at"] * size:(r["at"] + 1) * size] = np.frombuffer(r["data"], np.uint64)
     return table
 
 

@@ -95,3 +95,20 @@ def test_transducer_shares_equal_states():
     paths = np.array([[a, b, c] for a in range(1, 9) for b in range(1, 5) for c in (1, 2)], np.uint64)
     machine = Transducer.of(paths, np.ones(len(paths), np.int64))
     assert [len(x) for x in machine.labels] == [8, 4, 2]
+
+
+def test_bit_table_reaches_the_driver_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(phrase_automata, "TABLE_BITS", 1 << 20)
+    monkeypatch.setattr(phrase_automata, "CHUNK_WORDS", 1 << 10)
+    asked = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "toPandas", lambda self: pytest.fail("a row per word"))
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: asked.append(real(self)) or asked[-1])
+    rng = np.random.default_rng(8)
+    word, bits = rng.integers(0, 1 << 14, 9000), rng.integers(-2 ** 63, 2 ** 63, 9000)
+    want = np.zeros(1 << 14, np.uint64)
+    np.bitwise_or.at(want, word, bits.view(np.uint64))
+    rows = spark.createDataFrame(list(zip(word.tolist(), bits.tolist())), "word long, bits long")
+    assert (phrase_automata._bits(rows) == want).all() and sum(map(len, asked)) <= 16
+    assert not phrase_automata._bits(rows.limit(0)).any()
