@@ -50,7 +50,10 @@ GROUP = 512
 
 #: A word of letters, of blocks whose classes no Unicode version has changed, perhaps behind a
 #: line feed, and the punctuation behind it: two pre-tokens.
-_PIECE = re.compile("(\n?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PIECE = re.compile(f"(\n?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: Of keys joined by spaces, those that are a word without punctuation.
+_WORDS = re.compile(f"(?<![^ ])\n?[{_LETTERS}]+(?![^ ])")
 
 
 class Encoder:
@@ -83,25 +86,26 @@ class Encoder:
 
     def _learn(self, keys: set[str]) -> None:
         """Encodes the words among new keys together; other keys are encoded one by one when they are met."""
-        known, old, words, marked = self.pieces, self.pieces.old, {}, []
-        for key in keys:
+        known, old = self.pieces, self.pieces.old
+        words, marked = set(_WORDS.findall(" ".join(keys))), []  # no key has a space
+        for key in keys - words:
             match = _PIECE.fullmatch(key)
             if match:
                 word, marks = match.groups()
-                if marks:
-                    marked.append((key, word, marks))
-                if word not in known and word not in old:
-                    words[word] = None
+                marked.append((key, word, marks))
+                if word not in known:
+                    words.add(word)
+        words.difference_update(old)
         if words:
-            text = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
+            behind = [w for w in words if w[0] == "\n"]
+            inside = [w for w in words if w[0] != "\n"]
+            text = "\n".join([w[1:] for w in behind] + [" " + w for w in inside])
             ids = np.asarray(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]), len(ids)) * 4
-            data, start, put = ids.tobytes(), 0, known.put
-            for word, end in zip(words, ends.tolist()):
-                put(word, self.feed + data[start:end] if word[0] == "\n" else data[start:end])
-                start = end + 4
-        for key, word, marks in marked:
-            known.put(key, known[word] + self.marks[marks])
+            data, feed, ends = ids.tobytes(), self.feed, ends.tolist()
+            found = [data[a:b] for a, b in zip([0] + [e + 4 for e in ends[:-1]], ends)]
+            known.put_all(behind + inside, [feed + x for x in found[:len(behind)]] + found[len(behind):])
+        known.put_all([key for key, _, _ in marked], [known[word] + self.marks[marks] for _, word, marks in marked])
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces, the first one as if behind a line feed; None where white space meets or is of other kinds."""

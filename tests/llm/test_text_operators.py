@@ -56,6 +56,20 @@ def test_token_files_round_trip(spark, tmp_path, plane_bits):
     assert bitplane.token_files(documents(spark, []), path).count() == 0
 
 
+def test_words_are_learned_together(monkeypatch):
+    from barlake.llm.shared import Generations
+    path, one_by_one = catalog.tokenizer("byte_bpe_50k.json"), []
+    real = Generations.put
+    monkeypatch.setattr(Generations, "put", lambda self, key, value: one_by_one.append(key) or real(self, key, value))
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{x}" for k in range(500)) for x in ("é", "q", "q,", "z\nA")]
+    encode = bitplane.Encoder(path)
+    assert list(encode(texts)) == [encode._whole(t) for t in texts] and len(one_by_one) < 10
+    cache = Generations(len, 10)
+    for k in range(5):
+        cache.put_all([f"{k}-{j}" for j in range(4)], [k] * 4)
+        assert len(cache) <= 10 and len(cache.old) <= 10
+
+
 def test_planes():
     ids = np.random.default_rng(0).integers(0, 2**32, 1001, dtype=np.uint64).astype("<u4")
     for bits in (8, 1):
