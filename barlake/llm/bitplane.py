@@ -19,6 +19,7 @@ shuffled to read the files back, and a lost task is simply read again.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,86 +46,119 @@ _BLOCKS = pa.list_(pa.struct([("offset", pa.int64()), ("n_ids", pa.int64()), ("p
 _SEGMENT = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                       ("lengths", pa.list_(pa.int64())), ("blocks", _BLOCKS), ("plane_bits", pa.int32())])
 
-#: Texts are encoded in groups of so many; pieces that a group lacks go to the library at once.
-GROUP = 512
+#: Texts are encoded in groups of at most so many texts, and of not much more than so many characters.
+GROUP, GROUP_CHARS = 2048, 1 << 23
 
 
-#: A word of letters, of blocks whose classes no Unicode version has changed, perhaps behind a
-#: line feed, and the punctuation behind it: two pre-tokens.
+#: Letters of blocks whose classes no Unicode version has changed.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-_PIECE = re.compile(f"(\n?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
-#: Of keys joined by spaces, those that are a word without punctuation.
+#: The punctuation that ends a piece behind a letter: a pre-token of its own (RE2).
+_MARKS = f"([{_LETTERS}])([!-/:-@\\[-`{{-~]+)( |$)"
+#: Of keys joined by spaces, those that are a word, perhaps behind a line feed.
 _WORDS = re.compile(f"(?<![^ ])\n?[{_LETTERS}]+(?![^ ])")
+#: Before marks, and the end of a text; texts with such characters aren't cut.
+_GLUED, _END = "\x01", "\x02"
+
+
+def _byte_characters() -> str:
+    """The character by which byte-level vocabularies write each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     The byte-level pre-tokenizer never joins a word with the single space or line feed behind
-    it, so texts whose white space is only that are cut there, and each piece is encoded once
-    per worker: a piece is keyed without its leading space, or with its leading line feed.
+    it, nor with the punctuation that ends the piece, so texts whose white space is only that
+    are cut there, and each piece is encoded once per worker: a piece is keyed without its
+    leading space, with its leading line feed, or as marks behind a letter.
     Other texts, and texts with an added token's string, go whole to the tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # words of letters are one pre-token each, so they need no pattern: a line feed parts them
-        self.lines = Tokenizer.from_file(tokenizer_path)
-        self.lines.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # words of letters are one pre-token each, so they go to the model without a pattern
+        self.words = Tokenizer(Tokenizer.from_file(tokenizer_path).model)
+        self.bytes = _byte_characters()
         self.feed = self._whole("\n")
         self.pieces = Generations(self._piece, CACHE_ENTRIES)
-        self.marks = Generations(self._whole, CACHE_ENTRIES // 100)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, key: str) -> bytes:
-        return self._whole(key if key[:1] == "\n" else " " + key)
+        if key[0] == _GLUED:
+            return self._whole(key[1:])
+        return self._whole(key if key[0] == "\n" else " " + key)
 
-    def _learn(self, keys: set[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Encodes the words among new keys together; other keys are encoded one by one when they are met."""
         known, old = self.pieces, self.pieces.old
-        words, marked = set(_WORDS.findall(" ".join(keys))), []  # no key has a space
-        for key in keys - words:
-            match = _PIECE.fullmatch(key)
-            if match:
-                word, marks = match.groups()
-                marked.append((key, word, marks))
-                if word not in known:
-                    words.add(word)
-        words.difference_update(old)
-        if words:
-            behind = [w for w in words if w[0] == "\n"]
-            inside = [w for w in words if w[0] != "\n"]
-            text = "\n".join([w[1:] for w in behind] + [" " + w for w in inside])
-            ids = np.asarray(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]), len(ids)) * 4
-            data, feed, ends = ids.tobytes(), self.feed, ends.tolist()
-            found = [data[a:b] for a, b in zip([0] + [e + 4 for e in ends[:-1]], ends)]
-            known.put_all(behind + inside, [feed + x for x in found[:len(behind)]] + found[len(behind):])
-        known.put_all([key for key, _, _ in marked], [known[word] + self.marks[marks] for _, word, marks in marked])
-
-    def _cut(self, text: str) -> list[str] | None:
-        """Pieces, the first one as if behind a line feed; None where white space meets or is of other kinds."""
-        if (not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
-                or not text.replace("\n", " ").isprintable() or any(a in text for a in self.added)):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        kept = [k for k in keys if k in old and k not in known]
+        known.put_all(kept, [old[k] for k in kept])
+        words = _WORDS.findall(" ".join([k for k in keys if k not in old and k not in known]))  # no key has a space
+        if not words:
+            return
+        behind = [w for w in words if w[0] == "\n"]
+        inside = [w for w in words if w[0] != "\n"]
+        text = "".join(behind) + "".join(["\n " + w for w in inside])
+        parts = codecs.charmap_decode(text[1:].encode(), "strict", self.bytes)[0].split(self.bytes[10])
+        found = self.words.encode_batch([parts], is_pretokenized=True, add_special_tokens=False)[0]
+        ends = (4 * np.cumsum(np.bincount(np.asarray(found.word_ids), minlength=len(parts)))).tolist()
+        data, feed = np.asarray(found.ids, "<u4").tobytes(), self.feed
+        ids = [data[a:b] for a, b in zip([0, *ends], ends)]
+        known.put_all(behind + inside, [feed + x for x in ids[:len(behind)]] + ids[len(behind):])
+
+    def _plain(self, text: str) -> bool:
+        """Whether single spaces and line feeds are all the white space, and stand between words."""
+        return not (not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+                    or not text.replace("\n", " ").isprintable() or any(a in text for a in self.added))
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of plain texts, each as if behind a line feed: their pieces are numbered, the numbers
+        replaced by the ids of the distinct pieces."""
+        joined = "".join(["\n" + t + " " + _END for t in texts]).replace("\n", " \n")[1:]
+        marked = pc.replace_substring_regex(pa.array([joined], pa.large_string()), _MARKS, f"\\1 {_GLUED}\\2\\3")
+        pieces = pc.split_pattern(marked, " ").values.dictionary_encode()
+        keys, at = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        end = keys.index(_END)
+        keys[end] = keys[0]  # any known piece: its ids are not used
+        self._learn(keys)
+        ids = [self.pieces[k] for k in keys]
+        ids[end] = b""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        sizes = size[at]
+        stops = np.cumsum(sizes)
+        found = table[np.repeat(first[at] - (stops - sizes), sizes) + np.arange(stops[-1])]
+        start, skip = 0, len(self.feed) // 4
+        for stop in stops[at == end].tolist():
+            yield found[start + skip:stop].tobytes()
+            start = stop
+
+    def _groups(self, texts: list[str]) -> Iterator[list[str]]:
+        group, held = [], 0
+        for text in texts:
+            group.append(text)
+            held += len(text)
+            if len(group) >= GROUP or held >= GROUP_CHARS:
+                yield group
+                group, held = [], 0
+        if group:
+            yield group
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(texts), GROUP):
-            group = texts[k:k + GROUP]
-            cut = [self._cut(t) for t in group]
-            self._learn(set().union(*(c for c in cut if c)).difference(self.pieces))
-            for text, pieces in zip(group, cut):
-                if pieces is not None:
-                    yield b"".join(map(self.pieces.__getitem__, pieces))[len(self.feed):]
-                else:
-                    yield self._whole(text) if text else b""
+        for group in self._groups(texts):
+            plain = [self._plain(t) for t in group]
+            cut = [t for t, p in zip(group, plain) if p]
+            found = self._encoded(cut) if cut else iter(())
+            for text, p in zip(group, plain):
+                yield next(found) if p else self._whole(text) if text else b""
 
 
 @lru_cache(maxsize=1)

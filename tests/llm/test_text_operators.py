@@ -70,6 +70,20 @@ def test_words_are_learned_together(monkeypatch):
         assert len(cache) <= 10 and len(cache.old) <= 10
 
 
+def test_marks_are_no_part_of_a_learned_word():
+    path = catalog.tokenizer("byte_bpe_50k.json")
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}é" for k in range(500)]
+    texts = [" ".join(w + marks for w in words) for marks in ("", ",", ".", "!?", "\"")]
+    encode = bitplane.Encoder(path)
+    assert list(encode(texts)) == [encode._whole(t) for t in texts] and len(encode.pieces) < 520
+    rng = random.Random(8)
+    parts = ["it's", "don't", "a", "B", "é", "ñ", "e\u0301", "日本", "7", "42", "x9", "9x", "'", "'s", ",", "...", "!", "-", "$", "©", "«", "_", "😀", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 40))).strip() for _ in range(3000)]
+    for limit in (40, bitplane.CACHE_ENTRIES):
+        encode.pieces.limit = limit
+        assert list(encode(texts)) == [encode._whole(t) if t else b"" for t in texts]
+
+
 def test_planes():
     ids = np.random.default_rng(0).integers(0, 2**32, 1001, dtype=np.uint64).astype("<u4")
     for bits in (8, 1):
