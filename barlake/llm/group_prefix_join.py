@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.components import components
-from barlake.llm.shared import ship, written
+from barlake.llm.shared import ship, small_batches, written
 from barlake.llm.shingles import overlap, shingle_set, word_hashes
 
 WORDS = 5
@@ -128,7 +128,8 @@ def hot_tokens(texts: DataFrame, size: int = WORDS) -> tuple[np.ndarray, np.ndar
     first = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("text")
     counts = (first.mapInArrow(run, "tokens array<long>").select(F.explode("tokens").alias("token"))
               .groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT))
-    top = counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas()
+    with small_batches(texts.sparkSession):
+        top = counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (len(tokens) - np.arange(len(tokens)))[order]  # the most frequent last
@@ -226,8 +227,9 @@ def packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "data"])
 
     marked = texts.where("id is not null").select("id", "text", slot.alias("slot"))
-    return written(marked.mapInArrow(run, "id long, data binary").join(ids, "id", "left_semi").distinct(), "candidates",
-                   **{"parquet.enable.dictionary": "false", "compression": "none"})
+    found = marked.mapInArrow(run, "id long, data binary").join(ids, "id", "left_semi").distinct()
+    with small_batches(texts.sparkSession):
+        return written(found, "candidates", **{"parquet.enable.dictionary": "false", "compression": "none"})
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -250,7 +252,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int
 
     right = pairs.join(found.select(F.col("id").alias("b"), F.col("data").alias("db")), "b")
     both = right.join(found.select(F.col("id").alias("a"), F.col("data").alias("da")), "a").select("a", "b", "da", "db")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    with small_batches(texts.sparkSession):
+        return written(both.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def _marks(sign: str) -> list[Column]:
@@ -281,7 +284,8 @@ def linked(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col
     as many as their components need; ``link_counts`` counts all."""
     ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
-    rows = written(sets(texts, size, percent), "sets", **{"parquet.enable.dictionary": "false"})
+    with small_batches(docs.sparkSession):
+        rows = written(sets(texts, size, percent), "sets", **{"parquet.enable.dictionary": "false"})
     some = rows.where("n > 0 and id is not null")
     classes = written(some.groupBy("n", "s1", "s2", "g").agg(F.min("id").alias("cls"), F.any_value("sign").alias("sign")), "classes")
     groups = classes.groupBy("g").agg(F.min("cls").alias("rep"))
@@ -296,7 +300,7 @@ def linked(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col
     pairs = across.select("rep", "cls").union(within.select("rep", "cls")).where("rep <> cls")
     pairs = written(pairs.select(*_ordered("rep", "cls")).distinct(), "pairs")
     close = written(screened(pairs, classes, percent), "close-pairs")
-    links = written(verified(close, texts, size, percent), "links")
+    links = verified(close, texts, size, percent)
 
     # classes with one label are connected already
     labels = components(links).select(F.col("id").alias("cls"), F.col("component").alias("label"))
@@ -318,7 +322,7 @@ def linked(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col
     more = (open_groups.union(inside).join(left, "g").join(right, "o_g")
             .where((F.col("label") != F.col("o_label")) & (F.col("cls") != F.col("o_cls")) & _alike(percent)).select(*_ordered("cls", "o_cls")).distinct())
     more = written(screened(more.join(pairs, ["a", "b"], "left_anti"), classes, percent), "more-pairs")
-    links = links.union(written(verified(more, texts, size, percent), "more-links"))
+    links = links.union(verified(more, texts, size, percent))
     return rows, classes, links
 
 
@@ -427,6 +431,8 @@ def link_counts(classes: DataFrame, found: DataFrame, texts: DataFrame, size: in
             yield from ended()
 
     counted = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(count, "cls long, linked long")
+    with small_batches(texts.sparkSession):
+        counted = written(counted, "block-counts")
     return two.union(counted).groupBy("cls").agg(F.sum("linked").alias("linked"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.llm import bitplane, catalog, group_prefix_join, pii_bootstrap, shingles, tiling, token_counts, toxicity_ftrl
+from barlake.llm import bitplane, catalog, group_prefix_join, pii_bootstrap, shared, shingles, tiling, token_counts, toxicity_ftrl
 
 from test_small_operators import LONG, documents
 
@@ -388,6 +388,25 @@ def test_join_counts_every_link(spark, monkeypatch, block):
     assert all(r.n_links == (links[r.doc_id] if r.doc_id is not None else 0) for r in got)
 
 
+def test_whole_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    def spied(df, name, **options):
+        if "MapInArrow" in plan(df):
+            seen.append((name, spark.conf.get(key, None)))
+        return shared.written(df, name, **options)
+
+    monkeypatch.setattr(group_prefix_join, "written", spied)
+    docs = documents(spark, near_fixture(5))
+    assert "MapInArrow" not in plan(group_prefix_join.join_components(docs))  # else it would run at the caller's batch size
+    assert {name for name, _ in seen} >= {"sets", "candidates", "links", "block-counts"}
+    assert all(size == str(shared.BATCH_BYTES) for _, size in seen)
+    assert spark.conf.get(key, None) is None  # other queries keep their own
+
+
 def test_common_sizes_equal_plain_intersections(monkeypatch):
     rng = np.random.default_rng(5)
     draw = lambda n: [np.unique(rng.integers(0, rng.choice([9, 400]), 40).astype(np.uint64)) for _ in range(n)]
