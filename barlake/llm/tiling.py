@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import Generations, ship, written
+from barlake.llm.shared import Generations, ship, small_batches, written
 from barlake.llm.shingles import rolled
 
 MIN_MATCH = 5
@@ -184,7 +184,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATC
     items = written(items.select(F.xxhash64("item", "words").alias("key"), "*"), "items")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    found = written(stretches(rows, items, min_match), "stretches")
+    with small_batches(docs.sparkSession):
+        found = written(stretches(rows, items, min_match), "stretches")
     seeds = items.select("key", "n", F.explode("seeds").alias("seed")).groupBy("key", "n", "seed").agg(F.count("*").alias("places"))
     needed = F.col("n") * coverage / min_match - 1e-6
     # equal texts share their seeds: one of them looks for items, and its pairs serve all

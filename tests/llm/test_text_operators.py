@@ -400,10 +400,12 @@ def test_whole_texts_reach_workers_in_small_batches(spark, monkeypatch):
         return shared.written(df, name, **options)
 
     monkeypatch.setattr(group_prefix_join, "written", spied)
+    monkeypatch.setattr(tiling, "written", spied)
     docs = documents(spark, near_fixture(5))
     assert "MapInArrow" not in plan(group_prefix_join.join_components(docs))  # else it would run at the caller's batch size
-    assert {name for name, _ in seen} >= {"sets", "candidates", "links", "block-counts"}
-    assert all(size == str(shared.BATCH_BYTES) for _, size in seen)
+    tiling.overlaps(docs, spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string"))
+    assert {name for name, _ in seen} >= {"sets", "candidates", "links", "block-counts", "stretches"}
+    assert all(size == str(shared.BATCH_BYTES) for name, size in seen if name not in ("items", "contents"))
     assert spark.conf.get(key, None) is None  # other queries keep their own
 
 
