@@ -16,13 +16,20 @@ The lexicon is an input table of any size, ``(token, valence)`` in any case; ent
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from barlake.operators import phrase_packs
+from barlake.operators.phrase_packs import MAX_WORDS
 from barlake.operators.sentiment import (BOOST_DECR, BOOST_INCR, BOOSTERS_DOWN, BOOSTERS_UP, DISTANCE_DECAY, NEGATION_SCALAR,
-                                         NEGATIONS, compound)
+                                         NEGATIONS, NORMALIZE_ALPHA)
+from barlake.session import ship, small_batches, staged
 
-MAX_WORDS = 3
 # fixed values: rule constants of the scheme
 CAPS_INCR = 0.733
 BEFORE_CONTRAST, AFTER_CONTRAST = 0.5, 1.5
@@ -32,6 +39,8 @@ QUESTION_INCR, QUESTION_MAX, QUESTION_MANY = 0.18, 3, 0.96
 CONTRASTS = ["but", "aber", "pero", "mais"]
 # codes of the words before a hit
 _PLAIN, _NEGATION, _UP, _DOWN = range(4)
+_TURN = 4  # with a code: a contrast word
+TABLE_BITS = 28
 #: Bits of the table that spares runs outside the lexicon the join; full, it spares none.
 FILTER_BITS = 1 << 24
 
@@ -50,15 +59,6 @@ def phrase_lexicon(lexicon: DataFrame) -> DataFrame:
     return rows.where(F.col("n_words") > 0).groupBy("token", "n_words").agg(F.max("valence").alias("valence"))
 
 
-def word_runs(low: Column, each) -> Column:
-    """Array of ``each(start, n_words, text)`` over all runs of 1 to ``MAX_WORDS`` words; null without words.
-    ``low`` must be a plain column, since every run reads it."""
-    n = F.size(low)
-    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORDS), n - i)),
-                               lambda k: each(i, k, F.array_join(F.slice(low, i + 1, k), " ")))
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
-
-
 def emphasis(title: Column) -> Column:
     """What the marks of a headline add to its sum."""
     count = lambda mark: F.length(title) - F.length(F.replace(title, F.lit(mark), F.lit("")))
@@ -67,36 +67,12 @@ def emphasis(title: Column) -> Column:
     return F.least(marks, F.lit(EXCLAMATION_MAX)) * EXCLAMATION_INCR + ask
 
 
-def phrase_hits(headlines: DataFrame, lexicon: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows (keep, _h, emphasis, score) of the hits that count.
-
-    Boosters that the lexicon lists as words don't boost. Only runs that a bit table of the lexicon lets
-    through are shuffled to the join, and only hits leave it: what the rules need of a hit's
-    surroundings travels with it packed in one number.
-    """
-    lex = phrase_lexicon(lexicon)
-    boosters = BOOSTERS_UP + BOOSTERS_DOWN
-    listed = F.coalesce(lex.where(F.col("token").isin(boosters)).agg(F.collect_set("token")).scalar(), F.array().cast("array<string>"))
-    base = headlines.select(*keep, F.monotonically_increasing_id().alias("_h"), words(F.col("title")).alias("_w"),
-                            emphasis(F.coalesce("title", F.lit(""))).alias("emphasis"), listed.alias("_listed"))
-    code = lambda t: (F.when(t.isin(NEGATIONS), _NEGATION).when(F.array_contains("_listed", t), _PLAIN)
-                      .when(t.isin(BOOSTERS_UP), _UP).when(t.isin(BOOSTERS_DOWN), _DOWN).otherwise(_PLAIN))
-    shout = lambda t: (F.upper(t) == t) & (F.length(t) > 1)
-    base = base.withColumns({"_low": F.transform("_w", F.lower), "_caps": F.transform("_w", shout)})
-    base = base.withColumns({"_code": F.transform("_low", code), "_mixed": ~F.forall("_caps", lambda c: c),
-                             "_turn": F.array_position(F.transform("_low", lambda t: t.isin(CONTRASTS)), F.lit(True)) - 1})
-    code_at = lambda i, d: F.coalesce(F.get("_code", i - d), F.lit(_PLAIN))
-    weight = lambda i: F.when(F.col("_turn") < 0, 0).when(i < F.col("_turn"), 1).when(i > F.col("_turn"), 2).otherwise(0)
-    caps = lambda i, k: (F.col("_mixed") & F.forall(F.slice("_caps", i + 1, k), lambda c: c)).cast("int")
-    packed = lambda i, k: ((((i.cast("long") * 4 + code_at(i, 1)) * 4 + code_at(i, 2)) * 4 + code_at(i, 3)) * 2 + caps(i, k)) * 4 + weight(i)
-    run = lambda i, k, text: F.struct(text.alias("token"), packed(i, k).alias("around"))
-    rows = base.select(*keep, "_h", "emphasis", F.explode(word_runs(F.col("_low"), run)).alias("r")).select(*keep, "_h", "emphasis", "r.*")
-    hits = rows.where(_maybe_listed(F.col("token"), lex)).join(lex, "token").drop("token")
-    cut = lambda by, size: F.floor(F.col("around") / by).cast("long") % size
-    hits = hits.select(*keep, "_h", "emphasis", "n_words", "valence", F.floor(F.col("around") / 512).cast("int").alias("pos"),
-                       *[cut(by, 4).cast("int").alias(f"c{d}") for d, by in ((1, 128), (2, 32), (3, 8))], (cut(4, 2) == 1).alias("caps"),
-                       F.when(cut(1, 4) == 1, BEFORE_CONTRAST).when(cut(1, 4) == 2, AFTER_CONTRAST).otherwise(1.0).alias("weight"))
-    return _scores(_longest(hits), keep)
+def _table(blobs: DataFrame, *more: type) -> phrase_packs.Table:
+    """A bit table of the blobs' hashes with 16 bits and more for each, up to 2 ** TABLE_BITS; full, it lets all through."""
+    n = blobs.agg(F.sum("n")).first()[0] or 0
+    bits = min(TABLE_BITS, max(16, (16 * n).bit_length()))
+    rows = blobs.select("b", "n", "data").repartition("b").sortWithinPartitions("b")
+    return phrase_packs.Table(bits, [tuple(r) for r in rows.mapInArrow(lambda it: phrase_packs.table_slices(it, bits, *more), "b int, data binary").collect()])
 
 
 def _maybe_listed(token: Column, lex: DataFrame) -> Column:
@@ -111,34 +87,133 @@ def _maybe_listed(token: Column, lex: DataFrame) -> Column:
     return F.get(table, F.shiftright(slot(token), 6).cast("int")).bitwiseAND(bit(slot(token))) != 0
 
 
-def _longest(hits: DataFrame) -> DataFrame:
-    """Hits that no overlapping hit beats: a longer one, or an equally long one that starts earlier."""
-    w = Window.partitionBy("_h").orderBy("pos", F.col("n_words").desc())
-    hits = hits.withColumn("_shorter", F.coalesce(F.lag("pos").over(w) == F.col("pos"), F.lit(False))).where(~F.col("_shorter"))
-    end, beaten = F.col("pos") + F.col("n_words"), F.lit(False)
+def _longest(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which hits (places in order, words; one a place) no overlapping hit beats: a longer one, or an equally long one that starts earlier."""
+    beaten = np.zeros(len(at), bool)
     for d in range(1, MAX_WORDS):
-        before, after = F.lag("n_words", d).over(w), F.lead("n_words", d).over(w)
-        beaten = beaten | F.coalesce((F.lag("pos", d).over(w) + before > F.col("pos")) & (before >= F.col("n_words")), F.lit(False))
-        beaten = beaten | F.coalesce((F.lead("pos", d).over(w) < end) & (after > F.col("n_words")), F.lit(False))
-    return hits.withColumn("_beaten", beaten).where(~F.col("_beaten"))
-
-
-def _scores(hits: DataFrame, keep: list[str]) -> DataFrame:
-    v = F.col("valence")
-    score = v + F.when(F.col("caps"), F.signum(v) * CAPS_INCR).otherwise(0.0)
+        met = at[:-d] + size[:-d] > at[d:]
+        beaten[d:] |= met & (size[:-d] >= size[d:])
+        beaten[:-d] |= met & (size[d:] > size[:-d])
+    return ~beaten
+
+
+class _Hits:
+    """The hits (hash, valence) of a pack, by word number and by hash."""
+
+    def __init__(self, distinct: np.ndarray, known: np.ndarray, valence: np.ndarray):
+        self.known, self.valence = known, valence
+        self.shift = np.uint64(64 - phrase_packs.NEAR_BITS)
+        self.near = np.zeros(1 << phrase_packs.NEAR_BITS, bool)
+        self.near[(known >> self.shift).astype(np.int64)] = True
+        single, value = self.met(phrase_packs.run_hashes(distinct, 1))
+        self.size, self.value = np.zeros(len(distinct), np.int8), np.zeros(len(distinct))
+        self.size[single], self.value[single] = 1, value
+
+    def met(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the runs are hits, and their valences."""
+        at = np.nonzero(self.near[(found >> self.shift).astype(np.int64)])[0]
+        of = np.minimum(np.searchsorted(self.known, found[at]), len(self.known) - 1)
+        same = self.known[of] == found[at]
+        return at[same], self.valence[of[same]]
+
+
+def _sums(hits: _Hits, distinct: np.ndarray, code: np.ndarray, number: np.ndarray, caps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, sum of the scores, whether it is null) of the rows with a hit."""
+    row, end = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    size, v = hits.size[number], hits.value[number]
+    for k, found, at in phrase_packs.runs(distinct[number], row):  # of the hits of a place the longest
+        if k > 1:
+            hit, value = hits.met(found)
+            size[at[hit]], v[at[hit]] = k, value
+    size, code = size.astype(np.int64), code[number]
+    at = np.nonzero(size)[0]
+    at = at[_longest(at, size[at])]
+    size, v, row = size[at], v[at], row[at]
+    loud = np.concatenate([[0], np.cumsum(caps)])
+    begin = end - sizes
+    mixed = (loud[end] - loud[begin] < sizes)[row]
+    null = v.view(np.uint64) == np.array(phrase_packs.NULL).view(np.uint64)
+    score = v + np.where(mixed & (loud[at + size] - loud[at] == size), np.sign(v) * CAPS_INCR, 0.0)
     for d in (1, 2, 3):
-        c = F.col(f"c{d}")
-        step = F.when(c == _UP, BOOST_INCR * DISTANCE_DECAY[d - 1]).when(c == _DOWN, BOOST_DECR * DISTANCE_DECAY[d - 1]).otherwise(0.0)
-        boosted = score + step * F.signum(score)
-        score = F.when(c == _NEGATION, boosted * NEGATION_SCALAR).otherwise(boosted)
-    return hits.select(*keep, "_h", "emphasis", (score * F.col("weight")).alias("score"))
+        c = np.where(at - d >= begin[row], code[np.maximum(at - d, 0)] & 3, _PLAIN)
+        step = np.where(c == _UP, BOOST_INCR * DISTANCE_DECAY[d - 1], np.where(c == _DOWN, BOOST_DECR * DISTANCE_DECAY[d - 1], 0.0))
+        boosted = score + step * np.sign(score)
+        score = np.where(c == _NEGATION, boosted * NEGATION_SCALAR, boosted)
+    turn = np.full(len(sizes), -1)
+    turns = np.nonzero(code & _TURN)[0][::-1]
+    turn[np.searchsorted(end, turns, "right")] = turns
+    turn = turn[row]
+    score *= np.where(turn < 0, 1.0, np.where(at < turn, BEFORE_CONTRAST, np.where(at > turn, AFTER_CONTRAST, 1.0)))
+    rows, first = np.unique(row, return_index=True)
+    if not len(rows):
+        return rows, np.zeros(0), np.zeros(0, bool)
+    return rows, np.add.reduceat(np.where(null, 0.0, score), first), np.logical_and.reduceat(null, first)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], table: phrase_packs.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(keep, compound) of the packs' rows with a hit, from rows (pack, b, n, data): a pack (b = -1) and then its hits."""
+    data, parts = None, []
+
+    def scored() -> Iterator[pa.RecordBatch]:
+        distinct, code, number, caps, sizes, kept = phrase_packs.opened(data)
+        runs = phrase_packs.asked(distinct, number, sizes, table)
+        found = [phrase_packs.answer(*part, runs) for part in parts]  # in order of their buckets, so sorted
+        hits = _Hits(distinct, *(np.concatenate([x[j] for x in found]) for j in range(2)))
+        del runs, found
+        sums = []
+        for at, words_ in phrase_packs.spans(sizes):
+            rows, *sum_ = _sums(hits, distinct, code, number[words_], caps[words_], sizes[at])
+            sums.append((rows + at.start, *sum_))
+        rows, s, null = (np.concatenate([x[j] for x in sums]) for j in range(3))
+        kept = kept.take(pa.array(rows)).combine_chunks()
+        s = s + np.sign(s) * kept.column(kept.num_columns - 1).to_numpy()
+        found = pa.array(s / np.sqrt(s * s + NORMALIZE_ALPHA), mask=null)
+        for part in pa.Table.from_arrays([*kept.columns[:-1], found], names=names).to_batches():
+            yield part
+
+    for batch in batches:
+        for b, n, blob in zip(*(batch.column(j).to_pylist() for j in (1, 2, 3))):
+            if b < 0:
+                if parts:
+                    yield from scored()
+                data, parts = blob, []
+            else:
+                parts.append((b, n, blob))
+    if parts:
+        yield from scored()
 
 
 def headline_polarity(headlines: DataFrame, lexicon: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, compound) of every headline with a hit; the others have compound 0."""
-    total, mark = F.sum("score"), F.max("emphasis")
-    s = phrase_hits(headlines, lexicon, keep).groupBy("_h", *keep).agg(total.alias("_s"), mark.alias("_m"))
-    return s.select(*keep, compound(F.col("_s") + F.signum("_s") * F.col("_m")).alias("compound"))
+    """(keep, compound) of every headline with a hit; the others have compound 0.
+
+    Boosters that the lexicon lists as words don't boost. Texts are packed once, some millions of words a pack; what goes to the
+    lexicon's buckets and back are a pack's distinct runs that a bit table of the lexicon lets through, not a row per run.
+    """
+    spark = headlines.sparkSession
+    ship(spark)
+    with small_batches(spark):
+        lex = phrase_lexicon(lexicon)
+        boosters = [*BOOSTERS_UP, *BOOSTERS_DOWN]
+        listed = {r.token for r in lex.where(F.col("token").isin(boosters)).select("token").collect()}
+        code = {w: _UP if w in BOOSTERS_UP else _DOWN for w in boosters if w not in listed} | dict.fromkeys(NEGATIONS, _NEGATION)
+        codes = {w.encode(): code.get(w, _PLAIN) | (_TURN if w in CONTRASTS else 0) for w in [*code, *CONTRASTS]}
+        entries = staged(lex.select(F.split("token", " ").alias("words"), "valence").mapInArrow(phrase_packs.entries, phrase_packs.BLOB), "lexicon-runs")
+        table = _table(entries, np.float64)
+        base = headlines.select(*keep, emphasis(F.coalesce("title", F.lit(""))).cast("double").alias("_emphasis"), words(F.col("title")).alias("_w"))
+        shout = lambda t: (F.upper(t) == t) & (F.length(t) > 1)
+        base = base.select(*keep, "_emphasis", F.transform("_w", F.lower).alias("_low"), F.transform("_w", shout).alias("_caps"))
+        packs = staged(base.mapInArrow(lambda it: phrase_packs.packs(it, table, codes), phrase_packs.PACK), "polarity-packs")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs.where("b < 0").count())
+        asked = entries.select("b", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pack"), "n", "data").union(
+            packs.where("b >= 0").select("b", F.lit(1), "pack", "n", "data"))
+        hits = (asked.repartition(min(tasks, 1 << phrase_packs.BUCKET_BITS), "b").sortWithinPartitions("b", "kind")
+                .mapInArrow(phrase_packs.hits, phrase_packs.PACK))
+        rows = packs.where("b < 0").union(hits)
+        schema = headlines.select(*keep, F.lit(0.0).cast("double").alias("compound")).schema
+        names = schema.names
+        scores = rows.repartition(tasks, "pack").sortWithinPartitions("pack", "b").mapInArrow(
+            lambda it: _scored(it, table, names), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+        return staged(scores, "polarity-scores")
 
 
 def ticker_polarity(headlines: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -157,11 +232,19 @@ def learned_lexicon(texts: DataFrame, label: str, min_texts: int = 5, least: flo
     p and n count the texts of either label that hold the phrase, each once. Entries in fewer
     than ``min_texts`` texts, or with a valence below ``least`` either way, are left out.
     """
-    # the words are a column of their own: as an expression the lambdas would split the text once per run
-    low = texts.select(F.transform(words(F.col("text")), F.lower).alias("_low"), F.col(label).cast("long").alias("y"))
-    runs = F.array_distinct(word_runs(F.col("_low"), lambda i, k, text: text))
-    seen = low.select("y", F.explode(runs).alias("token"))
-    counts = seen.groupBy("token").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    valence = F.lit(4.0) * (F.col("p") - F.col("n")) / (F.col("p") + F.col("n") + prior)
-    return (counts.where(F.col("p") + F.col("n") >= min_texts).select("token", valence.alias("valence"))
-            .where(F.abs("valence") >= least))
+    spark = texts.sparkSession
+    ship(spark)
+    most = max(1, min(min_texts, (1 << phrase_packs.LOW_BITS) - 1))
+    with small_batches(spark):
+        low = texts.select(words(F.col("text")).alias("_w"), F.col(label).cast("long").alias("y")).where("y is not null")
+        low = low.select(F.transform("_w", F.lower).alias("_low"), "y")
+        packs = staged(low.mapInArrow(phrase_packs.labelled_packs, "n int, data binary"), "labelled-packs").select("data")
+        # first the runs' hashes alone, cut short: a run's texts all count where its hash counts, so no entry is lost
+        counts = packs.mapInArrow(lambda it: phrase_packs.run_counts(it, most), phrase_packs.BLOB)
+        often = staged(counts.repartition("b").sortWithinPartitions("b").mapInArrow(lambda it: phrase_packs.frequent(it, most), phrase_packs.BLOB), "frequent-runs")
+        table = _table(often)
+        seen = packs.mapInArrow(lambda it: phrase_packs.known_runs(it, table), phrase_packs.BLOB)
+        counts = seen.repartition("b").sortWithinPartitions("b").mapInArrow(phrase_packs.token_counts, "token string, p long, n long")
+        valence = F.lit(4.0) * (F.col("p") - F.col("n")) / (F.col("p") + F.col("n") + prior)
+        return staged(counts.where(F.col("p") + F.col("n") >= min_texts).select("token", valence.alias("valence"))
+                      .where(F.abs("valence") >= least), "learned-lexicon")

@@ -8,7 +8,6 @@ from barlake.operators import polarity as P
 from barlake.operators import sentiment as S
 from barlake.plans.catalog import register
 from barlake.plans.projection import spark_project, sql_project
-from barlake.session import staged
 from barlake.sources.fixtures import headlines
 
 LEX_SPEC = [("token", "string"), ("valence", "double")]
@@ -18,7 +17,9 @@ POL_SPEC = [("ticker", "string"), ("sentiment_score", "double"), ("n_headlines",
 def quality_lexicon(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return P.learned_lexicon(docs.join(labels, "doc_id"), "quality")
+    # a join that sorts would shuffle all texts, and few may have a label
+    labelled = P._maybe_listed(F.col("doc_id").cast("string"), labels.select(F.col("doc_id").cast("string").alias("token")))
+    return P.learned_lexicon(docs.where(labelled).join(labels, "doc_id"), "quality")
 
 
 def _list(values) -> str:
@@ -100,6 +101,5 @@ def q_learned_lexicon(spark, sf_dir):
     f"FROM ({headline_polarity_sql()}) s", POL_SPEC))
 def q_headline_polarity(spark, sf_dir):
     """X24/G5/X9 with phrases, case, contrast and marks: every whole text scored by the learned lexicon."""
-    lex = staged(quality_lexicon(spark, sf_dir), "lexicon")
-    s = P.ticker_polarity(headlines(spark, sf_dir), lex)
+    s = P.ticker_polarity(headlines(spark, sf_dir), quality_lexicon(spark, sf_dir))
     return spark_project(s.withColumn("sentiment_label", S.sentiment_label(F.col("sentiment_score"))), POL_SPEC)

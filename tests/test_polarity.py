@@ -2,11 +2,15 @@
 
 import random
 import re
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.operators import polarity as P
+from barlake.operators import phrase_packs, polarity as P
 from barlake.operators import sentiment as S
 
 
@@ -108,3 +112,100 @@ def test_runs_outside_the_lexicon_stay_out_of_the_join(spark):
     let = {r.listed: r["n"] for r in rows.where(P._maybe_listed(F.col("token"), lex)).groupBy("listed").agg(F.count("*").alias("n")).collect()}
     assert let[True] == 300 and let.get(False, 0) < 50
     assert rows.where(P._maybe_listed(F.col("token"), lex.limit(0))).count() == 0
+
+
+def _rows(batches, *by):
+    """All rows of the batches as one, in the order of a shuffle that sorts by these columns."""
+    table = pa.Table.from_batches(batches)
+    return table.sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches() if by else table.to_batches()
+
+
+def _table(blobs, bits, *more):
+    return phrase_packs.Table(bits, [(r["b"], r["data"]) for b in phrase_packs.table_slices(iter(_rows(blobs, "b")), bits, *more) for r in b.to_pylist()])
+
+
+def _small_packs(monkeypatch):
+    for name, value in (("PACK_WORDS", 300), ("SPAN_WORDS", 64), ("HELD", 400)):
+        monkeypatch.setattr(phrase_packs, name, value)
+
+
+def _lists(texts):
+    return pa.array([re.findall(r"[^\W\d_]+", t or "") for t in texts], pa.list_(pa.string()))
+
+
+def test_runs_of_packs_count_as_by_text(monkeypatch):
+    _small_packs(monkeypatch)
+    rng = random.Random(4)
+    texts = ["", *[" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 40))) for _ in range(200)]]
+    y = [rng.randint(0, 1) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([_lists(texts), pa.array(y, pa.int64())], names=["w", "y"])
+    packs = list(phrase_packs.labelled_packs(batch.slice(k, 50) for k in range(0, 201, 50)))
+    assert len(packs) > 3
+    data = [b.select(["data"]) for b in packs]
+    want = Counter()
+    for t, label in zip(texts, y):
+        w = t.split()
+        for run in {" ".join(w[i:i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)}:
+            want[run, label] += 1
+    for least in (1, 5, 60):
+        often = list(phrase_packs.frequent(iter(_rows(list(phrase_packs.run_counts(iter(data), least)), "b")), least))
+        assert sum(len(x) and x["n"] for b in often for x in b.to_pylist()) == sum(want[r, 0] + want[r, 1] >= least for r in {r for r, _ in want})
+        table = _table(often, 20)
+        tokens = [r for b in phrase_packs.token_counts(iter(_rows(list(phrase_packs.known_runs(iter(data), table)), "b"))) for r in b.to_pylist()]
+        got = {r["token"]: (r["p"], r["n"]) for r in tokens if r["p"] + r["n"] >= least}
+        assert len(got) == sum(r["p"] + r["n"] >= least for r in tokens)
+        assert got == {r: (want[r, 1], want[r, 0]) for r in {r for r, _ in want} if want[r, 1] + want[r, 0] >= least}
+
+
+def test_packs_score_as_plain_rules(monkeypatch):
+    _small_packs(monkeypatch)
+    monkeypatch.setattr(phrase_packs, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(5)
+    words = ["good", "GOOD", "Bad", "broken", "heart", "Kiss", "of", "death", "very", "really", "not", "but", "x", "flat", "gone"]
+    titles = ["", "good " * 500, *[" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(200)]]
+    lex = dict(sorted((t.lower(), v) for t, v in LEX)) | {"bad": -2.0, "gone": None}
+    blobs = list(phrase_packs.entries(iter([pa.RecordBatch.from_arrays([_lists(lex), pa.array(list(lex.values()), pa.float64())], names=["w", "v"])])))
+    table = _table(blobs, 16, np.float64)
+    raw = _lists(titles)
+    caps = pa.array([[w.upper() == w and len(w) > 1 for w in t] for t in raw.to_pylist()], pa.list_(pa.bool_()))
+    low = pa.array([[w.lower() for w in t] for t in raw.to_pylist()], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(titles))), pa.array([0.0] * len(titles)), low, caps], names=list("ntlc"))
+    codes = {b"not": P._NEGATION, b"really": P._UP, b"but": P._TURN}
+    packs = list(phrase_packs.packs((batch.slice(k, 40) for k in range(0, 202, 40)), table, codes))
+    rows = [r for b in packs for r in b.to_pylist()]
+    assert len({r["pack"] for r in rows}) > 3
+    asked = [{"b": r["b"], "kind": 0, "pack": 0, "n": r["n"], "data": r["data"]} for b in blobs for r in b.to_pylist()]
+    asked += [{"b": r["b"], "kind": 1, "pack": r["pack"], "n": r["n"], "data": r["data"]} for r in rows if r["b"] >= 0]
+    asked = pa.RecordBatch.from_pylist(asked, schema=pa.schema([("b", pa.int32()), ("kind", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("data", pa.binary())]))
+    found = list(phrase_packs.hits(iter(_rows([asked], "b", "kind"))))
+    own = [b.filter(pa.compute.less(b.column(1), 0)) for b in packs]
+    scored = [r for b in P._scored(iter(_rows([b for b in own if len(b)] + found, "pack", "b")), table, ["n", "compound"]) for r in b.to_pylist()]
+    got = {r["n"]: r["compound"] for r in scored}
+    assert len(got) == len(scored)
+    only = [(t, v) for t, v in lex.items() if v is not None]
+    for n, title in enumerate(titles):
+        if "gone" in title.lower().split():
+            with_null = plain(" ".join("x" if w == "gone" else w for w in title.split()), only)  # a null valence adds nothing
+            assert n in got and (got[n] is None if with_null is None else abs(got[n] - with_null) < 1e-9), title
+        else:
+            want = plain(title, only)
+            assert (n in got) == (want is not None) and (want is None or abs(got[n] - want) < 1e-9), title
+
+
+def test_texts_and_runs_stay_small_on_their_way(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    hashes = np.unique(rng.integers(0, 1 << 64, 1 << 18, np.uint64))
+    blobs = phrase_packs.blob_rows(hashes)
+    assert sum(len(d.as_py()) for d in blobs.column(2)) < 6.5 * len(hashes)
+    short = np.unique(hashes & ~np.uint64((1 << phrase_packs.LOW_BITS) - 1))
+    blobs = phrase_packs.blob_rows(short, np.ones(len(short), np.uint32))
+    assert sum(len(d.as_py()) for d in blobs.column(2)) < 4 * len(short)
+    written, real = {}, P.staged
+    monkeypatch.setattr(P, "staged", lambda df, name: written.setdefault(name, real(df, name)))
+    vocabulary = ["".join(chr(97 + d) for d in rng.integers(0, 26, 6)) for _ in range(300)]
+    titles = [" ".join(rng.choice(vocabulary, 400)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(titles)), "n int, title string").coalesce(2)
+    lex = spark.createDataFrame([(w, 1.0) for w in vocabulary], "token string, valence double")
+    assert P.headline_polarity(df, lex, ["n"]).count() == 100
+    packs = written["polarity-packs"]  # 40,000 hits, of which no row each is shuffled
+    assert packs.count() < 2 * (300 + 1) + 2 and packs.agg(F.sum(F.length("data"))).first()[0] < sum(map(len, titles)) / 2
